@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rollups
+from ..operators import profile, rollups
 from ..session import prepare
 from ..sources import tables
 from .present import present
@@ -89,3 +89,38 @@ def _nearest_available_date(spark, sf_dir):
         F.explode(F.sequence(F.date_sub("lo", 2), F.date_add("hi", 2))).alias("date"),
     )
     return rollups.nearest_available_date(avail, req)
+
+
+# --- profile forecast (flagship) ---------------------------------------------
+
+@query("weekday_zero_day")
+def _weekday_zero_day(spark, sf_dir):
+    """P0h for every room and weekday."""
+    return profile.zero_days(tables.readings(spark, sf_dir, with_counter=False))
+
+
+@query("weighted_hour_profile")
+def _weighted_hour_profile(spark, sf_dir):
+    return profile.weighted_hour_profile(tables.readings(spark, sf_dir, with_counter=False))
+
+
+@query("predict_profile")
+def _predict_profile(spark, sf_dir):
+    """P1 for every room x the seven days after the last reading (arrays as text)."""
+    r = tables.readings(spark, sf_dir, with_counter=False)
+    p = profile.predict_profile(r, profile.next_week_targets(r))
+    return p.withColumn("recommendations", F.array_join("recommendations", " | ")).drop(
+        "hourly_power_w", "hourly_breakdown"
+    )
+
+
+@query("predict_profile_hourly")
+def _predict_profile_hourly(spark, sf_dir):
+    """P1's 24 hourly values in long form (room, date, hour, power_w, kwh)."""
+    r = tables.readings(spark, sf_dir, with_counter=False)
+    p = profile.predict_profile(r, profile.next_week_targets(r))
+    return p.select(
+        "room", "date",
+        F.posexplode(F.arrays_zip("hourly_power_w", "hourly_breakdown")).alias("hour", "v"),
+    ).select("room", "date", F.col("hour").cast("long").alias("hour"),
+             F.col("v.hourly_power_w").alias("power_w"), F.col("v.hourly_breakdown").alias("kwh"))

@@ -106,3 +106,81 @@ avail AS (SELECT DISTINCT room, CAST(ts AS DATE) AS d FROM readings_base),
 bounds AS (SELECT room, min(d) AS lo, max(d) AS hi FROM avail GROUP BY room),
 req AS (SELECT room, lo, CAST(unnest(generate_series(lo - INTERVAL 2 DAY, hi + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS DATE) AS d
         FROM bounds)"""))
+
+
+# --- profile forecast ----------------------------------------------------------
+
+PROFILE_CTES = """
+stats AS (SELECT room, isodow(ts) - 1 AS wd, hour(ts) AS h, count(power) AS n,
+                 sum(CAST(round(power * 100) AS BIGINT)) AS s
+          FROM readings_base GROUP BY ALL),
+dow AS (SELECT room, wd, sum(n) AS n_same, sum(s) AS s_same FROM stats GROUP BY ALL),
+allh AS (SELECT room, h, sum(n) AS n_all, sum(s) AS s_all FROM stats GROUP BY ALL),
+lastd AS (SELECT CAST(max(ts) AS DATE) AS d FROM readings_base),
+targets AS (SELECT r.room, CAST(l.d + t.i * INTERVAL 1 DAY AS DATE) AS date
+            FROM (SELECT DISTINCT room FROM readings_base) r, lastd l, generate_series(1, 7) t(i)),
+grid AS (
+  SELECT t.room, t.date, isodow(t.date) - 1 AS wd, hh.h,
+         coalesce(d.n_same, 0) AS n_same, coalesce(d.s_same, 0) AS s_same,
+         coalesce(a.n_all, 0) + coalesce(sm.n, 0) AS de,
+         coalesce(a.s_all, 0) + coalesce(sm.s, 0) AS nu
+  FROM targets t CROSS JOIN generate_series(0, 23) hh(h)
+  LEFT JOIN dow d ON d.room = t.room AND d.wd = isodow(t.date) - 1
+  LEFT JOIN allh a ON a.room = t.room AND a.h = hh.h
+  LEFT JOIN stats sm ON sm.room = t.room AND sm.wd = isodow(t.date) - 1 AND sm.h = hh.h),
+hp AS (
+  SELECT *, (n_same = 0 OR s_same < n_same * 500) AS is_zero_day,
+         CASE WHEN de > 0 THEN (2 * nu + de) // (2 * de)
+              WHEN n_same > 0 THEN (2 * s_same + n_same) // (2 * n_same) ELSE 0 END AS cw_weighted
+  FROM grid),
+hp2 AS (SELECT *, CASE WHEN is_zero_day THEN 0 ELSE cw_weighted END AS cw FROM hp),
+hp3 AS (SELECT *, (cw + 5) // 10 AS kwh_e4 FROM hp2),
+per_day AS (
+  SELECT room, date, any_value(is_zero_day) AS is_zero_day, any_value(n_same) AS n_same,
+         sum(kwh_e4) AS u, max(cw) AS peak_cw, arg_min(h, -cw * 100 + h) AS peak_hour
+  FROM hp3 GROUP BY room, date),
+pd2 AS (
+  SELECT *, (u * 2200 + 10000) // 20000 AS c, peak_cw // 100 AS q, peak_cw % 100 AS r,
+         ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][isodow(date)] AS dname
+  FROM per_day),
+rows_used AS (SELECT room, count(*) AS historical_rows_used FROM readings_base GROUP BY room)"""
+
+oracle("weekday_zero_day", with_readings("""
+SELECT g.room, CAST(g.wd AS BIGINT) AS weekday,
+       CASE WHEN coalesce(d.n_same, 0) > 0 THEN CAST((2 * d.s_same + d.n_same) // (2 * d.n_same) AS DOUBLE) / 100.0 ELSE 0.0 END AS dow_avg_power,
+       CAST(coalesce(d.n_same, 0) AS BIGINT) AS n_rows,
+       CAST((coalesce(d.n_same, 0) = 0 OR d.s_same < d.n_same * 500) AS BIGINT) AS is_zero_day
+FROM (SELECT DISTINCT room, w.wd FROM readings_base, generate_series(0, 6) w(wd)) g
+LEFT JOIN dow d ON d.room = g.room AND d.wd = g.wd""", PROFILE_CTES))
+
+oracle("weighted_hour_profile", with_readings("""
+SELECT room, CAST(wd AS BIGINT) AS weekday, CAST(h AS BIGINT) AS hour,
+       CAST(cw_weighted AS DOUBLE) / 100.0 AS avg_w, CAST(is_zero_day AS BIGINT) AS is_zero_day
+FROM hp""", PROFILE_CTES))
+
+oracle("predict_profile", with_readings("""
+SELECT p.room, strftime(p.date, '%Y-%m-%d') AS date, dname AS day_of_week,
+       CASE WHEN starts_with(p.room, '7') THEN 'Laboratory' ELSE 'Office/Classroom' END AS room_type,
+       CAST(is_zero_day AS BIGINT) AS is_zero_day,
+       u / 10000.0 AS total_daily_kwh, 11.0::DOUBLE AS predicted_rate,
+       c / 100.0 AS total_cost_php,
+       CAST((u * 2 + 24) // 48 AS DOUBLE) / 10000.0 AS avg_hourly_kwh,
+       CAST((c * 2 + 24) // 48 AS DOUBLE) / 100.0 AS avg_hourly_cost_php,
+       CAST(CASE WHEN is_zero_day THEN 95 ELSE least(95, 60 + n_same // 10) END AS BIGINT) AS confidence,
+       CAST(peak_hour AS BIGINT) AS peak_hour, peak_cw / 100.0 AS peak_power_w,
+       CASE WHEN is_zero_day THEN
+              dname || 's show no energy consumption in historical data. | '
+              || 'No classes or activities are scheduled on this day of the week. | Predicted consumption: 0 kWh.'
+            ELSE coalesce(nullif(concat_ws(' | ',
+              CASE WHEN peak_cw > 50000 THEN printf('Peak usage expected around %02d:00 (%d W).', peak_hour,
+                   q + CASE WHEN r > 50 OR (r = 50 AND q % 2 = 1) THEN 1 ELSE 0 END) END,
+              CASE WHEN u > 50000 THEN 'Projected ' || CAST(u / 10000.0 AS VARCHAR) || ' kWh — consider turning off AC during unscheduled hours.' END,
+              CASE WHEN u <= 10000 THEN 'Low energy day projected based on historical patterns.' END), ''),
+              'Normal ' || dname || ' usage projected.') END AS recommendations,
+       CAST(coalesce(ru.historical_rows_used, 0) AS BIGINT) AS historical_rows_used
+FROM pd2 p LEFT JOIN rows_used ru ON ru.room = p.room""", PROFILE_CTES))
+
+oracle("predict_profile_hourly", with_readings("""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(h AS BIGINT) AS hour,
+       cw / 100.0 AS power_w, kwh_e4 / 10000.0 AS kwh
+FROM hp3""", PROFILE_CTES))
