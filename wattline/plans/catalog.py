@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile, rollups
+from ..operators import features, profile, rollups
 from ..session import prepare
 from ..sources import tables
 from .present import present
@@ -124,3 +124,82 @@ def _predict_profile_hourly(spark, sf_dir):
         F.posexplode(F.arrays_zip("hourly_power_w", "hourly_breakdown")).alias("hour", "v"),
     ).select("room", "date", F.col("hour").cast("long").alias("hour"),
              F.col("v.hourly_power_w").alias("power_w"), F.col("v.hourly_breakdown").alias("kwh"))
+
+
+# --- daily features and summaries (training view over lineitem) ---------------
+
+def _daily(spark, sf_dir):
+    return features.daily_features(tables.training_readings(spark, sf_dir))
+
+
+@query("daily_features")
+def _daily_features(spark, sf_dir):
+    """A1/A2 + F6/F7/F9/F10 for every (room, date) of the training view."""
+    return _daily(spark, sf_dir)
+
+
+@query("dataset_summary")
+def _dataset_summary(spark, sf_dir):
+    return features.dataset_summary(_daily(spark, sf_dir))
+
+
+@query("floor_summary")
+def _floor_summary(spark, sf_dir):
+    return features.floor_summary(_daily(spark, sf_dir))
+
+
+@query("rooms_by_floor")
+def _rooms_by_floor(spark, sf_dir):
+    return features.rooms_by_floor(_daily(spark, sf_dir))
+
+
+@query("weekday_distribution")
+def _weekday_distribution(spark, sf_dir):
+    return features.weekday_distribution(_daily(spark, sf_dir))
+
+
+@query("weekend_coverage")
+def _weekend_coverage(spark, sf_dir):
+    return features.weekend_coverage(_daily(spark, sf_dir))
+
+
+@query("filter_floors")
+def _filter_floors(spark, sf_dir):
+    return features.filter_floors(_daily(spark, sf_dir)).select("room", "date", "floor", "energy_kwh")
+
+
+@query("filter_room_ranges")
+def _filter_room_ranges(spark, sf_dir):
+    return features.filter_room_ranges(_daily(spark, sf_dir)).select("room", "date", "floor", "energy_kwh")
+
+
+@query("prediction_rooms")
+def _prediction_rooms(spark, sf_dir):
+    return features.prediction_rooms(_daily(spark, sf_dir))
+
+
+@query("room_union")
+def _room_union(spark, sf_dir):
+    """Default rooms union rooms of the reading log."""
+    return features.room_union(rollups.rooms_with_data(tables.readings(spark, sf_dir, with_counter=False)))
+
+
+@query("room_intersect")
+def _room_intersect(spark, sf_dir):
+    """Rooms of the training data that are allowed for prediction."""
+    return features.room_intersect(_daily(spark, sf_dir).select("room"))
+
+
+@query("label_encode_room")
+def _label_encode_room(spark, sf_dir):
+    """M2: encode every room of the reading log with the dictionary of the
+    prediction rooms of the training data (rooms outside it are unseen)."""
+    rooms = rollups.rooms_with_data(tables.readings(spark, sf_dir, with_counter=False))
+    dic = features.prediction_rooms(_daily(spark, sf_dir)).select("room")
+    return features.label_encode(rooms, "room", "room_encoded", dic)
+
+
+@query("training_matrix")
+def _training_matrix(spark, sf_dir):
+    """M3 + M4: enhanced features, target and the hash split of every daily row."""
+    return features.training_matrix(_daily(spark, sf_dir))

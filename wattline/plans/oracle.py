@@ -184,3 +184,127 @@ oracle("predict_profile_hourly", with_readings("""
 SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(h AS BIGINT) AS hour,
        cw / 100.0 AS power_w, kwh_e4 / 10000.0 AS kwh
 FROM hp3""", PROFILE_CTES))
+
+
+# --- daily features -----------------------------------------------------------
+
+TRAINING = r"""
+training AS (
+  SELECT CAST(100 * (1 + l_suppkey % 7) + 1 + l_suppkey % 11 AS VARCHAR) AS room,
+         l_shipdate AS ts, l_quantity AS energy_kwh,
+         CASE l_returnflag WHEN 'A' THEN 'lab' WHEN 'N' THEN 'lecture' ELSE 'office' END AS room_type,
+         216 + l_tax * 100 AS voltage, l_discount * 100 AS current
+  FROM lineitem),
+mode_rt AS (
+  SELECT room, date, room_type FROM (
+    SELECT room, CAST(ts AS DATE) AS date, room_type,
+           row_number() OVER (PARTITION BY room, CAST(ts AS DATE) ORDER BY count(*) DESC, room_type) AS rn
+    FROM training GROUP BY room, CAST(ts AS DATE), room_type) WHERE rn = 1),
+daily0 AS (
+  SELECT room, CAST(ts AS DATE) AS date,
+         CAST(sum(CAST(round(energy_kwh * 10000) AS BIGINT)) AS DOUBLE) / 10000.0 AS energy_kwh,
+         """ + sql_avg_rounded("voltage", 2, 4) + r""" AS voltage,
+         """ + sql_avg_rounded("current", 2, 4) + r""" AS current
+  FROM training GROUP BY room, CAST(ts AS DATE)),
+daily AS (
+  SELECT d.room, d.date, d.energy_kwh, d.voltage, d.current, m.room_type,
+         year(d.date) AS year, month(d.date) AS month, day(d.date) AS day,
+         isodow(d.date) - 1 AS day_of_week,
+         CASE WHEN isodow(d.date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+         round(sin(2 * pi() * month(d.date) / 12), 10) AS month_sin,
+         round(cos(2 * pi() * month(d.date) / 12), 10) AS month_cos,
+         CASE WHEN regexp_matches(trim(d.room), '^[0-9]') THEN CAST(substr(trim(d.room), 1, 1) AS INTEGER) ELSE 0 END AS floor
+  FROM daily0 d JOIN mode_rt m ON m.room = d.room AND m.date = d.date),
+allowed AS (
+  SELECT CAST(r AS VARCHAR) AS room FROM generate_series(101, 111) t(r)
+  UNION ALL SELECT CAST(r AS VARCHAR) FROM generate_series(701, 705) t(r)),
+in_ranges AS (
+  SELECT * FROM daily
+  WHERE (floor = 1 AND TRY_CAST(room AS INTEGER) BETWEEN 101 AND 111)
+     OR (floor = 7 AND TRY_CAST(room AS INTEGER) BETWEEN 701 AND 705))"""
+
+
+def with_training(body: str, extra: str = "") -> str:
+    return with_readings(body, TRAINING + ("," + extra if extra else ""))
+
+
+oracle("daily_features", with_training("""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, energy_kwh, voltage, current, room_type,
+       CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, CAST(day AS BIGINT) AS day,
+       CAST(day_of_week AS BIGINT) AS day_of_week, CAST(is_weekend AS BIGINT) AS is_weekend,
+       month_sin, month_cos, CAST(floor AS BIGINT) AS floor
+FROM daily"""))
+
+oracle("dataset_summary", with_training("""
+SELECT count(*) AS n_records, strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max,
+       count(DISTINCT room) AS n_rooms, count(DISTINCT floor) AS n_floors,
+       """ + sql_units_rounded("sum(CAST(round(energy_kwh * 10000) AS BIGINT))", 4, 2) + """ AS total_energy,
+       """ + sql_avg_rounded("energy_kwh", 4, 4) + """ AS mean_energy,
+       round(min(energy_kwh), 4) AS min_energy, round(max(energy_kwh), 4) AS max_energy,
+       (SELECT round(avg(m), 4) FROM (SELECT avg(energy_kwh) AS m FROM daily GROUP BY room)) AS mean_room_daily_energy
+FROM daily"""))
+
+oracle("floor_summary", with_training("""
+SELECT CAST(floor AS BIGINT) AS floor, count(*) AS n_records, count(DISTINCT room) AS n_rooms,
+       """ + sql_avg_rounded("energy_kwh", 4, 4) + """ AS mean_energy
+FROM daily GROUP BY floor"""))
+
+oracle("rooms_by_floor", with_training("""
+SELECT CAST(floor AS BIGINT) AS floor, count(*) AS n_rooms,
+       array_to_string(list_slice(list_sort(list(room)), 1, 5), ', ')
+       || CASE WHEN count(*) > 5 THEN printf(', ... (+%d more)', count(*) - 5) ELSE '' END AS sample
+FROM (SELECT DISTINCT floor, room FROM daily) GROUP BY floor"""))
+
+oracle("weekday_distribution", with_training("""
+SELECT CAST(w.wd AS BIGINT) AS weekday,
+       ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][w.wd + 1] AS day_name,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_records,
+       CAST((2 * coalesce(c.n, 0) * 1000 + t.total) // (2 * t.total) AS DOUBLE) / 10.0 AS pct
+FROM generate_series(0, 6) w(wd)
+LEFT JOIN (SELECT day_of_week, count(*) AS n FROM daily GROUP BY ALL) c ON c.day_of_week = w.wd
+CROSS JOIN (SELECT count(*) AS total FROM daily) t"""))
+
+oracle("weekend_coverage", with_training("""
+SELECT count(*) AS n_records, count(*) FILTER (WHERE day_of_week >= 5) AS n_weekend,
+       CASE WHEN count(*) FILTER (WHERE day_of_week >= 5) = 0 THEN 'none'
+            WHEN count(*) FILTER (WHERE day_of_week >= 5) * 10 < count(*) THEN 'limited' ELSE 'ok' END AS status
+FROM daily"""))
+
+oracle("filter_floors", with_training("""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(floor AS BIGINT) AS floor, energy_kwh
+FROM daily WHERE floor IN (1, 7)"""))
+
+oracle("filter_room_ranges", with_training("""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(floor AS BIGINT) AS floor, energy_kwh FROM in_ranges"""))
+
+oracle("prediction_rooms", with_training("""
+SELECT DISTINCT room, CAST(room AS INTEGER)::BIGINT AS room_no FROM in_ranges"""))
+
+oracle("room_union", with_training("""
+SELECT room, TRY_CAST(room AS INTEGER)::BIGINT AS room_no FROM (
+  SELECT DISTINCT room FROM readings_base WHERE room IS NOT NULL UNION SELECT room FROM allowed)"""))
+
+oracle("room_intersect", with_training("""
+SELECT room, CAST(room AS INTEGER)::BIGINT AS room_no FROM (
+  SELECT DISTINCT room FROM daily WHERE room IN (SELECT room FROM allowed)
+  UNION ALL SELECT room FROM allowed WHERE NOT EXISTS (SELECT 1 FROM daily WHERE room IN (SELECT room FROM allowed)))"""))
+
+oracle("label_encode_room", with_training("""
+SELECT r.room, CAST(coalesce(d.idx, (SELECT count(*) FROM dic)) AS BIGINT) AS room_encoded
+FROM (SELECT DISTINCT room FROM readings_base) r LEFT JOIN (
+  SELECT room, dense_rank() OVER (ORDER BY room) - 1 AS idx FROM dic) d ON d.room = r.room""",
+  "dic AS (SELECT DISTINCT room FROM in_ranges)"))
+
+oracle("training_matrix", with_training("""
+SELECT d.room, strftime(d.date, '%Y-%m-%d') AS date,
+       CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, CAST(day AS BIGINT) AS day,
+       CAST(day_of_week AS BIGINT) AS day_of_week, CAST(is_weekend AS BIGINT) AS is_weekend,
+       month_sin, month_cos,
+       round(sin(2 * pi() * day / 31), 10) AS day_sin, round(cos(2 * pi() * day / 31), 10) AS day_cos,
+       CAST(quarter(d.date) AS BIGINT) AS quarter, CAST(0 AS BIGINT) AS is_holiday, CAST(floor AS BIGINT) AS floor,
+       CAST(CASE WHEN room_type = 'lab' THEN 1 ELSE 0 END AS BIGINT) AS room_type_numeric,
+       CAST(e.idx AS BIGINT) AS room_encoded, energy_kwh,
+       CASE WHEN ('0x' || substr(md5(d.room || '|' || strftime(d.date, '%Y-%m-%d')), 1, 8))::BIGINT % 10 < 2
+            THEN 'test' ELSE 'train' END AS split
+FROM daily d JOIN (SELECT room, dense_rank() OVER (ORDER BY room) - 1 AS idx FROM (SELECT DISTINCT room FROM daily)) e
+  ON e.room = d.room"""))
