@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, profile, rollups
+from ..operators import features, profile, rollups, tariff
 from ..session import prepare
 from ..sources import tables
 from .present import present
@@ -203,3 +203,71 @@ def _label_encode_room(spark, sf_dir):
 def _training_matrix(spark, sf_dir):
     """M3 + M4: enhanced features, target and the hash split of every daily row."""
     return features.training_matrix(_daily(spark, sf_dir))
+
+
+# --- tariff series (orders) ------------------------------------------------------
+
+def _tariff(spark, sf_dir):
+    return tables.tariff_series(spark, sf_dir)
+
+
+def _tariff_dates(rates):
+    """Mid-month dates from 3 months before to 6 months after each series."""
+    b = rates.groupBy("series").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    m = F.explode(F.sequence(F.add_months("lo", -3), F.add_months("hi", 6), F.expr("INTERVAL 1 MONTH")))
+    return b.select("series", m.alias("m")).select("series", F.date_add("m", 14).alias("date"))
+
+
+@query("monthly_tariff")
+def _monthly_tariff(spark, sf_dir):
+    return _tariff(spark, sf_dir)
+
+
+@query("fill_month_grid")
+def _fill_month_grid(spark, sf_dir):
+    return tariff.fill_month_grid(_tariff(spark, sf_dir))
+
+
+@query("recent_trend")
+def _recent_trend(spark, sf_dir):
+    s = tariff.series_summary(_tariff(spark, sf_dir))
+    return s.withColumn("trend", F.round("trend", 8))
+
+
+@query("extrapolate_rate")
+def _extrapolate_rate(spark, sf_dir):
+    """M9 for the 24 months after each series' history."""
+    r = _tariff(spark, sf_dir)
+    summ = tariff.series_summary(r)
+    dates = summ.select("series", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("h"), "last_month").select(
+        "series", F.add_months("last_month", F.col("h")).alias("date")
+    )
+    return tariff.extrapolate_rate(dates, summ).withColumn("rate", F.round("rate", 6))
+
+
+@query("rate_for_date")
+def _rate_for_date(spark, sf_dir):
+    """J2 without a model: history, else last known rate, else 11.0."""
+    r = _tariff(spark, sf_dir)
+    return tariff.rate_for_date(_tariff_dates(r), r)
+
+
+@query("holt_winters_fit")
+def _holt_winters_fit(spark, sf_dir):
+    """M7 for every series (iterative fit: no SQL oracle)."""
+    return tariff.holt_winters_fit(_tariff(spark, sf_dir)).drop("season")
+
+
+@query("forecast_rates")
+def _forecast_rates(spark, sf_dir):
+    """M8: 12 months ahead for every series."""
+    return tariff.forecast_rates(tariff.holt_winters_fit(_tariff(spark, sf_dir)), 12)
+
+
+@query("rate_for_date_forecast")
+def _rate_for_date_forecast(spark, sf_dir):
+    """J2 with the Holt-Winters model for months after the history."""
+    r = _tariff(spark, sf_dir)
+    dates = _tariff_dates(r)
+    fit = tariff.holt_winters_fit(r)
+    return tariff.rate_for_date(dates, r, tariff.forecast_at(fit, dates))

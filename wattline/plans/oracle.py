@@ -308,3 +308,57 @@ SELECT d.room, strftime(d.date, '%Y-%m-%d') AS date,
             THEN 'test' ELSE 'train' END AS split
 FROM daily d JOIN (SELECT room, dense_rank() OVER (ORDER BY room) - 1 AS idx FROM (SELECT DISTINCT room FROM daily)) e
   ON e.room = d.room"""))
+
+
+# --- tariff series -----------------------------------------------------------------
+
+TARIFF = r"""
+tariff AS (
+  SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         """ + sql_avg_rounded("o_totalprice", 2, 0) + r""" / 10000.0 AS rate
+  FROM orders
+  WHERE date_trunc('month', o_orderdate) < (SELECT max(date_trunc('month', o_orderdate)) FROM orders)
+  GROUP BY ALL),
+t_ranked AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month DESC) AS rn FROM tariff WHERE rate IS NOT NULL),
+t_summ AS (
+  SELECT series, count(*) AS n_rows, max(month) AS last_month, arg_max(rate, month) AS last_rate,
+         count(*) FILTER (WHERE rn <= 12) AS n_recent,
+         arg_min(rate, month) FILTER (WHERE rn <= 12) AS first_recent
+  FROM t_ranked GROUP BY series),
+t_summ2 AS (SELECT *, CASE WHEN n_recent >= 2 THEN (last_rate - first_recent) / (n_recent - 1) END AS trend FROM t_summ)"""
+
+
+def with_tariff(body: str, extra: str = "") -> str:
+    return "WITH " + TARIFF + ("," + extra if extra else "") + "\n" + body
+
+
+oracle("monthly_tariff", with_tariff("SELECT series, strftime(month, '%Y-%m-%d') AS month, rate FROM tariff"))
+
+oracle("fill_month_grid", with_tariff("""
+SELECT g.series, strftime(g.month, '%Y-%m-%d') AS month, t.rate
+FROM (SELECT series, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
+      FROM tariff GROUP BY series) g
+LEFT JOIN tariff t ON t.series = g.series AND t.month = g.month"""))
+
+oracle("recent_trend", with_tariff("""
+SELECT series, n_rows, strftime(last_month, '%Y-%m-%d') AS last_month, last_rate, n_recent, first_recent,
+       round(trend, 8) AS trend
+FROM t_summ2"""))
+
+oracle("extrapolate_rate", with_tariff("""
+SELECT series, strftime(date, '%Y-%m-%d') AS date, round(
+  CASE WHEN n_rows < 2 THEN 11.0 WHEN n_recent < 2 THEN last_rate
+       ELSE greatest(least(last_rate + trend * ((year(date) - year(last_month)) * 12 + month(date) - month(last_month))
+                           + sin(2 * pi() * month(date) / 12.0) * 0.3, 15.0), 10.0) END, 6) AS rate
+FROM (SELECT s.*, CAST(s.last_month + h.h * INTERVAL 1 MONTH AS DATE) AS date
+      FROM t_summ2 s, generate_series(1, 24) h(h))"""))
+
+oracle("rate_for_date", with_tariff("""
+SELECT d.series, strftime(d.date, '%Y-%m-%d') AS date, coalesce(t.rate, s.last_rate, 11.0) AS rate
+FROM dates d
+LEFT JOIN tariff t ON t.series = d.series AND t.month = CAST(date_trunc('month', d.date) AS DATE)
+LEFT JOIN t_summ2 s ON s.series = d.series""", """
+dates AS (
+  SELECT series, CAST(m + INTERVAL 14 DAY AS DATE) AS date FROM (
+    SELECT series, unnest(generate_series(min(month) - INTERVAL 3 MONTH, max(month) + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS m
+    FROM tariff GROUP BY series))"""))
