@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, profile, rollups, tariff
+from ..functions import exact, scalars
+from ..operators import features, predict, profile, rollups, rules, tariff
 from ..session import prepare
 from ..sources import tables
 from .present import present
@@ -271,3 +272,104 @@ def _rate_for_date_forecast(spark, sf_dir):
     dates = _tariff_dates(r)
     fit = tariff.holt_winters_fit(r)
     return tariff.rate_for_date(dates, r, tariff.forecast_at(fit, dates))
+
+
+# --- deterministic predictions and rules ------------------------------------------
+
+TARIFF_SERIES = "1-URGENT"   # the orders series used as the tariff of the predictions
+
+
+def _prediction_grid(spark, sf_dir):
+    """Prediction rooms x every day of the training data's date range, with
+    the J2 rate (series 1-URGENT, no model)."""
+    daily = _daily(spark, sf_dir)
+    rooms = features.prediction_rooms(daily).select("room")
+    lo = daily.select(F.min("date")).scalar()
+    hi = daily.select(F.max("date")).scalar()
+    grid = predict.date_grid(rooms, lo, hi).withColumn("series", F.lit(TARIFF_SERIES))
+    rates = _tariff(spark, sf_dir).where(F.col("series") == TARIFF_SERIES)
+    return tariff.rate_for_date(grid, rates).drop("series")
+
+
+def _flat(df):
+    return df.withColumn("recommendations", F.array_join("recommendations", " | ")).drop("hourly_breakdown")
+
+
+@query("predict_range")
+def _predict_range(spark, sf_dir):
+    """P5 = P4 (deterministic path) over the J7 grid."""
+    return _flat(predict.predict_days(_prediction_grid(spark, sf_dir), rules.rules_table(spark)))
+
+
+@query("predict_weekend")
+def _predict_weekend(spark, sf_dir):
+    """P2 for the weekend days of the grid."""
+    return _flat(predict.predict_weekend(_prediction_grid(spark, sf_dir)))
+
+
+@query("predict_fallback_kwh")
+def _predict_fallback_kwh(spark, sf_dir):
+    """P3 for every grid row."""
+    g = _prediction_grid(spark, sf_dir)
+    rt = scalars.room_type_from_prefix(F.col("room"))
+    return g.select("room", "date", rt.alias("room_type"),
+                    (predict.fallback_kwh_e4(rt, F.col("date")) / F.lit(10000.0)).alias("kwh"))
+
+
+@query("predict_last_resort")
+def _predict_last_resort(spark, sf_dir):
+    return _flat(predict.predict_last_resort(_prediction_grid(spark, sf_dir).drop("rate")))
+
+
+@query("client_fallback")
+def _client_fallback(spark, sf_dir):
+    return _flat(predict.client_fallback(_prediction_grid(spark, sf_dir).drop("rate")))
+
+
+@query("hourly_breakdown")
+def _hourly_breakdown(spark, sf_dir):
+    """M6/J8 long form of P5: (room, date, hour, kwh)."""
+    p = predict.predict_days(_prediction_grid(spark, sf_dir), rules.rules_table(spark))
+    return p.select("room", "date", F.posexplode("hourly_breakdown").alias("hour", "kwh")).withColumn(
+        "hour", F.col("hour").cast("long"))
+
+
+@query("recommend_daily")
+def _recommend_daily(spark, sf_dir):
+    """J3 for every daily row: kWh and its cost at 11.0."""
+    d = _daily(spark, sf_dir)
+    k = exact.units(F.col("energy_kwh"), 4)
+    c = ((k * 110000 * 2 + 1_000_000) - (k * 110000 * 2 + 1_000_000) % 2_000_000) / 2_000_000
+    d = d.select("room", "date", "energy_kwh", (c / F.lit(100.0)).alias("cost"))
+    return d.withColumn(
+        "recommendations",
+        F.array_join(rules.recommend(F.col("energy_kwh"), F.col("cost"), rules.rules_table(spark)), " | "),
+    )
+
+
+@query("alert_thresholds")
+def _alert_thresholds(spark, sf_dir):
+    """Strongest consumption and cost alert per daily row (cost at 11.0)."""
+    d = _daily(spark, sf_dir)
+    k = exact.units(F.col("energy_kwh"), 4)
+    c = ((k * 110000 * 2 + 1_000_000) - (k * 110000 * 2 + 1_000_000) % 2_000_000) / 2_000_000
+    d = d.select("room", "date", "energy_kwh", (c / F.lit(100.0)).alias("cost"))
+    a = rules.alert_table(spark)
+    cons = rules.alerts(d, a, "energy_kwh", "consumption").withColumn("kind", F.lit("consumption"))
+    cost = rules.alerts(d, a, "cost", "cost").withColumn("kind", F.lit("cost"))
+    return cons.unionByName(cost)
+
+
+@query("weekly_trend")
+def _weekly_trend(spark, sf_dir):
+    return rules.weekly_trend(_daily(spark, sf_dir))
+
+
+@query("regression_metrics")
+def _regression_metrics(spark, sf_dir):
+    """P3 fallback kWh against the actual daily kWh, per predicted room type."""
+    d = _daily(spark, sf_dir)
+    rt = scalars.room_type_from_prefix(F.col("room"))
+    p = d.select(rt.alias("pred_room_type"), "energy_kwh",
+                 (predict.fallback_kwh_e4(rt, F.col("date")) / F.lit(10000.0)).alias("pred"))
+    return features.regression_metrics(p, "energy_kwh", "pred", ["pred_room_type"])

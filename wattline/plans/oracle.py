@@ -362,3 +362,155 @@ dates AS (
   SELECT series, CAST(m + INTERVAL 14 DAY AS DATE) AS date FROM (
     SELECT series, unnest(generate_series(min(month) - INTERVAL 3 MONTH, max(month) + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS m
     FROM tariff GROUP BY series))"""))
+
+
+# --- deterministic predictions and rules -------------------------------------------
+
+from .. import fixed  # noqa: E402
+from ..operators.predict import PATTERN_E3  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_recommend(k: str, c: str) -> str:
+    """J3 in SQL over kWh in 1e-4 units (k) and cost in centavos (c)."""
+    parts = []
+    for t, v, txt in fixed.RECOMMENDATION_RULES:
+        if t == "energy_kWh":
+            parts.append(f"CASE WHEN {k} >= {int(v * 10000)} THEN {_q(txt)} END")
+    for t, v, txt in fixed.RECOMMENDATION_RULES:
+        if t == "energy_cost_Php":
+            parts.append(f"CASE WHEN {c} >= {int(v * 100)} THEN {_q(txt)} END")
+    parts.append(f"CASE WHEN {k} > 500000 THEN {_q(fixed.ADVICE_HIGH_KWH)} END")
+    parts.append(f"CASE WHEN {c} > 80000 THEN {_q(fixed.ADVICE_HIGH_COST)} END")
+    parts.append(f"CASE WHEN {k} < 10000 AND {k} > 0 THEN {_q(fixed.ADVICE_LOW_KWH)} END")
+    return f"coalesce(nullif(concat_ws(' | ', {', '.join(parts)}), ''), {_q(fixed.ADVICE_DEFAULT)})"
+
+
+_LAB = "[" + ",".join(map(str, PATTERN_E3["lab"])) + "]"
+_OFFICE = "[" + ",".join(map(str, PATTERN_E3["office"])) + "]"
+
+PRED = """
+prooms AS (SELECT DISTINCT room FROM in_ranges),
+grid0 AS (SELECT p.room, CAST(unnest(generate_series((SELECT min(date) FROM daily), (SELECT max(date) FROM daily), INTERVAL 1 DAY)) AS DATE) AS date
+          FROM prooms p),
+urgent AS (SELECT * FROM tariff WHERE series = '1-URGENT'),
+grid AS (SELECT g.room, g.date, coalesce(u.rate, (SELECT arg_max(rate, month) FROM urgent), 11.0) AS rate
+         FROM grid0 g LEFT JOIN urgent u ON u.month = CAST(date_trunc('month', g.date) AS DATE)),
+calc AS (SELECT *, CASE WHEN starts_with(room, '7') THEN 'lab' ELSE 'office' END AS rt, isodow(date) - 1 AS wd,
+                month(date) AS mo, day(date) AS dd, CAST(round(rate * 10000) AS BIGINT) AS r FROM grid),
+calc2 AS (SELECT *,
+  (CASE WHEN rt = 'lab' THEN 25 ELSE 15 END)
+    * (CASE WHEN mo IN (5, 6, 7, 8) THEN 120 WHEN mo IN (11, 12, 1, 2) THEN 80 ELSE 100 END) AS base_season,
+  CASE WHEN dd <= 7 THEN 95 WHEN dd <= 14 THEN 100 WHEN dd <= 21 THEN 105 ELSE 90 END AS w100 FROM calc),
+calc3 AS (SELECT *, CAST(CASE WHEN wd = 6 THEN 0 WHEN wd = 5 THEN CASE WHEN rt = 'lab' THEN 15000 ELSE 10000 END
+                 ELSE greatest(base_season * w100, 5000) END AS BIGINT) AS k FROM calc2),
+pred AS (SELECT *, CASE WHEN wd = 6 THEN 0 ELSE (k * r * 2 + 1000000) // 2000000 END AS c FROM calc3)"""
+
+DAYNAMES = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
+
+
+def with_pred(body: str, extra: str = "") -> str:
+    return with_readings(body, TRAINING + "," + TARIFF + "," + PRED + ("," + extra if extra else ""))
+
+
+PRED_SELECT = f"""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, rate, {DAYNAMES}[wd + 1] AS day_name,
+       CASE WHEN rt = 'lab' THEN 'Laboratory' ELSE 'Office' END AS room_type,
+       CAST(wd >= 5 AS BIGINT) AS is_weekend,
+       CAST((k + 50) // 100 AS DOUBLE) / 100.0 AS total_daily_kwh,
+       CAST((k * 2 + 240) // 480 AS DOUBLE) / 1000.0 AS avg_hourly_kwh,
+       CAST((r + 50) // 100 AS DOUBLE) / 100.0 AS predicted_rate,
+       c / 100.0 AS total_cost_php,
+       CAST((c * 2 + 24) // 48 AS DOUBLE) / 100.0 AS avg_hourly_cost_php,
+       CASE WHEN wd = 6 THEN {_q(fixed.ADVICE_SUNDAY)} WHEN wd = 5 THEN {_q(fixed.ADVICE_SATURDAY)}
+            ELSE {sql_recommend('k', 'c')} END AS recommendations,
+       CAST(dd AS BIGINT) AS day_of_month,
+       CASE WHEN wd < 5 THEN room || '_' || strftime(date, '%Y%m%d') END AS prediction_id
+FROM pred"""
+
+oracle("predict_range", with_pred(PRED_SELECT))
+oracle("predict_weekend", with_pred(PRED_SELECT + " WHERE wd >= 5"))
+
+oracle("predict_fallback_kwh", with_pred("""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, rt AS room_type,
+       CAST(greatest(base_season * w100, 5000) AS DOUBLE) / 10000.0 AS kwh FROM calc2"""))
+
+oracle("predict_last_resort", with_pred(f"""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, {DAYNAMES}[wd + 1] AS day_name,
+       CASE WHEN rt = 'lab' THEN 'Laboratory' ELSE 'Office' END AS room_type, CAST(0 AS BIGINT) AS is_weekend,
+       CAST((kk + 50) // 100 AS DOUBLE) / 100.0 AS total_daily_kwh,
+       CAST((kk * 2 + 240) // 480 AS DOUBLE) / 1000.0 AS avg_hourly_kwh,
+       11.0::DOUBLE AS predicted_rate,
+       ((kk * 110000 * 2 + 1000000) // 2000000) / 100.0 AS total_cost_php,
+       CAST((((kk * 110000 * 2 + 1000000) // 2000000) * 2 + 24) // 48 AS DOUBLE) / 100.0 AS avg_hourly_cost_php,
+       {_q(fixed.ADVICE_FALLBACK_MODE)} AS recommendations,
+       printf('%d-%d-%d', year(date), month(date), day(date)) AS date_text
+FROM (SELECT *, CAST(base_season * 100 AS BIGINT) AS kk FROM calc2) WHERE wd < 5"""))
+
+oracle("client_fallback", with_pred("""
+SELECT room, strftime(date, '%Y-%m-%d') AS date,
+       CASE WHEN rt = 'lab' THEN 'Laboratory' ELSE 'Office' END AS room_type,
+       t2 / 100.0 AS total_kwh, 11.0::DOUBLE AS rate, (t2 * 11) / 100.0 AS total_cost,
+       CAST((t2 * 20 + 24) // 48 AS DOUBLE) / 1000.0 AS avg_hourly_kwh,
+       CAST((t2 * 11 * 2 + 24) // 48 AS DOUBLE) / 100.0 AS avg_hourly_cost,
+       'Using fallback prediction model | Check API connection' AS recommendations,
+       CAST(65 AS BIGINT) AS confidence
+FROM (SELECT *, CAST((CASE WHEN rt = 'lab' THEN 25 ELSE 15 END) * (CASE WHEN wd >= 5 THEN 30 ELSE 100 END) AS BIGINT) AS t2 FROM calc)"""))
+
+oracle("hourly_breakdown", with_pred(f"""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(h AS BIGINT) AS hour,
+       CAST(CASE WHEN wd = 6 THEN 0 WHEN wd = 5 THEN (k * 40 + 5000) // 10000
+            ELSE (k * (CASE WHEN rt = 'office' THEN {_OFFICE} ELSE {_LAB} END)[h + 1] + 5000) // 10000 END AS DOUBLE) / 1000.0 AS kwh
+FROM pred, generate_series(0, 23) hh(h)"""))
+
+_COST = "((CAST(round(energy_kwh * 10000) AS BIGINT) * 110000 * 2 + 1000000) // 2000000)"
+
+oracle("recommend_daily", with_training(f"""
+SELECT room, strftime(date, '%Y-%m-%d') AS date, energy_kwh, {_COST} / 100.0 AS cost,
+       {sql_recommend('CAST(round(energy_kwh * 10000) AS BIGINT)', _COST)} AS recommendations
+FROM daily"""))
+
+
+def _alert_sql(kind: str, value: str) -> str:
+    rules = [(v, msg, pr) for t, _, v, msg, pr, a in fixed.ALERT_RULES if t == kind and a == 1]
+    rules.sort(key=lambda r: -r[0])
+    thr = "CASE " + " ".join(f"WHEN {value} > {v} THEN {v}" for v, _, _ in rules) + " END"
+    pri = "CASE " + " ".join(f"WHEN {value} > {v} THEN {_q(p)}" for v, _, p in rules) + " END"
+    msg = "CASE " + " ".join(f"WHEN {value} > {v} THEN {_q(m)}" for v, m, _ in rules) + " END"
+    filled = (f"replace(replace(replace({msg}, '{{room}}', room), '{{value}}', printf('%.2f', {value})), "
+              f"'{{date}}', strftime(date, '%Y-%m-%d'))")
+    return (f"SELECT room, strftime(date, '%Y-%m-%d') AS date, {value} AS value, CAST({thr} AS DOUBLE) AS threshold, "
+            f"{pri} AS priority, {filled} AS message, '{kind}' AS kind FROM dc WHERE {thr} IS NOT NULL")
+
+
+oracle("alert_thresholds", with_training(
+    _alert_sql("consumption", "energy_kwh") + "\nUNION ALL\n" + _alert_sql("cost", "cost"),
+    f"dc AS (SELECT room, date, energy_kwh, {_COST} / 100.0 AS cost FROM daily)"))
+
+oracle("weekly_trend", with_training(f"""
+SELECT room, strftime(week, '%Y-%m-%d') AS week, round(week_total, 4) AS week_total, change_pct,
+       CASE WHEN change_pct > 0 THEN replace(replace({_q(fixed.TREND_UP_TEXT)}, '{{room}}', room), '{{value}}', CAST(change_pct AS VARCHAR))
+            WHEN change_pct < 0 THEN replace(replace({_q(fixed.TREND_DOWN_TEXT)}, '{{room}}', room), '{{value}}', CAST(abs(change_pct) AS VARCHAR))
+       END AS message
+FROM (SELECT *, CASE WHEN date_diff('day', prev_week, week) = 7 AND pu > 0
+                     THEN sign(cu - pu) * ((abs(cu - pu) * 20000 + pu) // (pu * 2)) / 100.0 END AS change_pct
+      FROM (SELECT *, CAST(round(week_total * 10000) AS BIGINT) AS cu, CAST(round(prev_total * 10000) AS BIGINT) AS pu
+            FROM (SELECT *, lag(week_total) OVER (PARTITION BY room ORDER BY week) AS prev_total,
+                         lag(week) OVER (PARTITION BY room ORDER BY week) AS prev_week
+                  FROM (SELECT room, CAST(date_trunc('week', date) AS DATE) AS week, sum(energy_kwh) AS week_total
+                        FROM daily GROUP BY ALL))))"""))
+
+oracle("regression_metrics", with_training("""
+SELECT pred_room_type, count(*) AS n, round(avg(abs(energy_kwh - pred)), 6) AS mae,
+       round(sqrt(avg((energy_kwh - pred) * (energy_kwh - pred))), 6) AS rmse,
+       round(1 - sum((energy_kwh - pred) * (energy_kwh - pred)) / sum((energy_kwh - ybar) * (energy_kwh - ybar)), 6) AS r2
+FROM (SELECT *, avg(energy_kwh) OVER (PARTITION BY pred_room_type) AS ybar FROM (
+  SELECT CASE WHEN starts_with(room, '7') THEN 'lab' ELSE 'office' END AS pred_room_type, energy_kwh,
+         greatest((CASE WHEN starts_with(room, '7') THEN 25 ELSE 15 END)
+           * (CASE WHEN month(date) IN (5, 6, 7, 8) THEN 120 WHEN month(date) IN (11, 12, 1, 2) THEN 80 ELSE 100 END)
+           * (CASE WHEN day(date) <= 7 THEN 95 WHEN day(date) <= 14 THEN 100 WHEN day(date) <= 21 THEN 105 ELSE 90 END), 5000) / 10000.0 AS pred
+  FROM daily))
+GROUP BY pred_room_type"""))
