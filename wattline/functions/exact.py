@@ -85,3 +85,27 @@ def sql_units_rounded(u: str, in_decimals: int, out_decimals: int) -> str:
 def sql_spread_rounded(expr: str, in_decimals: int, out_decimals: int) -> str:
     u = sql_units(expr, in_decimals)
     return sql_units_rounded(f"(max({u}) - min({u}))", in_decimals, out_decimals)
+
+
+def fixed_text(u: Column, decimals: int) -> Column:
+    """Non-negative integer units as fixed-point text ('%d.%0Nd'), engine-independent."""
+    step = 10 ** decimals
+    return F.format_string(f"%d.%0{decimals}d", _idiv(u, F.lit(step)), u % step)
+
+
+def current_e6(power: Column, voltage: Column) -> Column:
+    """power / voltage in 1e-6 A, half-up, from centiwatts and decivolts."""
+    cw = units(power, 2)
+    dv = units(voltage, 1)
+    return _idiv(cw * 200000 + dv, dv * 2)
+
+
+def sql_fixed_text(u: str, decimals: int) -> str:
+    step = 10 ** decimals
+    return f"printf('%d.%0{decimals}d', ({u}) // {step}, ({u}) % {step})"
+
+
+def sql_current_e6(power: str, voltage: str) -> str:
+    cw = sql_units(power, 2)
+    dv = sql_units(voltage, 1)
+    return f"(({cw}) * 200000 + ({dv})) // (({dv}) * 2)"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exact, scalars
 from ..operators import features, predict, profile, rollups, rules, tariff
 from ..session import prepare
-from ..sources import tables
+from ..sources import ingest, payload, sinks, tables
 from .present import present
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -373,3 +373,85 @@ def _regression_metrics(spark, sf_dir):
     p = d.select(rt.alias("pred_room_type"), "energy_kwh",
                  (predict.fallback_kwh_e4(rt, F.col("date")) / F.lit(10000.0)).alias("pred"))
     return features.regression_metrics(p, "energy_kwh", "pred", ["pred_room_type"])
+
+
+# --- import, payload, export, retention ------------------------------------------
+
+def _existing_log(spark, sf_dir):
+    return tables.readings(spark, sf_dir, with_counter=False).where(F.col("room") == "705")
+
+
+@query("parse_reading_ts")
+def _parse_reading_ts(spark, sf_dir):
+    """F1 on every line of the import file."""
+    raw = ingest.import_text(spark, sf_dir)
+    return raw.select("line_no", "Date", "Time", scalars.parse_reading_ts(F.col("Date"), F.col("Time")).alias("ts"))
+
+
+@query("safe_float")
+def _safe_float(spark, sf_dir):
+    """F2 on the numeric columns of every import line."""
+    raw = ingest.import_text(spark, sf_dir)
+    return raw.select(
+        "line_no",
+        scalars.safe_float(F.col("Voltage(V)")).alias("voltage"),
+        scalars.safe_float(F.col("Current(A)")).alias("current"),
+        scalars.safe_float(F.col("Power(W)")).alias("power"),
+        scalars.safe_float(F.col("Energy(kWh)")).alias("energy_kwh"),
+    )
+
+
+@query("ingest_readings")
+def _ingest_readings(spark, sf_dir):
+    """Rows the import adds to the room-705 log."""
+    return ingest.ingest(ingest.import_text(spark, sf_dir), _existing_log(spark, sf_dir))
+
+
+@query("ingest_counts")
+def _ingest_counts(spark, sf_dir):
+    return ingest.ingest_counts(ingest.import_text(spark, sf_dir), _existing_log(spark, sf_dir))
+
+
+@query("parse_payload")
+def _parse_payload(spark, sf_dir):
+    """F13-F15 + F24 on the payload text of every reading."""
+    txt = payload.payload_text(tables.readings(spark, sf_dir))
+    return payload.parse_payload(txt).drop("text")
+
+
+@query("export_range")
+def _export_range(spark, sf_dir):
+    """The last 7 days of every room."""
+    return sinks.export_range(tables.readings(spark, sf_dir), days=7)
+
+
+@query("retain_since")
+def _retain_since(spark, sf_dir):
+    """Rows within 14 days of the newest reading."""
+    r = tables.readings(spark, sf_dir, with_counter=False)
+    return sinks.retain_since(r, keep_days=14).select("id", "ts", "room", "power")
+
+
+@query("filter_time_range")
+def _filter_time_range(spark, sf_dir):
+    """Every room's readings on the last calendar day of the log (half-open day)."""
+    r = tables.readings(spark, sf_dir, with_counter=False)
+    last_day = r.select(F.to_date(F.max("ts"))).scalar()
+    return sinks.day_range(r, last_day).select("id", "ts", "room", "power")
+
+
+def _device_status(spark, sf_dir):
+    r = tables.readings(spark, sf_dir, with_counter=False)
+    i = F.col("id")
+    return r.select(
+        "room", "id", "ts",
+        F.when(i % 13 == 0, F.lit("Disconnected")).otherwise(F.lit("Connected")).alias("wifi_status"),
+        F.when(i % 17 == 0, F.lit("Disconnected")).otherwise(F.lit("Connected")).alias("cloud_status"),
+        F.when(i % 23 == 0, F.lit("Unknown")).when(i % 19 == 0, F.lit("Failed")).otherwise(F.lit("OK")).alias("sd_card_status"),
+    )
+
+
+@query("downsample_status")
+def _downsample_status(spark, sf_dir):
+    """Every 10th status poll per device (room)."""
+    return sinks.downsample_status(_device_status(spark, sf_dir))

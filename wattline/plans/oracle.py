@@ -514,3 +514,135 @@ FROM (SELECT *, avg(energy_kwh) OVER (PARTITION BY pred_room_type) AS ybar FROM
            * (CASE WHEN day(date) <= 7 THEN 95 WHEN day(date) <= 14 THEN 100 WHEN day(date) <= 21 THEN 105 ELSE 90 END), 5000) / 10000.0 AS pred
   FROM daily))
 GROUP BY pred_room_type"""))
+
+
+# --- import, payload, export, retention -----------------------------------------
+
+IMPORT = r"""
+events_k AS (SELECT *, 220 + (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) - 50) / 10 AS v FROM events),
+imp AS (
+  SELECT CASE WHEN event_id % 100 = 50 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d') END AS "Date",
+         CASE WHEN event_id % 100 = 0 THEN '' WHEN event_id % 2 = 0 THEN strftime(ts, '%I:%M:%S %p')
+              ELSE strftime(ts, '%H:%M:%S') END AS "Time",
+         printf('%.1f', v) AS "Voltage(V)", CURRENT_TEXT_IMPORT AS "Current(A)",
+         CASE WHEN event_id % 7 = 3 THEN 'n/a' ELSE printf('%.2f', value + d) END AS "Power(W)",
+         printf('%.5f', value / 1000) AS "Energy(kWh)", event_id * 2 + d AS line_no
+  FROM events_k, (VALUES (0), (1)) dd(d) WHERE d = 0 OR event_id % 20 = 0),
+imp_ts AS (
+  SELECT *, CASE WHEN year(t0) BETWEEN 2020 AND 2030 THEN t0 END AS ts FROM (
+    SELECT *, CASE WHEN trim("Date") = '' OR trim("Time") = '' THEN NULL ELSE coalesce(
+              try_strptime(trim("Date") || ' ' || trim("Time"), '%Y-%m-%d %I:%M:%S %p'),
+              try_strptime(trim("Date") || ' ' || trim("Time"), '%Y-%m-%d %H:%M:%S')) END AS t0
+    FROM imp)),
+imp_parsed AS (
+  SELECT line_no, ts, '705' AS room,
+         round(SAFE_F("Voltage(V)"), 4) AS voltage, round(SAFE_F("Current(A)"), 6) AS current,
+         round(SAFE_F("Power(W)"), 4) AS power, round(SAFE_F("Energy(kWh)"), 8) AS energy_kwh, 'OFF' AS light_state
+  FROM imp_ts),
+imp_first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts, room ORDER BY line_no) AS rn
+                 FROM imp_parsed WHERE ts IS NOT NULL) WHERE rn = 1),
+imp_new AS (
+  SELECT * FROM imp_first f
+  WHERE NOT EXISTS (SELECT 1 FROM readings_base e WHERE e.room = '705' AND date_trunc('second', e.ts) = f.ts AND e.room = f.room))"""
+
+_FLOAT_RE = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def sql_safe_float(x: str) -> str:
+    return (f"(CASE WHEN {x} IS NULL OR NOT regexp_matches({x}, '{_FLOAT_RE}') THEN 0.0 "
+            f"WHEN isnan(TRY_CAST(trim({x}) AS DOUBLE)) THEN NULL ELSE TRY_CAST(trim({x}) AS DOUBLE) END)")
+
+
+def _expand_safe(sql: str) -> str:
+    import re as _re
+    return _re.sub(r'SAFE_F\(("[^"]+")\)', lambda m: sql_safe_float(m.group(1)), sql)
+
+
+from ..functions.exact import sql_current_e6, sql_fixed_text  # noqa: E402
+
+IMPORT = _expand_safe(IMPORT).replace("CURRENT_TEXT_IMPORT", sql_fixed_text(sql_current_e6("value", "v"), 6))
+
+
+def with_import(body: str) -> str:
+    return with_readings(body, IMPORT)
+
+
+oracle("parse_reading_ts", with_import("""
+SELECT line_no, "Date", "Time", strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM imp_ts"""))
+
+oracle("safe_float", with_import(_expand_safe("""
+SELECT line_no, SAFE_F("Voltage(V)") AS voltage, SAFE_F("Current(A)") AS current,
+       SAFE_F("Power(W)") AS power, SAFE_F("Energy(kWh)") AS energy_kwh FROM imp""")))
+
+oracle("ingest_readings", with_import("""
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, room, voltage, current, power, energy_kwh, light_state FROM imp_new"""))
+
+oracle("ingest_counts", with_import("""
+SELECT count(*) FILTER (WHERE ts IS NOT NULL) AS processed, count(*) FILTER (WHERE ts IS NULL) AS skipped,
+       (SELECT count(*) FROM imp_first) AS unique_in_file, (SELECT count(*) FROM imp_new) AS added
+FROM imp_parsed"""))
+
+_PAYLOAD = r"""
+pl AS (
+  SELECT id, room, concat_ws(chr(10),
+    CASE WHEN id % 11 = 0 THEN printf('voltage: %.1f V', voltage) ELSE printf('Voltage: %.1f V', voltage) END,
+    CASE WHEN id % 30 <> 0 THEN 'Current: ' || CURRENT_TEXT_PAYLOAD || ' A' END,
+    printf('Power: %.2f W', power),
+    CASE WHEN id % 30 <> 0 THEN printf('Energy: %.5f kWh', energy_counter_kwh) END,
+    printf('Uptime: %d seconds', hour(ts) * 3600 + minute(ts) * 60 + second(ts)),
+    'Light: ' || light_state,
+    'WiFi: ' || CASE WHEN id % 13 = 0 THEN 'Disconnected' ELSE 'Connected' END,
+    'Cloud: ' || CASE WHEN id % 17 = 0 THEN 'Disconnected' ELSE 'Connected' END,
+    CASE WHEN id % 23 <> 0 THEN 'SD Card: ' || CASE WHEN id % 19 = 0 THEN 'Failed' ELSE 'OK' END END,
+    'Time: ' || strftime(ts, '%m/%d/%Y %H:%M:%S')) AS text
+  FROM readings),
+pp AS (
+  SELECT id, room,
+    TRY_CAST(nullif(regexp_extract(text, '(?i)Voltage:\s*([0-9.]+)\s*V', 1), '') AS DOUBLE) AS voltage,
+    TRY_CAST(nullif(regexp_extract(text, '(?i)Current:\s*([0-9.]+)\s*A', 1), '') AS DOUBLE) AS current,
+    TRY_CAST(nullif(regexp_extract(text, '(?i)Power:\s*([0-9.]+)\s*W', 1), '') AS DOUBLE) AS power,
+    TRY_CAST(nullif(regexp_extract(text, '(?i)Energy:\s*([0-9.]+)\s*kWh', 1), '') AS DOUBLE) AS energy_kwh,
+    TRY_CAST(nullif(regexp_extract(text, '(?i)Uptime:\s*([0-9]+)\s*seconds', 1), '') AS DOUBLE) AS uptime,
+    CASE WHEN contains(text, 'Light: ON') THEN 'ON' ELSE 'OFF' END AS light_state,
+    CASE WHEN contains(text, 'WiFi: Connected') THEN 'Connected' ELSE 'Disconnected' END AS wifi,
+    CASE WHEN contains(text, 'Cloud: Connected') THEN 'Connected' ELSE 'Disconnected' END AS cloud,
+    CASE WHEN contains(text, 'SD Card: OK') THEN 'OK' WHEN contains(text, 'SD Card: Failed') THEN 'Failed' ELSE 'Unknown' END AS sd_card,
+    try_strptime(regexp_extract(text, 'Time:\s*([0-9]{2}/[0-9]{2}/[0-9]{4}\s+[0-9]{2}:[0-9]{2}:[0-9]{2})', 1), '%m/%d/%Y %H:%M:%S') AS device_ts
+  FROM pl)"""
+
+
+def _cls(c: str) -> str:
+    return (f"CASE WHEN {c} IN ('Connected', 'OK') THEN 'ok' WHEN {c} IN ('Disconnected', 'Failed') THEN 'err' "
+            f"ELSE 'warn' END")
+
+
+_PAYLOAD = _PAYLOAD.replace("CURRENT_TEXT_PAYLOAD", sql_fixed_text(sql_current_e6("power", "voltage"), 6))
+
+oracle("parse_payload", with_readings(f"""
+SELECT id, room, voltage, current, power, energy_kwh, uptime, light_state, wifi, cloud, sd_card,
+       strftime(device_ts, '%Y-%m-%d %H:%M:%S.%f') AS device_ts,
+       {_cls('wifi')} AS wifi_class, {_cls('cloud')} AS cloud_class, {_cls('sd_card')} AS sd_class
+FROM pp""", _PAYLOAD))
+
+oracle("export_range", with_readings(f"""
+SELECT {sql_ts('ts')} AS ts, room, voltage, current, power, energy_counter_kwh AS energy_kwh, light_state
+FROM readings WHERE ts >= (SELECT max(ts) FROM readings) - INTERVAL 7 DAY"""))
+
+oracle("retain_since", with_readings(f"""
+SELECT id, {sql_ts('ts')} AS ts, room, power
+FROM readings_base WHERE ts >= (SELECT max(ts) FROM readings_base) - INTERVAL 14 DAY"""))
+
+oracle("filter_time_range", with_readings(f"""
+SELECT id, {sql_ts('ts')} AS ts, room, power FROM readings_base
+WHERE ts >= CAST(CAST((SELECT max(ts) FROM readings_base) AS DATE) AS TIMESTAMP)
+  AND ts < CAST(CAST((SELECT max(ts) FROM readings_base) AS DATE) + INTERVAL 1 DAY AS TIMESTAMP)"""))
+
+oracle("downsample_status", with_readings(f"""
+SELECT room, id, {sql_ts('ts')} AS ts, wifi_status, cloud_status, sd_card_status, poll_no FROM (
+  SELECT room, id, ts,
+         CASE WHEN id % 13 = 0 THEN 'Disconnected' ELSE 'Connected' END AS wifi_status,
+         CASE WHEN id % 17 = 0 THEN 'Disconnected' ELSE 'Connected' END AS cloud_status,
+         CASE WHEN id % 23 = 0 THEN 'Unknown' WHEN id % 19 = 0 THEN 'Failed' ELSE 'OK' END AS sd_card_status,
+         row_number() OVER (PARTITION BY room ORDER BY ts, id) AS poll_no
+  FROM readings_base) WHERE poll_no % 10 = 0"""))
