@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact, scalars
-from ..operators import features, predict, profile, rollups, rules, tariff
+from ..operators import features, occupancy, predict, profile, rollups, rules, schedule, tariff
 from ..session import prepare
 from ..sources import ingest, payload, sinks, tables
 from .present import present
@@ -455,3 +455,93 @@ def _device_status(spark, sf_dir):
 def _downsample_status(spark, sf_dir):
     """Every 10th status poll per device (room)."""
     return sinks.downsample_status(_device_status(spark, sf_dir))
+
+
+# --- schedule and occupancy ---------------------------------------------------------
+
+def _frames(spark, sf_dir):
+    return occupancy.frame_occupancy(tables.detections(spark, sf_dir))
+
+
+def _persons(spark, sf_dir):
+    return occupancy.detection_filter(tables.detections(spark, sf_dir))
+
+
+@query("detection_filter")
+def _detection_filter(spark, sf_dir):
+    """P0g at the default threshold 0.70."""
+    return _persons(spark, sf_dir).select("det_id", "room", "ts", "confidence")
+
+
+@query("frame_occupancy")
+def _frame_occupancy(spark, sf_dir):
+    return _frames(spark, sf_dir)
+
+
+@query("occupancy_edges")
+def _occupancy_edges(spark, sf_dir):
+    return occupancy.occupancy_edges(_frames(spark, sf_dir))
+
+
+@query("detection_changes")
+def _detection_changes(spark, sf_dir):
+    return occupancy.detection_changes(_frames(spark, sf_dir))
+
+
+@query("occupancy_sessions")
+def _occupancy_sessions(spark, sf_dir):
+    return occupancy.occupancy_sessions(_persons(spark, sf_dir))
+
+
+@query("last_seen_asof")
+def _last_seen_asof(spark, sf_dir):
+    return occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
+
+
+def _decisions(spark, sf_dir):
+    seen = occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
+    ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts")
+    return occupancy.light_decision(ticks)
+
+
+@query("light_decision")
+def _light_decision(spark, sf_dir):
+    """T5 for every frame tick of every room."""
+    return _decisions(spark, sf_dir).select("room", "frame_ts", "tick_ts", "in_class", "mode", "event", "countdown")
+
+
+@query("light_commands")
+def _light_commands(spark, sf_dir):
+    return occupancy.light_commands(_decisions(spark, sf_dir))
+
+
+@query("notification_throttle")
+def _notification_throttle(spark, sf_dir):
+    return occupancy.notification_throttle(_persons(spark, sf_dir))
+
+
+@query("schedule_at")
+def _schedule_at(spark, sf_dir):
+    """J4 for every reading."""
+    r = tables.readings(spark, sf_dir, with_counter=False).select("id", "room", "ts")
+    return schedule.schedule_at(r, schedule.timetable(spark))
+
+
+def _room_days(spark, sf_dir):
+    return rollups.available_dates(tables.readings(spark, sf_dir, with_counter=False))
+
+
+@query("schedule_for_day")
+def _schedule_for_day(spark, sf_dir):
+    """J6 for every (room, date) with readings."""
+    return schedule.schedule_for_day(_room_days(spark, sf_dir), schedule.timetable(spark))
+
+
+@query("schedule_gaps")
+def _schedule_gaps(spark, sf_dir):
+    return schedule.schedule_gaps(schedule.schedule_for_day(_room_days(spark, sf_dir), schedule.timetable(spark)))
+
+
+@query("schedule_conflicts")
+def _schedule_conflicts(spark, sf_dir):
+    return schedule.schedule_conflicts(schedule.schedule_for_day(_room_days(spark, sf_dir), schedule.timetable(spark)))

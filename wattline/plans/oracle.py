@@ -646,3 +646,151 @@ SELECT room, id, {sql_ts('ts')} AS ts, wifi_status, cloud_status, sd_card_status
          CASE WHEN id % 23 = 0 THEN 'Unknown' WHEN id % 19 = 0 THEN 'Failed' ELSE 'OK' END AS sd_card_status,
          row_number() OVER (PARTITION BY room ORDER BY ts, id) AS poll_no
   FROM readings_base) WHERE poll_no % 10 = 0"""))
+
+
+# --- schedule and occupancy ----------------------------------------------------------
+
+_TT_VALUES = ",\n".join(
+    f"({_q(r)}, {_q(d)}, {_q(s)}, {_q(e)}, {_q(n)}, {i})" for i, (r, d, s, e, n) in enumerate(fixed.TIMETABLE)
+)
+
+OCC = r"""
+tt AS (
+  SELECT trim(room) AS room, lower(trim(day)) AS day, trim(start_time) AS start_time, trim(end_time) AS end_time,
+         trim(event_name) AS event_name, rule_order,
+         CAST(split_part(trim(start_time), ':', 1) AS INTEGER) * 60 + CAST(split_part(trim(start_time), ':', 2) AS INTEGER) AS start_min,
+         CAST(split_part(trim(end_time), ':', 1) AS INTEGER) * 60 + CAST(split_part(trim(end_time), ':', 2) AS INTEGER) AS end_min
+  FROM (VALUES TT_VALUES) v(room, day, start_time, end_time, event_name, rule_order)),
+det AS (
+  SELECT event_id AS det_id, CAST(100 * (1 + user_id % 7) + 1 + user_id % 11 AS VARCHAR) AS room, ts,
+         date_trunc('minute', ts) AS frame_ts,
+         CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS class_id,
+         (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) % 100) / 100 AS confidence
+  FROM events),
+pdet AS (SELECT * FROM det WHERE class_id = 0 AND confidence >= 0.7::DOUBLE),
+frames0 AS (
+  SELECT room, frame_ts, max(ts) AS tick_ts,
+         count(*) FILTER (WHERE class_id = 0 AND confidence >= 0.7::DOUBLE) AS persons,
+         sum(CAST(round(confidence * 100) AS BIGINT)) FILTER (WHERE class_id = 0 AND confidence >= 0.7::DOUBLE) AS cu
+  FROM det GROUP BY room, frame_ts),
+frames AS (
+  SELECT room, frame_ts, tick_ts, persons,
+         CAST(CASE WHEN persons > 0 THEN cu // persons ELSE 0 END AS BIGINT) AS avg_confidence,
+         CASE WHEN persons > 0 THEN 'OCCUPIED' ELSE 'VACANT' END AS status
+  FROM frames0),
+seen AS (
+  SELECT f.*, CASE WHEN persons > 0 THEN tick_ts
+                   ELSE (SELECT max(p.ts) FROM pdet p WHERE p.room = f.room AND p.ts <= f.tick_ts) END AS last_seen
+  FROM frames f),
+dec0 AS (
+  SELECT s.*, (SELECT t.event_name FROM tt t WHERE t.room = trim(s.room) AND t.day = lower(strftime(s.tick_ts, '%A'))
+                AND t.start_time <= strftime(s.tick_ts, '%H:%M') AND strftime(s.tick_ts, '%H:%M') < t.end_time
+                AND t.start_time <> '' AND t.end_time <> '' ORDER BY t.rule_order LIMIT 1) AS class_event,
+         epoch_us(tick_ts) - epoch_us(last_seen) AS gap_us
+  FROM seen s),
+dec AS (
+  SELECT *, CASE WHEN class_event IS NOT NULL THEN 'SCHEDULE'
+                 WHEN persons > 0 OR (last_seen IS NOT NULL AND gap_us < 300000000) THEN 'PERSON' ELSE 'OFF' END AS mode,
+         CAST(CASE WHEN persons = 0 AND last_seen IS NOT NULL AND 300000000 - gap_us > 0
+                   THEN (300000000 - gap_us) // 1000000 ELSE 0 END AS BIGINT) AS cd
+  FROM dec0)""".replace("TT_VALUES", _TT_VALUES)
+
+
+def with_occ(body: str, extra: str = "") -> str:
+    return with_readings(body, OCC + ("," + extra if extra else ""))
+
+
+oracle("detection_filter", with_occ(f"SELECT det_id, room, {sql_ts('ts')} AS ts, confidence FROM pdet"))
+
+oracle("frame_occupancy", with_occ(f"""
+SELECT room, {sql_ts('frame_ts')} AS frame_ts, {sql_ts('tick_ts')} AS tick_ts, persons, avg_confidence, status FROM frames"""))
+
+oracle("occupancy_edges", with_occ(f"""
+SELECT room, {sql_ts('frame_ts')} AS frame_ts, persons,
+       CASE WHEN persons > 0 AND NOT prev THEN 'appeared' ELSE 'left' END AS edge
+FROM (SELECT *, coalesce(lag(persons > 0) OVER (PARTITION BY room ORDER BY frame_ts), false) AS prev FROM frames)
+WHERE (persons > 0) <> prev"""))
+
+oracle("detection_changes", with_occ(f"""
+SELECT room, {sql_ts('frame_ts')} AS frame_ts, persons, avg_confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY room ORDER BY frame_ts DESC) AS rn FROM (
+    SELECT *, coalesce(lag(persons) OVER (PARTITION BY room ORDER BY frame_ts), 0) AS prev FROM frames)
+  WHERE persons > 0 AND persons <> prev) WHERE rn <= 15"""))
+
+oracle("occupancy_sessions", with_occ(f"""
+SELECT room, CAST(session_no AS BIGINT) AS session_no, {sql_ts('min(ts)')} AS session_start,
+       {sql_ts('max(ts)')} AS session_end, count(*) AS n_detections
+FROM (SELECT *, sum(new) OVER (PARTITION BY room ORDER BY ts, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no
+      FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 300000000
+                           THEN 1 ELSE 0 END AS new
+            FROM pdet WINDOW w AS (PARTITION BY room ORDER BY ts, det_id)))
+GROUP BY room, session_no"""))
+
+oracle("last_seen_asof", with_occ(f"""
+SELECT room, {sql_ts('frame_ts')} AS frame_ts, {sql_ts('tick_ts')} AS tick_ts, persons, avg_confidence, status,
+       {sql_ts('last_seen')} AS last_seen FROM seen"""))
+
+oracle("light_decision", with_occ(f"""
+SELECT room, {sql_ts('frame_ts')} AS frame_ts, {sql_ts('tick_ts')} AS tick_ts,
+       CAST(class_event IS NOT NULL AS BIGINT) AS in_class, mode,
+       CASE WHEN class_event IS NOT NULL THEN 'Class: ' || class_event
+            WHEN persons > 0 THEN 'Person detected'
+            WHEN mode = 'PERSON' THEN printf('Person left — OFF in %ds', cd)
+            ELSE 'No class, no person' END AS event,
+       CAST(CASE WHEN mode = 'PERSON' THEN cd ELSE 0 END AS BIGINT) AS countdown
+FROM dec"""))
+
+oracle("light_commands", with_occ(f"""
+SELECT room, {sql_ts('tick_ts')} AS tick_ts, CASE WHEN mode <> 'OFF' THEN 'ON' ELSE 'OFF' END AS command, mode
+FROM (SELECT *, coalesce(lag(mode <> 'OFF') OVER (PARTITION BY room ORDER BY tick_ts), false) AS prev_on FROM dec)
+WHERE (mode <> 'OFF') <> prev_on"""))
+
+oracle("notification_throttle", "WITH RECURSIVE " + (with_occ(f"""
+SELECT room, {sql_ts('make_timestamp(us)')} AS notified_at FROM r WHERE emitted""", """
+pn AS (SELECT room, epoch_us(ts) AS us, row_number() OVER (PARTITION BY room ORDER BY ts, det_id) AS rn FROM pdet),
+r(room, rn, us, last_emit, emitted) AS (
+  SELECT room, rn, us, us, true FROM pn WHERE rn = 1
+  UNION ALL
+  SELECT pn.room, pn.rn, pn.us,
+         CASE WHEN pn.us - r.last_emit > 2000000 THEN pn.us ELSE r.last_emit END,
+         pn.us - r.last_emit > 2000000
+  FROM r JOIN pn ON pn.room = r.room AND pn.rn = r.rn + 1)""")[len("WITH "):]))
+
+oracle("schedule_at", with_occ(f"""
+SELECT id, room, {sql_ts('ts')} AS ts, CAST(ev IS NOT NULL AS BIGINT) AS in_class, ev AS class_event FROM (
+  SELECT r.id, r.room, r.ts,
+         (SELECT t.event_name FROM tt t WHERE t.room = trim(r.room) AND t.day = lower(strftime(r.ts, '%A'))
+            AND t.start_time <= strftime(r.ts, '%H:%M') AND strftime(r.ts, '%H:%M') < t.end_time
+          ORDER BY t.rule_order LIMIT 1) AS ev
+  FROM readings_base r)"""))
+
+_DAYSCHED = """
+rd AS (SELECT DISTINCT room, CAST(ts AS DATE) AS date FROM readings_base),
+ds AS (SELECT rd.room, rd.date, t.start_time, t.end_time, t.event_name, t.start_min, t.end_min, t.rule_order
+       FROM rd JOIN tt t ON t.room = trim(rd.room) AND t.day = lower(strftime(rd.date, '%A')))"""
+
+oracle("schedule_for_day", with_occ(f"""
+SELECT room, {sql_date('date')} AS date, start_time, end_time, event_name, CAST(start_min AS BIGINT) AS start_min,
+       CAST(rule_order AS BIGINT) AS rule_order FROM ds""", _DAYSCHED))
+
+oracle("schedule_gaps", with_occ(f"""
+SELECT room, {sql_date('date')} AS date, printf('%02d:%02d', prev_end // 60, prev_end % 60) AS gap_start,
+       start_time AS gap_end, CAST(start_min - prev_end AS BIGINT) AS gap_minutes, event_name AS next_event
+FROM (SELECT *, lag(end_min) OVER (PARTITION BY room, date ORDER BY start_min, rule_order) AS prev_end FROM ds)
+WHERE prev_end IS NOT NULL AND start_min - prev_end > 0 AND start_min - prev_end >= 10""", _DAYSCHED))
+
+oracle("schedule_conflicts", with_occ(f"""
+SELECT room, {sql_date('date')} AS date, event_name, start_time, end_time, holder_name AS overlaps_event,
+       replace(replace(replace({_q(fixed.CONFLICT_TEXT)}, '{{room}}', room), '{{date}}', strftime(date, '%Y-%m-%d')),
+               '{{time}}', start_time || '-' || holder_end) AS message
+FROM (SELECT a.*,
+             (SELECT b.event_name FROM ds b WHERE b.room = a.room AND b.date = a.date
+                AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))
+              ORDER BY b.end_min DESC, b.rule_order LIMIT 1) AS holder_name,
+             (SELECT b.end_time FROM ds b WHERE b.room = a.room AND b.date = a.date
+                AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))
+              ORDER BY b.end_min DESC, b.rule_order LIMIT 1) AS holder_end,
+             (SELECT max(b.end_min) FROM ds b WHERE b.room = a.room AND b.date = a.date
+                AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))) AS prev_max
+      FROM ds a)
+WHERE start_min < prev_max""", _DAYSCHED))
