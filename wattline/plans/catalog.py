@@ -17,6 +17,7 @@ from ..functions import exact, scalars
 from ..operators import features, occupancy, predict, profile, rollups, rules, schedule, tariff
 from ..session import prepare
 from ..sources import ingest, payload, sinks, tables
+from ..streaming import streams
 from .present import present
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -545,3 +546,92 @@ def _schedule_gaps(spark, sf_dir):
 @query("schedule_conflicts")
 def _schedule_conflicts(spark, sf_dir):
     return schedule.schedule_conflicts(schedule.schedule_for_day(_room_days(spark, sf_dir), schedule.timetable(spark)))
+
+
+# --- streaming (availableNow over the events file) --------------------------------
+
+def _readings_stream(spark, sf_dir):
+    return tables.readings_from_events(tables.events_stream(spark, sf_dir), with_counter=False)
+
+
+def _persons_stream(spark, sf_dir):
+    return occupancy.detection_filter(tables.detections_from_events(tables.events_stream(spark, sf_dir)))
+
+
+@query("stream_hourly")
+def _stream_hourly(spark, sf_dir):
+    """T2 hourly tumbling windows over the events stream."""
+    s = streams.stream_window_rollup(_readings_stream(spark, sf_dir), "1 hour")
+    return streams.run_until_caught_up(s, "hourly", keys=["room", "window_start"])
+
+
+@query("stream_15min")
+def _stream_15min(spark, sf_dir):
+    s = streams.stream_window_rollup(_readings_stream(spark, sf_dir), "15 minutes")
+    return streams.run_until_caught_up(s, "q15", keys=["room", "window_start"])
+
+
+@query("stream_latest")
+def _stream_latest(spark, sf_dir):
+    s = streams.stream_latest(_readings_stream(spark, sf_dir))
+    return streams.run_until_caught_up(s, "latest", keys=["room"])
+
+
+@query("stream_sessions")
+def _stream_sessions(spark, sf_dir):
+    s = streams.stream_sessions_stateful(_persons_stream(spark, sf_dir))
+    return streams.run_until_caught_up(s, "sessions", keys=["room", "session_start"])
+
+
+@query("stream_throttle")
+def _stream_throttle(spark, sf_dir):
+    return streams.run_until_caught_up(streams.stream_throttle(_persons_stream(spark, sf_dir)), "throttle")
+
+
+@query("stream_status_downsample")
+def _stream_status_downsample(spark, sf_dir):
+    r = _readings_stream(spark, sf_dir)
+    i = F.col("id")
+    status = r.select(
+        "room", "id", "ts",
+        F.when(i % 13 == 0, F.lit("Disconnected")).otherwise(F.lit("Connected")).alias("wifi_status"),
+        F.when(i % 17 == 0, F.lit("Disconnected")).otherwise(F.lit("Connected")).alias("cloud_status"),
+        F.when(i % 23 == 0, F.lit("Unknown")).when(i % 19 == 0, F.lit("Failed")).otherwise(F.lit("OK")).alias("sd_card_status"),
+    )
+    return streams.run_until_caught_up(streams.stream_status_downsample(status), "status")
+
+
+def _landed(df, name):
+    """Write a derived feed to the shared checkpoint folder (the stream's landing zone)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/landing/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+@query("stream_light_decision")
+def _stream_light_decision(spark, sf_dir):
+    """T5 + W5 as a per-room state machine over the landed frame ticks."""
+    seen = occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
+    ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts").select(
+        "room", "frame_ts", "tick_ts", "persons", "in_class", "class_event")
+    path = _landed(ticks, "ticks")
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return streams.run_until_caught_up(streams.stream_light_decision(feed), "light")
+
+
+@query("stream_readings")
+def _stream_readings(spark, sf_dir):
+    """T1 over payloads landed as JSON lines (one per reading)."""
+    r = tables.readings(spark, sf_dir)
+    txt = payload.payload_text(r).join(r.select("id", F.col("ts").alias("received_at")), "id").drop("id")
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/landing/payload-{uuid.uuid4().hex}"
+    txt.write.mode("overwrite").json(path)
+    return streams.run_until_caught_up(streams.stream_readings(streams.payload_stream(spark, path)), "payload")

@@ -794,3 +794,43 @@ FROM (SELECT a.*,
                 AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))) AS prev_max
       FROM ds a)
 WHERE start_min < prev_max""", _DAYSCHED))
+
+
+# --- streaming twins (same results as the batch forms) ------------------------------
+
+oracle("stream_hourly", with_readings(f"""
+SELECT room, {sql_ts("date_trunc('hour', ts)")} AS window_start, {sql_avg_rounded('power', 2, 2)} AS avg_power,
+       count(power) AS n_readings
+FROM readings_base GROUP BY room, date_trunc('hour', ts)"""))
+
+oracle("stream_15min", with_readings(f"""
+SELECT room, {sql_ts("date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE")} AS window_start,
+       {sql_avg_rounded('power', 2, 2)} AS avg_power, count(power) AS n_readings
+FROM readings_base GROUP BY room, date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE"""))
+
+oracle("stream_latest", with_readings(f"""
+SELECT room, {sql_ts('ts')} AS ts, power, voltage, light_state FROM (
+  SELECT *, row_number() OVER (PARTITION BY room ORDER BY ts DESC, id DESC) AS rn FROM readings_base) WHERE rn = 1"""))
+
+oracle("stream_sessions", with_occ(f"""
+SELECT room, {sql_ts('min(ts)')} AS session_start, {sql_ts('max(ts)')} AS session_end, count(*) AS n_detections
+FROM (SELECT *, sum(new) OVER (PARTITION BY room ORDER BY ts, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no
+      FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 300000000
+                           THEN 1 ELSE 0 END AS new
+            FROM pdet WINDOW w AS (PARTITION BY room ORDER BY ts, det_id)))
+GROUP BY room, session_no"""))
+
+ORACLE["stream_throttle"] = ORACLE["notification_throttle"]
+ORACLE["stream_status_downsample"] = ORACLE["downsample_status"]
+
+oracle("stream_light_decision", with_occ(f"""
+SELECT room, {sql_ts('frame_ts')} AS frame_ts, {sql_ts('tick_ts')} AS tick_ts,
+       CAST(class_event IS NOT NULL AS BIGINT) AS in_class, mode,
+       CASE WHEN class_event IS NOT NULL THEN 'Class: ' || class_event
+            WHEN persons > 0 THEN 'Person detected'
+            WHEN mode = 'PERSON' THEN printf('Person left — OFF in %ds', cd)
+            ELSE 'No class, no person' END AS event,
+       CAST(CASE WHEN mode = 'PERSON' THEN cd ELSE 0 END AS BIGINT) AS countdown,
+       CASE WHEN (mode <> 'OFF') <> coalesce(lag(mode <> 'OFF') OVER (PARTITION BY room ORDER BY tick_ts), false)
+            THEN CASE WHEN mode <> 'OFF' THEN 'ON' ELSE 'OFF' END END AS command
+FROM dec"""))

@@ -73,11 +73,14 @@ def readings(spark: SparkSession, sf_dir: str, with_counter: bool = True) -> Dat
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections_from_events(table(spark, sf_dir, "events"))
+
+
+def detections_from_events(ev: DataFrame) -> DataFrame:
     """Detector output stand-in: one box per event; ``view`` events are persons (class 0).
 
     frame = (room, minute of the event); confidence = (k % 100) / 100.
     """
-    ev = table(spark, sf_dir, "events")
     k = props_k(F.col("props"))
     return ev.select(
         F.col("event_id").alias("det_id"),
@@ -126,6 +129,14 @@ def tariff_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a file stream (Structured Streaming source)."""
+    schema = table(spark, sf_dir, "events").schema
+    return (spark.readStream.format("parquet").schema(schema)
+            .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
+            .load(sf_dir.rstrip("/")))
+
+
 def as_of(df: DataFrame, col: str = "ts") -> Column:
     """The explicit "now" of a table: its max timestamp, as a scalar subquery."""
     return df.select(F.max(col)).scalar()
