@@ -64,8 +64,9 @@ def _cost_c(kwh_e4: Column, rate_e4: Column) -> Column:
     return _idiv(kwh_e4 * rate_e4 * 2 + 1_000_000, 2_000_000)
 
 
-def predict_days(grid: DataFrame, rules: DataFrame) -> DataFrame:
-    """P4 on its deterministic path (no model): P2 for weekends, P3 for weekdays.
+def predict_days(grid: DataFrame, rules, weekday_kwh_e4: Column | None = None) -> DataFrame:
+    """P2 for weekends; weekdays from ``weekday_kwh_e4`` (a model's kWh in
+    1e-4 units) or, without a model, the P3 formula.
 
     ``grid(room, date, rate)`` — ``rate`` from J2 (``tariff.rate_for_date``).
     Output: one result record per row, hourly values as an array.
@@ -77,7 +78,7 @@ def predict_days(grid: DataFrame, rules: DataFrame) -> DataFrame:
     kwh_e4 = (
         F.when(wd == 6, F.lit(0).cast("long"))
         .when(wd == 5, F.when(lab, 15000).otherwise(10000).cast("long"))
-        .otherwise(fallback_kwh_e4(rt, d))
+        .otherwise(weekday_kwh_e4 if weekday_kwh_e4 is not None else fallback_kwh_e4(rt, d))
     )
     rate_e4 = exact.units(F.col("rate"), 4)
     g = grid.select("*", rt.alias("_rt"), wd.alias("_wd"), kwh_e4.alias("_k"), rate_e4.alias("_r"))

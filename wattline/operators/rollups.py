@@ -129,3 +129,18 @@ def peak_hour(profile: DataFrame, keys: list[str], hour: str = "hour", value: st
         F.min_by(F.col(hour), F.struct((-F.col(value)).alias("neg"), F.col(hour))).alias("peak_hour"),
         F.max(value).alias("peak_value"),
     )
+
+
+def rolling_last_n(readings: DataFrame, n: int = 60, block_rows: int = 100_000) -> DataFrame:
+    """Mean power / voltage over each room's last ``n`` readings (the live
+    buffer), exact in integer units; ``n_window`` = readings in the buffer."""
+    from . import scans
+
+    vals = {"_sp": exact.units(F.col("power"), 2), "_sv": exact.units(F.col("voltage"), 1)}
+    r = scans.rolling_rows(readings, ["room"], ["ts", "id"], vals, n, F.date_trunc("hour", "ts"), block_rows)
+    return r.select(
+        "id", "room", "ts",
+        F.col("_rr_n").alias("n_window"),
+        exact.ratio_rounded(F.col("_sp"), F.col("_rr_n"), 2, 2).alias("avg_power"),
+        exact.ratio_rounded(F.col("_sv"), F.col("_rr_n"), 1, 2).alias("avg_voltage"),
+    )

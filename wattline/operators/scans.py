@@ -124,3 +124,31 @@ def row_index(
 ) -> DataFrame:
     """1-based position of the row within its key (``row_number``), segmented."""
     return running_sum(df, keys, order, F.lit(1).cast("long"), out, block)
+
+
+def rolling_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    values: dict[str, Column],
+    n: int,
+    block: Column,
+    block_rows: int = 100_000,
+) -> DataFrame:
+    """Sums of ``values`` over the last ``n`` rows of the key (``rowsBetween(-(n-1), 0)``)
+    plus ``_rr_n`` (rows in the frame), without one task per key.
+
+    Rows are numbered per key (segmented ``row_index``) and cut into blocks of
+    ``block_rows``; the last ``n - 1`` rows of each block are copied into the
+    next block as context, so a window per (key, block) sees every frame whole.
+    """
+    d = row_index(df, keys, order, "_rr_idx", block)
+    d = d.withColumn("_rr_blk", ((F.col("_rr_idx") - 1 - (F.col("_rr_idx") - 1) % block_rows) / block_rows).cast("long"))
+    tail = (F.col("_rr_idx") - 1) % block_rows >= block_rows - (n - 1)
+    ctx = d.where(tail).withColumn("_rr_blk", F.col("_rr_blk") + 1).withColumn("_rr_ctx", F.lit(True))
+    u = d.withColumn("_rr_ctx", F.lit(False)).unionByName(ctx)
+    w = Window.partitionBy(*keys, "_rr_blk").orderBy("_rr_idx").rowsBetween(-(n - 1), 0)
+    u = u.withColumns({name: F.sum(col).over(w) for name, col in values.items()}).withColumn(
+        "_rr_n", F.count(F.lit(1)).over(w)
+    )
+    return u.where(~F.col("_rr_ctx")).drop("_rr_blk", "_rr_ctx", "_rr_idx")

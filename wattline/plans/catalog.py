@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact, scalars
-from ..operators import features, occupancy, predict, profile, rollups, rules, schedule, tariff
+from ..operators import features, models, occupancy, predict, profile, rollups, rules, schedule, tariff
 from ..session import prepare
 from ..sources import ingest, payload, sinks, tables
 from ..streaming import streams
@@ -635,3 +635,70 @@ def _stream_readings(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/landing/payload-{uuid.uuid4().hex}"
     txt.write.mode("overwrite").json(path)
     return streams.run_until_caught_up(streams.stream_readings(streams.payload_stream(spark, path)), "payload")
+
+
+@query("rolling_last_60")
+def _rolling_last_60(spark, sf_dir):
+    """W2 for every reading of every room."""
+    return rollups.rolling_last_n(tables.readings(spark, sf_dir, with_counter=False), 60)
+
+
+# --- models ----------------------------------------------------------------------------
+
+_MODELS: dict = {}
+
+
+def _kwh_model(spark, sf_dir):
+    """One basic kWh model per (session, data folder), shared by the model queries."""
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = models.train_kwh(_daily(spark, sf_dir))
+    return _MODELS[key]
+
+
+@query("onehot_room_type")
+def _onehot_room_type(spark, sf_dir):
+    """M1: encoder fitted on the training rows, applied to every daily row."""
+    d = _daily(spark, sf_dir)
+    key = F.concat_ws("|", F.col("room"), F.date_format("date", "yyyy-MM-dd"))
+    fit_on = d.where(features.hash_split(key) == "train")
+    out = models.onehot_room_type(fit_on, d.select("room", "date", "room_type"))
+    return out.select("room", "date", "room_type", F.col("room_type_idx").cast("long").alias("room_type_idx"),
+                      F.array_join(F.transform("room_type_onehot", lambda x: x.cast("int").cast("string")), ",")
+                      .alias("room_type_onehot"))
+
+
+@query("kwh_model_metrics")
+def _kwh_model_metrics(spark, sf_dir):
+    """M5 (basic features, 200 trees, depth 6, step .1): held-out MAE/RMSE/R²."""
+    return _kwh_model(spark, sf_dir)[1]
+
+
+@query("top_features")
+def _top_features(spark, sf_dir):
+    """K2: the 10 most important features of the kWh model."""
+    return models.top_features(_kwh_model(spark, sf_dir)[2], 10)
+
+
+@query("predict_range_model")
+def _predict_range_model(spark, sf_dir):
+    """P4 with the trained model for weekdays (P2 for weekends) over the J7 grid."""
+    model = _kwh_model(spark, sf_dir)[0]
+    g = models.grid_features(_prediction_grid(spark, sf_dir))
+    scored = model.transform(g)
+    p = predict.predict_days(scored.select("room", "date", "rate", "prediction"), rules.rules_table(spark),
+                             models.model_kwh_e4(F.col("prediction")))
+    return _flat(p).drop("prediction")
+
+
+@query("model_registry")
+def _model_registry(spark, sf_dir):
+    """Persist the kWh and rate models with a registry table (shared folder)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    model, _, _, names = _kwh_model(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    reg = models.save_models(spark, base, {"kwh_model": model}, {"kwh_model": names})
+    return reg.select("model", "version", "description", "features")

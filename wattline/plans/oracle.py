@@ -7,6 +7,7 @@ subqueries — over the driver's views; the Spark plans are the scalable form.
 from __future__ import annotations
 
 from ..functions.exact import (
+    sql_ratio_rounded,
     sql_avg_rounded,
     sql_spread_rounded,
     sql_units,
@@ -834,3 +835,27 @@ SELECT room, {sql_ts('frame_ts')} AS frame_ts, {sql_ts('tick_ts')} AS tick_ts,
        CASE WHEN (mode <> 'OFF') <> coalesce(lag(mode <> 'OFF') OVER (PARTITION BY room ORDER BY tick_ts), false)
             THEN CASE WHEN mode <> 'OFF' THEN 'ON' ELSE 'OFF' END END AS command
 FROM dec"""))
+
+
+oracle("rolling_last_60", with_readings(f"""
+SELECT id, room, {sql_ts('ts')} AS ts, n_window,
+       {sql_ratio_rounded('sp', 'n_window', 2, 2)} AS avg_power,
+       {sql_ratio_rounded('sv', 'n_window', 1, 2)} AS avg_voltage
+FROM (SELECT id, room, ts,
+             count(*) OVER w AS n_window,
+             sum(CAST(round(power * 100) AS BIGINT)) OVER w AS sp,
+             sum(CAST(round(voltage * 10) AS BIGINT)) OVER w AS sv
+      FROM readings_base WINDOW w AS (PARTITION BY room ORDER BY ts, id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""))
+
+
+# --- models ------------------------------------------------------------------------------
+
+oracle("onehot_room_type", with_training("""
+SELECT d.room, strftime(d.date, '%Y-%m-%d') AS date, d.room_type,
+       CAST(coalesce(l.idx, (SELECT count(*) FROM lbl)) AS BIGINT) AS room_type_idx,
+       array_to_string(list_transform(range((SELECT count(*) FROM lbl)),
+                       lambda i: CASE WHEN i = coalesce(l.idx, -1) THEN '1' ELSE '0' END), ',') AS room_type_onehot
+FROM daily d LEFT JOIN lbl l ON l.room_type = d.room_type""", """
+lbl AS (SELECT room_type, row_number() OVER (ORDER BY room_type) - 1 AS idx FROM (
+  SELECT DISTINCT room_type FROM daily
+  WHERE ('0x' || substr(md5(room || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::BIGINT % 10 >= 2))"""))
