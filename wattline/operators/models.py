@@ -37,7 +37,7 @@ def room_type_encoder() -> list:
     (index k kept for unknowns, then dropped as the last slot)."""
     return [
         StringIndexer(inputCol="room_type", outputCol="room_type_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=["room_type_idx"], outputCols=["room_type_vec"], dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=["room_type_idx"], outputCols=["room_type_vec"], dropLast=True),
     ]
 
 
