@@ -112,6 +112,7 @@ def schedule_gaps(day_schedule: DataFrame, min_gap: int = 10) -> DataFrame:
     The window is per (room, date) over that day's bookings (a handful)."""
     w = Window.partitionBy("room", "date").orderBy("start_min", "rule_order")
     d = day_schedule.withColumn("_end_min", minutes_of_day(F.col("end_time")))
+    d = d.where(F.col("start_min").isNotNull() & F.col("_end_min").isNotNull())
     d = d.withColumn("prev_end", F.lag("_end_min").over(w))
     gap = F.col("start_min") - F.col("prev_end")
     return d.where(F.col("prev_end").isNotNull() & (gap > 0) & (gap >= min_gap)).select(
@@ -128,6 +129,7 @@ def schedule_conflicts(day_schedule: DataFrame) -> DataFrame:
     room and day has ended.  A running maximum of end times (no pairs): each
     conflicting booking is reported once, with the booking that holds the room."""
     d = day_schedule.withColumn("_end_min", minutes_of_day(F.col("end_time")))
+    d = d.where(F.col("start_min").isNotNull() & F.col("_end_min").isNotNull())   # empty bounds never book
     key = F.struct(F.col("_end_min"), (-F.col("rule_order")).alias("o"))
     w = Window.partitionBy("room", "date").orderBy("start_min", "rule_order").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_holder", F.max(F.struct(key.alias("k"), F.col("event_name").alias("n"), F.col("end_time").alias("e"))).over(w))
