@@ -91,21 +91,38 @@ def invalid_counts(cleaned_input: DataFrame) -> DataFrame:
 
 
 def mode_lowest(col: str, empty: str = "unknown") -> Column:
-    """A2: most common value, lowest on ties; 'unknown' if the group has none."""
+    """A2 as one aggregate: most common value, lowest on ties, 'unknown' if none.
+
+    Convenient for small groups; ``daily_totals`` uses the two-level form."""
     return F.coalesce(F.mode(col, True), F.lit(empty))
 
 
 def daily_totals(readings: DataFrame) -> DataFrame:
-    """A1: one row per (room, date): energy sum, mean voltage/current, mode room type."""
-    energy_units = F.sum(exact.units(F.col("energy_kwh"), ENERGY_DECIMALS))
-    aggs = [exact.units_rounded(energy_units, ENERGY_DECIMALS, ENERGY_DECIMALS).alias("energy_kwh")]
-    if "voltage" in readings.columns:
-        aggs.append(exact.avg_rounded("voltage", 2, 4).alias("voltage"))
-    if "current" in readings.columns:
-        aggs.append(exact.avg_rounded("current", 2, 4).alias("current"))
-    if "room_type" in readings.columns:
-        aggs.append(mode_lowest("room_type").alias("room_type"))
-    return readings.groupBy("room", F.to_date("ts").alias("date")).agg(*aggs)
+    """A1: one row per (room, date): energy sum, mean voltage/current, mode room type.
+
+    Two hash aggregates instead of a map-valued ``mode`` buffer: first per
+    (room, date, room_type) — counts and integer-unit sums, pre-aggregated on the
+    map side — then per (room, date), where the mode is the type with the most
+    rows (lowest name on ties; nulls never win, A2) and the sums add up."""
+    has_rt = "room_type" in readings.columns
+    d = readings.withColumn("date", F.to_date("ts"))
+    if not has_rt:
+        d = d.withColumn("room_type", F.lit(None).cast("string"))
+    parts = [F.count(F.lit(1)).alias("_n"),
+             F.sum(exact.units(F.col("energy_kwh"), ENERGY_DECIMALS)).alias("_e")]
+    for c in ("voltage", "current"):
+        if c in readings.columns:
+            parts += [F.sum(exact.units(F.col(c), 2)).alias(f"_s_{c}"), F.count(c).alias(f"_c_{c}")]
+    first = d.groupBy("room", "date", "room_type").agg(*parts)
+    aggs = [exact.units_rounded(F.sum("_e"), ENERGY_DECIMALS, ENERGY_DECIMALS).alias("energy_kwh")]
+    for c in ("voltage", "current"):
+        if c in readings.columns:
+            aggs.append(exact.ratio_rounded(F.sum(f"_s_{c}"), F.sum(f"_c_{c}"), 2, 4).alias(c))
+    if has_rt:
+        pick = F.min_by(F.col("room_type"),
+                        F.struct(F.col("room_type").isNull().alias("z"), (-F.col("_n")).alias("n"), F.col("room_type")))
+        aggs.append(F.coalesce(pick, F.lit("unknown")).alias("room_type"))
+    return first.groupBy("room", "date").agg(*aggs)
 
 
 def daily_features(readings: DataFrame) -> DataFrame:

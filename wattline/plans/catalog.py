@@ -111,9 +111,9 @@ def _predict_profile(spark, sf_dir):
     """P1 for every room x the seven days after the last reading (arrays as text)."""
     r = tables.readings(spark, sf_dir, with_counter=False)
     p = profile.predict_profile(r, profile.next_week_targets(r))
-    return p.withColumn("recommendations", F.array_join("recommendations", " | ")).drop(
-        "hourly_power_w", "hourly_breakdown"
-    )
+    return p.withColumn("recommendations", F.array_join("recommendations", " | ")).withColumn(
+        "confidence_class", scalars.confidence_class(F.col("confidence"))
+    ).drop("hourly_power_w", "hourly_breakdown")
 
 
 @query("predict_profile_hourly")
@@ -702,3 +702,17 @@ def _model_registry(spark, sf_dir):
     base = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
     reg = models.save_models(spark, base, {"kwh_model": model}, {"kwh_model": names})
     return reg.select("model", "version", "description", "features")
+
+
+@query("training_text_daily")
+def _training_text_daily(spark, sf_dir):
+    """Header keywords -> canonical names, coerce, drop
+    invalid rows, daily totals (text training file stand-in)."""
+    clean = features.clean_training_text(tables.training_text(spark, sf_dir))
+    return features.daily_totals(clean)
+
+
+@query("training_invalid_counts")
+def _training_invalid_counts(spark, sf_dir):
+    """P0b counters of the text training file."""
+    return features.invalid_counts(tables.training_text(spark, sf_dir))

@@ -178,7 +178,10 @@ SELECT p.room, strftime(p.date, '%Y-%m-%d') AS date, dname AS day_of_week,
               CASE WHEN u > 50000 THEN 'Projected ' || CAST(u / 10000.0 AS VARCHAR) || ' kWh — consider turning off AC during unscheduled hours.' END,
               CASE WHEN u <= 10000 THEN 'Low energy day projected based on historical patterns.' END), ''),
               'Normal ' || dname || ' usage projected.') END AS recommendations,
-       CAST(coalesce(ru.historical_rows_used, 0) AS BIGINT) AS historical_rows_used
+       CAST(coalesce(ru.historical_rows_used, 0) AS BIGINT) AS historical_rows_used,
+       CASE WHEN (CASE WHEN is_zero_day THEN 95 ELSE least(95, 60 + n_same // 10) END) > 80 THEN 'high'
+            WHEN (CASE WHEN is_zero_day THEN 95 ELSE least(95, 60 + n_same // 10) END) > 60 THEN 'medium'
+            ELSE 'low' END AS confidence_class
 FROM pd2 p LEFT JOIN rows_used ru ON ru.room = p.room""", PROFILE_CTES))
 
 oracle("predict_profile_hourly", with_readings("""
@@ -859,3 +862,45 @@ FROM daily d LEFT JOIN lbl l ON l.room_type = d.room_type""", """
 lbl AS (SELECT room_type, row_number() OVER (ORDER BY room_type) - 1 AS idx FROM (
   SELECT DISTINCT room_type FROM daily
   WHERE ('0x' || substr(md5(room || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::BIGINT % 10 >= 2))"""))
+
+
+# --- text training file --------------------------------------------------------------
+
+def _num(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches({x}, '{_FLOAT_RE}') AND NOT isnan(TRY_CAST(trim({x}) AS DOUBLE)) "
+            f"THEN TRY_CAST(trim({x}) AS DOUBLE) END)")
+
+
+TTEXT = r"""
+ttext AS (
+  SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'bad-date' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d,
+         printf('%02d:00', l_linenumber + 6) AS h,
+         CASE WHEN l_orderkey % 89 = 0 THEN 'n/a' ELSE printf('%.1f', l_quantity) END AS e,
+         CASE WHEN l_linenumber = 1 THEN ' ' || r || ' ' ELSE r END AS room_raw,
+         CASE l_returnflag WHEN 'A' THEN 'lab' WHEN 'N' THEN 'lecture' ELSE 'office' END AS room_type,
+         printf('%.2f', 216 + l_tax * 100) AS v, printf('%.2f', l_discount * 100) AS c
+  FROM (SELECT *, CAST(100 * (1 + l_suppkey % 7) + 1 + l_suppkey % 11 AS VARCHAR) AS r FROM lineitem)),
+tparsed AS (
+  SELECT trim(room_raw) AS room, room_type,
+         coalesce(try_strptime(trim(d) || ' ' || trim(h), '%Y-%m-%d %H:%M'), try_strptime(trim(d), '%Y-%m-%d')) AS ts,
+         NUM_E AS energy_kwh, NUM_V AS voltage, NUM_C AS current
+  FROM ttext)""".replace("NUM_E", _num("e")).replace("NUM_V", _num("v")).replace("NUM_C", _num("c"))
+
+oracle("training_text_daily", "WITH " + TTEXT + """,
+tvalid AS (SELECT * FROM tparsed WHERE ts IS NOT NULL AND energy_kwh IS NOT NULL),
+tfirst AS (SELECT room, CAST(ts AS DATE) AS date, room_type, count(*) AS n,
+                  sum(CAST(round(energy_kwh * 10000) AS BIGINT)) AS e,
+                  sum(CAST(round(voltage * 100) AS BIGINT)) AS sv, count(voltage) AS cv,
+                  sum(CAST(round(current * 100) AS BIGINT)) AS sc, count(current) AS cc
+           FROM tvalid GROUP BY ALL)
+SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(sum(e) AS DOUBLE) / 10000.0 AS energy_kwh,
+       """ + sql_ratio_rounded("sum(sv)", "sum(cv)", 2, 4) + """ AS voltage,
+       """ + sql_ratio_rounded("sum(sc)", "sum(cc)", 2, 4) + """ AS current,
+       coalesce(arg_min(room_type, (room_type IS NULL, -n, room_type)), 'unknown') AS room_type
+FROM tfirst GROUP BY room, date""")
+
+oracle("training_invalid_counts", "WITH " + TTEXT + """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE ts IS NULL) AS invalid_timestamps,
+       count(*) FILTER (WHERE ts IS NOT NULL AND energy_kwh IS NULL) AS invalid_energy,
+       count(*) FILTER (WHERE ts IS NOT NULL AND energy_kwh IS NOT NULL) AS n_valid
+FROM tparsed""")

@@ -140,3 +140,23 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of(df: DataFrame, col: str = "ts") -> Column:
     """The explicit "now" of a table: its max timestamp, as a scalar subquery."""
     return df.select(F.max(col)).scalar()
+
+
+def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training CSV stand-in as text columns with the reference's kind of
+    headers ('Date', 'Hour', 'Energy (kWh)', 'Room', 'Room_Type', 'Voltage',
+    'Current'), from ``lineitem``: every 97th order has a broken date, every
+    89th an energy that is not a number, some rooms carry blanks."""
+    li = table(spark, sf_dir, "lineitem")
+    ok = F.col("l_orderkey")
+    room = room_from_id(F.col("l_suppkey"))
+    return li.select(
+        F.when(ok % 97 == 0, F.lit("bad-date")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("Date"),
+        F.format_string("%02d:00", F.col("l_linenumber") + 6).alias("Hour"),
+        F.when(ok % 89 == 0, F.lit("n/a")).otherwise(F.format_string("%.1f", F.col("l_quantity"))).alias("Energy (kWh)"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit(" "), room, F.lit(" "))).otherwise(room).alias("Room"),
+        F.when(F.col("l_returnflag") == "A", F.lit("lab"))
+        .when(F.col("l_returnflag") == "N", F.lit("lecture")).otherwise(F.lit("office")).alias("Room_Type"),
+        F.format_string("%.2f", F.lit(216) + F.col("l_tax") * F.lit(100)).alias("Voltage"),
+        F.format_string("%.2f", F.col("l_discount") * F.lit(100)).alias("Current"),
+    )
