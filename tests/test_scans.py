@@ -48,3 +48,13 @@ def test_rolling_rows_across_blocks(spark):
                                                         F.count(F.lit(1)).over(w).alias("n")).collect()}
     got = scans.rolling_rows(df, ["k"], ["ts", "id"], {"s": F.col("v")}, 5, F.date_trunc("minute", "ts"), block_rows=7)
     assert {r["id"]: (r["s"], r["_rr_n"]) for r in got.collect()} == ref
+
+
+def test_time_window_reaches_the_scan(spark):
+    from tests.conftest import SF_SMALL
+    from wattline.sources import tables
+
+    r = tables.readings(spark, SF_SMALL, with_counter=False, since=dt.datetime(2024, 1, 20), until=dt.datetime(2024, 1, 21))
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+    assert r.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 20))).count() == 0

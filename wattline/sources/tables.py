@@ -8,6 +8,8 @@ whole room.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,27 @@ def readings_from_events(events: DataFrame, with_counter: bool = True) -> DataFr
     )
 
 
-def readings(spark: SparkSession, sf_dir: str, with_counter: bool = True) -> DataFrame:
-    return readings_from_events(table(spark, sf_dir, "events"), with_counter)
+def readings(spark: SparkSession, sf_dir: str, with_counter: bool = True,
+             since: _dt.datetime | None = None, until: _dt.datetime | None = None) -> DataFrame:
+    """The reading log; ``since`` / ``until`` (wall-clock literals, half-open) are
+    applied to the raw timestamp column before the view, so they reach the
+    parquet scan as pushed filters (row-group skipping).
+
+    The derived meter counter is cumulative from the first reading, so with
+    ``with_counter`` the window is applied after the counter instead."""
+    ev = table(spark, sf_dir, "events")
+    if with_counter:
+        r = readings_from_events(ev, True)
+        if since is not None:
+            r = r.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+        if until is not None:
+            r = r.where(F.col("ts") < F.lit(until).cast("timestamp"))
+        return r
+    if since is not None:
+        ev = ev.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        ev = ev.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+    return readings_from_events(ev, False)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
