@@ -97,6 +97,16 @@ def rate_for_date(dates: DataFrame, rates: DataFrame, forecast: DataFrame | None
     return out.select(*dates.columns, rate.alias("rate"))
 
 
+def rate_for_date_single(dates: DataFrame, rates: DataFrame) -> DataFrame:
+    """J2 for one tariff series (no model): the month's rate, else the last known
+    rate (a scalar subquery), else 11.0 — an equi-join on the month only."""
+    d = dates.withColumn("_m", F.trunc("date", "MM"))
+    hist = rates.where(F.col("rate").isNotNull()).select(F.col("month").alias("_m"), F.col("rate").alias("_hist"))
+    last = rates.where(F.col("rate").isNotNull()).select(F.max_by("rate", "month")).scalar()
+    out = d.join(hist, "_m", "left")
+    return out.select(*dates.columns, F.coalesce(F.col("_hist"), last, F.lit(fixed.DEFAULT_RATE)).alias("rate"))
+
+
 # --- M7 / M8: Holt-Winters, additive trend and season, many series ----------
 
 DEFAULT_GRID = {
@@ -170,7 +180,9 @@ def holt_winters_fit(rates: DataFrame, grid: dict | None = None, min_points: int
         F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma"))
                   for a in grid["alpha"] for b in grid["beta"] for g in grid["gamma"]])
     )
-    trials = arrays.select("series", "y", "last_month", params.alias("p")).select(
+    # One row per (series, parameter triple); spread the folds over all tasks
+    # (a few series would otherwise keep all their trials in one task each).
+    trials = arrays.select("series", "y", "last_month", params.alias("p")).repartition("series", "p").select(
         "series", "last_month", "p", _fold(F.col("y"), F.col("p.alpha"), F.col("p.beta"), F.col("p.gamma")).alias("st")
     )
     best = trials.groupBy("series", "last_month").agg(

@@ -287,9 +287,9 @@ def _prediction_grid(spark, sf_dir):
     rooms = features.prediction_rooms(daily).select("room")
     lo = daily.select(F.min("date")).scalar()
     hi = daily.select(F.max("date")).scalar()
-    grid = predict.date_grid(rooms, lo, hi).withColumn("series", F.lit(TARIFF_SERIES))
+    grid = predict.date_grid(rooms, lo, hi)
     rates = _tariff(spark, sf_dir).where(F.col("series") == TARIFF_SERIES)
-    return tariff.rate_for_date(grid, rates).drop("series")
+    return tariff.rate_for_date_single(grid, rates)
 
 
 def _flat(df):
