@@ -29,7 +29,8 @@ def weekday_hour_stats(readings: DataFrame) -> DataFrame:
     """(room, wd, h) -> n (non-null power rows), s (sum of power in centiwatts)."""
     return readings.groupBy(
         "room", weekday_mon0(F.col("ts")).alias("wd"), F.hour("ts").alias("h")
-    ).agg(F.count("power").alias("n"), F.sum(exact.units(F.col("power"), 2)).alias("s"))
+    ).agg(F.count("power").alias("n"), F.sum(exact.units(F.col("power"), 2)).alias("s"),
+          F.count(F.lit(1)).alias("n_rows"))
 
 
 def _weekday_totals(stats: DataFrame) -> DataFrame:
@@ -54,13 +55,14 @@ def zero_days(readings: DataFrame) -> DataFrame:
     )
 
 
-def hourly_profile(readings: DataFrame, targets: DataFrame) -> DataFrame:
+def hourly_profile(readings: DataFrame, targets: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """One row per (room, date, hour) of ``targets(room, date)``.
 
     cw = weighted mean power in centiwatts (half-up), the target weekday's mean
     for hours without rows; plus the weekday totals used by P0h/P1.
     """
-    stats = weekday_hour_stats(readings)
+    stats = stats if stats is not None else weekday_hour_stats(readings)
+    stats = stats.select("room", "wd", "h", "n", "s")
     per_hour = stats.groupBy("room", "h").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"))
     tot = _weekday_totals(stats)
     t = targets.select("room", "date", weekday_mon0(F.col("date")).alias("wd"))
@@ -106,8 +108,9 @@ def predict_profile(readings: DataFrame, targets: DataFrame, rate: float = fixed
     Returns totals, cost at the fixed dashboard rate, confidence, peak hour,
     advice (array) and the 24 hourly values (arrays, W and kWh).
     """
-    hp = hourly_profile(readings, targets)
-    rows_used = readings.groupBy("room").agg(F.count(F.lit(1)).alias("historical_rows_used"))
+    stats = weekday_hour_stats(readings)           # the only pass over the log
+    hp = hourly_profile(readings, targets, stats)
+    rows_used = stats.groupBy("room").agg(F.sum("n_rows").alias("historical_rows_used"))
     rate_c = int(round(rate * 100))  # rate in centavos per kWh
     per_day = hp.groupBy("room", "date").agg(
         F.first("is_zero_day").alias("is_zero_day"),

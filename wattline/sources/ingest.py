@@ -83,9 +83,12 @@ def first_per_key(parsed: DataFrame) -> DataFrame:
 
 def ingest(raw: DataFrame, existing_log: DataFrame, room: str = "705") -> DataFrame:
     """The rows the import adds to ``existing_log`` (keyed by whole-second ts and room)."""
-    fresh = first_per_key(parse_import(raw, room))
-    keys = existing_log.select(F.date_trunc("second", "ts").alias("ts"), "room")
-    return fresh.join(keys, ["ts", "room"], "left_anti").drop("line_no")
+    fresh = first_per_key(parse_import(raw, room)).withColumn("_date", F.to_date("ts"))
+    # The day is part of the key: on a log partitioned by date, dynamic partition
+    # pruning limits the scan of the existing log to the days being imported.
+    log_date = F.col("date") if "date" in existing_log.columns else F.to_date("ts")
+    keys = existing_log.select(log_date.alias("_date"), F.date_trunc("second", "ts").alias("ts"), "room")
+    return fresh.join(keys, ["_date", "ts", "room"], "left_anti").drop("line_no", "_date")
 
 
 def ingest_counts(raw: DataFrame, existing_log: DataFrame, room: str = "705") -> DataFrame:
