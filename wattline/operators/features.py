@@ -140,22 +140,26 @@ def daily_features(readings: DataFrame) -> DataFrame:
 
 def dataset_summary(daily: DataFrame) -> DataFrame:
     """One row: records, date range, rooms, floors, energy sum/mean/min/max,
-    mean of per-room means."""
+    mean of per-room means — one pass: per-room partials, then the room table."""
     u = exact.units(F.col("energy_kwh"), ENERGY_DECIMALS)
-    per_room = daily.groupBy("room").agg(F.avg("energy_kwh").alias("room_mean"))
-    overall = daily.agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.min("date").alias("date_min"),
-        F.max("date").alias("date_max"),
-        F.count_distinct("room").alias("n_rooms"),
+    per_room = daily.groupBy("room").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(u).alias("su"), F.count(u).alias("cu"),
+        F.min("date").alias("dmin"), F.max("date").alias("dmax"),
+        F.min("energy_kwh").alias("emin"), F.max("energy_kwh").alias("emax"),
+        F.avg("energy_kwh").alias("room_mean"), F.first("floor").alias("floor"),
+    )
+    return per_room.agg(
+        F.sum("n").alias("n_records"),
+        F.min("dmin").alias("date_min"),
+        F.max("dmax").alias("date_max"),
+        F.count(F.lit(1)).alias("n_rooms"),
         F.count_distinct("floor").alias("n_floors"),
-        exact.units_rounded(F.sum(u), ENERGY_DECIMALS, 2).alias("total_energy"),
-        exact.ratio_rounded(F.sum(u), F.count(u), ENERGY_DECIMALS, 4).alias("mean_energy"),
-        F.round(F.min("energy_kwh"), 4).alias("min_energy"),
-        F.round(F.max("energy_kwh"), 4).alias("max_energy"),
+        exact.units_rounded(F.sum("su"), ENERGY_DECIMALS, 2).alias("total_energy"),
+        exact.ratio_rounded(F.sum("su"), F.sum("cu"), ENERGY_DECIMALS, 4).alias("mean_energy"),
+        F.round(F.min("emin"), 4).alias("min_energy"),
+        F.round(F.max("emax"), 4).alias("max_energy"),
+        F.round(F.avg("room_mean"), 4).alias("mean_room_daily_energy"),
     )
-    room_level = per_room.agg(F.round(F.avg("room_mean"), 4).alias("mean_room_daily_energy"))
-    return overall.withColumn("mean_room_daily_energy", room_level.scalar())
 
 
 def floor_summary(daily: DataFrame) -> DataFrame:
@@ -182,11 +186,13 @@ def rooms_by_floor(daily: DataFrame, sample: int = 5) -> DataFrame:
 def weekday_distribution(daily: DataFrame) -> DataFrame:
     """Records and share (%, 1 place) for all seven weekdays, zero-filled."""
     spark = daily.sparkSession
-    total = daily.select(F.count(F.lit(1))).scalar()
     counts = daily.groupBy(F.col("day_of_week").alias("weekday")).agg(F.count(F.lit(1)).alias("n_records"))
     days = spark.range(7).select(F.col("id").cast("int").alias("weekday"))
     names = F.array(*[F.lit(n) for n in fixed.WEEKDAY_NAMES])
     out = days.join(counts, "weekday", "left").fillna(0, ["n_records"])
+    total = F.sum("n_records").over(Window.partitionBy())      # over the seven weekday rows
+    out = out.withColumn("_total", total)
+    total = F.col("_total")
     return out.select(
         "weekday",
         F.element_at(names, F.col("weekday") + 1).alias("day_name"),

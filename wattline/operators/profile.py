@@ -19,18 +19,26 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import exact
 from ..functions.scalars import day_name, room_type_from_prefix, room_type_label, weekday_mon0
+from ..session import cut_lineage
 
 
 def _idiv(a, b):
     return ((a - a % b) / b).cast("long")
 
 
-def weekday_hour_stats(readings: DataFrame) -> DataFrame:
-    """(room, wd, h) -> n (non-null power rows), s (sum of power in centiwatts)."""
-    return readings.groupBy(
+def weekday_hour_stats(readings: DataFrame, materialize: bool = True) -> DataFrame:
+    """(room, wd, h) -> n (non-null power rows), s (sum of power in centiwatts),
+    n_rows, last_ts — the one pass over the log.
+
+    The summary (at most 168 rows per room) feeds several small consumers; it is
+    checkpointed into the shared checkpoint folder so the log is read once
+    instead of once per consumer (their column needs differ, so Spark would not
+    reuse the exchange)."""
+    st = readings.groupBy(
         "room", weekday_mon0(F.col("ts")).alias("wd"), F.hour("ts").alias("h")
     ).agg(F.count("power").alias("n"), F.sum(exact.units(F.col("power"), 2)).alias("s"),
-          F.count(F.lit(1)).alias("n_rows"))
+          F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("last_ts"))
+    return cut_lineage(st) if materialize else st
 
 
 def _weekday_totals(stats: DataFrame) -> DataFrame:
@@ -41,7 +49,7 @@ def zero_days(readings: DataFrame) -> DataFrame:
     """P0h for every room and all seven weekdays: mean power of that weekday and
     whether it is below 5 W (no rows of that weekday counts as zero)."""
     stats = weekday_hour_stats(readings)
-    rooms = readings.select("room").distinct()
+    rooms = stats.select("room").distinct()
     grid = rooms.select("room", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("wd"))
     tot = _weekday_totals(stats)
     g = grid.join(tot, ["room", "wd"], "left").fillna(0, ["n_same", "s_same"])
@@ -92,7 +100,8 @@ def weighted_hour_profile(readings: DataFrame) -> DataFrame:
 
     The target dates are the seven days after the last reading (one per weekday).
     """
-    hp = hourly_profile(readings, next_week_targets(readings))
+    stats = weekday_hour_stats(readings)
+    hp = hourly_profile(readings, next_week_targets(stats), stats)
     return hp.select(
         "room",
         F.col("wd").cast("long").alias("weekday"),
@@ -102,13 +111,14 @@ def weighted_hour_profile(readings: DataFrame) -> DataFrame:
     )
 
 
-def predict_profile(readings: DataFrame, targets: DataFrame, rate: float = fixed.DEFAULT_RATE) -> DataFrame:
+def predict_profile(readings: DataFrame, targets: DataFrame | None = None, rate: float = fixed.DEFAULT_RATE) -> DataFrame:
     """Profile forecast for every (room, date) target in one job.
 
     Returns totals, cost at the fixed dashboard rate, confidence, peak hour,
     advice (array) and the 24 hourly values (arrays, W and kWh).
     """
     stats = weekday_hour_stats(readings)           # the only pass over the log
+    targets = targets if targets is not None else next_week_targets(stats)
     hp = hourly_profile(readings, targets, stats)
     rows_used = stats.groupBy("room").agg(F.sum("n_rows").alias("historical_rows_used"))
     rate_c = int(round(rate * 100))  # rate in centavos per kWh
@@ -164,8 +174,10 @@ def predict_profile(readings: DataFrame, targets: DataFrame, rate: float = fixed
     return out
 
 
-def next_week_targets(readings: DataFrame) -> DataFrame:
-    """Targets: every room with data x the seven days after the last reading."""
-    last = readings.select(F.to_date(F.max("ts"))).scalar()
-    rooms = readings.select("room").distinct()
+def next_week_targets(stats: DataFrame) -> DataFrame:
+    """Targets: every room with data x the seven days after the last reading
+    (from the weekday/hour summary, or from readings)."""
+    col = "last_ts" if "last_ts" in stats.columns else "ts"
+    last = stats.select(F.to_date(F.max(col))).scalar()
+    rooms = stats.select("room").distinct()
     return rooms.select("room", F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, 7))).alias("date"))

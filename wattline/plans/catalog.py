@@ -110,7 +110,7 @@ def _weighted_hour_profile(spark, sf_dir):
 def _predict_profile(spark, sf_dir):
     """P1 for every room x the seven days after the last reading (arrays as text)."""
     r = tables.readings(spark, sf_dir, with_counter=False)
-    p = profile.predict_profile(r, profile.next_week_targets(r))
+    p = profile.predict_profile(r)
     return p.withColumn("recommendations", F.array_join("recommendations", " | ")).withColumn(
         "confidence_class", scalars.confidence_class(F.col("confidence"))
     ).drop("hourly_power_w", "hourly_breakdown")
@@ -120,7 +120,7 @@ def _predict_profile(spark, sf_dir):
 def _predict_profile_hourly(spark, sf_dir):
     """P1's 24 hourly values in long form (room, date, hour, power_w, kwh)."""
     r = tables.readings(spark, sf_dir, with_counter=False)
-    p = profile.predict_profile(r, profile.next_week_targets(r))
+    p = profile.predict_profile(r)
     return p.select(
         "room", "date",
         F.posexplode(F.arrays_zip("hourly_power_w", "hourly_breakdown")).alias("hour", "v"),
@@ -282,12 +282,16 @@ TARIFF_SERIES = "1-URGENT"   # the orders series used as the tariff of the predi
 
 def _prediction_grid(spark, sf_dir):
     """Prediction rooms x every day of the training data's date range, with
-    the J2 rate (series 1-URGENT, no model)."""
+    the J2 rate (series 1-URGENT, no model).  One pass over the daily table:
+    per-room date bounds, then the global range over that small table."""
+    from pyspark.sql import Window
+
     daily = _daily(spark, sf_dir)
-    rooms = features.prediction_rooms(daily).select("room")
-    lo = daily.select(F.min("date")).scalar()
-    hi = daily.select(F.max("date")).scalar()
-    grid = predict.date_grid(rooms, lo, hi)
+    per_room = daily.groupBy("room", "floor").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    everywhere = Window.partitionBy()        # over the per-room table (one row per room)
+    bounds = per_room.withColumn("lo", F.min("lo").over(everywhere)).withColumn("hi", F.max("hi").over(everywhere))
+    rooms = features.filter_room_ranges(bounds)
+    grid = rooms.select("room", F.explode(F.sequence("lo", "hi")).alias("date"))
     rates = _tariff(spark, sf_dir).where(F.col("series") == TARIFF_SERIES)
     return tariff.rate_for_date_single(grid, rates)
 
