@@ -58,3 +58,17 @@ def test_time_window_reaches_the_scan(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
     assert r.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 20))).count() == 0
+
+
+def test_segmented_sessions_equal_plain_windows(spark):
+    df = _data(spark, n=1500, seed=5).withColumn("t", F.unix_seconds("ts"))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    for strict in (False, True):
+        prev = F.lag("t").over(w)
+        ref = df.withColumn("p", prev).withColumn(
+            "new", (F.col("p").isNull() | ((F.col("t") - F.col("p") > 120) if strict else (F.col("t") - F.col("p") >= 120))).cast("int"))
+        ref = ref.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        got = scans.segmented_sessions(df, ["k"], ["ts", "id"], F.col("t"), 120, F.date_trunc("minute", "ts"), strict=strict)
+        a = {r["id"]: (r["p"], r["g"]) for r in ref.collect()}
+        b = {r["id"]: (r["prev_t"], r["group_no"]) for r in got.collect()}
+        assert a == b

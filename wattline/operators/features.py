@@ -252,9 +252,11 @@ def room_union(rooms: DataFrame, ranges=fixed.DEFAULT_ROOM_RANGES) -> DataFrame:
 def room_intersect(rooms: DataFrame, ranges=fixed.DEFAULT_ROOM_RANGES) -> DataFrame:
     """Rooms of the data that are also allowed; the allowed list if none are."""
     allowed = default_rooms(rooms.sparkSession, ranges)
-    both = rooms.select("room").distinct().join(F.broadcast(allowed), "room", "left_semi")
-    n = both.select(F.count(F.lit(1))).scalar()
-    return both.unionByName(allowed.where(n == 0)).withColumn("room_no", F.col("room").cast("int"))
+    both = rooms.select("room").distinct().join(F.broadcast(allowed), "room", "left_semi").withColumn("_real", F.lit(1))
+    u = both.unionByName(allowed.withColumn("_real", F.lit(0)))
+    u = u.withColumn("_any", F.max("_real").over(Window.partitionBy()))     # at most the allowed list + data rooms
+    out = u.where((F.col("_real") == 1) | (F.col("_any") == 0)).select("room")
+    return out.withColumn("room_no", F.col("room").cast("int"))
 
 
 def label_encode(df: DataFrame, col: str, out: str, dictionary: DataFrame | None = None) -> DataFrame:
@@ -263,9 +265,11 @@ def label_encode(df: DataFrame, col: str, out: str, dictionary: DataFrame | None
     The dictionary is the distinct values (one row per room): the ranking window
     runs over that small set only, never over the data.
     """
+    from ..session import cut_lineage
+
     dic = (dictionary if dictionary is not None else df).select(col).where(F.col(col).isNotNull()).distinct()
-    ranked = dic.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
-    k = dic.select(F.count(F.lit(1))).scalar().cast("int")
+    ranked = cut_lineage(dic.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int")))
+    k = ranked.select(F.count(F.lit(1))).scalar().cast("int")
     return df.join(ranked, col, "left").withColumn(out, F.coalesce(F.col(out), k))
 
 
@@ -300,7 +304,8 @@ def training_matrix(daily: DataFrame) -> DataFrame:
 
 
 def regression_metrics(pred: DataFrame, y: str, yhat: str, by: list[str] | None = None) -> DataFrame:
-    """MAE, RMSE, R² as plain aggregates (one pass for the means, one for SST)."""
+    """MAE, RMSE, R² in one pass; SST = n x var_pop(y) (Spark's stable
+    merge of central moments, no second pass for the mean)."""
     by = by or []
     err = F.col(y) - F.col(yhat)
     g = pred.groupBy(*by) if by else pred
@@ -309,12 +314,9 @@ def regression_metrics(pred: DataFrame, y: str, yhat: str, by: list[str] | None
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sum(err * err).alias("sse"),
-        F.avg(y).alias("ybar"),
+        (F.var_pop(y) * F.count(F.lit(1))).alias("sst"),
     )
-    sst = (pred.join(stats.select(*by, "ybar"), by) if by else pred.withColumn("ybar", stats.select("ybar").scalar()))
-    sst = (sst.groupBy(*by) if by else sst).agg(F.sum((F.col(y) - F.col("ybar")) ** 2).alias("sst"))
-    out = stats.join(sst, by) if by else stats.withColumn("sst", sst.scalar())
-    return out.select(
+    return stats.select(
         *by, "n",
         F.round("mae", 6).alias("mae"),
         F.round("rmse", 6).alias("rmse"),

@@ -89,10 +89,8 @@ def detection_changes(frames: DataFrame, keep: int = 15) -> DataFrame:
 def occupancy_sessions(person_det: DataFrame, gap_seconds: int = fixed.PERSON_GONE_SECONDS) -> DataFrame:
     """T4 (batch): presence continues while detections are less than ``gap_seconds``
     apart; a gap of ``gap_seconds`` or more starts a new session."""
-    d = person_det.withColumn("_us", F.unix_micros("ts"))
-    d = scans.previous_value(d, ["room"], ["ts", "det_id"], F.col("_us"), "_prev_us", _hour())
-    new = (F.col("_prev_us").isNull() | (F.col("_us") - F.col("_prev_us") >= gap_seconds * 1_000_000)).cast("long")
-    d = scans.running_sum(d.withColumn("_new", new), ["room"], ["ts", "det_id"], F.col("_new"), "session_no", _hour())
+    d = scans.segmented_sessions(person_det, ["room"], ["ts", "det_id"], F.unix_micros("ts"),
+                                 gap_seconds * 1_000_000, _hour(), strict=False, group_out="session_no")
     return d.groupBy("room", "session_no").agg(
         F.min("ts").alias("session_start"),
         F.max("ts").alias("session_end"),
@@ -159,9 +157,8 @@ def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.N
     more than ``cooldown`` apart."""
     cd = cooldown_seconds * 1_000_000
     d = person_det.withColumn("_us", F.unix_micros("ts"))
-    d = scans.previous_value(d, ["room"], ["ts", "det_id"], F.col("_us"), "_prev_us", _hour())
-    new = (F.col("_prev_us").isNull() | (F.col("_us") - F.col("_prev_us") > cd)).cast("long")
-    d = scans.running_sum(d.withColumn("_new", new), ["room"], ["ts", "det_id"], F.col("_new"), "_island", _hour())
+    d = scans.segmented_sessions(d, ["room"], ["ts", "det_id"], F.col("_us"), cd, _hour(), strict=True,
+                                 group_out="_island")
     isl = d.groupBy("room", "_island").agg(F.sort_array(F.collect_list("_us")).alias("_xs"))
     init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
     folded = F.aggregate(

@@ -61,10 +61,12 @@ def available_dates(readings: DataFrame) -> DataFrame:
 
 def rooms_with_data(readings: DataFrame, default_room: str = "705") -> DataFrame:
     """Distinct rooms; the default room alone when the log is empty."""
-    rooms = readings.select("room").where(F.col("room").isNotNull()).distinct()
-    n = rooms.select(F.count(F.lit(1))).scalar()
-    fallback = readings.sparkSession.range(1).select(F.lit(default_room).alias("room")).where(n == 0)
-    return rooms.unionByName(fallback)
+    from pyspark.sql import Window
+
+    rooms = readings.select("room").where(F.col("room").isNotNull()).distinct().withColumn("_real", F.lit(1))
+    fallback = readings.sparkSession.range(1).select(F.lit(default_room).alias("room"), F.lit(0).alias("_real"))
+    u = rooms.unionByName(fallback).withColumn("_any", F.max("_real").over(Window.partitionBy()))  # distinct rooms only
+    return u.where((F.col("_real") == 1) | (F.col("_any") == 0)).select("room")
 
 
 def room_counts(readings: DataFrame) -> DataFrame:
@@ -114,13 +116,10 @@ def nearest_available_date(available: DataFrame, requests: DataFrame) -> DataFra
     a = available.select("room", F.col("date").alias("d"), F.lit(0).alias("kind"), F.col("date").alias("avail"))
     q = requests.select("room", F.col("date").alias("d"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("avail"))
     w = Window.partitionBy("room").orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = a.unionByName(q).withColumn("prior", F.max("avail").over(w))
-    first = available.groupBy("room").agg(F.min("date").alias("earliest"))
-    return (
-        u.where(F.col("kind") == 1)
-        .join(first, "room", "left")
-        .select("room", F.col("d").alias("requested"), F.coalesce("prior", "earliest").alias("resolved"))
-    )
+    u = a.unionByName(q).withColumn("prior", F.max("avail").over(w)).withColumn(
+        "earliest", F.min("avail").over(Window.partitionBy("room")))
+    return u.where(F.col("kind") == 1).select(
+        "room", F.col("d").alias("requested"), F.coalesce("prior", "earliest").alias("resolved"))
 
 
 def peak_hour(profile: DataFrame, keys: list[str], hour: str = "hour", value: str = "avg_w") -> DataFrame:

@@ -104,7 +104,7 @@ def alerts(daily: DataFrame, alerts_df: DataFrame, value_col: str, kind: str) ->
     ])
     v = F.col(value_col)
     fired = F.filter(packed, lambda r: v > r["threshold"])
-    top = F.element_at(fired, 1)
+    top = F.try_element_at(fired, F.lit(1))
     value_txt = F.format_number(v, 2)
     msg = F.replace(
         F.replace(F.replace(top["message"], F.lit("{room}"), F.col("room")), F.lit("{value}"), F.regexp_replace(value_txt, ",", "")),
@@ -142,3 +142,29 @@ def weekly_trend(daily: DataFrame, value_col: str = "energy_kwh") -> DataFrame:
         .when(F.col("change_pct") < 0, F.replace(F.replace(F.lit(fixed.TREND_DOWN_TEXT), F.lit("{room}"), F.col("room")), F.lit("{value}"), F.abs(F.col("change_pct")).cast("string")))
     )
     return out.select("room", "week", F.round("week_total", 4).alias("week_total"), "change_pct", text.alias("message"))
+
+
+def alerts_multi(daily: DataFrame, alerts_df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """N1 for several kinds in one pass: ``kinds`` maps a notification type to
+    its value column; one output row per (daily row, kind) that fires."""
+    # one generator over the daily rows instead of a union of per-kind filters,
+    # so the daily table is produced once
+    n = alerts_df.count()
+    if n > MAX_RULES:
+        raise ValueError(f"alert table has {n} rows (> {MAX_RULES}); not configuration")
+    rows = alerts_df.orderBy("rule_order").collect()
+    fired_cols = []
+    for kind, col in kinds.items():
+        rs = sorted([r for r in rows if r["notification_type"] == kind and r["is_active"] == 1],
+                    key=lambda r: (-r["threshold"], r["rule_order"]))
+        arr = F.array(*[F.struct(F.lit(float(r["threshold"])).alias("threshold"), F.lit(r["message"]).alias("message"),
+                                 F.lit(r["priority"]).alias("priority")) for r in rs])
+        v = F.col(col)
+        top = F.try_element_at(F.filter(arr, lambda r: v > r["threshold"]), F.lit(1))
+        fired_cols.append(F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"), top.alias("top")))
+    d = daily.select("room", "date", F.explode(F.array(*fired_cols)).alias("f")).where(F.col("f.top").isNotNull())
+    value_txt = F.regexp_replace(F.format_number(F.col("f.value"), 2), ",", "")
+    msg = F.replace(F.replace(F.replace(F.col("f.top.message"), F.lit("{room}"), F.col("room")), F.lit("{value}"), value_txt),
+                    F.lit("{date}"), F.date_format("date", "yyyy-MM-dd"))
+    return d.select("room", "date", F.col("f.value").alias("value"), F.col("f.top.threshold").alias("threshold"),
+                    F.col("f.top.priority").alias("priority"), msg.alias("message"), F.col("f.kind").alias("kind"))

@@ -152,3 +152,55 @@ def rolling_rows(
         "_rr_n", F.count(F.lit(1)).over(w)
     )
     return u.where(~F.col("_rr_ctx")).drop("_rr_blk", "_rr_ctx", "_rr_idx")
+
+
+def segmented_sessions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    t: Column,
+    gap: int,
+    block: Column,
+    strict: bool = False,
+    prev_out: str = "prev_t",
+    group_out: str = "group_no",
+) -> DataFrame:
+    """Gap-based grouping per key in one two-level pass: ``prev_out`` is the
+    previous row's ``t`` (a long, e.g. microseconds) and ``group_out`` numbers
+    the groups 1, 2, ... where a new group starts at the first row of the key or
+    when ``t - prev >= gap`` (``> gap`` if ``strict``).
+
+    Inside a (key, block) window each row gets its lag and a running count of
+    starts; the first row of a block is resolved at block level from the
+    previous block's last ``t``, and the per-block start counts are carried
+    forward — one join back, no chained scans."""
+    order_cols = _cols(order)
+
+    def starts(cur, prev):
+        return (cur - prev > gap) if strict else (cur - prev >= gap)
+
+    d = df.withColumn(_BLK, block).withColumn("_ss_t", t)
+    w_in = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
+    d = d.withColumn("_ss_prev", F.lag("_ss_t").over(w_in)).withColumn("_ss_first", F.row_number().over(w_in) == 1)
+    new_local = F.when(F.col("_ss_first"), F.lit(0)).otherwise(starts(F.col("_ss_t"), F.col("_ss_prev")).cast("int"))
+    d = d.withColumn("_ss_new", new_local).withColumn(
+        "_ss_cnt", F.sum("_ss_new").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
+    w_blk = Window.partitionBy(*keys).orderBy(_BLK)
+    blk = (
+        d.groupBy(*keys, _BLK).agg(
+            F.min_by("_ss_t", F.struct(*order_cols)).alias("_ss_bfirst"),
+            F.max_by("_ss_t", F.struct(*order_cols)).alias("_ss_blast"),
+            F.sum("_ss_new").alias("_ss_inner"),
+        )
+        .withColumn("_ss_pblast", F.lag("_ss_blast").over(w_blk))
+        .withColumn("_ss_fnew", (F.col("_ss_pblast").isNull() | starts(F.col("_ss_bfirst"), F.col("_ss_pblast"))).cast("int"))
+        .withColumn("_ss_carry", F.coalesce(
+            F.sum(F.col("_ss_inner") + F.col("_ss_fnew")).over(w_blk.rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)))
+        .select(*keys, _BLK, "_ss_pblast", "_ss_fnew", "_ss_carry")
+    )
+    d = _join_blocks(d, blk, keys)
+    prev = F.when(F.col("_ss_first"), F.col("_ss_pblast")).otherwise(F.col("_ss_prev"))
+    group = (F.col("_ss_carry") + F.col("_ss_fnew") + F.col("_ss_cnt")).cast("long")
+    return d.withColumn(prev_out, prev).withColumn(group_out, group).drop(
+        _BLK, "_ss_t", "_ss_prev", "_ss_first", "_ss_new", "_ss_cnt", "_ss_pblast", "_ss_fnew", "_ss_carry")

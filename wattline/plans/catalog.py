@@ -359,10 +359,7 @@ def _alert_thresholds(spark, sf_dir):
     k = exact.units(F.col("energy_kwh"), 4)
     c = ((k * 110000 * 2 + 1_000_000) - (k * 110000 * 2 + 1_000_000) % 2_000_000) / 2_000_000
     d = d.select("room", "date", "energy_kwh", (c / F.lit(100.0)).alias("cost"))
-    a = rules.alert_table(spark)
-    cons = rules.alerts(d, a, "energy_kwh", "consumption").withColumn("kind", F.lit("consumption"))
-    cost = rules.alerts(d, a, "cost", "cost").withColumn("kind", F.lit("cost"))
-    return cons.unionByName(cost)
+    return rules.alerts_multi(d, rules.alert_table(spark), {"consumption": "energy_kwh", "cost": "cost"})
 
 
 @query("weekly_trend")
@@ -504,8 +501,12 @@ def _last_seen_asof(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
+    """Frame ticks with last-seen time and class, materialized once (one row per
+    room-minute): the controller and the command changes both read it."""
+    from ..session import cut_lineage
+
     seen = occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
-    ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts")
+    ticks = cut_lineage(schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts"))
     return occupancy.light_decision(ticks)
 
 

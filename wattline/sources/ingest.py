@@ -92,15 +92,21 @@ def ingest(raw: DataFrame, existing_log: DataFrame, room: str = "705") -> DataFr
 
 
 def ingest_counts(raw: DataFrame, existing_log: DataFrame, room: str = "705") -> DataFrame:
-    """S4 counters: processed (valid ts), skipped (bad ts), unique in file, added."""
+    """S4 counters in one pass over the import: processed (valid ts), skipped
+    (bad ts, the null-key group), unique in file, added (not in the log)."""
     parsed = parse_import(raw, room)
-    counts = parsed.agg(
-        F.count_if(F.col("ts").isNotNull()).alias("processed"),
-        F.count_if(F.col("ts").isNull()).alias("skipped"),
+    groups = parsed.groupBy("ts", "room").agg(F.count(F.lit(1)).alias("_n")).withColumn("_date", F.to_date("ts"))
+    log_date = F.col("date") if "date" in existing_log.columns else F.to_date("ts")
+    keys = existing_log.select(log_date.alias("_date"), F.date_trunc("second", "ts").alias("ts"), "room") \
+        .distinct().withColumn("_present", F.lit(True))
+    flagged = groups.join(keys, ["_date", "ts", "room"], "left")
+    valid = F.col("ts").isNotNull()
+    return flagged.agg(
+        F.coalesce(F.sum(F.when(valid, F.col("_n"))), F.lit(0)).cast("long").alias("processed"),
+        F.coalesce(F.sum(F.when(~valid, F.col("_n"))), F.lit(0)).cast("long").alias("skipped"),
+        F.count_if(valid).alias("unique_in_file"),
+        F.count_if(valid & F.col("_present").isNull()).alias("added"),
     )
-    unique = first_per_key(parsed).select(F.count(F.lit(1))).scalar()
-    added = ingest(raw, existing_log, room).select(F.count(F.lit(1))).scalar()
-    return counts.select("processed", "skipped", unique.alias("unique_in_file"), added.alias("added"))
 
 
 def append(df: DataFrame, path: str, partition_by: str = "date") -> None:

@@ -133,21 +133,26 @@ def training_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tariff_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tariff_series(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """Many monthly tariff series from ``orders`` (FIXTURES.md §2.2).
 
     series = o_orderpriority, month = first day of the order month,
     rate = round(avg(o_totalprice) / 10000, 4) (exact); the last month, which
-    covers only its first day, is dropped.
-    """
+    covers only its first day, is dropped.  One pass over ``orders``; the
+    result (series x months) is small and feeds several lookups, so it is
+    checkpointed once into the shared checkpoint folder."""
+    from pyspark.sql import Window
+
+    from ..session import cut_lineage
+
     o = table(spark, sf_dir, "orders")
     month = F.trunc(F.col("o_orderdate").cast("date"), "MM")
-    last_month = o.select(F.max(F.trunc(F.col("o_orderdate").cast("date"), "MM"))).scalar()
-    return (
-        o.where(month < last_month)
-        .groupBy(F.col("o_orderpriority").alias("series"), month.alias("month"))
-        .agg((exact.avg_rounded("o_totalprice", 2, 0) / F.lit(10000.0)).alias("rate"))
+    g = o.groupBy(F.col("o_orderpriority").alias("series"), month.alias("month")).agg(
+        (exact.avg_rounded("o_totalprice", 2, 0) / F.lit(10000.0)).alias("rate")
     )
+    last = F.max("month").over(Window.partitionBy())     # over the series x month table
+    out = g.withColumn("_last", last).where(F.col("month") < F.col("_last")).drop("_last")
+    return cut_lineage(out) if materialize else out
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
