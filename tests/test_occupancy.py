@@ -81,3 +81,21 @@ def test_gaps(spark):
     gaps = schedule.schedule_gaps(schedule.schedule_for_day(days, schedule.timetable(spark))).orderBy("gap_start").collect()
     assert [(r["gap_start"], r["gap_end"], r["gap_minutes"]) for r in gaps] == [("10:30", "12:00", 90)]
     assert fixed.TIMETABLE[9][1] == "Tuesday"
+
+
+def test_throttle_exact_across_blocks(spark):
+    import random
+
+    rnd = random.Random(4)
+    secs, t = [], 0.0
+    for _ in range(400):                       # a dense burst that never pauses 2 s
+        t += rnd.choice([0.05, 0.3, 0.7, 1.1, 1.9, 2.0, 2.05])
+        secs.append(round(t, 2))
+    got = [r["notified_at"] for r in occupancy.notification_throttle(_det(spark, secs), block_seconds=7)
+           .orderBy("notified_at").collect()]
+    want, last = [], None
+    for s in secs:
+        if last is None or s - last > 2:
+            want.append(T0 + dt.timedelta(seconds=s))
+            last = s
+    assert got == want

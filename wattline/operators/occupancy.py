@@ -146,25 +146,61 @@ def light_commands(decisions: DataFrame) -> DataFrame:
                                   "mode")
 
 
-def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS) -> DataFrame:
+def _greedy(xs: Column, start: Column, cd: int) -> Column:
+    """Greedy emission over the sorted long array ``xs`` from 1-based index
+    ``start`` (which is emitted): state (last emitted, emitted times)."""
+    init = F.struct(F.element_at(xs, start).alias("last"), F.array(F.element_at(xs, start)).alias("out"))
+    rest = F.slice(xs, start + 1, F.greatest(F.size(xs) - start, F.lit(0)))
+    return F.aggregate(
+        rest, init,
+        lambda acc, x: F.when(x - acc["last"] > cd, F.struct(x.alias("last"), F.concat(acc["out"], F.array(x)).alias("out")))
+        .otherwise(acc),
+    )
+
+
+def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS,
+                          block_seconds: int = 600) -> DataFrame:
     """At most one notification per ``cooldown`` while persons are seen —
     greedy, measured from the last *emitted* time, strictly greater.
 
-    Exact without per-row state: detections are cut into islands at gaps larger
-    than the cooldown (the first detection of an island is always emitted, its
-    predecessor being older than the cooldown), and the greedy rule is folded
-    over each island's sorted times.  An island is a burst of detections no
-    more than ``cooldown`` apart."""
+    Exact and bounded for any detection rate.  Detections are grouped per
+    (room, time block of ``block_seconds``): a block holds at most the
+    detections of that room in that span.  The previous emission lies before
+    the block, so the block's first emission is one of its first detections
+    (those less than ``cooldown`` after the block start, plus one): for each
+    such candidate the block's greedy outcome (its last emission) is computed.
+    A per-room fold over the blocks (one small record per block: bounded by the
+    time span, not by the data volume) picks the actual candidate of every
+    block, and a last per-block fold emits the notifications."""
     cd = cooldown_seconds * 1_000_000
-    d = person_det.withColumn("_us", F.unix_micros("ts"))
-    d = scans.segmented_sessions(d, ["room"], ["ts", "det_id"], F.col("_us"), cd, _hour(), strict=True,
-                                 group_out="_island")
-    isl = d.groupBy("room", "_island").agg(F.sort_array(F.collect_list("_us")).alias("_xs"))
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
-    folded = F.aggregate(
-        "_xs", init,
-        lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] > cd),
-                              F.struct(x.alias("last"), F.concat(acc["out"], F.array(x)).alias("out")))
-        .otherwise(acc),
+    bl = block_seconds * 1_000_000
+    d = person_det.select("room", F.unix_micros("ts").alias("_us"))
+    d = d.withColumn("_blk", ((F.col("_us") - F.col("_us") % bl) / bl).cast("long"))
+    blocks = d.groupBy("room", "_blk").agg(F.sort_array(F.collect_list("_us")).alias("xs"))
+    start = F.col("_blk") * bl
+    n_head = F.least(F.size("xs"), F.size(F.filter("xs", lambda x: x < start + cd)) + 1)
+    cands = blocks.select(
+        "room", "_blk",
+        F.slice("xs", 1, n_head).alias("head"),
+        F.transform(F.sequence(F.lit(1), n_head), lambda j: _greedy(F.col("xs"), j, cd)["last"]).alias("outs"),
+        F.size("xs").alias("m"),
     )
-    return isl.select("room", F.explode(folded["out"]).alias("_us")).select("room", F.timestamp_micros("_us").alias("notified_at"))
+    # per room, over its blocks in time order: choose each block's first emission
+    per_room = cands.groupBy("room").agg(
+        F.sort_array(F.collect_list(F.struct("_blk", "head", "outs", "m"))).alias("bs"))
+    init = F.struct(F.lit(None).cast("long").alias("last"),
+                    F.array().cast("array<struct<_blk:long,j:int>>").alias("picks"))
+
+    def step(acc, b):
+        hit = F.filter(F.sequence(F.lit(1), F.size(b["head"])),
+                       lambda i: acc["last"].isNull() | (F.element_at(b["head"], i) - acc["last"] > cd))
+        j = F.when(F.size(hit) > 0, F.element_at(hit, 1))
+        return F.when(j.isNull(), acc).otherwise(F.struct(
+            F.element_at(b["outs"], j).alias("last"),
+            F.concat(acc["picks"], F.array(F.struct(b["_blk"].alias("_blk"), j.cast("int").alias("j")))).alias("picks"),
+        ))
+
+    picks = per_room.select("room", F.explode(F.aggregate("bs", init, step)["picks"]).alias("p")).select(
+        "room", F.col("p._blk").alias("_blk"), F.col("p.j").alias("j"))
+    emitted = blocks.join(picks, ["room", "_blk"]).select("room", F.explode(_greedy(F.col("xs"), F.col("j"), cd)["out"]).alias("_us"))
+    return emitted.select("room", F.timestamp_micros("_us").alias("notified_at"))
