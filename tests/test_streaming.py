@@ -27,3 +27,23 @@ def test_stream_light_equals_batch(spark):
 def test_stream_readings_parses_everything(spark):
     r = QUERIES["stream_readings"](spark, SF_SMALL)
     assert r.count() > 0 and r.where("ts IS NULL").count() == 0
+
+
+def test_stream_sessions_equal_batch(spark):
+    x = QUERIES["stream_sessions"](spark, SF_SMALL)
+    y = QUERIES["occupancy_sessions"](spark, SF_SMALL).select(*x.columns)
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_stream_hourly_equals_batch(spark):
+    from pyspark.sql import functions as F
+
+    from wattline.functions import exact
+    from wattline.plans.present import present
+    from wattline.sources import tables
+
+    x = QUERIES["stream_hourly"](spark, SF_SMALL)
+    r = tables.readings(spark, SF_SMALL, with_counter=False)
+    y = present(r.groupBy("room", F.date_trunc("hour", "ts").alias("window_start")).agg(
+        exact.avg_rounded("power", 2, 2).alias("avg_power"), F.count("power").alias("n_readings"))).select(*x.columns)
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0

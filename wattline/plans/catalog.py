@@ -624,7 +624,7 @@ def _stream_light_decision(spark, sf_dir):
     ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts").select(
         "room", "frame_ts", "tick_ts", "persons", "in_class", "class_event")
     path = _landed(ticks, "ticks")
-    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    feed = streams.file_stream(spark, path, spark.read.parquet(path).schema)
     return streams.run_until_caught_up(streams.stream_light_decision(feed), "light")
 
 

@@ -78,18 +78,27 @@ def _sink_schema(sdf: DataFrame, keys):
 # --- T1: payload stream ----------------------------------------------------------
 
 PAYLOAD_SCHEMA = "room string, received_at timestamp, text string"
+FILES_PER_BATCH = 100   # bounds a micro-batch, hence what one room's state function sees at once
 
 
-def payload_stream(spark: SparkSession, folder: str) -> DataFrame:
+def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Landed device payloads, one JSON object per line (room, received_at, text)."""
-    return spark.readStream.schema(PAYLOAD_SCHEMA).json(folder)
+    return spark.readStream.schema(PAYLOAD_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
+
+
+def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
+                files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """A landed feed as a stream, ``files_per_batch`` files per micro-batch."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
 def stream_readings(payloads: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Parse, stamp with the device clock (fallback: arrival time), drop
     repeats of (room, device second) within the watermark."""
     p = parse_payload(payloads, ingest_ts=F.col("received_at"))
-    return (p.select("room", F.col("device_ts").alias("ts"), "voltage", "current", "power", "energy_kwh",
+    return (p.select("room", F.col("device_ts").alias("ts"),
+                     F.round("voltage", 4).alias("voltage"), F.round("current", 6).alias("current"),   # S5 storage
+                     F.round("power", 4).alias("power"), F.round("energy_kwh", 8).alias("energy_kwh"),  # rounding
                      "light_state", "wifi", "cloud", "sd_card")
             .withWatermark("ts", watermark)
             .dropDuplicatesWithinWatermark(["room", "ts"]))
