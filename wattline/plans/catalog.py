@@ -256,14 +256,16 @@ def _rate_for_date(spark, sf_dir):
 
 @query("holt_winters_fit")
 def _holt_winters_fit(spark, sf_dir):
-    """M7 for every series (iterative fit: no SQL oracle)."""
-    return tariff.holt_winters_fit(_tariff(spark, sf_dir)).drop("season")
+    """M7 for every series (the oracle replays the fold as a recursive CTE)."""
+    fit = tariff.holt_winters_fit(_tariff(spark, sf_dir)).drop("season")
+    return fit.withColumns({c: F.round(c, 8) for c in ("sse", "level", "trend", "aic", "bic")})
 
 
 @query("forecast_rates")
 def _forecast_rates(spark, sf_dir):
     """M8: 12 months ahead for every series."""
-    return tariff.forecast_rates(tariff.holt_winters_fit(_tariff(spark, sf_dir)), 12)
+    f = tariff.forecast_rates(tariff.holt_winters_fit(_tariff(spark, sf_dir)), 12)
+    return f.withColumn("rate", F.round("rate", 8))
 
 
 @query("rate_for_date_forecast")
@@ -272,7 +274,8 @@ def _rate_for_date_forecast(spark, sf_dir):
     r = _tariff(spark, sf_dir)
     dates = _tariff_dates(r)
     fit = tariff.holt_winters_fit(r)
-    return tariff.rate_for_date(dates, r, tariff.forecast_at(fit, dates))
+    out = tariff.rate_for_date(dates, r, tariff.forecast_at(fit, dates))
+    return out.withColumn("rate", F.round("rate", 8))
 
 
 # --- deterministic predictions and rules ------------------------------------------

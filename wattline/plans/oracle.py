@@ -904,3 +904,88 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE ts IS NULL) AS invalid_timesta
        count(*) FILTER (WHERE ts IS NOT NULL AND energy_kwh IS NULL) AS invalid_energy,
        count(*) FILTER (WHERE ts IS NOT NULL AND energy_kwh IS NOT NULL) AS n_valid
 FROM tparsed""")
+
+
+# --- Holt-Winters fold as a recursive CTE (the same arithmetic, step by step) ---------
+
+from ..operators.tariff import DEFAULT_GRID  # noqa: E402
+
+
+def _vals(xs) -> str:
+    return ", ".join(f"({float(x)!r}::DOUBLE)" for x in xs)
+
+
+HW = TARIFF + f""",
+hw_grid AS (
+  SELECT g.series, g.month, t.rate FROM (
+    SELECT series, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
+    FROM tariff GROUP BY series) g
+  LEFT JOIN tariff t ON t.series = g.series AND t.month = g.month),
+hw_arr AS (
+  SELECT series, list(rate ORDER BY month) AS y, max(month) AS last_month, count(*) AS n
+  FROM hw_grid GROUP BY series HAVING count(*) >= 24),
+hw_par AS (
+  SELECT a.a, b.b, c.g FROM (VALUES {_vals(DEFAULT_GRID['alpha'])}) a(a),
+                          (VALUES {_vals(DEFAULT_GRID['beta'])}) b(b),
+                          (VALUES {_vals(DEFAULT_GRID['gamma'])}) c(g)),
+hw_init AS (
+  SELECT series, y, n, last_month, m1, (m2 - m1) / 12.0 AS t0,
+         list_transform(y[1:12], lambda x: coalesce(x, m1) - m1) AS s0
+  FROM (SELECT *,
+          list_reduce(list_prepend(0.0::DOUBLE, list_transform(y[1:12], lambda x: coalesce(x, 0.0::DOUBLE))), lambda p, q: p + q)
+            / greatest(len(list_filter(y[1:12], lambda x: x IS NOT NULL)), 1) AS m1,
+          list_reduce(list_prepend(0.0::DOUBLE, list_transform(y[13:24], lambda x: coalesce(x, 0.0::DOUBLE))), lambda p, q: p + q)
+            / greatest(len(list_filter(y[13:24], lambda x: x IS NOT NULL)), 1) AS m2
+        FROM hw_arr)),
+hw(series, a, b, g, i, l, t, s, sse, nobs) AS (
+  SELECT series, a, b, g, 0, m1, t0, s0, 0.0::DOUBLE, 0 FROM hw_init, hw_par
+  UNION ALL
+  SELECT h.series, h.a, h.b, h.g, h.i + 1,
+         CASE WHEN yy IS NOT NULL THEN h.a * (yy - sk) + (1.0 - h.a) * (h.l + h.t) ELSE h.l + h.t END,
+         CASE WHEN yy IS NOT NULL
+              THEN h.b * ((h.a * (yy - sk) + (1.0 - h.a) * (h.l + h.t)) - h.l) + (1.0 - h.b) * h.t ELSE h.t END,
+         list_transform(h.s, lambda v, j: CASE WHEN j = h.i % 12 + 1 AND yy IS NOT NULL
+              THEN h.g * (yy - (h.a * (yy - sk) + (1.0 - h.a) * (h.l + h.t))) + (1.0 - h.g) * sk ELSE v END),
+         h.sse + CASE WHEN yy IS NOT NULL THEN (yy - (h.l + h.t + sk)) * (yy - (h.l + h.t + sk)) ELSE 0.0 END,
+         h.nobs + CASE WHEN yy IS NOT NULL THEN 1 ELSE 0 END
+  FROM (SELECT h.*, hw_init.y[h.i + 1] AS yy, h.s[h.i % 12 + 1] AS sk, hw_init.n AS n
+        FROM hw h JOIN hw_init ON hw_init.series = h.series) h
+  WHERE h.i < h.n),
+hw_best AS (
+  SELECT * FROM (
+    SELECT hw.*, i.last_month,
+           row_number() OVER (PARTITION BY hw.series ORDER BY sse, a, b, g) AS rn
+    FROM hw JOIN hw_init i ON i.series = hw.series WHERE hw.i = i.n) WHERE rn = 1)"""
+
+
+def with_hw(body: str, extra: str = "") -> str:
+    return "WITH RECURSIVE " + HW + ("," + extra if extra else "") + "\n" + body
+
+
+oracle("holt_winters_fit", with_hw("""
+SELECT series, strftime(last_month, '%Y-%m-%d') AS last_month, a AS alpha, b AS beta, g AS gamma,
+       round(sse, 8) AS sse, CAST(nobs AS BIGINT) AS n_obs, CAST(i AS BIGINT) AS n_steps,
+       round(l, 8) AS level, round(t, 8) AS trend,
+       round(nobs * ln(greatest(sse, 1e-300) / nobs) + 34, 8) AS aic,
+       round(nobs * ln(greatest(sse, 1e-300) / nobs) + 17.0 * ln(CAST(nobs AS DOUBLE)), 8) AS bic
+FROM hw_best"""))
+
+oracle("forecast_rates", with_hw("""
+SELECT series, strftime(CAST(last_month + h * INTERVAL 1 MONTH AS DATE), '%Y-%m-%d') AS month, CAST(h AS BIGINT) AS horizon,
+       round(l + h * t + s[(i + h - 1) % 12 + 1], 8) AS rate
+FROM hw_best, generate_series(1, 12) hh(h)"""))
+
+oracle("rate_for_date_forecast", with_hw("""
+SELECT d.series, strftime(d.date, '%Y-%m-%d') AS date, round(coalesce(
+         tt.rate,
+         CASE WHEN f.series IS NOT NULL AND hm > 0 THEN f.l + hm * f.t + f.s[(f.i + hm - 1) % 12 + 1] END,
+         s.last_rate, 11.0), 8) AS rate
+FROM (SELECT d0.*, (year(d0.date) - year(s0.last_month)) * 12 + month(d0.date) - month(s0.last_month) AS hm
+      FROM dates d0 LEFT JOIN t_summ2 s0 ON s0.series = d0.series) d
+LEFT JOIN tariff tt ON tt.series = d.series AND tt.month = CAST(date_trunc('month', d.date) AS DATE)
+LEFT JOIN t_summ2 s ON s.series = d.series
+LEFT JOIN hw_best f ON f.series = d.series""", """
+dates AS (
+  SELECT series, CAST(m + INTERVAL 14 DAY AS DATE) AS date FROM (
+    SELECT series, unnest(generate_series(min(month) - INTERVAL 3 MONTH, max(month) + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS m
+    FROM tariff GROUP BY series))"""))
