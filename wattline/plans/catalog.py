@@ -642,7 +642,8 @@ def _stream_readings(spark, sf_dir):
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/landing/payload-{uuid.uuid4().hex}"
     txt.write.mode("overwrite").json(path)
-    return streams.run_until_caught_up(streams.stream_readings(streams.payload_stream(spark, path)), "payload")
+    return streams.run_until_caught_up(streams.stream_readings(streams.payload_stream(spark, path)), "payload",
+                                       keys=["room", "ts"])
 
 
 @query("rolling_last_60")

@@ -989,3 +989,10 @@ dates AS (
   SELECT series, CAST(m + INTERVAL 14 DAY AS DATE) AS date FROM (
     SELECT series, unnest(generate_series(min(month) - INTERVAL 3 MONTH, max(month) + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS m
     FROM tariff GROUP BY series))"""))
+
+
+oracle("stream_readings", with_readings(f"""
+SELECT room, {sql_ts('device_ts')} AS ts, round(voltage, 4) AS voltage, round(current, 6) AS current,
+       round(power, 4) AS power, round(energy_kwh, 8) AS energy_kwh, light_state, wifi, cloud, sd_card
+FROM (SELECT pp.*, row_number() OVER (PARTITION BY pp.room, pp.device_ts ORDER BY r.ts, pl.text) AS rn
+      FROM pp JOIN pl ON pl.id = pp.id JOIN readings r ON r.id = pp.id) WHERE rn = 1""", _PAYLOAD))

@@ -93,15 +93,20 @@ def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
 
 
 def stream_readings(payloads: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Parse, stamp with the device clock (fallback: arrival time), drop
-    repeats of (room, device second) within the watermark."""
+    """Parse, stamp with the device clock (fallback: arrival time), and keep
+    the first payload to arrive for each (room, device second) — the log's
+    insert-or-ignore — as a watermarked aggregation (state per key lives until
+    the watermark passes it).  Run in update mode (``run_until_caught_up`` with
+    keys room, ts) or append mode for closed seconds only."""
     p = parse_payload(payloads, ingest_ts=F.col("received_at"))
-    return (p.select("room", F.col("device_ts").alias("ts"),
-                     F.round("voltage", 4).alias("voltage"), F.round("current", 6).alias("current"),   # S5 storage
-                     F.round("power", 4).alias("power"), F.round("energy_kwh", 8).alias("energy_kwh"),  # rounding
-                     "light_state", "wifi", "cloud", "sd_card")
-            .withWatermark("ts", watermark)
-            .dropDuplicatesWithinWatermark(["room", "ts"]))
+    rows = p.select("room", F.col("device_ts").alias("ts"), "received_at", "text",
+                    F.round("voltage", 4).alias("voltage"), F.round("current", 6).alias("current"),   # S5 storage
+                    F.round("power", 4).alias("power"), F.round("energy_kwh", 8).alias("energy_kwh"),  # rounding
+                    "light_state", "wifi", "cloud", "sd_card")
+    keep = ["voltage", "current", "power", "energy_kwh", "light_state", "wifi", "cloud", "sd_card"]
+    g = rows.withWatermark("ts", watermark).groupBy("room", "ts").agg(
+        F.min_by(F.struct(*keep), F.struct("received_at", "text")).alias("r"))
+    return g.select("room", "ts", *[F.col(f"r.{c}").alias(c) for c in keep])
 
 
 # --- T2 / T3 / T4: aggregations ------------------------------------------------------
