@@ -47,3 +47,26 @@ def test_stream_hourly_equals_batch(spark):
     y = present(r.groupBy("room", F.date_trunc("hour", "ts").alias("window_start")).agg(
         exact.avg_rounded("power", 2, 2).alias("avg_power"), F.count("power").alias("n_readings"))).select(*x.columns)
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_controller_state_machine_unsorted_chunks(spark):
+    """Rows of a room may arrive in any order within a micro-batch."""
+    import datetime as dt
+
+    from wattline.streaming import streams
+
+    t0 = dt.datetime(2024, 3, 4, 6, 0)
+    rows = [("705", t0 + dt.timedelta(minutes=m), t0 + dt.timedelta(minutes=m, seconds=5), p, False, None)
+            for m, p in [(3, 0), (0, 1), (2, 0), (1, 0), (9, 0)]]
+    schema = "room string, frame_ts timestamp, tick_ts timestamp, persons int, in_class boolean, class_event string"
+    ticks = spark.createDataFrame(rows, schema)
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="ticks-")
+    ticks.repartition(3).write.mode("overwrite").parquet(path)
+    got = streams.run_until_caught_up(streams.stream_light_decision(streams.file_stream(spark, path, ticks.schema, files_per_batch=None)), "t")
+    got = {r["frame_ts"]: (r["mode"], r["countdown"]) for r in got.collect()}
+    assert got[t0] == ("PERSON", 0)
+    assert got[t0 + dt.timedelta(minutes=1)] == ("PERSON", 240)
+    assert got[t0 + dt.timedelta(minutes=3)] == ("PERSON", 120)
+    assert got[t0 + dt.timedelta(minutes=9)] == ("OFF", 0)

@@ -101,14 +101,15 @@ def occupancy_sessions(person_det: DataFrame, gap_seconds: int = fixed.PERSON_GO
 def last_seen(frames: DataFrame, person_det: DataFrame) -> DataFrame:
     """For each frame tick, the last person time at or before it (the tick
     itself when the frame has persons); as-of by a running max over the union of
-    ticks and detections per room (segmented), no pairs."""
-    t = frames.select("room", F.col("tick_ts").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp").alias("_p"),
-                      "frame_ts")
+    ticks and detections per room (segmented), no pairs.  Frame columns travel
+    through the union, so frames are produced once."""
+    cols = [c for c in frames.columns if c != "room"]
+    t = frames.select("room", F.col("tick_ts").alias("_t"), F.lit(1).alias("_kind"),
+                      F.lit(None).cast("timestamp").alias("_p"), *cols)
     p = person_det.select("room", F.col("ts").alias("_t"), F.lit(0).alias("_kind"), F.col("ts").alias("_p"),
-                          F.lit(None).cast("timestamp").alias("frame_ts"))
+                          *[F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in cols])
     u = scans.running_max(t.unionByName(p), ["room"], ["_t", "_kind"], F.col("_p"), "_last", _hour("_t"))
-    seen = u.where(F.col("_kind") == 1).select("room", "frame_ts", F.col("_last").alias("_asof"))
-    out = frames.join(seen, ["room", "frame_ts"], "left")
+    out = u.where(F.col("_kind") == 1).select("room", *cols, F.col("_last").alias("_asof"))
     return out.withColumn("last_seen", F.when(F.col("persons") > 0, F.col("tick_ts")).otherwise(F.col("_asof"))).drop("_asof")
 
 

@@ -143,10 +143,12 @@ def rolling_rows(
     next block as context, so a window per (key, block) sees every frame whole.
     """
     d = row_index(df, keys, order, "_rr_idx", block)
-    d = d.withColumn("_rr_blk", ((F.col("_rr_idx") - 1 - (F.col("_rr_idx") - 1) % block_rows) / block_rows).cast("long"))
+    d = d.withColumn("_rr_own", ((F.col("_rr_idx") - 1 - (F.col("_rr_idx") - 1) % block_rows) / block_rows).cast("long"))
     tail = (F.col("_rr_idx") - 1) % block_rows >= block_rows - (n - 1)
-    ctx = d.where(tail).withColumn("_rr_blk", F.col("_rr_blk") + 1).withColumn("_rr_ctx", F.lit(True))
-    u = d.withColumn("_rr_ctx", F.lit(False)).unionByName(ctx)
+    # one pass: every row goes to its own block; a tail row also goes to the next one as context
+    copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    u = d.withColumn("_rr_copy", F.explode(copies)).withColumn("_rr_blk", F.col("_rr_own") + F.col("_rr_copy")) \
+        .withColumn("_rr_ctx", F.col("_rr_copy") == 1).drop("_rr_own", "_rr_copy")
     w = Window.partitionBy(*keys, "_rr_blk").orderBy("_rr_idx").rowsBetween(-(n - 1), 0)
     u = u.withColumns({name: F.sum(col).over(w) for name, col in values.items()}).withColumn(
         "_rr_n", F.count(F.lit(1)).over(w)

@@ -85,7 +85,9 @@ def _latest_reading(spark, sf_dir):
 def _nearest_available_date(spark, sf_dir):
     """K4 for every room and every calendar day from 2 days before its first
     reading to 2 days after its last."""
-    avail = rollups.available_dates(tables.readings(spark, sf_dir, with_counter=False))
+    from ..session import cut_lineage
+
+    avail = cut_lineage(rollups.available_dates(tables.readings(spark, sf_dir, with_counter=False)))  # rooms x days
     req = avail.groupBy("room").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(
         "room",
         F.explode(F.sequence(F.date_sub("lo", 2), F.date_add("hi", 2))).alias("date"),
@@ -627,7 +629,7 @@ def _stream_light_decision(spark, sf_dir):
     ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts").select(
         "room", "frame_ts", "tick_ts", "persons", "in_class", "class_event")
     path = _landed(ticks, "ticks")
-    feed = streams.file_stream(spark, path, spark.read.parquet(path).schema)
+    feed = streams.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=None)  # a replay
     return streams.run_until_caught_up(streams.stream_light_decision(feed), "light")
 
 

@@ -87,9 +87,18 @@ def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = FILE
 
 
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
-                files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """A landed feed as a stream, ``files_per_batch`` files per micro-batch."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
+                files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
+    """A landed feed as a stream, ``files_per_batch`` files per micro-batch
+    (``None``: everything landed so far in one micro-batch).
+
+    The per-room state machines (T5-T7) need each room's events in time order
+    across micro-batches, as a live device or camera feed delivers them; files
+    written in parallel have no such order, so a replay of landed history is
+    read as one micro-batch (each function sorts within its batch)."""
+    r = spark.readStream.format(fmt).schema(schema)
+    if files_per_batch is not None:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
+    return r.load(folder)
 
 
 def stream_readings(payloads: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -212,7 +221,7 @@ def stream_throttle(persons: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COO
 def _every_nth(n_every: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "id"], kind="stable")
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "id"], kind="stable").reset_index(drop=True)
         poll_no = seen + np.arange(1, len(pdf) + 1, dtype="int64")
         state.update((int(seen + len(pdf)),))
         keep = pdf.assign(poll_no=poll_no)[poll_no % n_every == 0]
@@ -235,7 +244,7 @@ def stream_status_downsample(status: DataFrame, every: int = fixed.STATUS_EVERY_
 def _controller(gone_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, on = (state.get[0], state.get[1]) if state.exists else (None, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("_tick_us", kind="stable")
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("_tick_us", kind="stable").reset_index(drop=True)
         modes, events, cds, cmds = [], [], [], []
         for t, persons, in_class, cls in zip(pdf["_tick_us"], pdf["persons"], pdf["in_class"], pdf["class_event"]):
             now = persons > 0
