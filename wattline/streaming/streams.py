@@ -172,7 +172,8 @@ def _sessionize(gap_us: int):
             g.loc[cont, "min"] = s0
             g.loc[cont, "count"] = g.loc[cont, "count"] + n0
             if not cont.any():               # the open session did not continue: re-emit it unchanged
-                g = pd.concat([pd.DataFrame({"sid": [0], "min": [s0], "max": [e0], "count": [n0]}), g])
+                g = pd.concat([pd.DataFrame({"sid": [0], "min": [s0], "max": [e0], "count": [n0]}), g],
+                              ignore_index=True)
         last = g.iloc[-1]
         state.update((int(last["min"]), int(last["max"]), int(last["count"])))
         yield pd.DataFrame({"room": key[0], "start_us": g["min"].astype("int64"), "end_us": g["max"].astype("int64"),
