@@ -70,3 +70,34 @@ def test_controller_state_machine_unsorted_chunks(spark):
     assert got[t0 + dt.timedelta(minutes=1)] == ("PERSON", 240)
     assert got[t0 + dt.timedelta(minutes=3)] == ("PERSON", 120)
     assert got[t0 + dt.timedelta(minutes=9)] == ("OFF", 0)
+
+
+def test_state_carries_across_micro_batches(spark, tmp_path):
+    """Two time-ordered landings, one file per micro-batch: sessions and the
+    throttle continue from the state of the previous batch."""
+    import datetime as dt
+    import time
+
+    from pyspark.sql import functions as F
+
+    from wattline.operators import occupancy
+    from wattline.streaming import streams
+
+    t0 = dt.datetime(2024, 3, 4, 6, 0)
+    secs = [0, 1, 1.5, 3.6, 100, 250, 260, 599, 600.5, 1000, 1001, 1003.5]
+    rows = [(i, "705", t0 + dt.timedelta(seconds=s), 0, 0.9) for i, s in enumerate(secs)]
+    schema = "det_id long, room string, ts timestamp, class_id int, confidence double"
+    df = spark.createDataFrame(rows, schema)
+    land = str(tmp_path / "det")
+    df.where(F.col("det_id") < 6).coalesce(1).write.mode("append").parquet(land)
+    time.sleep(1.1)
+    df.where(F.col("det_id") >= 6).coalesce(1).write.mode("append").parquet(land)
+    feed = lambda: streams.file_stream(spark, land, df.schema, files_per_batch=1)
+
+    s = streams.run_until_caught_up(streams.stream_sessions_stateful(feed()), "s", keys=["room", "session_start"])
+    b = occupancy.occupancy_sessions(df.withColumn("frame_ts", F.date_trunc("minute", "ts"))).drop("session_no")
+    assert s.exceptAll(b.select(*s.columns)).count() == 0 and b.select(*s.columns).exceptAll(s).count() == 0
+
+    th = streams.run_until_caught_up(streams.stream_throttle(feed()), "th")
+    tb = occupancy.notification_throttle(df)
+    assert th.exceptAll(tb).count() == 0 and tb.exceptAll(th).count() == 0
