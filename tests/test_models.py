@@ -1,6 +1,5 @@
 """MLlib path: a small fit, persistence, and the fallback when no model loads."""
 
-from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from wattline.operators import features, models

@@ -3,7 +3,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
 
 from wattline.operators import tariff
 

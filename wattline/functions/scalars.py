@@ -151,8 +151,8 @@ def room_type_label(room_type: Column, web: bool = False) -> Column:
     return F.when(room_type == "lab", F.lit("Laboratory")).otherwise(F.lit(other))
 
 
-def room_type_numeric(room_type: Column, training: bool = True) -> Column:
-    """lab -> 1, lecture (training) / anything else -> 0."""
+def room_type_numeric(room_type: Column) -> Column:
+    """lab -> 1; lecture and anything else -> 0 (training and prediction agree)."""
     return F.when(room_type == "lab", F.lit(1)).otherwise(F.lit(0))
 
 

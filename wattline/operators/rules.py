@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import exact
 
-TYPE_RANK = {"energy_kWh": 0, "energy_cost_Php": 1}
 
 
 MAX_RULES = 10_000   # a rule table is configuration; refuse anything larger
