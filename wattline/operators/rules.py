@@ -32,7 +32,7 @@ def rule_rows(rules: DataFrame | list) -> list[tuple]:
     """
     if isinstance(rules, list):
         return list(rules)
-    n = rules.count()
+    n = rules.limit(MAX_RULES + 1).count()
     if n > MAX_RULES:
         raise ValueError(f"rule table has {n} rows (> {MAX_RULES}); not configuration")
     order = "rule_order" if "rule_order" in rules.columns else None
@@ -90,7 +90,7 @@ def alerts(daily: DataFrame, alerts_df: DataFrame, value_col: str, kind: str) ->
 
     ``daily`` has room, date and ``value_col``.  Rows where no rule fires drop out.
     """
-    n = alerts_df.count()
+    n = alerts_df.limit(MAX_RULES + 1).count()
     if n > MAX_RULES:
         raise ValueError(f"alert table has {n} rows (> {MAX_RULES}); not configuration")
     rows = [r for r in alerts_df.orderBy("rule_order").collect()
@@ -148,7 +148,7 @@ def alerts_multi(daily: DataFrame, alerts_df: DataFrame, kinds: dict[str, str])
     its value column; one output row per (daily row, kind) that fires."""
     # one generator over the daily rows instead of a union of per-kind filters,
     # so the daily table is produced once
-    n = alerts_df.count()
+    n = alerts_df.limit(MAX_RULES + 1).count()
     if n > MAX_RULES:
         raise ValueError(f"alert table has {n} rows (> {MAX_RULES}); not configuration")
     rows = alerts_df.orderBy("rule_order").collect()
