@@ -83,7 +83,8 @@ def write_export(df: DataFrame, path: str) -> None:
     No rows -> no files (the writer creates none for an empty frame).
     """
     (df.repartition("room").sortWithinPartitions("room", "ts")
-       .write.mode("overwrite").option("header", True).partitionBy("room").csv(path))
+       .write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+       .partitionBy("room").csv(path))
 
 
 def retain_since(df: DataFrame, keep_days: int = fixed.RETENTION_DAYS, as_of: Column | None = None,
