@@ -88,6 +88,38 @@ def train_kwh(daily: DataFrame, enhanced: bool = False, params: dict | None = No
     return model, metrics, imp_df, names
 
 
+def evaluate_kwh(model: PipelineModel, daily: DataFrame, enhanced: bool = False):
+    """Metrics and importances of a fitted (or loaded) kWh model on the 'test' split."""
+    if enhanced:
+        data = feat.training_matrix(daily)
+        cols = list(feat.ENHANCED_FEATURES)
+    else:
+        key = F.concat_ws("|", F.col("room"), F.date_format("date", "yyyy-MM-dd"))
+        data = daily.withColumn("split", feat.hash_split(key))
+        cols = list(BASIC_FEATURES)
+    data = data.fillna(0, subset=cols)
+    scored = model.transform(data.where(F.col("split") == "test"))
+    metrics = feat.regression_metrics(scored, "energy_kwh", "prediction").withColumn(
+        "model", F.lit("enhanced" if enhanced else "basic"))
+    names = cols + ([] if enhanced else _onehot_names(model))
+    imps = model.stages[-1].featureImportances.toArray().tolist()
+    imp_df = daily.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, imps)],
+                                                "feature string, importance double")
+    return metrics, imp_df, names
+
+
+def load_or_train_kwh(daily: DataFrame, path: str, enhanced: bool = False):
+    """S12 + M5: load the model saved at ``path``, else train and save it there.
+
+    Returns (model, metrics, importances, feature names)."""
+    model = load_model_or_fallback([path])
+    if model is None:
+        model, _, _, _ = train_kwh(daily, enhanced)
+        model.write().overwrite().save(path)
+    metrics, imp_df, names = evaluate_kwh(model, daily, enhanced)
+    return model, metrics, imp_df, names
+
+
 def _onehot_names(model: PipelineModel) -> list[str]:
     labels = model.stages[0].labels
     return [f"room_type_{x}" for x in labels]  # k slots (the unknown slot is dropped)

@@ -659,11 +659,28 @@ def _rolling_last_60(spark, sf_dir):
 _MODELS: dict = {}
 
 
+def _model_root(spark) -> str:
+    """Saved models live in the shared checkpoint folder; a fixed local folder
+    only when the session names none (local runs and tests)."""
+    import tempfile
+
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{conf.rstrip('/')}/models" if conf else f"{tempfile.gettempdir()}/wattline-models"
+
+
 def _kwh_model(spark, sf_dir):
-    """One basic kWh model per (session, data folder), shared by the model queries."""
+    """The basic kWh model of a data folder: loaded if a model trained on the same
+    training file was saved before (S12), else trained and saved (M5, S11)."""
+    import hashlib
+    import os
+
     key = (id(spark), sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = models.train_kwh(_daily(spark, sf_dir))
+        src = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+        st = os.stat(src) if os.path.exists(src) else None
+        tag = hashlib.md5(f"{os.path.abspath(sf_dir)}|{st.st_size if st else ''}|{st.st_mtime_ns if st else ''}"
+                          f"|{sorted(models.BASIC_PARAMS.items())}".encode()).hexdigest()[:16]
+        _MODELS[key] = models.load_or_train_kwh(_daily(spark, sf_dir), f"{_model_root(spark)}/kwh-basic-{tag}")
     return _MODELS[key]
 
 
