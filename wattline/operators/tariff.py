@@ -141,22 +141,35 @@ def _fold(values: Column, a: Column, b: Column, g: Column) -> Column:
         F.lit(0).alias("n"),
     )
 
+    def let(value: Column, body) -> Column:
+        """Evaluate ``value`` once and use it in ``body`` (no subexpression
+        elimination happens inside lambdas)."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def step(acc, y):
         k = acc["i"] % SEASON
-        s_k = F.element_at(acc["s"], k + 1)
-        yhat = acc["l"] + acc["t"] + s_k
         obs = y.isNotNull()
-        l_new = F.when(obs, a * (y - s_k) + (F.lit(1.0) - a) * (acc["l"] + acc["t"])).otherwise(acc["l"] + acc["t"])
-        t_new = F.when(obs, b * (l_new - acc["l"]) + (F.lit(1.0) - b) * acc["t"]).otherwise(acc["t"])
-        s_new_k = F.when(obs, g * (y - l_new) + (F.lit(1.0) - g) * s_k).otherwise(s_k)
-        return F.struct(
-            l_new.alias("l"),
-            t_new.alias("t"),
-            F.transform(acc["s"], lambda v, j: F.when(j == k, s_new_k).otherwise(v)).alias("s"),
-            (acc["i"] + 1).alias("i"),
-            (acc["sse"] + F.when(obs, (y - yhat) * (y - yhat)).otherwise(F.lit(0.0))).alias("sse"),
-            (acc["n"] + F.when(obs, 1).otherwise(0)).alias("n"),
-        )
+
+        def with_season(s_k):
+            lt = acc["l"] + acc["t"]
+            l_expr = F.when(obs, a * (y - s_k) + (F.lit(1.0) - a) * lt).otherwise(lt)
+
+            def with_level(l_new):
+                t_new = F.when(obs, b * (l_new - acc["l"]) + (F.lit(1.0) - b) * acc["t"]).otherwise(acc["t"])
+                s_new_k = F.when(obs, g * (y - l_new) + (F.lit(1.0) - g) * s_k).otherwise(s_k)
+                err = y - (lt + s_k)
+                return F.struct(
+                    l_new.alias("l"),
+                    t_new.alias("t"),
+                    F.transform(acc["s"], lambda v, j: F.when(j == k, s_new_k).otherwise(v)).alias("s"),
+                    (acc["i"] + 1).alias("i"),
+                    (acc["sse"] + F.when(obs, err * err).otherwise(F.lit(0.0))).alias("sse"),
+                    (acc["n"] + F.when(obs, 1).otherwise(0)).alias("n"),
+                )
+
+            return let(l_expr, with_level)
+
+        return let(F.element_at(acc["s"], k + 1), with_season)
 
     return F.aggregate(values, init, step)
 
@@ -180,9 +193,11 @@ def holt_winters_fit(rates: DataFrame, grid: dict | None = None, min_points: int
         F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma"))
                   for a in grid["alpha"] for b in grid["beta"] for g in grid["gamma"]])
     )
-    # One row per (series, parameter triple); spread the folds over all tasks
-    # (a few series would otherwise keep all their trials in one task each).
-    trials = arrays.select("series", "y", "last_month", params.alias("p")).repartition("series", "p").select(
+    # One row per (series, parameter triple); spread the folds over all cores.
+    # The rows are tiny in bytes, so the count is explicit: AQE would coalesce a
+    # column-only repartition back into one task, serialising the CPU-bound folds.
+    n_tasks = max(1, arrays.sparkSession.sparkContext.defaultParallelism)
+    trials = arrays.select("series", "y", "last_month", params.alias("p")).repartition(n_tasks, "series", "p").select(
         "series", "last_month", "p", _fold(F.col("y"), F.col("p.alpha"), F.col("p.beta"), F.col("p.gamma")).alias("st")
     )
     best = trials.groupBy("series", "last_month").agg(
