@@ -32,10 +32,10 @@ def parse_reading_ts(date_str: Column | str, time_str: Column | str) -> Column:
     """
     d, t = F.trim(_c(date_str)), F.trim(_c(time_str))
     text = F.concat_ws(" ", d, t)
-    parsed = F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd h:mm:ss a")),
-        F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")),
-    )
+    # Only text ending in AM/PM can match the 12 h pattern and only text without
+    # it the 24 h one, so the shape picks the pattern (a failed parse is costly).
+    parsed = F.when(t.rlike(r"(?i)\s[ap]m$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd h:mm:ss a"))) \
+        .otherwise(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")))
     ok = (F.length(d) > 0) & (F.length(t) > 0) & F.year(parsed).between(2020, 2030)
     return F.when(ok, parsed)
 
@@ -43,21 +43,23 @@ def parse_reading_ts(date_str: Column | str, time_str: Column | str) -> Column:
 def coerce_ts(date_str: Column | str, time_str: Column | str | None = None) -> Column:
     """date [+ ' ' + time] -> timestamp; a failed date+time falls back to the date alone."""
     d = F.trim(_c(date_str))
-    date_only = F.coalesce(
-        F.try_to_timestamp(d, F.lit("yyyy-M-d")),
-        F.try_to_timestamp(d, F.lit("yyyy-M-d H:m:s")),
-        F.try_to_timestamp(d, F.lit("M/d/yyyy")),
+    date_only = (
+        F.when(d.rlike("/"), F.try_to_timestamp(d, F.lit("M/d/yyyy")))
+        .when(d.rlike(":"), F.try_to_timestamp(d, F.lit("yyyy-M-d H:m:s")))
+        .otherwise(F.try_to_timestamp(d, F.lit("yyyy-M-d")))
     )
     if time_str is None:
         return date_only
-    text = F.concat_ws(" ", d, F.trim(_c(time_str)))
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")),
-        F.try_to_timestamp(text, F.lit("yyyy-M-d H:m")),
-        F.try_to_timestamp(text, F.lit("yyyy-M-d h:mm:ss a")),
-        F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")),
-        date_only,
+    t = F.trim(_c(time_str))
+    text = F.concat_ws(" ", d, t)
+    # the text's shape picks the pattern; a failed parse is costly
+    with_time = (
+        F.when(t.rlike(r"(?i)\s[ap]m$"), F.try_to_timestamp(text, F.lit("yyyy-M-d h:mm:ss a")))
+        .when(d.rlike("/"), F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")))
+        .when(t.rlike("^[0-9]{1,2}:[0-9]{1,2}$"), F.try_to_timestamp(text, F.lit("yyyy-M-d H:m")))
+        .otherwise(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")))
     )
+    return F.coalesce(with_time, date_only)
 
 
 def device_event_time(text: Column | str, fallback: Column) -> Column:
