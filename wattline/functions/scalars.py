@@ -78,18 +78,14 @@ def coerce_numeric(x: Column | str) -> Column:
     """text -> double, null when it is not a number (NaN text -> null)."""
     s = _c(x).cast("string")
     v = F.when(s.rlike(FLOAT_TEXT), F.trim(s).try_cast("double"))
-    return F.when(~F.isnan(v), v)
+    return F.nanvl(v, F.lit(None).cast("double"))          # one evaluation; NaN -> null
 
 
 def safe_float(x: Column | str, default: float = 0.0) -> Column:
     """float or ``default``; a NaN text stays null (as the store keeps it)."""
     s = _c(x).cast("string")
-    v = F.trim(s).try_cast("double")
-    return (
-        F.when(~s.rlike(FLOAT_TEXT) | s.isNull(), F.lit(default))
-        .when(F.isnan(v), F.lit(None).cast("double"))
-        .otherwise(v)
-    )
+    v = F.nanvl(F.trim(s).try_cast("double"), F.lit(None).cast("double"))   # one evaluation; NaN -> null
+    return F.when(~s.rlike(FLOAT_TEXT) | s.isNull(), F.lit(default)).otherwise(v)
 
 
 def clean_key(x: Column | str) -> Column:
