@@ -169,6 +169,9 @@ def client_fallback(grid: DataFrame) -> DataFrame:
     )
 
 
-def date_grid(rooms: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Every room x every day in [start, end] (an explode per room, no join)."""
-    return rooms.select("room", F.explode(F.sequence(start, end)).alias("date"))
+def date_grid(rooms: DataFrame, start, end) -> DataFrame:
+    """Every room x every day in [start, end] (dates or date Columns; an
+    explode per room, no join)."""
+    s = start if isinstance(start, Column) else F.lit(start).cast("date")
+    e = end if isinstance(end, Column) else F.lit(end).cast("date")
+    return rooms.select("room", F.explode(F.sequence(s, e)).alias("date"))
