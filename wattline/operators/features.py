@@ -174,13 +174,17 @@ def floor_summary(daily: DataFrame) -> DataFrame:
 def rooms_by_floor(daily: DataFrame, sample: int = 5) -> DataFrame:
     """A10: per floor — distinct rooms, the first five (text order), '(+n more)'.
 
-    Distinct (floor, room) first (partial aggregation), then one small array per floor.
-    """
+    Only the shown rooms are gathered: the first five per (floor, hash bucket of
+    the room), then the first five per floor from those candidates; the room
+    count is a separate aggregate."""
+    from .scans import top_k_per_key
+
     rooms = daily.select("floor", "room").distinct()
-    g = rooms.groupBy("floor").agg(F.count(F.lit(1)).alias("n_rooms"), F.sort_array(F.collect_list("room")).alias("rooms"))
-    shown = F.array_join(F.slice("rooms", 1, sample), ", ")
+    counts = rooms.groupBy("floor").agg(F.count(F.lit(1)).alias("n_rooms"))
+    first = top_k_per_key(rooms, ["floor"], [F.col("room")], sample, F.abs(F.hash("room")) % 64)
+    shown = first.groupBy("floor").agg(F.array_join(F.sort_array(F.collect_list("room")), ", ").alias("_shown"))
     more = F.when(F.col("n_rooms") > sample, F.format_string(", ... (+%d more)", F.col("n_rooms") - sample)).otherwise(F.lit(""))
-    return g.select("floor", "n_rooms", F.concat(shown, more).alias("sample"))
+    return counts.join(shown, "floor").select("floor", "n_rooms", F.concat(F.col("_shown"), more).alias("sample"))
 
 
 def weekday_distribution(daily: DataFrame) -> DataFrame:

@@ -68,21 +68,12 @@ def occupancy_edges(frames: DataFrame) -> DataFrame:
     return f.where(edge.isNotNull()).select("room", "frame_ts", "persons", edge.alias("edge"))
 
 
-def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, block: Column) -> DataFrame:
-    """Top ``k`` rows per key by ``order`` in two levels: top k per (key, block),
-    then top k of those candidates per key (at most k per block)."""
-    w1 = Window.partitionBy(*keys, "_tk_blk").orderBy(*order)
-    cand = df.withColumn("_tk_blk", block).withColumn("_tk_rn", F.row_number().over(w1)).where(F.col("_tk_rn") <= k)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return cand.withColumn("_tk_rn", F.row_number().over(w2)).where(F.col("_tk_rn") <= k).drop("_tk_blk", "_tk_rn")
-
-
 def detection_changes(frames: DataFrame, keep: int = 15) -> DataFrame:
     """Log a frame when it has persons and the count differs from the
     previous frame (start: 0); keep the latest ``keep`` entries per room."""
     f = scans.previous_value(frames, ["room"], ["frame_ts"], F.col("persons"), "_prev", _hour("frame_ts"))
     logged = f.where((F.col("persons") > 0) & (F.col("persons") != F.coalesce(F.col("_prev"), F.lit(0))))
-    top = top_k_per_key(logged, ["room"], [F.col("frame_ts").desc()], keep, F.to_date("frame_ts"))
+    top = scans.top_k_per_key(logged, ["room"], [F.col("frame_ts").desc()], keep, F.to_date("frame_ts"))
     return top.select("room", "frame_ts", "persons", "avg_confidence")
 
 
