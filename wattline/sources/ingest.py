@@ -74,11 +74,16 @@ def parse_import(raw: DataFrame, room: str = "705") -> DataFrame:
 
 
 def first_per_key(parsed: DataFrame) -> DataFrame:
-    """Keep the first row in file order per (ts, room): insert-or-ignore within the file."""
-    valid = parsed.where(F.col("ts").isNotNull())
-    cols = [c for c in valid.columns if c not in ("ts", "room")]
-    g = valid.groupBy("ts", "room").agg(F.min_by(F.struct(*cols), F.col("line_no")).alias("r"))
-    return g.select("ts", "room", *[F.col(f"r.{c}").alias(c) for c in cols])
+    """Keep the first row in file order per (ts, room): insert-or-ignore within the file.
+
+    Lines whose timestamp did not parse form the null-ts group, dropped after the
+    aggregate by its count of valid timestamps: a filter before the aggregate
+    would be pushed below the parsing projection and parse every line twice.
+    The partial aggregate keeps that group one row per task."""
+    cols = [c for c in parsed.columns if c not in ("ts", "room")]
+    g = parsed.groupBy("ts", "room").agg(
+        F.min_by(F.struct(*cols), F.col("line_no")).alias("r"), F.count("ts").alias("_n_valid"))
+    return g.where(F.col("_n_valid") > 0).select("ts", "room", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def ingest(raw: DataFrame, existing_log: DataFrame, room: str = "705") -> DataFrame:
