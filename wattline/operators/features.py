@@ -58,11 +58,14 @@ def require_columns(df: DataFrame, required=("date", "energy_kwh", "room")) -> D
     return df
 
 
-def clean_training_text(raw: DataFrame) -> DataFrame:
+def clean_training_text(raw: DataFrame, drop_invalid: bool = True) -> DataFrame:
     """Normalise a text training table and drop invalid rows.
 
     Adds ``ts`` from date[+time]; energy to number.  Rows whose timestamp or
-    energy does not parse are dropped (coerce-then-drop).
+    energy does not parse are dropped (coerce-then-drop).  With
+    ``drop_invalid=False`` they are kept and marked (``_valid``) instead, for
+    ``daily_totals`` to skip: a filter here would be pushed below the parsing
+    projection and parse every row twice.
     """
     df = require_columns(normalize_headers(raw))
     cols = {"room": F.trim(F.col("room").cast("string"))}
@@ -74,6 +77,8 @@ def clean_training_text(raw: DataFrame) -> DataFrame:
         if c in df.columns:
             cols[c] = coerce_numeric(F.col(c))
     df = df.withColumns(cols)
+    if not drop_invalid:
+        return df.withColumn("_valid", F.col("ts").isNotNull() & F.col("energy_kwh").isNotNull())
     return df.where(F.col("ts").isNotNull()).where(F.col("energy_kwh").isNotNull())
 
 
@@ -105,24 +110,34 @@ def daily_totals(readings: DataFrame) -> DataFrame:
     map side — then per (room, date), where the mode is the type with the most
     rows (lowest name on ties; nulls never win, A2) and the sums add up."""
     has_rt = "room_type" in readings.columns
+    marked = "_valid" in readings.columns          # rows marked by clean_training_text(drop_invalid=False)
+    ok = F.col("_valid") if marked else F.lit(True)
+
+    def only_valid(c):
+        return F.when(ok, c)
+
     d = readings.withColumn("date", F.to_date("ts"))
     if not has_rt:
         d = d.withColumn("room_type", F.lit(None).cast("string"))
-    parts = [F.count(F.lit(1)).alias("_n"),
-             F.sum(exact.units(F.col("energy_kwh"), ENERGY_DECIMALS)).alias("_e")]
+    parts = [F.count_if(ok).alias("_n"),
+             F.sum(only_valid(exact.units(F.col("energy_kwh"), ENERGY_DECIMALS))).alias("_e")]
     for c in ("voltage", "current"):
         if c in readings.columns:
-            parts += [F.sum(exact.units(F.col(c), 2)).alias(f"_s_{c}"), F.count(c).alias(f"_c_{c}")]
+            parts += [F.sum(only_valid(exact.units(F.col(c), 2))).alias(f"_s_{c}"),
+                      F.count(only_valid(F.col(c))).alias(f"_c_{c}")]
     first = d.groupBy("room", "date", "room_type").agg(*parts)
     aggs = [exact.units_rounded(F.sum("_e"), ENERGY_DECIMALS, ENERGY_DECIMALS).alias("energy_kwh")]
     for c in ("voltage", "current"):
         if c in readings.columns:
             aggs.append(exact.ratio_rounded(F.sum(f"_s_{c}"), F.sum(f"_c_{c}"), 2, 4).alias(c))
     if has_rt:
-        pick = F.min_by(F.col("room_type"),
-                        F.struct(F.col("room_type").isNull().alias("z"), (-F.col("_n")).alias("n"), F.col("room_type")))
+        pick = F.min_by(F.col("room_type"), F.struct(
+            (F.col("_n") == 0).alias("none"), F.col("room_type").isNull().alias("z"),
+            (-F.col("_n")).alias("n"), F.col("room_type")))
         aggs.append(F.coalesce(pick, F.lit("unknown")).alias("room_type"))
-    return first.groupBy("room", "date").agg(*aggs)
+    out = first.groupBy("room", "date").agg(*aggs, F.sum("_n").alias("_n_valid"))
+    # groups of invalid rows only (the null date of unparsed timestamps) drop out after the aggregate
+    return out.where(F.col("_n_valid") > 0).drop("_n_valid")
 
 
 def daily_features(readings: DataFrame) -> DataFrame:

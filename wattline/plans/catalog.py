@@ -736,7 +736,7 @@ def _model_registry(spark, sf_dir):
 def _training_text_daily(spark, sf_dir):
     """Header keywords -> canonical names, coerce, drop
     invalid rows, daily totals (text training file stand-in)."""
-    clean = features.clean_training_text(tables.training_text(spark, sf_dir))
+    clean = features.clean_training_text(tables.training_text(spark, sf_dir), drop_invalid=False)
     return features.daily_totals(clean)
 
 
