@@ -71,3 +71,14 @@ def test_factors_and_minutes(spark):
     s = spark.createDataFrame([("Connected",), ("Failed",), ("Unknown",)], "s string").select(
         scalars.status_class(F.col("s")).alias("c")).collect()
     assert [r["c"] for r in s] == ["ok", "err", "warn"]
+
+
+def test_coerce_ts_shapes(spark):
+    rows = [("2024-01-05", "13:04:05"), ("2024-1-5", "7:04"), ("2024-01-05", "01:04:05 PM"), ("1/5/2024", "13:04:05"),
+            ("2024-01-05", "garbage"), ("bad", "13:00"), ("2024-01-05 13:04:05", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] for r in df.select(scalars.coerce_ts(F.col("a"), F.col("b"))).collect()]
+    assert got == [dt.datetime(2024, 1, 5, 13, 4, 5), dt.datetime(2024, 1, 5, 7, 4), dt.datetime(2024, 1, 5, 13, 4, 5),
+                   dt.datetime(2024, 1, 5, 13, 4, 5), dt.datetime(2024, 1, 5), None, dt.datetime(2024, 1, 5, 13, 4, 5)]
+    only = [r[0] for r in df.select(scalars.coerce_ts(F.col("a"))).collect()]
+    assert only[0] == dt.datetime(2024, 1, 5) and only[3] == dt.datetime(2024, 1, 5) and only[5] is None
