@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import langid, mixing, setsketch
+from wattline.llm import langid, mixing, packing, pii, setsketch
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(docs.select("doc_id", "text"), model)
     x = F.col("langid")
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), x["lang"].alias("lang_pred"), x["score"].alias("score"), x["rejected"].alias("rejected"))
+
+
+@query
+def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
