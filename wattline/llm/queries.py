@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import langid, mixing, packing, pii, setsketch
+from wattline.llm import langid, mixing, packing, pii, setsketch, toxicity
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,11 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(crc_mod(F.col("doc_id"), 3) != 1))
+    found = toxicity.detect(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
