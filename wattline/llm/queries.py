@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import langid, mixing, packing, pii, setsketch, toxicity
+from wattline.llm import langid, lcp, mixing, packing, pii, setsketch, toxicity
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels.filter(crc_mod(F.col("doc_id"), 3) != 1))
     found = toxicity.detect(docs, model)
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+@query
+def op10_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.fingerprint_with_edits(table(spark, sf_dir, "documents"))

@@ -203,28 +203,52 @@ def _verified(p: Params):
     return run
 
 
-def _cross_block(p: Params):
-    """Pairs of one (bucket, block i, block j) in different components that pass the estimate."""
-    width = p.rows
+def _cross_blocks(p: Params):
+    """Pairs in different components that pass the estimate, of whole (bucket, block i, block j) groups."""
+    width, most = p.rows, 1 << 16
+
+    def pairs_of(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        blk, bi, bj = (pdf[c].to_numpy() for c in ("blk", "bi", "bj"))
+        key = pdf[["band", "h", "bi", "bj"]].to_numpy()
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(pdf)]):
+            left = lo + np.flatnonzero(blk[lo:hi] == bi[lo])
+            right = lo + np.flatnonzero(blk[lo:hi] == bj[lo])
+            for part in np.array_split(left, max(1, len(left) * len(right) // most)):
+                i, j = np.repeat(part, len(right)), np.tile(right, len(part))
+                ok = i < j if bi[lo] == bj[lo] else np.ones(len(i), bool)
+                yield i[ok], j[ok]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["band", "h", "bi", "bj"], kind="stable").reset_index(drop=True)
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
-        n, keys = pdf["n"].to_numpy(np.float64), pdf["ck"].to_numpy()
-        _, root = np.unique(np.array([bytes(r) for r in pdf["root"]], dtype=object), return_inverse=True)
-        blk, (bi, bj, band) = pdf["blk"].to_numpy(), (int(pdf[c].iloc[0]) for c in ("bi", "bj", "band"))
-        left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-        out_a, out_b = [], []
-        for i in left:
-            js = right[right > i] if bi == bj else right
-            js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) >= p.threshold * np.maximum(n[js], n[i]))]
-            if len(js) and band:  # a pair is handled in the first band it shares
-                same = (regs[js, : band * width] == regs[i, : band * width]).reshape(len(js), band, width).all(2).any(1)
-                js = js[~same]
-            if len(js):
-                est = estimate(np.broadcast_to(regs[i], (len(js), regs.shape[1])), regs[js], np.full(len(js), n[i]), n[js], p.b)
-                for j in js[est >= p.floor]:
-                    out_a.append(min(keys[i], keys[j]))
-                    out_b.append(max(keys[i], keys[j]))
+        bands = regs.view(np.uint64) if width == 4 else None
+        n, keys, band = pdf["n"].to_numpy(np.float64), pdf["ck"].to_numpy(), pdf["band"].to_numpy()
+        root = pd.factorize(pdf["root"].map(bytes))[0]
+        out_a, out_b, wait = [], [], [[], []]
+
+        def judge() -> None:
+            i, j = (np.concatenate(x) for x in wait)
+            wait[0], wait[1] = [], []
+            for lo in range(0, len(i), most):
+                x, y = i[lo : lo + most], j[lo : lo + most]
+                good = estimate(regs[x], regs[y], n[x], n[y], p.b) >= p.floor
+                for u, v in zip(x[good], y[good]):
+                    out_a.append(min(keys[u], keys[v]))
+                    out_b.append(max(keys[u], keys[v]))
+
+        for i, j in pairs_of(pdf):
+            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= p.threshold * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            if len(i):  # a pair is handled in the first band it shares
+                same = bands[i] == bands[j] if bands is not None else (regs[i] == regs[j]).reshape(len(i), -1, width).all(2)
+                first = same.argmax(1) == band[i]
+                wait[0].append(i[first])
+                wait[1].append(j[first])
+            if sum(map(len, wait[0])) >= most:
+                judge()
+        if wait[0]:
+            judge()
         return pd.DataFrame({"a": out_a, "b": out_b})
 
     return run
@@ -296,7 +320,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     open_rows = open_rows.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("ck"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     blocks = open_rows.select("*", other).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
-    cross = blocks.select("band", "h", "bi", "bj", "blk", "ck", "root", "n", "regs").groupBy("band", "h", "bi", "bj").applyInPandas(_cross_block(p), "a binary, b binary").distinct()
+    blocks = materialize(blocks.select("band", "h", "bi", "bj", "blk", "ck", "root", "n", "regs"), "setsketch-open")
+    # whole block pairs share a task, about 4 blocks' rows in each
+    tasks = max(1, blocks.count() // (4 * p.block))
+    task = F.pmod(F.xxhash64("band", "h", "bi", "bj"), F.lit(tasks))
+    cross = blocks.groupBy(task.alias("task")).applyInPandas(_cross_blocks(p), "a binary, b binary").distinct()
     more = materialize(_checked(cross, classes, docs, p, known_estimate=True), "setsketch-links")
     if not more.isEmpty():
         roots = components(links.union(more))
