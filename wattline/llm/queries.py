@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import langid, lcp, mixing, packing, pii, setsketch, toxicity
+from wattline.llm import langid, lcp, mixing, packing, pii, setsketch, toxicity, warc
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
