@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import langid, lcp, mixing, packing, pii, setsketch, srs, toxicity, warc
+from wattline.llm import langid, layout, lcp, mixing, packing, pii, setsketch, srs, toxicity, warc
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return srs.nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
+@query
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.extract(table(spark, sf_dir, "pages"))
