@@ -57,6 +57,7 @@ class Params:
     a: float = 20.0
     seed: int = 11
     block: int = 1024
+    block_elements: int = 1_000_000
 
     @property
     def threshold(self) -> float:
@@ -204,70 +205,87 @@ def _verified(p: Params):
 
 
 def _cross_blocks(p: Params):
-    """Pairs in different components that pass the estimate, of whole (bucket, block i, block j) groups."""
+    """Links between different components within whole (bucket, block i, block j) groups: pairs that share
+    this band first and pass the estimate are verified on the full sets; links that join nothing new in the
+    group are left out, so a group gives fewer links than it has members."""
     width, most = p.rows, 1 << 16
 
-    def pairs_of(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        blk, bi, bj = (pdf[c].to_numpy() for c in ("blk", "bi", "bj"))
-        key = pdf[["band", "h", "bi", "bj"]].to_numpy()
-        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(pdf)]):
-            left = lo + np.flatnonzero(blk[lo:hi] == bi[lo])
-            right = lo + np.flatnonzero(blk[lo:hi] == bj[lo])
-            for part in np.array_split(left, max(1, len(left) * len(right) // most)):
-                i, j = np.repeat(part, len(right)), np.tile(right, len(part))
-                ok = i < j if bi[lo] == bj[lo] else np.ones(len(i), bool)
-                yield i[ok], j[ok]
+    def pairs_of(blk: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+        for part in np.array_split(left, max(1, len(left) * len(right) // most)):
+            i, j = np.repeat(part, len(right)), np.tile(right, len(part))
+            ok = i < j if bi == bj else np.ones(len(i), bool)
+            yield i[ok], j[ok]
+
+    def links(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(len(g), -1)
+        bands = regs.reshape(len(g), -1, width)
+        n, band = g["n"].to_numpy(np.float64), int(g["band"].iloc[0])
+        root = pd.factorize(g["root"].map(bytes))[0]
+        up = list(range(root.max() + 1))  # disjoint sets of components
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        elems = [np.frombuffer(e, _U) for e in g["elems"]]
+        names = np.unique(np.concatenate(elems))
+        elems = [np.searchsorted(names, e) for e in elems]
+        mark = np.zeros(len(names), bool)
+        for i, j in pairs_of(g["blk"].to_numpy(), int(g["bi"].iloc[0]), int(g["bj"].iloc[0])):
+            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= p.percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            if band and len(i):  # a pair is handled in the first band it shares
+                ok = ~(bands[i, :band] == bands[j, :band]).all(2).any(1)
+                i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            ok = estimate(regs[i], regs[j], n[i], n[j], p.b) >= p.floor
+            i, j = i[ok], j[ok]
+            for x in np.unique(i):
+                ys = [y for y in j[i == x] if find(root[x]) != find(root[y])]
+                if not ys:
+                    continue
+                mark[elems[x]] = True
+                sizes = np.array([len(elems[y]) for y in ys])
+                both = np.add.reduceat(mark[np.concatenate([elems[y] for y in ys])].astype(np.int64), segment_starts(sizes))
+                mark[elems[x]] = False
+                for k in np.flatnonzero(100 * both >= p.percent * (len(elems[x]) + sizes - both)):
+                    u, v = find(root[x]), find(root[ys[k]])
+                    if u != v:
+                        up[u] = v
+                        yield int(x), int(ys[k])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["band", "h", "bi", "bj"], kind="stable").reset_index(drop=True)
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
-        bands = regs.view(np.uint64) if width == 4 else None
-        n, keys, band = pdf["n"].to_numpy(np.float64), pdf["ck"].to_numpy(), pdf["band"].to_numpy()
-        root = pd.factorize(pdf["root"].map(bytes))[0]
-        out_a, out_b, wait = [], [], [[], []]
-
-        def judge() -> None:
-            i, j = (np.concatenate(x) for x in wait)
-            wait[0], wait[1] = [], []
-            for lo in range(0, len(i), most):
-                x, y = i[lo : lo + most], j[lo : lo + most]
-                good = estimate(regs[x], regs[y], n[x], n[y], p.b) >= p.floor
-                for u, v in zip(x[good], y[good]):
-                    out_a.append(min(keys[u], keys[v]))
-                    out_b.append(max(keys[u], keys[v]))
-
-        for i, j in pairs_of(pdf):
-            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= p.threshold * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            if len(i):  # a pair is handled in the first band it shares
-                same = bands[i] == bands[j] if bands is not None else (regs[i] == regs[j]).reshape(len(i), -1, width).all(2)
-                first = same.argmax(1) == band[i]
-                wait[0].append(i[first])
-                wait[1].append(j[first])
-            if sum(map(len, wait[0])) >= most:
-                judge()
-        if wait[0]:
-            judge()
-        return pd.DataFrame({"a": out_a, "b": out_b})
+        a, b = [], []
+        for _, g in pdf.groupby(["band", "h", "bi", "bj"], sort=True):
+            keys = g["ck"].to_numpy()
+            for x, y in links(g):
+                a.append(min(keys[x], keys[y]))
+                b.append(max(keys[x], keys[y]))
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params, known_estimate: bool = False) -> DataFrame:
-    """Of candidate pairs (a, b) of class keys, those whose full sets are linked."""
-    if not known_estimate:
-        c = classes.select("ck", "n", "regs")
-        both = (pairs.join(c.select(F.col("ck").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
-                .join(c.select(F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-                .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent))
-        pairs = both.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(_estimated(p), "a binary, b binary")
-    pairs = materialize(pairs, "setsketch-pairs")
-    used = pairs.select(F.col("a").alias("ck")).union(pairs.select("b")).distinct()
+def _full_sets(used: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Full sets (ck, elems) of the class keys in `used` (ck), made anew from one text of each class."""
     reps = used.join(classes.select("ck", "rep"), "ck").select(F.col("rep").alias("rep_id")).distinct()
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep_id"]), "left_semi").select("text")
-    sets = texts.mapInPandas(_set_rows(p), "ck binary, elems binary").join(used, "ck", "left_semi").dropDuplicates(["ck"])
-    sets = materialize(sets, "setsketch-sets")
+    return materialize(texts.mapInPandas(_set_rows(p), "ck binary, elems binary").join(used, "ck", "left_semi").dropDuplicates(["ck"]), "setsketch-sets")
+
+
+def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Of candidate pairs (a, b) of class keys, those whose full sets are linked."""
+    c = classes.select("ck", "n", "regs")
+    both = (pairs.join(c.select(F.col("ck").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
+            .join(c.select(F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
+            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent))
+    pairs = materialize(both.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(_estimated(p), "a binary, b binary"), "setsketch-pairs")
+    used = pairs.select(F.col("a").alias("ck")).union(pairs.select("b")).distinct()
+    sets = _full_sets(used, classes, docs, p)
     full = (pairs.join(sets.select(F.col("ck").alias("b"), F.col("elems").alias("eb")), "b")
             .join(sets.select(F.col("ck").alias("a"), F.col("elems").alias("ea")), "a"))
     return full.select("a", "b", "ea", "eb").mapInPandas(_verified(p), "a binary, b binary")
@@ -314,18 +332,20 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     # what is left: buckets of three and more whose members lie in different components
     labelled = buckets.filter("size > 2").select("band", "h", "ck").join(roots, "ck", "left").withColumn("root", F.coalesce("root", "ck"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1")
-    open_rows = labelled.join(mixed.select("band", "h", "size"), ["band", "h"]).join(classes.select("ck", "n", "regs"), "ck")
-    nb = F.ceil(F.col("size") / p.block).cast("int")
-    open_rows = open_rows.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("ck"), F.col("nb")).cast("int"))
+    labelled = labelled.join(classes.select("ck", "n", "regs"), "ck")
+    mixed = labelled.groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements")).filter("r0 <> r1")
+    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("elements") / p.block_elements)).cast("int")
+    open_rows = materialize(labelled.join(mixed.select("band", "h", blocks.alias("nb")), ["band", "h"]), "setsketch-open")
+    sets = _full_sets(open_rows.select("ck").distinct(), classes, docs, p)
+    open_rows = open_rows.withColumn("blk", F.pmod(F.xxhash64("ck"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    blocks = open_rows.select("*", other).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
-    blocks = materialize(blocks.select("band", "h", "bi", "bj", "blk", "ck", "root", "n", "regs"), "setsketch-open")
-    # whole block pairs share a task, about 4 blocks' rows in each
-    tasks = max(1, blocks.count() // (4 * p.block))
-    task = F.pmod(F.xxhash64("band", "h", "bi", "bj"), F.lit(tasks))
-    cross = blocks.groupBy(task.alias("task")).applyInPandas(_cross_blocks(p), "a binary, b binary").distinct()
-    more = materialize(_checked(cross, classes, docs, p, known_estimate=True), "setsketch-links")
+    paired = open_rows.select("*", other).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
+    # block pairs share tasks: about 4 million set elements in each
+    total = paired.agg(F.sum("n")).first()[0] or 0
+    task = F.pmod(F.xxhash64("band", "h", "bi", "bj"), F.lit(max(1, total // (4 * p.block_elements))))
+    cross = (paired.join(sets, "ck").select("band", "h", "bi", "bj", "blk", "ck", "root", "n", "regs", "elems", task.alias("task"))
+             .groupBy("task").applyInPandas(_cross_blocks(p), "a binary, b binary").distinct())
+    more = materialize(cross, "setsketch-links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
