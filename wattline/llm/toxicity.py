@@ -5,7 +5,9 @@ scores by a logistic model of its words (each word: itself and its leading
 bytes, hashed); a document's score is the noisy-or of its sentences,
 1 - prod(1 - p).  Only document labels are learned from: the gradient reaches
 the sentences through the noisy-or, so blame settles on the sentences that
-explain the label, and the trained model then locates them.  Only features that
+explain the label, and the trained model then locates them.  A sentence without
+learned words scores `leak` (in logits), next to nothing, so that length alone
+makes no document toxic.  Only features that
 occur in more toxic documents than chance explains (G test of at least
 `evidence`) are learned, so that rare words are not learned by heart.
 
@@ -51,7 +53,8 @@ class Params:
     bits: int = 18
     prefixes: tuple[int, ...] = (5, 6, 7)
     epochs: int = 12
-    rate: float = 0.3
+    rate: float = 1.0
+    leak: float = -12.0
     batch: int = 32
     l2: float = 2e-4
     seed: int = 3
@@ -130,7 +133,6 @@ def fit(docs: list[tuple[int, float, np.ndarray, np.ndarray]], p: Params = Param
         bags.append((y, weight, ids[ok], sent[ok], n))
     w = np.zeros(1 << p.bits)
     squares = np.full(1 << p.bits, 1e-3)
-    bias, bias_sq = -5.0, 1e-3
     for _ in range(p.epochs):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), p.batch):
@@ -142,7 +144,7 @@ def fit(docs: list[tuple[int, float, np.ndarray, np.ndarray]], p: Params = Param
                 continue
             ids = np.concatenate([b[2] for b in pick])
             at = np.concatenate([b[3] + f for b, f in zip(pick, first)])
-            z = bias + np.bincount(at, w[ids], total)
+            z = p.leak + np.bincount(at, w[ids], total)
             prob = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             doc_of = np.repeat(np.arange(len(pick)), counts)
             clean = np.exp(np.bincount(doc_of, _log_clean(z), len(pick)))
@@ -154,10 +156,7 @@ def fit(docs: list[tuple[int, float, np.ndarray, np.ndarray]], p: Params = Param
             g = np.bincount(inverse, gz[at], len(touched)) + p.l2 * w[touched]
             squares[touched] += g * g
             w[touched] -= p.rate * g / np.sqrt(squares[touched])
-            gb = gz.sum()
-            bias_sq += gb * gb
-            bias -= p.rate * gb / np.sqrt(bias_sq)
-    return Model(w.astype(np.float32), float(bias), p.bits, p.prefixes)
+    return Model(w.astype(np.float32), p.leak, p.bits, p.prefixes)
 
 
 def score(model: Model, texts: list[str | None], cache: WordWeights) -> np.ndarray:
