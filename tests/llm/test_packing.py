@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from wattline.llm.packing import Packer, Params, pack
+from wattline.llm.packing import Encoder, Packer, Params, pack
 
 TEXTS = [None, "", "a", "One two  three\n\n four   five <|endoftext|> six's", "trailing ", "  lead", "tab\t x   y", "word " * 9000, "日本語 テキスト", "x" * 3000] + [f"short {i}" for i in range(700)]
 
@@ -53,3 +53,9 @@ def test_loss_column_and_empty_table(spark):
     got = {r.doc_id: (r.length, r.loss_tokens) for r in pack(df, loss="loss").groupBy("doc_id").sum("length", "loss_tokens").toDF("doc_id", "length", "loss_tokens").collect()}
     assert got[1][0] == got[1][1] and got[2][1] == 0 and got[3][0] == got[3][1]
     assert pack(df.limit(0)).count() == 0
+
+
+def test_ranks_give_the_tokenizers_ids():
+    rng, parts = np.random.default_rng(1), ["a", "Zé", " ", "  ", "\n", "\t", " ", " ", "　", "\x85", "'s", "'LL", "9", "½", "日本", "👍🏽", "<|endoftext|>", "--", "​", "\r\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(3000)]
+    assert Encoder(Params()).encode(texts) == Encoder(Params(ranks=None)).encode(texts)

@@ -11,8 +11,7 @@ is trimmed to a power of two, a length that needs no padding, and the rest
 goes back to the pool; so at most a few short sequences arise per partition.
 
 All happens in one pass over the partitions of the input, nothing is shuffled;
-memory holds the pool (`pool` pieces shorter than a sequence) and the word
-cache.  sequence_id = partition number * 2^40 + number in the partition; a
+memory holds the pool (`pool` pieces shorter than a sequence).  sequence_id = partition number * 2^40 + number in the partition; a
 retried task packs its partition the same way again.
 
 Cases: null or empty text: the end id alone, one token.  Null doc_id: kept
@@ -23,8 +22,10 @@ null or missing: every token bears loss.
 
 from __future__ import annotations
 
-import re
+import base64
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,63 +41,68 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 @dataclass(frozen=True)
 class Params:
-    """Limits of a sequence; tokenizer: file of the installed tokenizer, or a path."""
+    """Limits of a sequence.  tokenizer: installed tokenizer file, or a path; ranks: the same vocabulary as
+    ranks (None: there are none); checked: texts of each partition held against the tokenizer."""
 
     tokens: int = 2048
     segments: int = 256
     loss_tokens: int = 2048
     end_id: int = 1
     tokenizer: str = "byte_bpe_50k.json"
+    ranks: str | None = "byte_bpe_50k.tiktoken"
+    checked: int = 32
     pool: int = 512
-    cache: int = 600_000
 
 
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit), by the tokenizer's own results.
+    """Texts to ids (little-endian unsigned 32-bit).
 
-    Its pre-tokenizer always parts a text before a single space between other
-    characters, so stretches from one such space to the next are encoded once
-    and kept.  A text with white space before a space is encoded whole."""
-
-    _odd = re.compile(r"\s ")
+    The ids are those of the tokenizer's file.  Where its vocabulary is also
+    given as ranks, the faster library that reads these does the work, and the
+    first texts of each partition are held against the tokenizer itself."""
 
     def __init__(self, p: Params):
         from tokenizers import Tokenizer
 
-        path = p.tokenizer
-        if "/" not in path:
+        self.tok = Tokenizer.from_file(self._path(p.tokenizer))
+        self.tok.encode_special_tokens = True
+        self.fast, self.to_check = None, p.checked
+        if p.ranks:
             import public_tokenizers
+            import tiktoken
 
-            path = public_tokenizers.path(path)
-        self.tok = Tokenizer.from_file(str(path))
-        self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.limit = p.cache
-        self.end = np.array([p.end_id], "<u4").tobytes()
+            with open(self._path(p.ranks), "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding(p.ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.end = self._bytes([p.end_id])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _path(name: str) -> str:
+        if "/" in name:
+            return name
+        import public_tokenizers
+
+        return str(public_tokenizers.path(name))
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id behind."""
-        parts: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        for t in texts:
-            if self._odd.search(t):
-                parts.append(None)
-                continue
-            ws = t.split(" ")
-            ws[1:] = [" " + w for w in ws[1:]]
-            parts.append(ws)
-            missing.update(dict.fromkeys(w for w in ws if w not in cache))
-        new = list(missing)
-        for lo in range(0, len(new), 4096):
-            cache.update(zip(new[lo : lo + 4096], self._ids(new[lo : lo + 4096])))
-        whole = iter(self._ids([t for t, ws in zip(texts, parts) if ws is None]))
-        return [(next(whole) if ws is None else b"".join(map(cache.__getitem__, ws))) + self.end for ws in parts]
+        if self.fast is None:
+            return [self._bytes(e.ids) + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [self.fast.encode_ordinary(t) for t in texts]
+        if self.to_check > 0:
+            few = sorted(range(len(texts)), key=lambda i: len(texts[i]))[: self.to_check]
+            self.to_check = 0
+            for i in few:
+                if self.tok.encode(texts[i], add_special_tokens=False).ids != out[i]:
+                    raise ValueError("the ranks give other ids than the tokenizer")
+        return [self._bytes(ids) + self.end for ids in out]
 
 
 class Packer:
