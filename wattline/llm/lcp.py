@@ -187,7 +187,7 @@ def in_order(docs: DataFrame, blocks: int) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", probs, 10 * blocks)).first()[0] if probs else None
     splits = [float("-inf"), *(sorted({float(c) for c in cuts or []}) or [0.0]), float("inf")]
     bucket = Bucketizer(splits=splits, inputCol="id_double", outputCol="block", handleInvalid="keep")
-    rows = bucket.transform(docs.withColumn("id_double", F.col("doc_id").cast("double"))).select(F.col("block").cast("int").alias("block"), F.lit(0).alias("extra"), "doc_id", "text")
+    rows = bucket.transform(docs.withColumn("id_double", F.col("doc_id").cast("double"))).select(F.coalesce(F.col("block").cast("int"), F.lit(len(splits))).alias("block"), F.lit(0).alias("extra"), "doc_id", "text")
     firsts = rows.groupBy("block").agg(F.min("doc_id").alias("first_id"))
     order = Window.orderBy("block")  # a row for each block
     before = F.coalesce(F.lag("block").over(order), F.last("block").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
