@@ -1,10 +1,9 @@
-"""Exact decimal rounding of averages and differences.
+"""Exact decimal arithmetic on readings: sums at storage precision, only results rounded.
 
-Readings carry a fixed number of decimals (power 2, voltage 1, counter 8), so an
-average of them is a ratio of integers.  Rounding that ratio in integer units is
-exact and independent of summation order; rounding a double average is not (ties
-such as x.xx5 flip with the order partial sums arrive in).  Rounding is half-up,
-which is Spark's ``round`` rule for the non-negative quantities used here.
+The log stores power and voltage with 4 decimals, current with 6 and energy with
+8 (SURVEY §1.2).  A value becomes an integer count of its last stored decimal,
+sums of counts are decimals of up to 38 digits, and a ratio is rounded half-up
+in integers, so results do not depend on summation order and ties do not flip.
 """
 
 from __future__ import annotations
@@ -12,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Decimals the log stores.
+POWER = VOLTAGE = 4
+CURRENT = 6
+ENERGY = 8
+
 
 def units(col: Column | str, decimals: int) -> Column:
     """Value as an integer count of 10**-decimals."""
@@ -19,9 +23,15 @@ def units(col: Column | str, decimals: int) -> Column:
     return F.round(c * F.lit(10 ** decimals)).cast("long")
 
 
-def _idiv(a: Column, b: Column) -> Column:
-    """Floor division of non-negative longs, exact."""
-    return ((a - a % b) / b).cast("long")
+def total(u: Column | str) -> Column:
+    """Aggregate: sum of integer counts; as a decimal it does not overflow."""
+    c = F.col(u) if isinstance(u, str) else u
+    return F.sum(c.cast("decimal(20,0)"))
+
+
+def idiv(a: Column, b: Column | int) -> Column:
+    """Floor division of non-negative integers (longs or whole decimals), exact; the quotient is a long."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
 def ratio_rounded(num: Column, den: Column, num_decimals: int, out_decimals: int) -> Column:
@@ -29,19 +39,21 @@ def ratio_rounded(num: Column, den: Column, num_decimals: int, out_decimals: int
 
     ``num`` is a sum of integer units, ``den`` a row count or weight sum.
     """
-    if out_decimals >= num_decimals:
-        scaled = num * F.lit(10 ** (out_decimals - num_decimals))
-        q = _idiv(scaled * 2 + den, den * 2)
-    else:
-        step = 10 ** (num_decimals - out_decimals)
-        q = _idiv(num * 2 + den * step, den * 2 * step)
-    return F.when(den > 0, q / F.lit(float(10 ** out_decimals)))
+    return F.when(den > 0, ratio_units(num, den, num_decimals, out_decimals) / F.lit(float(10 ** out_decimals)))
+
+
+def ratio_units(num: Column, den: Column, num_decimals: int, out_decimals: int) -> Column:
+    """As ratio_rounded, as an integer count of 10**-out_decimals (``den`` positive)."""
+    up = 10 ** max(0, out_decimals - num_decimals)
+    step = 10 ** max(0, num_decimals - out_decimals)
+    wide = num.cast("decimal(38,0)") * F.lit(2 * up).cast("decimal(20,0)") + den * F.lit(step)
+    return idiv(wide, (den * F.lit(2 * step)).cast("decimal(38,0)"))
 
 
 def avg_rounded(col: Column | str, in_decimals: int, out_decimals: int) -> Column:
-    """Aggregate: exact half-up rounded mean of a column with ``in_decimals`` decimals."""
+    """Aggregate: exact half-up rounded mean of a column stored with ``in_decimals`` decimals."""
     c = F.col(col) if isinstance(col, str) else col
-    return ratio_rounded(F.sum(units(c, in_decimals)), F.count(c), in_decimals, out_decimals)
+    return ratio_rounded(total(units(c, in_decimals)), F.count(c), in_decimals, out_decimals)
 
 
 def units_rounded(u: Column, in_decimals: int, out_decimals: int) -> Column:
@@ -56,56 +68,14 @@ def spread_rounded(col: Column | str, in_decimals: int, out_decimals: int) -> Co
     return units_rounded(F.max(u) - F.min(u), in_decimals, out_decimals)
 
 
-# --- SQL twins (DuckDB dialect) used by the oracle queries -----------------
-
-def sql_units(expr: str, decimals: int) -> str:
-    return f"CAST(round(({expr}) * {10 ** decimals}) AS BIGINT)"
-
-
-def sql_ratio_rounded(num: str, den: str, num_decimals: int, out_decimals: int) -> str:
-    if out_decimals >= num_decimals:
-        scaled = f"(({num}) * {10 ** (out_decimals - num_decimals)})"
-        q = f"(({scaled}) * 2 + ({den})) // (({den}) * 2)"
-    else:
-        step = 10 ** (num_decimals - out_decimals)
-        q = f"(({num}) * 2 + ({den}) * {step}) // (({den}) * {2 * step})"
-    return f"(CASE WHEN ({den}) > 0 THEN CAST({q} AS DOUBLE) / {float(10 ** out_decimals)} END)"
-
-
-def sql_avg_rounded(expr: str, in_decimals: int, out_decimals: int) -> str:
-    return sql_ratio_rounded(
-        f"sum({sql_units(expr, in_decimals)})", f"count({expr})", in_decimals, out_decimals
-    )
-
-
-def sql_units_rounded(u: str, in_decimals: int, out_decimals: int) -> str:
-    return sql_ratio_rounded(u, "CAST(1 AS BIGINT)", in_decimals, out_decimals)
-
-
-def sql_spread_rounded(expr: str, in_decimals: int, out_decimals: int) -> str:
-    u = sql_units(expr, in_decimals)
-    return sql_units_rounded(f"(max({u}) - min({u}))", in_decimals, out_decimals)
-
-
 def fixed_text(u: Column, decimals: int) -> Column:
     """Non-negative integer units as fixed-point text ('%d.%0Nd'), engine-independent."""
     step = 10 ** decimals
-    return F.format_string(f"%d.%0{decimals}d", _idiv(u, F.lit(step)), u % step)
+    return F.format_string(f"%d.%0{decimals}d", idiv(u, F.lit(step)), u % step)
 
 
 def current_e6(power: Column, voltage: Column) -> Column:
     """power / voltage in 1e-6 A, half-up, from centiwatts and decivolts."""
     cw = units(power, 2)
     dv = units(voltage, 1)
-    return _idiv(cw * 200000 + dv, dv * 2)
-
-
-def sql_fixed_text(u: str, decimals: int) -> str:
-    step = 10 ** decimals
-    return f"printf('%d.%0{decimals}d', ({u}) // {step}, ({u}) % {step})"
-
-
-def sql_current_e6(power: str, voltage: str) -> str:
-    cw = sql_units(power, 2)
-    dv = sql_units(voltage, 1)
-    return f"(({cw}) * 200000 + ({dv})) // (({dv}) * 2)"
+    return idiv(cw * 200000 + dv, dv * 2)

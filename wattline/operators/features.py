@@ -4,7 +4,7 @@ P0b-P0d, U3, U5, M2-M4).
 The reference builds the daily table with three pandas groupbys merged back
 together; here it is one ``groupBy(room, date).agg(...)`` (partial aggregation
 on the map side), followed by projections.  Energies are summed in integer
-units of 1e-4 kWh so totals do not depend on summation order.
+units of the stored precision (1e-8 kWh), so totals do not depend on summation order.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ..functions.scalars import (
     room_type_from_floor,
 )
 
-ENERGY_DECIMALS = 4
+ENERGY_DECIMALS = exact.ENERGY
 
 # Keyword -> canonical name; the first matching rule wins, like the reference.
 HEADER_RULES = [
@@ -102,6 +102,10 @@ def mode_lowest(col: str, empty: str = "unknown") -> Column:
     return F.coalesce(F.mode(col, True), F.lit(empty))
 
 
+#: Optional columns averaged per day, with their stored decimals.
+_MEANS = {"voltage": exact.VOLTAGE, "current": exact.CURRENT}
+
+
 def daily_totals(readings: DataFrame) -> DataFrame:
     """A1: one row per (room, date): energy sum, mean voltage/current, mode room type.
 
@@ -120,16 +124,16 @@ def daily_totals(readings: DataFrame) -> DataFrame:
     if not has_rt:
         d = d.withColumn("room_type", F.lit(None).cast("string"))
     parts = [F.count_if(ok).alias("_n"),
-             F.sum(only_valid(exact.units(F.col("energy_kwh"), ENERGY_DECIMALS))).alias("_e")]
-    for c in ("voltage", "current"):
+             exact.total(only_valid(exact.units(F.col("energy_kwh"), ENERGY_DECIMALS))).alias("_e")]
+    for c, decimals in _MEANS.items():
         if c in readings.columns:
-            parts += [F.sum(only_valid(exact.units(F.col(c), 2))).alias(f"_s_{c}"),
+            parts += [exact.total(only_valid(exact.units(F.col(c), decimals))).alias(f"_s_{c}"),
                       F.count(only_valid(F.col(c))).alias(f"_c_{c}")]
     first = d.groupBy("room", "date", "room_type").agg(*parts)
     aggs = [exact.units_rounded(F.sum("_e"), ENERGY_DECIMALS, ENERGY_DECIMALS).alias("energy_kwh")]
-    for c in ("voltage", "current"):
+    for c, decimals in _MEANS.items():
         if c in readings.columns:
-            aggs.append(exact.ratio_rounded(F.sum(f"_s_{c}"), F.sum(f"_c_{c}"), 2, 4).alias(c))
+            aggs.append(exact.ratio_rounded(F.sum(f"_s_{c}"), F.sum(f"_c_{c}"), decimals, 4).alias(c))
     if has_rt:
         pick = F.min_by(F.col("room_type"), F.struct(
             (F.col("_n") == 0).alias("none"), F.col("room_type").isNull().alias("z"),
@@ -158,7 +162,7 @@ def dataset_summary(daily: DataFrame) -> DataFrame:
     mean of per-room means — one pass: per-room partials, then the room table."""
     u = exact.units(F.col("energy_kwh"), ENERGY_DECIMALS)
     per_room = daily.groupBy("room").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(u).alias("su"), F.count(u).alias("cu"),
+        F.count(F.lit(1)).alias("n"), exact.total(u).alias("su"), F.count(u).alias("cu"),
         F.min("date").alias("dmin"), F.max("date").alias("dmax"),
         F.min("energy_kwh").alias("emin"), F.max("energy_kwh").alias("emax"),
         F.avg("energy_kwh").alias("room_mean"), F.first("floor").alias("floor"),

@@ -43,15 +43,14 @@ def frame_occupancy(det: DataFrame, conf_threshold: float = fixed.CONFIDENCE_DEF
     OCCUPIED/VACANT; every frame is kept (conditional aggregation).
 
     ``tick_ts`` is the frame's last detection time (the controller's "now").
-    Confidences have two decimals: the mean is taken in integer hundredths,
-    so the truncation is exact."""
+    Confidences are raw floats: plain mean, truncated."""
     p = is_person(conf_threshold)
     g = det.groupBy("room", "frame_ts").agg(
         F.count_if(p).alias("persons"),
-        F.sum(F.when(p, exact.units(F.col("confidence"), 2))).alias("_cu"),
+        F.avg(F.when(p, F.col("confidence"))).alias("_avg"),
         F.max("ts").alias("tick_ts"),
     )
-    avg = F.when(F.col("persons") > 0, ((F.col("_cu") - F.col("_cu") % F.col("persons")) / F.col("persons")).cast("long"))
+    avg = (F.col("_avg") * 100).cast("long")
     return g.select(
         "room", "frame_ts", "tick_ts", "persons",
         F.coalesce(avg, F.lit(0).cast("long")).alias("avg_confidence"),
@@ -114,7 +113,7 @@ def light_decision(ticks: DataFrame) -> DataFrame:
     seen = F.col("last_seen").isNotNull()
     recent = seen & (gap_us < GONE_US)
     left_us = F.lit(GONE_US) - gap_us
-    countdown = F.when(~now & seen & (left_us > 0), ((left_us - left_us % 1_000_000) / 1_000_000).cast("long")).otherwise(
+    countdown = F.when(~now & seen & (left_us > 0), exact.idiv(left_us, 1_000_000)).otherwise(
         F.lit(0).cast("long"))
     mode = F.when(F.col("in_class"), F.lit("SCHEDULE")).when(recent | now, F.lit("PERSON")).otherwise(F.lit("OFF"))
     event = (

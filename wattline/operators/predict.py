@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import exact
+from ..functions.exact import idiv
 from ..functions.scalars import day_name, prediction_id, room_type_from_prefix, room_type_label, weekday_mon0
 from .rules import recommend
 
@@ -23,11 +24,6 @@ PATTERN_E3 = {
 }
 
 
-def _idiv(a: Column, b: Column | int) -> Column:
-    b = F.lit(b) if isinstance(b, int) else b
-    return ((a - a % b) / b).cast("long")
-
-
 def _season100(month: Column) -> Column:
     """F17 in hundredths."""
     return F.when(month.isin(5, 6, 7, 8), 120).when(month.isin(11, 12, 1, 2), 80).otherwise(100)
@@ -56,12 +52,12 @@ def hourly_e3(kwh_e4: Column, room_type: Column, flat_e3: Column | None = None)
     """24 hourly kWh in 1e-3 units: round(kwh * share, 3)."""
     if flat_e3 is not None:
         return F.array_repeat(flat_e3, 24)
-    return F.transform(_pattern(room_type), lambda p: _idiv(kwh_e4 * p + 5000, 10000))
+    return F.transform(_pattern(room_type), lambda p: idiv(kwh_e4 * p + 5000, 10000))
 
 
 def _cost_c(kwh_e4: Column, rate_e4: Column) -> Column:
     """round(kwh * rate, 2) in centavos."""
-    return _idiv(kwh_e4 * rate_e4 * 2 + 1_000_000, 2_000_000)
+    return idiv(kwh_e4 * rate_e4 * 2 + 1_000_000, 2_000_000)
 
 
 def predict_days(grid: DataFrame, rules, weekday_kwh_e4: Column | None = None) -> DataFrame:
@@ -86,7 +82,7 @@ def predict_days(grid: DataFrame, rules, weekday_kwh_e4: Column | None = None) -
     c = F.when(wdc == 6, F.lit(0).cast("long")).otherwise(_cost_c(k, r))
     g = g.withColumn("_c", c)
     c = F.col("_c")
-    sat_flat = _idiv(k * 40 + 5000, 10000)
+    sat_flat = idiv(k * 40 + 5000, 10000)
     hourly = (
         F.when(wdc == 6, F.array_repeat(F.lit(0).cast("long"), 24))
         .when(wdc == 5, F.array_repeat(sat_flat, 24))
@@ -103,11 +99,11 @@ def predict_days(grid: DataFrame, rules, weekday_kwh_e4: Column | None = None) -
         day_name(d).alias("day_name"),
         room_type_label(rtc).alias("room_type"),
         weekend.alias("is_weekend"),
-        (_idiv(k + 50, 100) / F.lit(100.0)).alias("total_daily_kwh"),
-        (_idiv(k * 2 + 240, 480) / F.lit(1000.0)).alias("avg_hourly_kwh"),
-        (_idiv(r + 50, 100) / F.lit(100.0)).alias("predicted_rate"),
+        (idiv(k + 50, 100) / F.lit(100.0)).alias("total_daily_kwh"),
+        (idiv(k * 2 + 240, 480) / F.lit(1000.0)).alias("avg_hourly_kwh"),
+        (idiv(r + 50, 100) / F.lit(100.0)).alias("predicted_rate"),
         (c / F.lit(100.0)).alias("total_cost_php"),
-        (_idiv(c * 2 + 24, 48) / F.lit(100.0)).alias("avg_hourly_cost_php"),
+        (idiv(c * 2 + 24, 48) / F.lit(100.0)).alias("avg_hourly_cost_php"),
         F.transform(hourly, lambda x: x / F.lit(1000.0)).alias("hourly_breakdown"),
         advice.alias("recommendations"),
         F.dayofmonth(d).alias("day_of_month"),
@@ -136,11 +132,11 @@ def predict_last_resort(grid: DataFrame) -> DataFrame:
         day_name(d).alias("day_name"),
         room_type_label(rt).alias("room_type"),
         F.lit(False).alias("is_weekend"),
-        (_idiv(k + 50, 100) / F.lit(100.0)).alias("total_daily_kwh"),
-        (_idiv(k * 2 + 240, 480) / F.lit(1000.0)).alias("avg_hourly_kwh"),
+        (idiv(k + 50, 100) / F.lit(100.0)).alias("total_daily_kwh"),
+        (idiv(k * 2 + 240, 480) / F.lit(1000.0)).alias("avg_hourly_kwh"),
         F.lit(fixed.DEFAULT_RATE).alias("predicted_rate"),
         (c / F.lit(100.0)).alias("total_cost_php"),
-        (_idiv(c * 2 + 24, 48) / F.lit(100.0)).alias("avg_hourly_cost_php"),
+        (idiv(c * 2 + 24, 48) / F.lit(100.0)).alias("avg_hourly_cost_php"),
         F.transform(hourly_e3(k, rt), lambda x: x / F.lit(1000.0)).alias("hourly_breakdown"),
         F.array(F.lit(fixed.ADVICE_FALLBACK_MODE)).alias("recommendations"),
         F.format_string("%d-%d-%d", F.year(d), F.month(d), F.dayofmonth(d)).alias("date_text"),
@@ -154,7 +150,7 @@ def client_fallback(grid: DataFrame) -> DataFrame:
     weekend = weekday_mon0(d) >= 5
     t2 = (F.when(rt == "lab", 25).otherwise(15) * F.when(weekend, 30).otherwise(100)).cast("long")  # 1e-2 kWh
     c = t2 * 11                                                                                        # centavos
-    avg3 = _idiv(t2 * 20 + 24, 48)                                                                     # 1e-3 kWh
+    avg3 = idiv(t2 * 20 + 24, 48)                                                                     # 1e-3 kWh
     return grid.select(
         *grid.columns,
         room_type_label(rt).alias("room_type"),
@@ -162,7 +158,7 @@ def client_fallback(grid: DataFrame) -> DataFrame:
         F.lit(fixed.DEFAULT_RATE).alias("rate"),
         (c / F.lit(100.0)).alias("total_cost"),
         (avg3 / F.lit(1000.0)).alias("avg_hourly_kwh"),
-        (_idiv(c * 2 + 24, 48) / F.lit(100.0)).alias("avg_hourly_cost"),
+        (idiv(c * 2 + 24, 48) / F.lit(100.0)).alias("avg_hourly_cost"),
         F.array_repeat(avg3 / F.lit(1000.0), 24).alias("hourly_breakdown"),
         F.array(F.lit("Using fallback prediction model"), F.lit("Check API connection")).alias("recommendations"),
         F.lit(65).alias("confidence"),

@@ -7,7 +7,7 @@ reduced once to ``(room, weekday, hour) -> (count, sum)`` (a partial hash
 aggregate: map-side combine, so a hot room never lands in one task), and every
 target of every room is answered from that 168-row-per-room summary.
 
-Power carries two decimals, so sums are kept in integer centiwatts and every
+Sums are kept in integer units of the stored precision (1e-4 W) and every
 rounding (W to 2 places, kWh to 4, cost to centavos) is exact half-up.
 """
 
@@ -18,16 +18,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import exact
+from ..functions.exact import idiv
 from ..functions.scalars import day_name, room_type_from_prefix, room_type_label, weekday_mon0
 from ..session import cut_lineage
 
 
-def _idiv(a, b):
-    return ((a - a % b) / b).cast("long")
-
-
 def weekday_hour_stats(readings: DataFrame, materialize: bool = True) -> DataFrame:
-    """(room, wd, h) -> n (non-null power rows), s (sum of power in centiwatts),
+    """(room, wd, h) -> n (non-null power rows), s (sum of power in 1e-4 W),
     n_rows, last_ts — the one pass over the log.
 
     The summary (at most 168 rows per room) feeds several small consumers; it is
@@ -36,7 +33,7 @@ def weekday_hour_stats(readings: DataFrame, materialize: bool = True) -> DataFra
     reuse the exchange)."""
     st = readings.groupBy(
         "room", weekday_mon0(F.col("ts")).alias("wd"), F.hour("ts").alias("h")
-    ).agg(F.count("power").alias("n"), F.sum(exact.units(F.col("power"), 2)).alias("s"),
+    ).agg(F.count("power").alias("n"), exact.total(exact.units(F.col("power"), exact.POWER)).alias("s"),
           F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("last_ts"))
     return cut_lineage(st) if materialize else st
 
@@ -53,11 +50,11 @@ def zero_days(readings: DataFrame) -> DataFrame:
     grid = rooms.select("room", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("wd"))
     tot = _weekday_totals(stats)
     g = grid.join(tot, ["room", "wd"], "left").fillna(0, ["n_same", "s_same"])
-    limit = int(fixed.ZERO_DAY_WATTS * 100)
+    limit = int(fixed.ZERO_DAY_WATTS * 10 ** exact.POWER)
     return g.select(
         "room",
         F.col("wd").alias("weekday"),
-        F.coalesce(exact.ratio_rounded(F.col("s_same"), F.col("n_same"), 2, 2), F.lit(0.0)).alias("dow_avg_power"),
+        F.coalesce(exact.ratio_rounded(F.col("s_same"), F.col("n_same"), exact.POWER, 2), F.lit(0.0)).alias("dow_avg_power"),
         F.col("n_same").alias("n_rows"),
         ((F.col("n_same") == 0) | (F.col("s_same") < F.col("n_same") * limit)).alias("is_zero_day"),
     )
@@ -83,16 +80,16 @@ def hourly_profile(readings: DataFrame, targets: DataFrame, stats: DataFrame | N
     )
     nu = F.col("s_all") + F.col("s")          # weight 2 for the target weekday
     de = F.col("n_all") + F.col("n")
-    dow_cw = F.when(F.col("n_same") > 0, _idiv(F.col("s_same") * 2 + F.col("n_same"), F.col("n_same") * 2)).otherwise(0)
-    cw = F.when(de > 0, _idiv(nu * 2 + de, de * 2)).otherwise(dow_cw)
-    limit = int(fixed.ZERO_DAY_WATTS * 100)
+    dow_cw = F.when(F.col("n_same") > 0, exact.ratio_units(F.col("s_same"), F.col("n_same"), exact.POWER, 2)).otherwise(0)
+    cw = F.when(de > 0, exact.ratio_units(nu, de, exact.POWER, 2)).otherwise(dow_cw)
+    limit = int(fixed.ZERO_DAY_WATTS * 10 ** exact.POWER)
     zero = (F.col("n_same") == 0) | (F.col("s_same") < F.col("n_same") * limit)
     return g.select(
         "room", "date", "wd", "h", "n_same",
         zero.alias("is_zero_day"),
         cw.cast("long").alias("cw_weighted"),
         F.when(zero, F.lit(0)).otherwise(cw).cast("long").alias("cw"),
-    ).withColumn("kwh_e4", _idiv(F.col("cw") + 5, F.lit(10)))
+    ).withColumn("kwh_e4", idiv(F.col("cw") + 5, F.lit(10)))
 
 
 def weighted_hour_profile(readings: DataFrame) -> DataFrame:
@@ -131,9 +128,9 @@ def predict_profile(readings: DataFrame, targets: DataFrame | None = None, rate:
         F.sort_array(F.collect_list(F.struct("h", "cw", "kwh_e4"))).alias("hours"),
     )
     u = F.col("u")
-    c = _idiv(u * (2 * rate_c) + 10000, F.lit(20000))     # cost in centavos, half-up
+    c = idiv(u * (2 * rate_c) + 10000, F.lit(20000))     # cost in centavos, half-up
     total = u / F.lit(10000.0)
-    q, r = _idiv(F.col("peak_cw"), F.lit(100)), F.col("peak_cw") % 100
+    q, r = idiv(F.col("peak_cw"), F.lit(100)), F.col("peak_cw") % 100
     peak_w = q + F.when((r > 50) | ((r == 50) & (q % 2 == 1)), 1).otherwise(0)   # like Python's :.0f
     dname = day_name(F.col("date"))
     advice_regular = F.filter(
@@ -161,9 +158,9 @@ def predict_profile(readings: DataFrame, targets: DataFrame | None = None, rate:
         total.alias("total_daily_kwh"),
         F.lit(float(rate)).alias("predicted_rate"),
         (c / F.lit(100.0)).alias("total_cost_php"),
-        (_idiv(u * 2 + 24, F.lit(48)) / F.lit(10000.0)).alias("avg_hourly_kwh"),
-        (_idiv(c * 2 + 24, F.lit(48)) / F.lit(100.0)).alias("avg_hourly_cost_php"),
-        F.when(zero, F.lit(95)).otherwise(F.least(F.lit(95), F.lit(60) + _idiv(F.col("n_same"), F.lit(10)))).cast("long").alias("confidence"),
+        (idiv(u * 2 + 24, F.lit(48)) / F.lit(10000.0)).alias("avg_hourly_kwh"),
+        (idiv(c * 2 + 24, F.lit(48)) / F.lit(100.0)).alias("avg_hourly_cost_php"),
+        F.when(zero, F.lit(95)).otherwise(F.least(F.lit(95), F.lit(60) + idiv(F.col("n_same"), F.lit(10)))).cast("long").alias("confidence"),
         F.col("peak_hour").cast("long").alias("peak_hour"),
         (F.col("peak_cw") / F.lit(100.0)).alias("peak_power_w"),
         F.when(zero, advice_zero).otherwise(advice_regular).alias("recommendations"),

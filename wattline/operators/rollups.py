@@ -27,10 +27,10 @@ def hourly_rollup(readings: DataFrame, hours: int | None = None, as_of: Column |
     """
     r = _since(readings, as_of, None if hours is None else hours * 3600)
     return r.groupBy("room", F.date_trunc("hour", "ts").alias("hour")).agg(
-        exact.avg_rounded("voltage", 1, 4).alias("avg_voltage"),
-        F.round(F.avg("current"), 6).alias("avg_current"),
-        exact.avg_rounded("power", 2, 4).alias("avg_power"),
-        exact.spread_rounded("energy_counter_kwh", 8, 8).alias("energy_consumed"),
+        exact.avg_rounded("voltage", exact.VOLTAGE, 4).alias("avg_voltage"),
+        exact.avg_rounded("current", exact.CURRENT, 6).alias("avg_current"),
+        exact.avg_rounded("power", exact.POWER, 4).alias("avg_power"),
+        exact.spread_rounded("energy_counter_kwh", exact.ENERGY, 8).alias("energy_consumed"),
         F.count(F.lit(1)).alias("n_readings"),
     )
 
@@ -39,17 +39,17 @@ def power_15min(readings: DataFrame) -> DataFrame:
     """A4: per room and day, mean power per 15-minute slot label ``HH:MM`` (round 2)."""
     return readings.groupBy(
         "room", F.to_date("ts").alias("date"), quarter_hour_label(F.col("ts")).alias("slot")
-    ).agg(exact.avg_rounded("power", 2, 2).alias("avg_power"), F.count(F.lit(1)).alias("n_readings"))
+    ).agg(exact.avg_rounded("power", exact.POWER, 2).alias("avg_power"), F.count(F.lit(1)).alias("n_readings"))
 
 
 def day_summary(readings: DataFrame) -> DataFrame:
     """A5: per room and day — avg/max power, avg voltage/current, counter MAX-MIN, rows."""
     return readings.groupBy("room", F.to_date("ts").alias("date")).agg(
-        exact.avg_rounded("power", 2, 2).alias("avg_power"),
-        F.round(F.max("power"), 2).alias("max_power"),
-        exact.avg_rounded("voltage", 1, 2).alias("avg_voltage"),
-        F.round(F.avg("current"), 6).alias("avg_current"),
-        exact.spread_rounded("energy_counter_kwh", 8, 4).alias("total_energy"),
+        exact.avg_rounded("power", exact.POWER, 2).alias("avg_power"),
+        exact.units_rounded(F.max(exact.units("power", exact.POWER)), exact.POWER, 2).alias("max_power"),
+        exact.avg_rounded("voltage", exact.VOLTAGE, 2).alias("avg_voltage"),
+        exact.avg_rounded("current", exact.CURRENT, 6).alias("avg_current"),
+        exact.spread_rounded("energy_counter_kwh", exact.ENERGY, 4).alias("total_energy"),
         F.count(F.lit(1)).alias("data_points"),
     )
 
@@ -77,7 +77,7 @@ def room_counts(readings: DataFrame) -> DataFrame:
 def weekday_power(readings: DataFrame) -> DataFrame:
     """Per room and weekday (Mon=0) — mean power and rows."""
     return readings.groupBy("room", weekday_mon0(F.col("ts")).alias("weekday")).agg(
-        exact.avg_rounded("power", 2, 2).alias("avg_power"), F.count(F.lit(1)).alias("n_rows")
+        exact.avg_rounded("power", exact.POWER, 2).alias("avg_power"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
@@ -96,10 +96,10 @@ def latest_reading(readings: DataFrame) -> DataFrame:
     return last.select(
         "room",
         F.col("r.ts").alias("ts"),
-        F.round("r.voltage", 2).alias("voltage"),
+        exact.units_rounded(exact.units(F.col("r.voltage"), exact.VOLTAGE), exact.VOLTAGE, 2).alias("voltage"),
         F.round("r.current", 6).alias("current"),
-        exact.units_rounded(exact.units(F.col("r.power"), 2), 2, 2).alias("power"),
-        exact.units_rounded(exact.units(F.col("r.energy_counter_kwh"), 8), 8, 3).alias("energy_kwh"),
+        exact.units_rounded(exact.units(F.col("r.power"), exact.POWER), exact.POWER, 2).alias("power"),
+        exact.units_rounded(exact.units(F.col("r.energy_counter_kwh"), exact.ENERGY), exact.ENERGY, 3).alias("energy_kwh"),
         F.col("r.light_state").alias("light_state"),
     )
 
@@ -130,16 +130,24 @@ def peak_hour(profile: DataFrame, keys: list[str], hour: str = "hour", value: st
     )
 
 
+#: What the live buffer holds, with its stored decimals.
+_BUFFERED = {"power": exact.POWER, "voltage": exact.VOLTAGE, "current": exact.CURRENT}
+
+
 def rolling_last_n(readings: DataFrame, n: int = 60, block_rows: int = 100_000) -> DataFrame:
-    """Mean power / voltage over each room's last ``n`` readings (the live
-    buffer), exact in integer units; ``n_window`` = readings in the buffer."""
+    """Mean power, voltage and current over each room's last ``n`` readings (the
+    live buffer), exact in integer units; ``n_window`` = readings in the buffer.
+    A null value counts in neither sum nor divisor of its mean."""
     from . import scans
 
-    vals = {"_sp": exact.units(F.col("power"), 2), "_sv": exact.units(F.col("voltage"), 1)}
+    vals = {}
+    for c, d in _BUFFERED.items():
+        vals[f"_s_{c}"] = exact.units(F.col(c), d)
+        vals[f"_n_{c}"] = F.col(c).isNotNull().cast("long")
     r = scans.rolling_rows(readings, ["room"], ["ts", "id"], vals, n, F.date_trunc("hour", "ts"), block_rows)
     return r.select(
         "id", "room", "ts",
         F.col("_rr_n").alias("n_window"),
-        exact.ratio_rounded(F.col("_sp"), F.col("_rr_n"), 2, 2).alias("avg_power"),
-        exact.ratio_rounded(F.col("_sv"), F.col("_rr_n"), 1, 2).alias("avg_voltage"),
+        *[exact.ratio_rounded(F.col(f"_s_{c}"), F.col(f"_n_{c}"), d, 6 if c == "current" else 2).alias(f"avg_{c}")
+          for c, d in _BUFFERED.items()],
     )

@@ -123,24 +123,24 @@ def weekly_trend(daily: DataFrame, value_col: str = "energy_kwh") -> DataFrame:
     from pyspark.sql import Window
 
     wk = daily.groupBy("room", F.date_trunc("week", "date").cast("date").alias("week")).agg(
-        F.sum(value_col).alias("week_total")
+        exact.total(exact.units(F.col(value_col), exact.ENERGY)).alias("week_total")
     )
     w = Window.partitionBy("room").orderBy("week")
     prev = F.lag("week_total").over(w)
     prev_week = F.lag("week").over(w)
     wk = wk.withColumn("prev_total", prev).withColumn("prev_week", prev_week)
     consecutive = F.datediff("week", "prev_week") == 7
-    # change in % to 2 places, exact half-up (away from zero) on 1e-4 kWh units
-    cur, prv = exact.units(F.col("week_total"), 4), exact.units(F.col("prev_total"), 4)
+    # change in % to 2 places, exact half-up (away from zero) on integer kWh units
+    cur, prv = F.col("week_total"), F.col("prev_total")
     diff = cur - prv
-    mag = ((F.abs(diff) * 20000 + prv) - (F.abs(diff) * 20000 + prv) % (prv * 2)) / (prv * 2)
-    pct = F.when(consecutive & (prv > 0), F.signum(diff) * mag / F.lit(100.0))
+    mag = exact.ratio_units(F.abs(diff), prv, 0, 4)
+    pct = F.when(consecutive & (prv > 0), F.signum(diff) * mag / F.lit(100.0) + F.lit(0.0))  # no negative zero
     out = wk.withColumn("change_pct", pct)
     text = (
         F.when(F.col("change_pct") > 0, F.replace(F.replace(F.lit(fixed.TREND_UP_TEXT), F.lit("{room}"), F.col("room")), F.lit("{value}"), F.col("change_pct").cast("string")))
         .when(F.col("change_pct") < 0, F.replace(F.replace(F.lit(fixed.TREND_DOWN_TEXT), F.lit("{room}"), F.col("room")), F.lit("{value}"), F.abs(F.col("change_pct")).cast("string")))
     )
-    return out.select("room", "week", F.round("week_total", 4).alias("week_total"), "change_pct", text.alias("message"))
+    return out.select("room", "week", exact.units_rounded(F.col("week_total"), exact.ENERGY, 4).alias("week_total"), "change_pct", text.alias("message"))
 
 
 def alerts_multi(daily: DataFrame, alerts_df: DataFrame, kinds: dict[str, str]) -> DataFrame:

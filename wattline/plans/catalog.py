@@ -344,13 +344,16 @@ def _hourly_breakdown(spark, sf_dir):
         "hour", F.col("hour").cast("long"))
 
 
+def _cost(kwh):
+    """Cost at 11.0, rounded to centavos from the kWh at storage precision."""
+    return exact.units_rounded(exact.units(kwh, exact.ENERGY) * 11, exact.ENERGY, 2)
+
+
 @query("recommend_daily")
 def _recommend_daily(spark, sf_dir):
     """J3 for every daily row: kWh and its cost at 11.0."""
     d = _daily(spark, sf_dir)
-    k = exact.units(F.col("energy_kwh"), 4)
-    c = ((k * 110000 * 2 + 1_000_000) - (k * 110000 * 2 + 1_000_000) % 2_000_000) / 2_000_000
-    d = d.select("room", "date", "energy_kwh", (c / F.lit(100.0)).alias("cost"))
+    d = d.select("room", "date", "energy_kwh", _cost(F.col("energy_kwh")).alias("cost"))
     return d.withColumn(
         "recommendations",
         F.array_join(rules.recommend(F.col("energy_kwh"), F.col("cost"), rules.rules_table(spark)), " | "),
@@ -361,9 +364,7 @@ def _recommend_daily(spark, sf_dir):
 def _alert_thresholds(spark, sf_dir):
     """Strongest consumption and cost alert per daily row (cost at 11.0)."""
     d = _daily(spark, sf_dir)
-    k = exact.units(F.col("energy_kwh"), 4)
-    c = ((k * 110000 * 2 + 1_000_000) - (k * 110000 * 2 + 1_000_000) % 2_000_000) / 2_000_000
-    d = d.select("room", "date", "energy_kwh", (c / F.lit(100.0)).alias("cost"))
+    d = d.select("room", "date", "energy_kwh", _cost(F.col("energy_kwh")).alias("cost"))
     return rules.alerts_multi(d, rules.alert_table(spark), {"consumption": "energy_kwh", "cost": "cost"})
 
 

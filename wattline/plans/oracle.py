@@ -6,15 +6,35 @@ subqueries — over the driver's views; the Spark plans are the scalable form.
 
 from __future__ import annotations
 
-from ..functions.exact import (
-    sql_ratio_rounded,
-    sql_avg_rounded,
-    sql_spread_rounded,
-    sql_units,
-    sql_units_rounded,
-)
 from .present import sql_date, sql_ts
 
+
+# Exact arithmetic in DuckDB's own DECIMAL and HUGEINT; stored: decimals the log keeps.
+
+def counted(expr: str, stored: int) -> str:
+    """Sum of a column in whole units of its last stored decimal."""
+    return f"CAST(sum(CAST({expr} AS DECIMAL(18,{stored}))) * {10 ** stored} AS HUGEINT)"
+
+
+def ratio_shown(num: str, den: str, stored: int, shown: int) -> str:
+    """num / den rounded half up to ``shown`` decimals; num in units of the stored decimal."""
+    up, down = 10 ** max(0, shown - stored), 10 ** max(0, stored - shown)
+    return (f"(CASE WHEN {den} > 0 THEN CAST((2 * ({num}) * {up} + {den} * {down}) // (2 * {den} * {down}) AS DOUBLE)"
+            f" / {float(10 ** shown)} END)")
+
+
+def mean_shown(expr: str, stored: int, shown: int) -> str:
+    return ratio_shown(counted(expr, stored), f"count({expr})", stored, shown)
+
+
+def shown(expr: str, stored: int, places: int) -> str:
+    return f"CAST(round(CAST({expr} AS DECIMAL(18,{stored})), {places}) AS DOUBLE)"
+
+
+def spread_shown(expr: str, stored: int, places: int) -> str:
+    d = f"CAST({expr} AS DECIMAL(18,{stored}))"
+    return f"CAST(round(max({d}) - min({d}), {places}) AS DOUBLE)"
+
 ORACLE: dict[str, str] = {}
 
 # The reading log view (FIXTURES.md §2.1), without and with the meter counter.
@@ -22,10 +42,10 @@ READINGS_BASE = r"""
 readings_base AS (
   SELECT event_id AS id, ts,
          CAST(100 * (1 + user_id % 7) + 1 + user_id % 11 AS VARCHAR) AS room,
-         220 + (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) - 50) / 10 AS voltage,
-         value / (220 + (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) - 50) / 10) AS current,
-         value AS power,
-         value / 1000 AS energy_kwh,
+         220 + (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) - 50) / 10 + (event_id % 9) * 0.0111::DOUBLE AS voltage,
+         (value / 3) / (220 + (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) - 50) / 10 + (event_id % 9) * 0.0111::DOUBLE) AS current,
+         value / 3 AS power,
+         value / 3000 AS energy_kwh,
          CASE WHEN event_type IN ('click', 'purchase') THEN 'ON' ELSE 'OFF' END AS light_state,
          event_type
   FROM events)"""
@@ -52,27 +72,27 @@ def oracle(name: str, sql: str) -> None:
 
 oracle("hourly_rollup", with_readings(f"""
 SELECT room, {sql_ts("date_trunc('hour', ts)")} AS hour,
-       {sql_avg_rounded('voltage', 1, 4)} AS avg_voltage,
-       round(avg(current), 6) AS avg_current,
-       {sql_avg_rounded('power', 2, 4)} AS avg_power,
-       {sql_spread_rounded('energy_counter_kwh', 8, 8)} AS energy_consumed,
+       {mean_shown('voltage', 4, 4)} AS avg_voltage,
+       {mean_shown('current', 6, 6)} AS avg_current,
+       {mean_shown('power', 4, 4)} AS avg_power,
+       {spread_shown('energy_counter_kwh', 8, 8)} AS energy_consumed,
        count(*) AS n_readings
 FROM readings GROUP BY room, date_trunc('hour', ts)"""))
 
 oracle("power_15min", with_readings(f"""
 SELECT room, {sql_date('ts')} AS date,
        printf('%02d:%02d', hour(ts), (minute(ts) // 15) * 15) AS slot,
-       {sql_avg_rounded('power', 2, 2)} AS avg_power,
+       {mean_shown('power', 4, 2)} AS avg_power,
        count(*) AS n_readings
 FROM readings_base GROUP BY ALL"""))
 
 oracle("day_summary", with_readings(f"""
 SELECT room, {sql_date('ts')} AS date,
-       {sql_avg_rounded('power', 2, 2)} AS avg_power,
-       round(max(power), 2) AS max_power,
-       {sql_avg_rounded('voltage', 1, 2)} AS avg_voltage,
-       round(avg(current), 6) AS avg_current,
-       {sql_spread_rounded('energy_counter_kwh', 8, 4)} AS total_energy,
+       {mean_shown('power', 4, 2)} AS avg_power,
+       {shown('max(power)', 4, 2)} AS max_power,
+       {mean_shown('voltage', 4, 2)} AS avg_voltage,
+       {mean_shown('current', 6, 6)} AS avg_current,
+       {spread_shown('energy_counter_kwh', 8, 4)} AS total_energy,
        count(*) AS data_points
 FROM readings GROUP BY ALL"""))
 
@@ -88,13 +108,13 @@ SELECT room, count(*) AS n_rows FROM readings_base GROUP BY room"""))
 
 oracle("weekday_power", with_readings(f"""
 SELECT room, CAST(isodow(ts) - 1 AS BIGINT) AS weekday,
-       {sql_avg_rounded('power', 2, 2)} AS avg_power, count(*) AS n_rows
+       {mean_shown('power', 4, 2)} AS avg_power, count(*) AS n_rows
 FROM readings_base GROUP BY ALL"""))
 
 oracle("latest_reading", with_readings(f"""
-SELECT room, {sql_ts('ts')} AS ts, round(voltage, 2) AS voltage, round(current, 6) AS current,
-       {sql_units_rounded(sql_units('power', 2), 2, 2)} AS power,
-       {sql_units_rounded(sql_units('energy_counter_kwh', 8), 8, 3)} AS energy_kwh,
+SELECT room, {sql_ts('ts')} AS ts, {shown('voltage', 4, 2)} AS voltage, round(current, 6) AS current,
+       {shown('power', 4, 2)} AS power,
+       {shown('energy_counter_kwh', 8, 3)} AS energy_kwh,
        light_state
 FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY ts DESC, id DESC) AS rn FROM readings)
 WHERE rn = 1"""))
@@ -113,7 +133,7 @@ req AS (SELECT room, lo, CAST(unnest(generate_series(lo - INTERVAL 2 DAY, hi + I
 
 PROFILE_CTES = """
 stats AS (SELECT room, isodow(ts) - 1 AS wd, hour(ts) AS h, count(power) AS n,
-                 sum(CAST(round(power * 100) AS BIGINT)) AS s
+                 CAST(sum(CAST(power AS DECIMAL(18,4))) * 10000 AS HUGEINT) AS s
           FROM readings_base GROUP BY ALL),
 dow AS (SELECT room, wd, sum(n) AS n_same, sum(s) AS s_same FROM stats GROUP BY ALL),
 allh AS (SELECT room, h, sum(n) AS n_all, sum(s) AS s_all FROM stats GROUP BY ALL),
@@ -130,9 +150,9 @@ grid AS (
   LEFT JOIN allh a ON a.room = t.room AND a.h = hh.h
   LEFT JOIN stats sm ON sm.room = t.room AND sm.wd = isodow(t.date) - 1 AND sm.h = hh.h),
 hp AS (
-  SELECT *, (n_same = 0 OR s_same < n_same * 500) AS is_zero_day,
-         CASE WHEN de > 0 THEN (2 * nu + de) // (2 * de)
-              WHEN n_same > 0 THEN (2 * s_same + n_same) // (2 * n_same) ELSE 0 END AS cw_weighted
+  SELECT *, (n_same = 0 OR s_same < n_same * 50000) AS is_zero_day,
+         CASE WHEN de > 0 THEN (2 * nu + de * 100) // (200 * de)
+              WHEN n_same > 0 THEN (2 * s_same + n_same * 100) // (200 * n_same) ELSE 0 END AS cw_weighted
   FROM grid),
 hp2 AS (SELECT *, CASE WHEN is_zero_day THEN 0 ELSE cw_weighted END AS cw FROM hp),
 hp3 AS (SELECT *, (cw + 5) // 10 AS kwh_e4 FROM hp2),
@@ -148,9 +168,9 @@ rows_used AS (SELECT room, count(*) AS historical_rows_used FROM readings_base G
 
 oracle("weekday_zero_day", with_readings("""
 SELECT g.room, CAST(g.wd AS BIGINT) AS weekday,
-       CASE WHEN coalesce(d.n_same, 0) > 0 THEN CAST((2 * d.s_same + d.n_same) // (2 * d.n_same) AS DOUBLE) / 100.0 ELSE 0.0 END AS dow_avg_power,
+       CASE WHEN coalesce(d.n_same, 0) > 0 THEN CAST((2 * d.s_same + d.n_same * 100) // (200 * d.n_same) AS DOUBLE) / 100.0 ELSE 0.0 END AS dow_avg_power,
        CAST(coalesce(d.n_same, 0) AS BIGINT) AS n_rows,
-       CAST((coalesce(d.n_same, 0) = 0 OR d.s_same < d.n_same * 500) AS BIGINT) AS is_zero_day
+       CAST((coalesce(d.n_same, 0) = 0 OR d.s_same < d.n_same * 50000) AS BIGINT) AS is_zero_day
 FROM (SELECT DISTINCT room, w.wd FROM readings_base, generate_series(0, 6) w(wd)) g
 LEFT JOIN dow d ON d.room = g.room AND d.wd = g.wd""", PROFILE_CTES))
 
@@ -195,7 +215,7 @@ FROM hp3""", PROFILE_CTES))
 TRAINING = r"""
 training AS (
   SELECT CAST(100 * (1 + l_suppkey % 7) + 1 + l_suppkey % 11 AS VARCHAR) AS room,
-         l_shipdate AS ts, l_quantity AS energy_kwh,
+         l_shipdate AS ts, l_quantity / 3 AS energy_kwh,
          CASE l_returnflag WHEN 'A' THEN 'lab' WHEN 'N' THEN 'lecture' ELSE 'office' END AS room_type,
          216 + l_tax * 100 AS voltage, l_discount * 100 AS current
   FROM lineitem),
@@ -206,9 +226,9 @@ mode_rt AS (
     FROM training GROUP BY room, CAST(ts AS DATE), room_type) WHERE rn = 1),
 daily0 AS (
   SELECT room, CAST(ts AS DATE) AS date,
-         CAST(sum(CAST(round(energy_kwh * 10000) AS BIGINT)) AS DOUBLE) / 10000.0 AS energy_kwh,
-         """ + sql_avg_rounded("voltage", 2, 4) + r""" AS voltage,
-         """ + sql_avg_rounded("current", 2, 4) + r""" AS current
+         CAST(sum(CAST(energy_kwh AS DECIMAL(18,8))) AS DOUBLE) AS energy_kwh,
+         """ + mean_shown("voltage", 4, 4) + r""" AS voltage,
+         """ + mean_shown("current", 6, 4) + r""" AS current
   FROM training GROUP BY room, CAST(ts AS DATE)),
 daily AS (
   SELECT d.room, d.date, d.energy_kwh, d.voltage, d.current, m.room_type,
@@ -242,15 +262,15 @@ FROM daily"""))
 oracle("dataset_summary", with_training("""
 SELECT count(*) AS n_records, strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max,
        count(DISTINCT room) AS n_rooms, count(DISTINCT floor) AS n_floors,
-       """ + sql_units_rounded("sum(CAST(round(energy_kwh * 10000) AS BIGINT))", 4, 2) + """ AS total_energy,
-       """ + sql_avg_rounded("energy_kwh", 4, 4) + """ AS mean_energy,
+       CAST(round(sum(CAST(energy_kwh AS DECIMAL(18,8))), 2) AS DOUBLE) AS total_energy,
+       """ + mean_shown("energy_kwh", 8, 4) + """ AS mean_energy,
        round(min(energy_kwh), 4) AS min_energy, round(max(energy_kwh), 4) AS max_energy,
        (SELECT round(avg(m), 4) FROM (SELECT avg(energy_kwh) AS m FROM daily GROUP BY room)) AS mean_room_daily_energy
 FROM daily"""))
 
 oracle("floor_summary", with_training("""
 SELECT CAST(floor AS BIGINT) AS floor, count(*) AS n_records, count(DISTINCT room) AS n_rooms,
-       """ + sql_avg_rounded("energy_kwh", 4, 4) + """ AS mean_energy
+       """ + mean_shown("energy_kwh", 8, 4) + """ AS mean_energy
 FROM daily GROUP BY floor"""))
 
 oracle("rooms_by_floor", with_training("""
@@ -319,9 +339,8 @@ FROM daily d JOIN (SELECT room, dense_rank() OVER (ORDER BY room) - 1 AS idx FRO
 TARIFF = r"""
 tariff AS (
   SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-         """ + sql_avg_rounded("o_totalprice", 2, 0) + r""" / 10000.0 AS rate
+         """ + mean_shown("o_totalprice", 2, 0) + r""" / 10000.0 AS rate
   FROM orders
-  WHERE date_trunc('month', o_orderdate) < (SELECT max(date_trunc('month', o_orderdate)) FROM orders)
   GROUP BY ALL),
 t_ranked AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month DESC) AS rn FROM tariff WHERE rate IS NOT NULL),
 t_summ AS (
@@ -470,11 +489,11 @@ SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(h AS BIGINT) AS hour,
             ELSE (k * (CASE WHEN rt = 'office' THEN {_OFFICE} ELSE {_LAB} END)[h + 1] + 5000) // 10000 END AS DOUBLE) / 1000.0 AS kwh
 FROM pred, generate_series(0, 23) hh(h)"""))
 
-_COST = "((CAST(round(energy_kwh * 10000) AS BIGINT) * 110000 * 2 + 1000000) // 2000000)"
+_COST = "CAST(round(CAST(energy_kwh AS DECIMAL(18,8)) * 11, 2) * 100 AS BIGINT)"
 
 oracle("recommend_daily", with_training(f"""
 SELECT room, strftime(date, '%Y-%m-%d') AS date, energy_kwh, {_COST} / 100.0 AS cost,
-       {sql_recommend('CAST(round(energy_kwh * 10000) AS BIGINT)', _COST)} AS recommendations
+       {sql_recommend('(CAST(energy_kwh AS DECIMAL(18,8)) * 10000)', _COST)} AS recommendations
 FROM daily"""))
 
 
@@ -495,16 +514,16 @@ oracle("alert_thresholds", with_training(
     f"dc AS (SELECT room, date, energy_kwh, {_COST} / 100.0 AS cost FROM daily)"))
 
 oracle("weekly_trend", with_training(f"""
-SELECT room, strftime(week, '%Y-%m-%d') AS week, round(week_total, 4) AS week_total, change_pct,
+SELECT room, strftime(week, '%Y-%m-%d') AS week, CAST(round(week_total, 4) AS DOUBLE) AS week_total, change_pct,
        CASE WHEN change_pct > 0 THEN replace(replace({_q(fixed.TREND_UP_TEXT)}, '{{room}}', room), '{{value}}', CAST(change_pct AS VARCHAR))
             WHEN change_pct < 0 THEN replace(replace({_q(fixed.TREND_DOWN_TEXT)}, '{{room}}', room), '{{value}}', CAST(abs(change_pct) AS VARCHAR))
        END AS message
 FROM (SELECT *, CASE WHEN date_diff('day', prev_week, week) = 7 AND pu > 0
                      THEN sign(cu - pu) * ((abs(cu - pu) * 20000 + pu) // (pu * 2)) / 100.0 END AS change_pct
-      FROM (SELECT *, CAST(round(week_total * 10000) AS BIGINT) AS cu, CAST(round(prev_total * 10000) AS BIGINT) AS pu
+      FROM (SELECT *, CAST(week_total * 100000000 AS HUGEINT) AS cu, CAST(prev_total * 100000000 AS HUGEINT) AS pu
             FROM (SELECT *, lag(week_total) OVER (PARTITION BY room ORDER BY week) AS prev_total,
                          lag(week) OVER (PARTITION BY room ORDER BY week) AS prev_week
-                  FROM (SELECT room, CAST(date_trunc('week', date) AS DATE) AS week, sum(energy_kwh) AS week_total
+                  FROM (SELECT room, CAST(date_trunc('week', date) AS DATE) AS week, sum(CAST(energy_kwh AS DECIMAL(18,8))) AS week_total
                         FROM daily GROUP BY ALL))))"""))
 
 oracle("regression_metrics", with_training("""
@@ -563,9 +582,15 @@ def _expand_safe(sql: str) -> str:
     return _re.sub(r'SAFE_F\(("[^"]+")\)', lambda m: sql_safe_float(m.group(1)), sql)
 
 
-from ..functions.exact import sql_current_e6, sql_fixed_text  # noqa: E402
 
-IMPORT = _expand_safe(IMPORT).replace("CURRENT_TEXT_IMPORT", sql_fixed_text(sql_current_e6("value", "v"), 6))
+def _current_text(power: str, voltage: str) -> str:
+    """Current in A with six decimals from centiwatts and decivolts, half up."""
+    cw, dv = f"CAST(round(({power}) * 100) AS BIGINT)", f"CAST(round(({voltage}) * 10) AS BIGINT)"
+    ua = f"(({cw} * 200000 + {dv}) // ({dv} * 2))"
+    return f"printf('%d.%06d', {ua} // 1000000, {ua} % 1000000)"
+
+
+IMPORT = _expand_safe(IMPORT).replace("CURRENT_TEXT_IMPORT", _current_text("value", "v"))
 
 
 def with_import(body: str) -> str:
@@ -621,7 +646,7 @@ def _cls(c: str) -> str:
             f"ELSE 'warn' END")
 
 
-_PAYLOAD = _PAYLOAD.replace("CURRENT_TEXT_PAYLOAD", sql_fixed_text(sql_current_e6("power", "voltage"), 6))
+_PAYLOAD = _PAYLOAD.replace("CURRENT_TEXT_PAYLOAD", _current_text("power", "voltage"))
 
 oracle("parse_payload", with_readings(f"""
 SELECT id, room, voltage, current, power, energy_kwh, uptime, light_state, wifi, cloud, sd_card,
@@ -669,17 +694,17 @@ det AS (
   SELECT event_id AS det_id, CAST(100 * (1 + user_id % 7) + 1 + user_id % 11 AS VARCHAR) AS room, ts,
          date_trunc('minute', ts) AS frame_ts,
          CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS class_id,
-         (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) % 100) / 100 AS confidence
+         (TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?[0-9]+)', 1) AS INTEGER) % 100) / 101.37::DOUBLE AS confidence
   FROM events),
 pdet AS (SELECT * FROM det WHERE class_id = 0 AND confidence >= 0.7::DOUBLE),
 frames0 AS (
   SELECT room, frame_ts, max(ts) AS tick_ts,
          count(*) FILTER (WHERE class_id = 0 AND confidence >= 0.7::DOUBLE) AS persons,
-         sum(CAST(round(confidence * 100) AS BIGINT)) FILTER (WHERE class_id = 0 AND confidence >= 0.7::DOUBLE) AS cu
+         avg(confidence) FILTER (WHERE class_id = 0 AND confidence >= 0.7::DOUBLE) AS mean_conf
   FROM det GROUP BY room, frame_ts),
 frames AS (
   SELECT room, frame_ts, tick_ts, persons,
-         CAST(CASE WHEN persons > 0 THEN cu // persons ELSE 0 END AS BIGINT) AS avg_confidence,
+         CAST(CASE WHEN persons > 0 THEN trunc(mean_conf * 100) ELSE 0 END AS BIGINT) AS avg_confidence,
          CASE WHEN persons > 0 THEN 'OCCUPIED' ELSE 'VACANT' END AS status
   FROM frames0),
 seen AS (
@@ -803,13 +828,13 @@ WHERE start_min < prev_max""", _DAYSCHED))
 # --- streaming twins (same results as the batch forms) ------------------------------
 
 oracle("stream_hourly", with_readings(f"""
-SELECT room, {sql_ts("date_trunc('hour', ts)")} AS window_start, {sql_avg_rounded('power', 2, 2)} AS avg_power,
+SELECT room, {sql_ts("date_trunc('hour', ts)")} AS window_start, {mean_shown('power', 4, 2)} AS avg_power,
        count(power) AS n_readings
 FROM readings_base GROUP BY room, date_trunc('hour', ts)"""))
 
 oracle("stream_15min", with_readings(f"""
 SELECT room, {sql_ts("date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE")} AS window_start,
-       {sql_avg_rounded('power', 2, 2)} AS avg_power, count(power) AS n_readings
+       {mean_shown('power', 4, 2)} AS avg_power, count(power) AS n_readings
 FROM readings_base GROUP BY room, date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE"""))
 
 oracle("stream_latest", with_readings(f"""
@@ -842,12 +867,13 @@ FROM dec"""))
 
 oracle("rolling_last_60", with_readings(f"""
 SELECT id, room, {sql_ts('ts')} AS ts, n_window,
-       {sql_ratio_rounded('sp', 'n_window', 2, 2)} AS avg_power,
-       {sql_ratio_rounded('sv', 'n_window', 1, 2)} AS avg_voltage
+       {ratio_shown('sp', 'np', 4, 2)} AS avg_power, {ratio_shown('sv', 'nv', 4, 2)} AS avg_voltage,
+       {ratio_shown('sc', 'nc', 6, 6)} AS avg_current
 FROM (SELECT id, room, ts,
              count(*) OVER w AS n_window,
-             sum(CAST(round(power * 100) AS BIGINT)) OVER w AS sp,
-             sum(CAST(round(voltage * 10) AS BIGINT)) OVER w AS sv
+             CAST(sum(CAST(power AS DECIMAL(18,4))) OVER w * 10000 AS HUGEINT) AS sp, count(power) OVER w AS np,
+             CAST(sum(CAST(voltage AS DECIMAL(18,4))) OVER w * 10000 AS HUGEINT) AS sv, count(voltage) OVER w AS nv,
+             CAST(sum(CAST(current AS DECIMAL(18,6))) OVER w * 1000000 AS HUGEINT) AS sc, count(current) OVER w AS nc
       FROM readings_base WINDOW w AS (PARTITION BY room ORDER BY ts, id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""))
 
 
@@ -889,13 +915,13 @@ tparsed AS (
 oracle("training_text_daily", "WITH " + TTEXT + """,
 tvalid AS (SELECT * FROM tparsed WHERE ts IS NOT NULL AND energy_kwh IS NOT NULL),
 tfirst AS (SELECT room, CAST(ts AS DATE) AS date, room_type, count(*) AS n,
-                  sum(CAST(round(energy_kwh * 10000) AS BIGINT)) AS e,
-                  sum(CAST(round(voltage * 100) AS BIGINT)) AS sv, count(voltage) AS cv,
-                  sum(CAST(round(current * 100) AS BIGINT)) AS sc, count(current) AS cc
+                  sum(CAST(energy_kwh AS DECIMAL(18,8))) AS e,
+                  """ + counted("voltage", 4) + """ AS sv, count(voltage) AS cv,
+                  """ + counted("current", 6) + """ AS sc, count(current) AS cc
            FROM tvalid GROUP BY ALL)
-SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(sum(e) AS DOUBLE) / 10000.0 AS energy_kwh,
-       """ + sql_ratio_rounded("sum(sv)", "sum(cv)", 2, 4) + """ AS voltage,
-       """ + sql_ratio_rounded("sum(sc)", "sum(cc)", 2, 4) + """ AS current,
+SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(sum(e) AS DOUBLE) AS energy_kwh,
+       """ + ratio_shown("CAST(sum(sv) AS HUGEINT)", "sum(cv)", 4, 4) + """ AS voltage,
+       """ + ratio_shown("CAST(sum(sc) AS HUGEINT)", "sum(cc)", 6, 4) + """ AS current,
        coalesce(arg_min(room_type, (room_type IS NULL, -n, room_type)), 'unknown') AS room_type
 FROM tfirst GROUP BY room, date""")
 

@@ -47,15 +47,16 @@ def readings_from_events(events: DataFrame, with_counter: bool = True, block=hou
     energy_counter_kwh (cumulative meter), light_state, event_type.
     """
     k = props_k(F.col("props"))
-    voltage = F.lit(220) + (k - F.lit(50)) / F.lit(10)
+    voltage = F.lit(220) + (k - F.lit(50)) / F.lit(10) + (F.col("event_id") % 9) * F.lit(0.0111)
+    power = F.col("value") / F.lit(3)          # more decimals than the log stores
     base = events.select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("ts"),
         room_from_id(F.col("user_id")).alias("room"),
         voltage.alias("voltage"),
-        (F.col("value") / voltage).alias("current"),
-        F.col("value").alias("power"),
-        (F.col("value") / F.lit(1000)).alias("energy_kwh"),
+        (power / voltage).alias("current"),
+        power.alias("power"),
+        (F.col("value") / F.lit(3000)).alias("energy_kwh"),
         F.when(F.col("event_type").isin("click", "purchase"), F.lit("ON")).otherwise(F.lit("OFF")).alias("light_state"),
         F.col("event_type"),
     )
@@ -101,7 +102,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detections_from_events(ev: DataFrame) -> DataFrame:
     """Detector output stand-in: one box per event; ``view`` events are persons (class 0).
 
-    frame = (room, minute of the event); confidence = (k % 100) / 100.
+    frame = (room, minute of the event); confidence = (k % 100) / 101.37 (raw floats).
     """
     k = props_k(F.col("props"))
     return ev.select(
@@ -110,7 +111,7 @@ def detections_from_events(ev: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("frame_ts"),
         F.when(F.col("event_type") == "view", F.lit(0)).otherwise(F.lit(1)).alias("class_id"),
-        ((k % 100) / F.lit(100)).alias("confidence"),
+        ((k % 100) / F.lit(101.37)).alias("confidence"),
     )
 
 
@@ -125,7 +126,7 @@ def training_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         room_from_id(F.col("l_suppkey")).alias("room"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        F.col("l_quantity").alias("energy_kwh"),
+        (F.col("l_quantity") / F.lit(3)).alias("energy_kwh"),
         F.when(F.col("l_returnflag") == "A", F.lit("lab"))
         .when(F.col("l_returnflag") == "N", F.lit("lecture"))
         .otherwise(F.lit("office")).alias("room_type"),
@@ -138,12 +139,9 @@ def tariff_series(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """Many monthly tariff series from ``orders`` (FIXTURES.md §2.2).
 
     series = o_orderpriority, month = first day of the order month,
-    rate = round(avg(o_totalprice) / 10000, 4) (exact); the last month, which
-    covers only its first day, is dropped.  One pass over ``orders``; the
+    rate = round(avg(o_totalprice) / 10000, 4) (exact); every month counts.  One pass over ``orders``; the
     result (series x months) is small and feeds several lookups, so it is
     checkpointed once into the shared checkpoint folder."""
-    from pyspark.sql import Window
-
     from ..session import cut_lineage
 
     o = table(spark, sf_dir, "orders")
@@ -151,9 +149,7 @@ def tariff_series(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     g = o.groupBy(F.col("o_orderpriority").alias("series"), month.alias("month")).agg(
         (exact.avg_rounded("o_totalprice", 2, 0) / F.lit(10000.0)).alias("rate")
     )
-    last = F.max("month").over(Window.partitionBy())     # over the series x month table
-    out = g.withColumn("_last", last).where(F.col("month") < F.col("_last")).drop("_last")
-    return cut_lineage(out) if materialize else out
+    return cut_lineage(g) if materialize else g
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,11 +123,11 @@ def stream_readings(payloads: DataFrame, watermark: str = WATERMARK) -> DataFram
 def stream_window_rollup(readings: DataFrame, window: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
     """Tumbling window per room: mean power (exact, 2 places), rows."""
     g = readings.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "room").agg(
-        F.sum(exact.units(F.col("power"), 2)).alias("_s"), F.count("power").alias("n_readings")
+        exact.total(exact.units(F.col("power"), exact.POWER)).alias("_s"), F.count("power").alias("n_readings")
     )
     return g.select(
         "room", F.col("w.start").alias("window_start"),
-        exact.ratio_rounded(F.col("_s"), F.col("n_readings"), 2, 2).alias("avg_power"), "n_readings",
+        exact.ratio_rounded(F.col("_s"), F.col("n_readings"), exact.POWER, 2).alias("avg_power"), "n_readings",
     )
 
 
