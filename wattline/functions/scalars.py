@@ -34,14 +34,14 @@ def parse_reading_ts(date_str: Column | str, time_str: Column | str) -> Column:
     text = F.concat_ws(" ", d, t)
     # Only text ending in AM/PM can match the 12 h pattern and only text without
     # it the 24 h one, so the shape picks the pattern (a failed parse is costly).
-    parsed = F.when(t.rlike(r"(?i)\s[ap]m$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd h:mm:ss a"))) \
+    parsed = F.when(t.rlike(r"(?i)\s[ap]m$"), F.try_to_timestamp(text, F.lit("yyyy-M-d h:m:s a"))) \
         .otherwise(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")))
     ok = (F.length(d) > 0) & (F.length(t) > 0) & F.year(parsed).between(2020, 2030)
     return F.when(ok, parsed)
 
 
 def coerce_ts(date_str: Column | str, time_str: Column | str | None = None) -> Column:
-    """date [+ ' ' + time] -> timestamp; a failed date+time falls back to the date alone."""
+    """date [+ ' ' + time] -> timestamp; null when what is given does not parse."""
     d = F.trim(_c(date_str))
     date_only = (
         F.when(d.rlike("/"), F.try_to_timestamp(d, F.lit("M/d/yyyy")))
@@ -54,12 +54,12 @@ def coerce_ts(date_str: Column | str, time_str: Column | str | None = None) -> C
     text = F.concat_ws(" ", d, t)
     # the text's shape picks the pattern; a failed parse is costly
     with_time = (
-        F.when(t.rlike(r"(?i)\s[ap]m$"), F.try_to_timestamp(text, F.lit("yyyy-M-d h:mm:ss a")))
+        F.when(t.rlike(r"(?i)\s[ap]m$"), F.try_to_timestamp(text, F.lit("yyyy-M-d h:m:s a")))
         .when(d.rlike("/"), F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")))
         .when(t.rlike("^[0-9]{1,2}:[0-9]{1,2}$"), F.try_to_timestamp(text, F.lit("yyyy-M-d H:m")))
         .otherwise(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")))
     )
-    return F.coalesce(with_time, date_only)
+    return F.when(F.length(t) > 0, with_time).otherwise(date_only)
 
 
 def device_event_time(text: Column | str, fallback: Column) -> Column:

@@ -16,7 +16,7 @@ from .. import fixed
 from ..functions import exact
 from ..functions.exact import idiv
 from ..functions.scalars import day_name, prediction_id, room_type_from_prefix, room_type_label, weekday_mon0
-from .rules import recommend
+from .rules import recommend, rules_array
 
 PATTERN_E3 = {
     "lab": [int(round(p * 1000)) for p in fixed.HOURLY_PATTERN_LAB],
@@ -77,7 +77,7 @@ def predict_days(grid: DataFrame, rules, weekday_kwh_e4: Column | None = None) -
         .otherwise(weekday_kwh_e4 if weekday_kwh_e4 is not None else fallback_kwh_e4(rt, d))
     )
     rate_e4 = exact.units(F.col("rate"), 4)
-    g = grid.select("*", rt.alias("_rt"), wd.alias("_wd"), kwh_e4.alias("_k"), rate_e4.alias("_r"))
+    g = grid.select("*", rt.alias("_rt"), wd.alias("_wd"), kwh_e4.alias("_k"), rate_e4.alias("_r"), rules_array(rules).alias("_rules"))
     k, r, wdc, rtc = F.col("_k"), F.col("_r"), F.col("_wd"), F.col("_rt")
     c = F.when(wdc == 6, F.lit(0).cast("long")).otherwise(_cost_c(k, r))
     g = g.withColumn("_c", c)
@@ -91,7 +91,7 @@ def predict_days(grid: DataFrame, rules, weekday_kwh_e4: Column | None = None) -
     advice = (
         F.when(wdc == 6, F.array(F.lit(fixed.ADVICE_SUNDAY)))
         .when(wdc == 5, F.array(F.lit(fixed.ADVICE_SATURDAY)))
-        .otherwise(recommend(k / F.lit(10000.0), c / F.lit(100.0), rules))
+        .otherwise(recommend(k / F.lit(10000.0), c / F.lit(100.0), F.col("_rules")))
     )
     weekend = wdc >= 5
     return g.select(

@@ -1,8 +1,8 @@
 """Threshold rules: recommendations and alerts.
 
-A rule table is configuration (a handful of rows).  It is folded into one
-sorted array by a scalar subquery, so applying it is a per-row ``filter`` /
-``transform`` over that array: no join, no shuffle of the rows being judged.
+A rule table is folded into one sorted array by a scalar subquery, so applying
+it is a per-row ``filter`` / ``transform`` over that array: no join, no shuffle
+of the rows being judged, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,48 +15,35 @@ from ..functions import exact
 
 
 
-MAX_RULES = 10_000   # a rule table is configuration; refuse anything larger
-
-
 def rules_table(spark: SparkSession, rules=fixed.RECOMMENDATION_RULES) -> DataFrame:
     """The rule table with its file order (``rule_order``)."""
     rows = [(t, float(v), txt, i) for i, (t, v, txt) in enumerate(rules)]
     return spark.createDataFrame(rows, "threshold_type string, threshold_value double, recommendation string, rule_order int")
 
 
-def rule_rows(rules: DataFrame | list) -> list[tuple]:
-    """Rule table as plain rows (file order), with its size checked first.
+_RANK = {"energy_kWh": 0, "energy_cost_Php": 1}
 
-    Rules are configuration read by the driver (as the reference reads its CSV);
-    they become literals of the plan, so judging rows needs no join or shuffle.
-    """
+
+def rules_array(rules) -> Column:
+    """Rules (a list, or a table) in the order they apply: kWh rules, then cost rules, each in file order.
+
+    Of a table it is a scalar subquery: put it into a column before use in ``recommend``."""
     if isinstance(rules, list):
-        return list(rules)
-    n = rules.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"rule table has {n} rows (> {MAX_RULES}); not configuration")
-    order = "rule_order" if "rule_order" in rules.columns else None
-    rows = rules.orderBy(order).collect() if order else rules.collect()
-    return [(r["threshold_type"], float(r["threshold_value"]), r["recommendation"]) for r in rows]
-
-
-def _rules_array(rules) -> Column:
-    rank = {"energy_kWh": 0, "energy_cost_Php": 1}
-    items = sorted(
-        (rank[t], i, float(v), txt) for i, (t, v, txt) in enumerate(rule_rows(rules)) if t in rank
-    )
-    return F.array(*[
-        F.struct(F.lit(r).alias("rank"), F.lit(i).alias("rule_order"), F.lit(v).alias("threshold_value"),
-                 F.lit(txt).alias("recommendation"))
-        for r, i, v, txt in items
-    ]) if items else F.array().cast("array<struct<rank:int,rule_order:int,threshold_value:double,recommendation:string>>")
+        items = sorted((_RANK[t], i, float(v), txt) for i, (t, v, txt) in enumerate(rules) if t in _RANK)
+        rows = [F.struct(F.lit(r).alias("rank"), F.lit(i).alias("rule_order"), F.lit(v).alias("threshold_value"), F.lit(txt).alias("recommendation")) for r, i, v, txt in items]
+        return F.array(*rows) if rows else F.array().cast("array<struct<rank:int,rule_order:int,threshold_value:double,recommendation:string>>")
+    kind = F.col("threshold_type")
+    rank = F.when(kind == "energy_kWh", 0).when(kind == "energy_cost_Php", 1)
+    order = F.col("rule_order") if "rule_order" in rules.columns else F.monotonically_increasing_id()
+    known = rules.select(rank.alias("rank"), order.alias("rule_order"), F.col("threshold_value").cast("double").alias("threshold_value"), "recommendation").where("rank is not null")
+    return known.agg(F.array_sort(F.collect_list(F.struct("rank", "rule_order", "threshold_value", "recommendation")))).scalar()
 
 
-def recommend(kwh: Column, cost: Column, rules=fixed.RECOMMENDATION_RULES) -> Column:
+def recommend(kwh: Column, cost: Column, rules: Column) -> Column:
     """Table rules (kWh rules first, then cost rules, each in file order,
     threshold <= value), then the dynamic advice, de-duplicated keeping the first
     occurrence; the default text if nothing applies."""
-    arr = _rules_array(rules)
+    arr = rules
     hit = F.filter(
         arr,
         lambda r: ((r["rank"] == 0) & (r["threshold_value"] <= kwh)) | ((r["rank"] == 1) & (r["threshold_value"] <= cost)),
@@ -84,37 +71,6 @@ def alert_table(spark: SparkSession, rules=fixed.ALERT_RULES) -> DataFrame:
     )
 
 
-def alerts(daily: DataFrame, alerts_df: DataFrame, value_col: str, kind: str) -> DataFrame:
-    """The strongest active rule of ``kind`` ('consumption' or 'cost') that
-    fires (value > threshold) per row, with the message filled in.
-
-    ``daily`` has room, date and ``value_col``.  Rows where no rule fires drop out.
-    """
-    n = alerts_df.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"alert table has {n} rows (> {MAX_RULES}); not configuration")
-    rows = [r for r in alerts_df.orderBy("rule_order").collect()
-            if r["notification_type"] == kind and r["is_active"] == 1]
-    rows.sort(key=lambda r: (-r["threshold"], r["rule_order"]))
-    packed = F.array(*[
-        F.struct(F.lit(float(r["threshold"])).alias("threshold"), F.lit(r["message"]).alias("message"),
-                 F.lit(r["priority"]).alias("priority"))
-        for r in rows
-    ])
-    v = F.col(value_col)
-    fired = F.filter(packed, lambda r: v > r["threshold"])
-    top = F.try_element_at(fired, F.lit(1))
-    value_txt = F.format_number(v, 2)
-    msg = F.replace(
-        F.replace(F.replace(top["message"], F.lit("{room}"), F.col("room")), F.lit("{value}"), F.regexp_replace(value_txt, ",", "")),
-        F.lit("{date}"),
-        F.date_format("date", "yyyy-MM-dd"),
-    )
-    return daily.where(F.size(fired) > 0).select(
-        "room", "date", v.alias("value"), top["threshold"].alias("threshold"), top["priority"].alias("priority"), msg.alias("message")
-    )
-
-
 def weekly_trend(daily: DataFrame, value_col: str = "energy_kwh") -> DataFrame:
     """Weekly total per room and % change vs the previous week (weeks start Monday).
 
@@ -148,20 +104,16 @@ def alerts_multi(daily: DataFrame, alerts_df: DataFrame, kinds: dict[str, str])
     its value column; one output row per (daily row, kind) that fires."""
     # one generator over the daily rows instead of a union of per-kind filters,
     # so the daily table is produced once
-    n = alerts_df.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"alert table has {n} rows (> {MAX_RULES}); not configuration")
-    rows = alerts_df.orderBy("rule_order").collect()
-    fired_cols = []
+    packed_cols, fired_cols = {}, []
     for kind, col in kinds.items():
-        rs = sorted([r for r in rows if r["notification_type"] == kind and r["is_active"] == 1],
-                    key=lambda r: (-r["threshold"], r["rule_order"]))
-        arr = F.array(*[F.struct(F.lit(float(r["threshold"])).alias("threshold"), F.lit(r["message"]).alias("message"),
-                                 F.lit(r["priority"]).alias("priority")) for r in rs])
+        mine = alerts_df.where((F.col("notification_type") == kind) & (F.col("is_active") == 1))
+        packed = F.struct((-F.col("threshold")).alias("down"), "rule_order", "threshold", "message", "priority")
+        packed_cols[f"_rules_{kind}"] = mine.agg(F.array_sort(F.collect_list(packed))).scalar()      # strongest first
+        arr = F.col(f"_rules_{kind}")
         v = F.col(col)
         top = F.try_element_at(F.filter(arr, lambda r: v > r["threshold"]), F.lit(1))
         fired_cols.append(F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"), top.alias("top")))
-    d = daily.select("room", "date", F.explode(F.array(*fired_cols)).alias("f")).where(F.col("f.top").isNotNull())
+    d = daily.withColumns(packed_cols).select("room", "date", F.explode(F.array(*fired_cols)).alias("f")).where(F.col("f.top").isNotNull())
     value_txt = F.regexp_replace(F.format_number(F.col("f.value"), 2), ",", "")
     msg = F.replace(F.replace(F.replace(F.col("f.top.message"), F.lit("{room}"), F.col("room")), F.lit("{value}"), value_txt),
                     F.lit("{date}"), F.date_format("date", "yyyy-MM-dd"))

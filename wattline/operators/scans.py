@@ -30,13 +30,30 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _part(keys: Sequence[str]) -> list[str]:
+    """Columns that hold a row's (key, block) without nulls: windows partition by them and the block
+    summary joins on them by plain equality, so one shuffle and sort of the rows serves both."""
+    return [*_key_names(keys), "_scan_b"]
+
+
+def _key_names(keys: Sequence[str]) -> list[str]:
+    return [f"_scan_k{i}" for i in range(len(keys))]
+
+
+def _open(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """``df`` with its block and the columns of ``_part``; a null key is a group of its own, like in a window."""
+    d = df.withColumn(_BLK, block)
+    plain = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in [*keys, _BLK]]
+    return d.withColumns(dict(zip(_part(keys), plain)))
+
+
+def _blocks(d: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """A row per block, with its place in the order."""
+    return d.groupBy(*_part(keys)).agg(*aggs, F.min(_BLK).alias(_BLK))
+
+
 def _join_blocks(d: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, _BLK]
-    # Null-safe equality so a null key behaves as its own group, like a window.
-    right = summary.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in summary.columns if c not in on])
-    cond = [d[c].eqNullSafe(right[f"_r_{c}"]) for c in on]
-    out = d.join(right, cond, "left")
-    return out.drop(*[f"_r_{c}" for c in on])
+    return d.join(summary.drop(_BLK), _part(keys), "left").drop(*_part(keys))
 
 
 def running_sum(
@@ -48,12 +65,12 @@ def running_sum(
     block: Column,
 ) -> DataFrame:
     """``out`` = sum of ``value`` over all rows of the key up to and including this row."""
-    d = df.withColumn(_BLK, block).withColumn("_scan_v", value)
-    w_in = Window.partitionBy(*keys, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    d = _open(df, keys, block).withColumn("_scan_v", value)
+    w_in = Window.partitionBy(*_part(keys)).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_scan_local", F.sum("_scan_v").over(w_in))
-    w_blk = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    w_blk = Window.partitionBy(*_key_names(keys)).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        d.groupBy(*keys, _BLK).agg(F.sum("_scan_v").alias("_scan_bsum"))
+        _blocks(d, keys, F.sum("_scan_v").alias("_scan_bsum"))
         .withColumn("_scan_carry", F.sum("_scan_bsum").over(w_blk))
         .drop("_scan_bsum")
     )
@@ -73,12 +90,12 @@ def running_max(
     block: Column,
 ) -> DataFrame:
     """``out`` = max of ``value`` (nulls ignored) over the key up to this row."""
-    d = df.withColumn(_BLK, block).withColumn("_scan_v", value)
-    w_in = Window.partitionBy(*keys, _BLK).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    d = _open(df, keys, block).withColumn("_scan_v", value)
+    w_in = Window.partitionBy(*_part(keys)).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_scan_local", F.max("_scan_v").over(w_in))
-    w_blk = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    w_blk = Window.partitionBy(*_key_names(keys)).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        d.groupBy(*keys, _BLK).agg(F.max("_scan_v").alias("_scan_bmax"))
+        _blocks(d, keys, F.max("_scan_v").alias("_scan_bmax"))
         .withColumn("_scan_carry", F.max("_scan_bmax").over(w_blk))
         .drop("_scan_bmax")
     )
@@ -98,15 +115,14 @@ def previous_value(
 ) -> DataFrame:
     """``out`` = ``value`` of the previous row of the key (``lag(value, 1)``)."""
     order_cols = _cols(order)
-    d = df.withColumn(_BLK, block).withColumn("_scan_v", value)
-    w_in = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
+    d = _open(df, keys, block).withColumn("_scan_v", value)
+    w_in = Window.partitionBy(*_part(keys)).orderBy(*order_cols)
     d = d.withColumn("_scan_lag", F.lag("_scan_v").over(w_in)).withColumn(
         "_scan_first", F.row_number().over(w_in) == 1
     )
-    w_blk = Window.partitionBy(*keys).orderBy(_BLK)
+    w_blk = Window.partitionBy(*_key_names(keys)).orderBy(_BLK)
     summary = (
-        d.groupBy(*keys, _BLK)
-        .agg(F.max_by("_scan_v", F.struct(*order_cols)).alias("_scan_last"))
+        _blocks(d, keys, F.max_by("_scan_v", F.struct(*order_cols)).alias("_scan_last"))
         .withColumn("_scan_carry", F.lag("_scan_last").over(w_blk))
         .drop("_scan_last")
     )
@@ -142,6 +158,8 @@ def rolling_rows(
     ``block_rows``; the last ``n - 1`` rows of each block are copied into the
     next block as context, so a window per (key, block) sees every frame whole.
     """
+    if n - 1 > block_rows:
+        raise ValueError(f"frames of {n} rows need blocks of at least {n - 1} rows")
     d = row_index(df, keys, order, "_rr_idx", block)
     d = d.withColumn("_rr_own", ((F.col("_rr_idx") - 1 - (F.col("_rr_idx") - 1) % block_rows) / block_rows).cast("long"))
     tail = (F.col("_rr_idx") - 1) % block_rows >= block_rows - (n - 1)
@@ -181,15 +199,16 @@ def segmented_sessions(
     def starts(cur, prev):
         return (cur - prev > gap) if strict else (cur - prev >= gap)
 
-    d = df.withColumn(_BLK, block).withColumn("_ss_t", t)
-    w_in = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
+    d = _open(df, keys, block).withColumn("_ss_t", t)
+    w_in = Window.partitionBy(*_part(keys)).orderBy(*order_cols)
     d = d.withColumn("_ss_prev", F.lag("_ss_t").over(w_in)).withColumn("_ss_first", F.row_number().over(w_in) == 1)
     new_local = F.when(F.col("_ss_first"), F.lit(0)).otherwise(starts(F.col("_ss_t"), F.col("_ss_prev")).cast("int"))
     d = d.withColumn("_ss_new", new_local).withColumn(
         "_ss_cnt", F.sum("_ss_new").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
-    w_blk = Window.partitionBy(*keys).orderBy(_BLK)
+    w_blk = Window.partitionBy(*_key_names(keys)).orderBy(_BLK)
     blk = (
-        d.groupBy(*keys, _BLK).agg(
+        _blocks(
+            d, keys,
             F.min_by("_ss_t", F.struct(*order_cols)).alias("_ss_bfirst"),
             F.max_by("_ss_t", F.struct(*order_cols)).alias("_ss_blast"),
             F.sum("_ss_new").alias("_ss_inner"),
@@ -199,7 +218,7 @@ def segmented_sessions(
         .withColumn("_ss_carry", F.coalesce(
             F.sum(F.col("_ss_inner") + F.col("_ss_fnew")).over(w_blk.rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)))
-        .select(*keys, _BLK, "_ss_pblast", "_ss_fnew", "_ss_carry")
+        .select(*_part(keys), _BLK, "_ss_pblast", "_ss_fnew", "_ss_carry")
     )
     d = _join_blocks(d, blk, keys)
     prev = F.when(F.col("_ss_first"), F.col("_ss_pblast")).otherwise(F.col("_ss_prev"))

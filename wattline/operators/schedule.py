@@ -1,9 +1,8 @@
 """Weekly timetable: lookups, in-class test, gaps, conflicts (SURVEY J4, J6, P0f,
 W3, N3, F20).
 
-The timetable is configuration (rows per room and weekday).  It is broadcast
-only after its size is checked; beyond the limit the same joins run as
-shuffle joins.  Overlapping bookings are resolved on the timetable itself
+The timetable is a table like any other: whether a join broadcasts it is left to
+Spark's own size statistics.  Overlapping bookings are resolved on the timetable itself
 (first row in file order wins) before it meets the readings, so each reading
 matches at most one booking and readings are never regrouped.
 """
@@ -16,14 +15,6 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.scalars import minutes_of_day, hhmm
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a side only after checking it is small; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def timetable(spark: SparkSession, rows=fixed.TIMETABLE) -> DataFrame:
     """Timetable with file order and minutes of day (F20); keys trimmed / lower-cased (P0f)."""
     df = spark.createDataFrame(
@@ -81,7 +72,7 @@ def effective_timetable(tt: DataFrame) -> DataFrame:
 def schedule_at(ticks: DataFrame, tt: DataFrame, ts: str = "ts") -> DataFrame:
     """For each tick (room, ts): in_class and the booking, with
     ``start <= HH:MM < end`` on the tick's weekday (half-open)."""
-    eff = maybe_broadcast(
+    eff = (
         effective_timetable(tt).withColumnRenamed("room", "_tt_room").withColumnRenamed("day", "_tt_day")
     )
     t = ticks.withColumn("_day", F.lower(F.date_format(ts, "EEEE"))).withColumn("_hm", F.date_format(ts, "HH:mm"))
@@ -100,7 +91,7 @@ def schedule_at(ticks: DataFrame, tt: DataFrame, ts: str = "ts") -> DataFrame:
 def schedule_for_day(room_days: DataFrame, tt: DataFrame) -> DataFrame:
     """Bookings of each (room, date)'s weekday, with start/end (sort on read by start)."""
     r = room_days.withColumn("_day", F.lower(F.date_format("date", "EEEE")))
-    t = maybe_broadcast(tt).withColumnRenamed("room", "_tt_room")
+    t = tt.withColumnRenamed("room", "_tt_room")
     j = r.join(t, (F.trim(r["room"]) == F.col("_tt_room")) & (r["_day"] == F.col("day")))
     return j.select("room", "date", "start_time", "end_time", "event_name", "start_min", "rule_order")
 

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +100,6 @@ def rate_for_date(dates: DataFrame, rates: DataFrame, forecast: DataFrame | None
     return out.select(*dates.columns, rate.alias("rate"))
 
 
-def rate_for_date_single(dates: DataFrame, rates: DataFrame) -> DataFrame:
-    """J2 for one tariff series (no model): the month's rate, else the last known
-    rate (a scalar subquery), else 11.0 — an equi-join on the month only."""
-    d = dates.withColumn("_m", F.trunc("date", "MM"))
-    hist = rates.where(F.col("rate").isNotNull()).select(F.col("month").alias("_m"), F.col("rate").alias("_hist"))
-    last = rates.where(F.col("rate").isNotNull()).select(F.max_by("rate", "month")).scalar()
-    out = d.join(hist, "_m", "left")
-    return out.select(*dates.columns, F.coalesce(F.col("_hist"), last, F.lit(fixed.DEFAULT_RATE)).alias("rate"))
-
-
 # --- M7 / M8: Holt-Winters, additive trend and season, many series ----------
 
 DEFAULT_GRID = {
@@ -116,112 +109,68 @@ DEFAULT_GRID = {
 }
 
 
-def _fold(values: Column, a: Column, b: Column, g: Column) -> Column:
-    """One pass of additive Holt-Winters over an ordered array of doubles (nulls = gaps).
-
-    State: level l, trend t, 12 seasonal terms s, step i, sse, n (observed steps).
-    Initial state from the first two seasons: l0 = mean(season 1),
-    t0 = (mean(season 2) - mean(season 1)) / 12, s_j = y_j - l0.
-    """
-    first = F.slice(values, 1, SEASON)
-    second = F.slice(values, SEASON + 1, SEASON)
-    mean1 = F.aggregate(first, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))) / F.greatest(
-        F.size(F.filter(first, lambda x: x.isNotNull())), F.lit(1)
-    )
-    mean2 = F.aggregate(second, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))) / F.greatest(
-        F.size(F.filter(second, lambda x: x.isNotNull())), F.lit(1)
-    )
-    season0 = F.transform(first, lambda x: F.coalesce(x, mean1) - mean1)
-    init = F.struct(
-        mean1.alias("l"),
-        ((mean2 - mean1) / F.lit(float(SEASON))).alias("t"),
-        season0.alias("s"),
-        F.lit(0).alias("i"),
-        F.lit(0.0).alias("sse"),
-        F.lit(0).alias("n"),
-    )
-
-    def let(value: Column, body) -> Column:
-        """Evaluate ``value`` once and use it in ``body`` (no subexpression
-        elimination happens inside lambdas)."""
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def step(acc, y):
-        k = acc["i"] % SEASON
-        obs = y.isNotNull()
-
-        def with_season(s_k):
-            lt = acc["l"] + acc["t"]
-            l_expr = F.when(obs, a * (y - s_k) + (F.lit(1.0) - a) * lt).otherwise(lt)
-
-            def with_level(l_new):
-                t_new = F.when(obs, b * (l_new - acc["l"]) + (F.lit(1.0) - b) * acc["t"]).otherwise(acc["t"])
-                s_new_k = F.when(obs, g * (y - l_new) + (F.lit(1.0) - g) * s_k).otherwise(s_k)
-                err = y - (lt + s_k)
-                return F.struct(
-                    l_new.alias("l"),
-                    t_new.alias("t"),
-                    F.transform(acc["s"], lambda v, j: F.when(j == k, s_new_k).otherwise(v)).alias("s"),
-                    (acc["i"] + 1).alias("i"),
-                    (acc["sse"] + F.when(obs, err * err).otherwise(F.lit(0.0))).alias("sse"),
-                    (acc["n"] + F.when(obs, 1).otherwise(0)).alias("n"),
-                )
-
-            return let(l_expr, with_level)
-
-        return let(F.element_at(acc["s"], k + 1), with_season)
-
-    return F.aggregate(values, init, step)
+FIT = ("series string, last_month date, alpha double, beta double, gamma double, sse double, n_obs int, n_steps int, "
+       "level double, trend double, season array<double>, aic double, bic double")
+
+
+def _fit_series(grid: dict, min_points: int):
+    """Fit of one series (its months in order, gaps null): all parameter triples as vectors, one pass over the months.
+
+    Initial state from the first two seasons: level = mean(season 1), trend =
+    (mean(season 2) - mean(season 1)) / 12, seasonal terms = value - level."""
+    alpha, beta, gamma = (x.ravel() for x in np.meshgrid(grid["alpha"], grid["beta"], grid["gamma"], indexing="ij"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month")
+        y = pdf["rate"].to_numpy(np.float64)
+        row = {"series": pdf["series"].iloc[0], "last_month": pdf["month"].iloc[-1], "n_steps": len(y), "n_obs": int(np.isfinite(y).sum())}
+        if len(y) < min_points:          # too short to fit: reported without parameters
+            return pd.DataFrame([row | dict.fromkeys(("alpha", "beta", "gamma", "sse", "level", "trend", "season", "aic", "bic"))])
+
+        def mean(x):
+            seen = x[np.isfinite(x)]
+            total = 0.0
+            for v in seen:
+                total += v
+            return total / max(1, len(seen))
+
+        m1, m2 = mean(y[:SEASON]), mean(y[SEASON:2 * SEASON])
+        level, trend = np.full(len(alpha), m1), np.full(len(alpha), (m2 - m1) / float(SEASON))
+        season = np.repeat((np.where(np.isfinite(y[:SEASON]), y[:SEASON], m1) - m1)[None], len(alpha), axis=0)
+        sse = np.zeros(len(alpha))
+        for i, v in enumerate(y):
+            k, ahead = i % SEASON, level + trend
+            if not np.isfinite(v):
+                level = ahead
+                continue
+            s = season[:, k].copy()
+            new = alpha * (v - s) + (1.0 - alpha) * ahead
+            err = v - (ahead + s)
+            sse += err * err
+            trend = beta * (new - level) + (1.0 - beta) * trend
+            season[:, k] = gamma * (v - new) + (1.0 - gamma) * s
+            level = new
+        best = int(np.lexsort((gamma, beta, alpha, sse))[0])
+        n, params = row["n_obs"], 3 + 2 + SEASON
+        base = n * np.log(max(sse[best], 1e-300) / n)
+        return pd.DataFrame([row | {"alpha": alpha[best], "beta": beta[best], "gamma": gamma[best], "sse": sse[best], "level": level[best], "trend": trend[best],
+                                    "season": season[best].tolist(), "aic": base + 2 * params, "bic": base + params * np.log(float(n))}])
+
+    return fit
 
 
 def holt_winters_fit(rates: DataFrame, grid: dict | None = None, min_points: int = 2 * SEASON) -> DataFrame:
     """M7: grid-search additive Holt-Winters for every series at once.
 
-    Each series becomes one ordered array (month grid, gaps null); the grid of
-    (alpha, beta, gamma) is exploded next to it and each triple is one fold; the
-    best triple per series is the minimum SSE (ties to the smaller parameters).
-    Output per series: alpha, beta, gamma, sse, n, final level/trend/season,
-    last month and AIC/BIC (k = 3 smoothing + 2 initial + 12 seasonal).
+    One group per series (its months: bounded by the calendar), in which the
+    triples (alpha, beta, gamma) are one vector; the best triple is the minimum
+    SSE (ties to the smaller parameters).  Output per series: alpha, beta, gamma,
+    sse, n, final level/trend/season, last month and AIC/BIC (k = 3 smoothing +
+    2 initial + 12 seasonal).  Series with fewer than ``min_points`` months come
+    out with null parameters, so their forecasts are null and callers fall back.
     """
-    grid = grid or DEFAULT_GRID
-    filled = fill_month_grid(rates)
-    arrays = filled.groupBy("series").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("month", "rate"))), lambda x: x["rate"]).alias("y"),
-        F.max("month").alias("last_month"),
-    ).where(F.size("y") >= min_points)
-    params = F.explode(
-        F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma"))
-                  for a in grid["alpha"] for b in grid["beta"] for g in grid["gamma"]])
-    )
-    # One row per (series, parameter triple); spread the folds over all cores.
-    # The rows are tiny in bytes, so the count is explicit: AQE would coalesce a
-    # column-only repartition back into one task, serialising the CPU-bound folds.
-    n_tasks = max(1, arrays.sparkSession.sparkContext.defaultParallelism)
-    trials = arrays.select("series", "y", "last_month", params.alias("p")).repartition(n_tasks, "series", "p").select(
-        "series", "last_month", "p", _fold(F.col("y"), F.col("p.alpha"), F.col("p.beta"), F.col("p.gamma")).alias("st")
-    )
-    best = trials.groupBy("series", "last_month").agg(
-        F.min_by(F.struct("p", "st"), F.struct(F.col("st.sse"), F.col("p.alpha"), F.col("p.beta"), F.col("p.gamma"))).alias("b")
-    )
-    k = 3 + 2 + SEASON
-    n = F.col("b.st.n")
-    sse = F.col("b.st.sse")
-    base = n * F.log(F.greatest(sse, F.lit(1e-300)) / n)
-    return best.select(
-        "series",
-        "last_month",
-        F.col("b.p.alpha").alias("alpha"),
-        F.col("b.p.beta").alias("beta"),
-        F.col("b.p.gamma").alias("gamma"),
-        sse.alias("sse"),
-        n.alias("n_obs"),
-        F.col("b.st.i").alias("n_steps"),
-        F.col("b.st.l").alias("level"),
-        F.col("b.st.t").alias("trend"),
-        F.col("b.st.s").alias("season"),
-        (base + F.lit(2 * k)).alias("aic"),
-        (base + F.lit(float(k)) * F.log(n.cast("double"))).alias("bic"),
-    )
+    months = fill_month_grid(rates).select("series", "month", "rate")
+    return months.groupBy("series").applyInPandas(_fit_series(grid or DEFAULT_GRID, min_points), FIT)
 
 
 def forecast_rates(fit: DataFrame, horizon: int = 12) -> DataFrame:

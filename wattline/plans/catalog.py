@@ -85,9 +85,7 @@ def _latest_reading(spark, sf_dir):
 def _nearest_available_date(spark, sf_dir):
     """K4 for every room and every calendar day from 2 days before its first
     reading to 2 days after its last."""
-    from ..session import cut_lineage
-
-    avail = cut_lineage(rollups.available_dates(tables.readings(spark, sf_dir, with_counter=False)))  # rooms x days
+    avail = rollups.available_dates(tables.readings(spark, sf_dir, with_counter=False))  # rooms x days
     req = avail.groupBy("room").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(
         "room",
         F.explode(F.sequence(F.date_sub("lo", 2), F.date_add("hi", 2))).alias("date"),
@@ -282,23 +280,25 @@ def _rate_for_date_forecast(spark, sf_dir):
 
 # --- deterministic predictions and rules ------------------------------------------
 
-TARIFF_SERIES = "1-URGENT"   # the orders series used as the tariff of the predictions
-
+def _day_grid(spark, sf_dir):
+    """Prediction rooms x every day of the training data's date range; the
+    bounds come straight from the readings, one small aggregate per room."""
+    r = tables.training_readings(spark, sf_dir)
+    day = F.to_date("ts")
+    per_room = r.groupBy("room").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).withColumn("floor", scalars.floor_of_room(F.col("room")))
+    lo, hi = r.agg(F.min(day)).scalar(), r.agg(F.max(day)).scalar()
+    rooms = features.filter_room_ranges(per_room)
+    return rooms.select("room", F.explode(F.sequence(lo, hi)).alias("date"))
 
-def _prediction_grid(spark, sf_dir):
-    """Prediction rooms x every day of the training data's date range, with
-    the J2 rate (series 1-URGENT, no model).  One pass over the daily table:
-    per-room date bounds, then the global range over that small table."""
-    from pyspark.sql import Window
 
-    daily = _daily(spark, sf_dir)
-    per_room = daily.groupBy("room", "floor").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    everywhere = Window.partitionBy()        # over the per-room table (one row per room)
-    bounds = per_room.withColumn("lo", F.min("lo").over(everywhere)).withColumn("hi", F.max("hi").over(everywhere))
-    rooms = features.filter_room_ranges(bounds)
-    grid = rooms.select("room", F.explode(F.sequence("lo", "hi")).alias("date"))
-    rates = _tariff(spark, sf_dir).where(F.col("series") == TARIFF_SERIES)
-    return tariff.rate_for_date_single(grid, rates)
+def _prediction_grid(spark, sf_dir, with_forecast=False):
+    """J7 for every tariff series, with the J2 rate (``with_forecast``: the model's
+    rate for months after the history)."""
+    rates = _tariff(spark, sf_dir)
+    series = rates.agg(F.array_sort(F.collect_set("series"))).scalar()      # a name per tariff
+    grid = _day_grid(spark, sf_dir).select("*", F.explode(series).alias("series"))
+    forecast = tariff.forecast_at(tariff.holt_winters_fit(rates), grid.select("series", "date").distinct()) if with_forecast else None
+    return tariff.rate_for_date(grid, rates, forecast)
 
 
 def _flat(df):
@@ -320,7 +320,7 @@ def _predict_weekend(spark, sf_dir):
 @query("predict_fallback_kwh")
 def _predict_fallback_kwh(spark, sf_dir):
     """P3 for every grid row."""
-    g = _prediction_grid(spark, sf_dir)
+    g = _day_grid(spark, sf_dir)
     rt = scalars.room_type_from_prefix(F.col("room"))
     return g.select("room", "date", rt.alias("room_type"),
                     (predict.fallback_kwh_e4(rt, F.col("date")) / F.lit(10000.0)).alias("kwh"))
@@ -328,19 +328,19 @@ def _predict_fallback_kwh(spark, sf_dir):
 
 @query("predict_last_resort")
 def _predict_last_resort(spark, sf_dir):
-    return _flat(predict.predict_last_resort(_prediction_grid(spark, sf_dir).drop("rate")))
+    return _flat(predict.predict_last_resort(_day_grid(spark, sf_dir)))
 
 
 @query("client_fallback")
 def _client_fallback(spark, sf_dir):
-    return _flat(predict.client_fallback(_prediction_grid(spark, sf_dir).drop("rate")))
+    return _flat(predict.client_fallback(_day_grid(spark, sf_dir)))
 
 
 @query("hourly_breakdown")
 def _hourly_breakdown(spark, sf_dir):
     """M6/J8 long form of P5: (room, date, hour, kwh)."""
     p = predict.predict_days(_prediction_grid(spark, sf_dir), rules.rules_table(spark))
-    return p.select("room", "date", F.posexplode("hourly_breakdown").alias("hour", "kwh")).withColumn(
+    return p.select("series", "room", "date", F.posexplode("hourly_breakdown").alias("hour", "kwh")).withColumn(
         "hour", F.col("hour").cast("long"))
 
 
@@ -353,11 +353,9 @@ def _cost(kwh):
 def _recommend_daily(spark, sf_dir):
     """J3 for every daily row: kWh and its cost at 11.0."""
     d = _daily(spark, sf_dir)
-    d = d.select("room", "date", "energy_kwh", _cost(F.col("energy_kwh")).alias("cost"))
+    d = d.select("room", "date", "energy_kwh", _cost(F.col("energy_kwh")).alias("cost"), rules.rules_array(rules.rules_table(spark)).alias("_rules"))
     return d.withColumn(
-        "recommendations",
-        F.array_join(rules.recommend(F.col("energy_kwh"), F.col("cost"), rules.rules_table(spark)), " | "),
-    )
+        "recommendations", F.array_join(rules.recommend(F.col("energy_kwh"), F.col("cost"), F.col("_rules")), " | ")).drop("_rules")
 
 
 @query("alert_thresholds")
@@ -507,12 +505,9 @@ def _last_seen_asof(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
-    """Frame ticks with last-seen time and class, materialized once (one row per
-    room-minute): the controller and the command changes both read it."""
-    from ..session import cut_lineage
-
+    """Frame ticks with last-seen time and class, and the controller's decision."""
     seen = occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
-    ticks = cut_lineage(schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts"))
+    ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts")
     return occupancy.light_decision(ticks)
 
 
@@ -590,8 +585,8 @@ def _stream_latest(spark, sf_dir):
 
 @query("stream_sessions")
 def _stream_sessions(spark, sf_dir):
-    s = streams.stream_sessions_stateful(_persons_stream(spark, sf_dir))
-    return streams.run_until_caught_up(s, "sessions", keys=["room", "session_start"])
+    s = streams.stream_sessions(_persons_stream(spark, sf_dir))
+    return streams.run_until_caught_up(s, "sessions", output_mode="complete")
 
 
 @query("stream_throttle")
@@ -612,14 +607,14 @@ def _stream_status_downsample(spark, sf_dir):
     return streams.run_until_caught_up(streams.stream_status_downsample(status), "status")
 
 
-def _landed(df, name):
+def _landed(df, name, fmt="parquet"):
     """Write a derived feed to the shared checkpoint folder (the stream's landing zone)."""
     import uuid
 
     from ..session import checkpoint_dir
 
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/landing/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.format(fmt).save(path)
     return path
 
 
@@ -639,12 +634,7 @@ def _stream_readings(spark, sf_dir):
     """T1 over payloads landed as JSON lines (one per reading)."""
     r = tables.readings(spark, sf_dir)
     txt = payload.payload_text(r).join(r.select("id", F.col("ts").alias("received_at")), "id").drop("id")
-    import uuid
-
-    from ..session import checkpoint_dir
-
-    path = f"{checkpoint_dir(spark).rstrip('/')}/landing/payload-{uuid.uuid4().hex}"
-    txt.write.mode("overwrite").json(path)
+    path = _landed(txt, "payload", "json")
     return streams.run_until_caught_up(streams.stream_readings(streams.payload_stream(spark, path)), "payload",
                                        keys=["room", "ts"])
 
@@ -661,12 +651,10 @@ _MODELS: dict = {}
 
 
 def _model_root(spark) -> str:
-    """Saved models live in the shared checkpoint folder; a fixed local folder
-    only when the session names none (local runs and tests)."""
-    import tempfile
+    """Saved models live in the shared checkpoint folder."""
+    from ..session import checkpoint_dir
 
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{conf.rstrip('/')}/models" if conf else f"{tempfile.gettempdir()}/wattline-models"
+    return f"{checkpoint_dir(spark).rstrip('/')}/models"
 
 
 def _kwh_model(spark, sf_dir):
@@ -713,9 +701,9 @@ def _top_features(spark, sf_dir):
 def _predict_range_model(spark, sf_dir):
     """P4 with the trained model for weekdays (P2 for weekends) over the J7 grid."""
     model = _kwh_model(spark, sf_dir)[0]
-    g = models.grid_features(_prediction_grid(spark, sf_dir))
+    g = models.grid_features(_prediction_grid(spark, sf_dir, with_forecast=True))
     scored = model.transform(g)
-    p = predict.predict_days(scored.select("room", "date", "rate", "prediction"), rules.rules_table(spark),
+    p = predict.predict_days(scored.select("series", "room", "date", "rate", "prediction"), rules.rules_table(spark),
                              models.model_kwh_e4(F.col("prediction")))
     return _flat(p).drop("prediction")
 

@@ -416,12 +416,13 @@ _LAB = "[" + ",".join(map(str, PATTERN_E3["lab"])) + "]"
 _OFFICE = "[" + ",".join(map(str, PATTERN_E3["office"])) + "]"
 
 PRED = """
+one_series AS (SELECT min(series) AS series FROM tariff),
 prooms AS (SELECT DISTINCT room FROM in_ranges),
 grid0 AS (SELECT p.room, CAST(unnest(generate_series((SELECT min(date) FROM daily), (SELECT max(date) FROM daily), INTERVAL 1 DAY)) AS DATE) AS date
           FROM prooms p),
-urgent AS (SELECT * FROM tariff WHERE series = '1-URGENT'),
-grid AS (SELECT g.room, g.date, coalesce(u.rate, (SELECT arg_max(rate, month) FROM urgent), 11.0) AS rate
-         FROM grid0 g LEFT JOIN urgent u ON u.month = CAST(date_trunc('month', g.date) AS DATE)),
+grid AS (SELECT s.series, g.room, g.date, coalesce(u.rate, s.last_rate, 11.0) AS rate
+         FROM grid0 g CROSS JOIN t_summ2 s
+         LEFT JOIN tariff u ON u.series = s.series AND u.month = CAST(date_trunc('month', g.date) AS DATE)),
 calc AS (SELECT *, CASE WHEN starts_with(room, '7') THEN 'lab' ELSE 'office' END AS rt, isodow(date) - 1 AS wd,
                 month(date) AS mo, day(date) AS dd, CAST(round(rate * 10000) AS BIGINT) AS r FROM grid),
 calc2 AS (SELECT *,
@@ -440,7 +441,7 @@ def with_pred(body: str, extra: str = "") -> str:
 
 
 PRED_SELECT = f"""
-SELECT room, strftime(date, '%Y-%m-%d') AS date, rate, {DAYNAMES}[wd + 1] AS day_name,
+SELECT series, room, strftime(date, '%Y-%m-%d') AS date, rate, {DAYNAMES}[wd + 1] AS day_name,
        CASE WHEN rt = 'lab' THEN 'Laboratory' ELSE 'Office' END AS room_type,
        CAST(wd >= 5 AS BIGINT) AS is_weekend,
        CAST((k + 50) // 100 AS DOUBLE) / 100.0 AS total_daily_kwh,
@@ -459,7 +460,7 @@ oracle("predict_weekend", with_pred(PRED_SELECT + " WHERE wd >= 5"))
 
 oracle("predict_fallback_kwh", with_pred("""
 SELECT room, strftime(date, '%Y-%m-%d') AS date, rt AS room_type,
-       CAST(greatest(base_season * w100, 5000) AS DOUBLE) / 10000.0 AS kwh FROM calc2"""))
+       CAST(greatest(base_season * w100, 5000) AS DOUBLE) / 10000.0 AS kwh FROM calc2 WHERE series = (FROM one_series)"""))
 
 oracle("predict_last_resort", with_pred(f"""
 SELECT room, strftime(date, '%Y-%m-%d') AS date, {DAYNAMES}[wd + 1] AS day_name,
@@ -471,7 +472,7 @@ SELECT room, strftime(date, '%Y-%m-%d') AS date, {DAYNAMES}[wd + 1] AS day_name,
        CAST((((kk * 110000 * 2 + 1000000) // 2000000) * 2 + 24) // 48 AS DOUBLE) / 100.0 AS avg_hourly_cost_php,
        {_q(fixed.ADVICE_FALLBACK_MODE)} AS recommendations,
        printf('%d-%d-%d', year(date), month(date), day(date)) AS date_text
-FROM (SELECT *, CAST(base_season * 100 AS BIGINT) AS kk FROM calc2) WHERE wd < 5"""))
+FROM (SELECT *, CAST(base_season * 100 AS BIGINT) AS kk FROM calc2 WHERE series = (FROM one_series)) WHERE wd < 5"""))
 
 oracle("client_fallback", with_pred("""
 SELECT room, strftime(date, '%Y-%m-%d') AS date,
@@ -481,10 +482,10 @@ SELECT room, strftime(date, '%Y-%m-%d') AS date,
        CAST((t2 * 11 * 2 + 24) // 48 AS DOUBLE) / 100.0 AS avg_hourly_cost,
        'Using fallback prediction model | Check API connection' AS recommendations,
        CAST(65 AS BIGINT) AS confidence
-FROM (SELECT *, CAST((CASE WHEN rt = 'lab' THEN 25 ELSE 15 END) * (CASE WHEN wd >= 5 THEN 30 ELSE 100 END) AS BIGINT) AS t2 FROM calc)"""))
+FROM (SELECT *, CAST((CASE WHEN rt = 'lab' THEN 25 ELSE 15 END) * (CASE WHEN wd >= 5 THEN 30 ELSE 100 END) AS BIGINT) AS t2 FROM calc WHERE series = (FROM one_series))"""))
 
 oracle("hourly_breakdown", with_pred(f"""
-SELECT room, strftime(date, '%Y-%m-%d') AS date, CAST(h AS BIGINT) AS hour,
+SELECT series, room, strftime(date, '%Y-%m-%d') AS date, CAST(h AS BIGINT) AS hour,
        CAST(CASE WHEN wd = 6 THEN 0 WHEN wd = 5 THEN (k * 40 + 5000) // 10000
             ELSE (k * (CASE WHEN rt = 'office' THEN {_OFFICE} ELSE {_LAB} END)[h + 1] + 5000) // 10000 END AS DOUBLE) / 1000.0 AS kwh
 FROM pred, generate_series(0, 23) hh(h)"""))
@@ -829,16 +830,18 @@ WHERE start_min < prev_max""", _DAYSCHED))
 
 oracle("stream_hourly", with_readings(f"""
 SELECT room, {sql_ts("date_trunc('hour', ts)")} AS window_start, {mean_shown('power', 4, 2)} AS avg_power,
-       count(power) AS n_readings
+       {mean_shown('voltage', 4, 4)} AS avg_voltage, {mean_shown('current', 6, 6)} AS avg_current,
+       {shown('max(power)', 4, 2)} AS max_power, CAST(sum(CAST(energy_kwh AS DECIMAL(18,8))) AS DOUBLE) AS energy_kwh, count(power) AS n_readings
 FROM readings_base GROUP BY room, date_trunc('hour', ts)"""))
 
 oracle("stream_15min", with_readings(f"""
 SELECT room, {sql_ts("date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE")} AS window_start,
-       {mean_shown('power', 4, 2)} AS avg_power, count(power) AS n_readings
+       {mean_shown('power', 4, 2)} AS avg_power, {mean_shown('voltage', 4, 4)} AS avg_voltage, {mean_shown('current', 6, 6)} AS avg_current,
+       {shown('max(power)', 4, 2)} AS max_power, CAST(sum(CAST(energy_kwh AS DECIMAL(18,8))) AS DOUBLE) AS energy_kwh, count(power) AS n_readings
 FROM readings_base GROUP BY room, date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE"""))
 
 oracle("stream_latest", with_readings(f"""
-SELECT room, {sql_ts('ts')} AS ts, power, voltage, light_state FROM (
+SELECT room, {sql_ts('ts')} AS ts, voltage, current, power, energy_kwh, light_state FROM (
   SELECT *, row_number() OVER (PARTITION BY room ORDER BY ts DESC, id DESC) AS rn FROM readings_base) WHERE rn = 1"""))
 
 oracle("stream_sessions", with_occ(f"""
@@ -900,7 +903,7 @@ def _num(x: str) -> str:
 TTEXT = r"""
 ttext AS (
   SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'bad-date' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d,
-         printf('%02d:00', l_linenumber + 6) AS h,
+         CASE WHEN l_orderkey % 83 = 0 THEN 'late' ELSE printf('%02d:00', l_linenumber + 6) END AS h,
          CASE WHEN l_orderkey % 89 = 0 THEN 'n/a' ELSE printf('%.1f', l_quantity) END AS e,
          CASE WHEN l_linenumber = 1 THEN ' ' || r || ' ' ELSE r END AS room_raw,
          CASE l_returnflag WHEN 'A' THEN 'lab' WHEN 'N' THEN 'lecture' ELSE 'office' END AS room_type,
@@ -908,7 +911,7 @@ ttext AS (
   FROM (SELECT *, CAST(100 * (1 + l_suppkey % 7) + 1 + l_suppkey % 11 AS VARCHAR) AS r FROM lineitem)),
 tparsed AS (
   SELECT trim(room_raw) AS room, room_type,
-         coalesce(try_strptime(trim(d) || ' ' || trim(h), '%Y-%m-%d %H:%M'), try_strptime(trim(d), '%Y-%m-%d')) AS ts,
+         CASE WHEN trim(h) <> '' THEN try_strptime(trim(d) || ' ' || trim(h), '%Y-%m-%d %H:%M') ELSE try_strptime(trim(d), '%Y-%m-%d') END AS ts,
          NUM_E AS energy_kwh, NUM_V AS voltage, NUM_C AS current
   FROM ttext)""".replace("NUM_E", _num("e")).replace("NUM_V", _num("v")).replace("NUM_C", _num("c"))
 

@@ -1,7 +1,8 @@
 """Session settings the library relies on.
 
-Every operator is a lazy DataFrame transformation; the only session state it
-needs is a UTC session zone (readings are wall-clock times), ANSI-safe parsing
+Operators are DataFrame transformations; where a small result feeds several
+consumers it is written to the shared checkpoint folder while the plan is built.
+The only session state they need is a UTC session zone (readings are wall-clock times), ANSI-safe parsing
 (``try_*`` functions are used throughout) and, for lineage cuts, the shared
 checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 """
@@ -56,7 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder from the session; a scratch folder only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and
-    is used as is.  Only a session without it (local tests) gets a temporary one.
+    is used as is.  Only a local session without it (tests) gets a temporary one; on
+    a cluster the driver's own disk cannot hold shared data, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,11 +66,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # not set at all
-            configured = None
+        configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="wattline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

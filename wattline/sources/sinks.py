@@ -78,13 +78,14 @@ def export_range(readings: DataFrame, days: int = 7, as_of: Column | None = None
 
 
 def write_export(df: DataFrame, path: str) -> None:
-    """S7 file: CSV with header, time-ordered within each room file (one folder per room).
-
-    No rows -> no files (the writer creates none for an empty frame).
+    """S7 files: CSV with the header timestamp, room, voltage, current, power, energy_kwh,
+    light_state; rows in order of room and time over all files (a range sort, so a hot
+    room spreads over several).
     """
-    (df.repartition("room").sortWithinPartitions("room", "ts")
-       .write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-       .partitionBy("room").csv(path))
+    out = df.withColumnRenamed("ts", "timestamp")
+    columns = ["timestamp", *[c for c in EXPORT_COLUMNS if c not in ("ts", "timestamp")]]
+    (out.select(*columns).repartitionByRange("room", "timestamp").sortWithinPartitions("room", "timestamp")
+        .write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
 
 
 def retain_since(df: DataFrame, keep_days: int = fixed.RETENTION_DAYS, as_of: Column | None = None,

@@ -153,11 +153,14 @@ def tariff_series(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as a file stream (Structured Streaming source)."""
-    schema = table(spark, sf_dir, "events").schema
-    return (spark.readStream.format("parquet").schema(schema)
-            .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
-            .load(sf_dir.rstrip("/")))
+    """The ``events`` table (a folder of files, or one file) as a file stream."""
+    where = f"{sf_dir.rstrip('/')}/events.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    feed = spark.readStream.format("parquet").schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 100)
+    if fs.getFileStatus(path).isDirectory():
+        return feed.load(where)
+    return feed.option("pathGlobFilter", "events.parquet").load(sf_dir.rstrip("/"))     # a stream reads folders
 
 
 def as_of(df: DataFrame, col: str = "ts") -> Column:
@@ -168,14 +171,14 @@ def as_of(df: DataFrame, col: str = "ts") -> Column:
 def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training CSV stand-in as text columns with the reference's kind of
     headers ('Date', 'Hour', 'Energy (kWh)', 'Room', 'Room_Type', 'Voltage',
-    'Current'), from ``lineitem``: every 97th order has a broken date, every
-    89th an energy that is not a number, some rooms carry blanks."""
+    'Current'), from ``lineitem``: every 97th order has a broken date, every 83rd a
+    broken time, every 89th an energy that is not a number, some rooms carry blanks."""
     li = table(spark, sf_dir, "lineitem")
     ok = F.col("l_orderkey")
     room = room_from_id(F.col("l_suppkey"))
     return li.select(
         F.when(ok % 97 == 0, F.lit("bad-date")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("Date"),
-        F.format_string("%02d:00", F.col("l_linenumber") + 6).alias("Hour"),
+        F.when(ok % 83 == 0, F.lit("late")).otherwise(F.format_string("%02d:00", F.col("l_linenumber") + 6)).alias("Hour"),
         F.when(ok % 89 == 0, F.lit("n/a")).otherwise(F.format_string("%.1f", F.col("l_quantity"))).alias("Energy (kWh)"),
         F.when(F.col("l_linenumber") == 1, F.concat(F.lit(" "), room, F.lit(" "))).otherwise(room).alias("Room"),
         F.when(F.col("l_returnflag") == "A", F.lit("lab"))

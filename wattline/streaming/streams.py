@@ -41,36 +41,47 @@ WATERMARK = "10 minutes"
 
 def run_until_caught_up(sdf: DataFrame, name: str, keys: list[str] | None = None,
                         output_mode: str = "append") -> DataFrame:
-    """Process everything available, then return the sink as a batch DataFrame."""
+    """Process everything available, then return the sink as a batch DataFrame.
+
+    ``keys``: update mode, the latest row per key wins.  ``output_mode``
+    "complete": each micro-batch holds the whole result, the last one counts."""
     spark = sdf.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     data, chk = f"{base}/data", f"{base}/chk"
-    if keys is None:
+    numbered = keys is not None or output_mode == "complete"
+    if not numbered:
         q = (sdf.writeStream.format("parquet").option("path", data).option("checkpointLocation", chk)
              .outputMode(output_mode).trigger(availableNow=True).start())
     else:
         def upsert(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(data)
+            batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(data)
 
         q = (sdf.writeStream.foreachBatch(upsert).option("checkpointLocation", chk)
-             .outputMode("update").trigger(availableNow=True).start())
+             .outputMode("complete" if output_mode == "complete" else "update").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        out = spark.read.schema(_sink_schema(sdf, keys)).parquet(data)
-    except Exception:  # nothing was written: an empty result with the stream's schema
-        out = spark.createDataFrame([], _sink_schema(sdf, keys))
-    if keys is None:
+    if not _exists(spark, data):           # the input had nothing: no micro-batch ran
+        out = spark.createDataFrame([], _sink_schema(sdf, numbered))
+    else:
+        out = spark.read.schema(_sink_schema(sdf, numbered)).parquet(data)
+    if not numbered:
         return out
+    if keys is None:
+        return out.where(F.col("_batch") == out.select(F.max("_batch")).scalar()).drop("_batch")
     rest = [c for c in out.columns if c not in keys and c != "_batch"]
     latest = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_batch")).alias("_r"))
     return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def _sink_schema(sdf: DataFrame, keys):
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _sink_schema(sdf: DataFrame, numbered: bool):
     from pyspark.sql import types as T
 
     fields = list(sdf.schema.fields)
-    if keys is not None:
+    if numbered:
         fields.append(T.StructField("_batch", T.LongType(), True))
     return T.StructType(fields)
 
@@ -121,23 +132,37 @@ def stream_readings(payloads: DataFrame, watermark: str = WATERMARK) -> DataFram
 # --- T2 / T3 / T4: aggregations ------------------------------------------------------
 
 def stream_window_rollup(readings: DataFrame, window: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
-    """Tumbling window per room: mean power (exact, 2 places), rows."""
+    """Tumbling window per room: mean power, voltage and current, maximum power and
+    the energy metered in the window (exact), rows."""
+    def u(c, d):
+        return exact.total(exact.units(F.col(c), d))
+
     g = readings.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "room").agg(
-        exact.total(exact.units(F.col("power"), exact.POWER)).alias("_s"), F.count("power").alias("n_readings")
+        u("power", exact.POWER).alias("_p"), F.count("power").alias("n_readings"),
+        u("voltage", exact.VOLTAGE).alias("_v"), F.count("voltage").alias("_nv"),
+        u("current", exact.CURRENT).alias("_c"), F.count("current").alias("_nc"),
+        F.max(exact.units(F.col("power"), exact.POWER)).alias("_mp"), u("energy_kwh", exact.ENERGY).alias("_e"),
     )
     return g.select(
         "room", F.col("w.start").alias("window_start"),
-        exact.ratio_rounded(F.col("_s"), F.col("n_readings"), exact.POWER, 2).alias("avg_power"), "n_readings",
+        exact.ratio_rounded(F.col("_p"), F.col("n_readings"), exact.POWER, 2).alias("avg_power"),
+        exact.ratio_rounded(F.col("_v"), F.col("_nv"), exact.VOLTAGE, 4).alias("avg_voltage"),
+        exact.ratio_rounded(F.col("_c"), F.col("_nc"), exact.CURRENT, 6).alias("avg_current"),
+        exact.units_rounded(F.col("_mp"), exact.POWER, 2).alias("max_power"),
+        exact.units_rounded(F.col("_e"), exact.ENERGY, 8).alias("energy_kwh"), "n_readings",
     )
 
 
+#: What the latest-reading stream carries, where the readings have it.
+LATEST = ("ts", "voltage", "current", "power", "energy_kwh", "light_state", "wifi", "cloud", "sd_card")
+
+
 def stream_latest(readings: DataFrame) -> DataFrame:
-    """Latest reading per room (state is one row per room)."""
-    g = readings.groupBy("room").agg(
-        F.max_by(F.struct("ts", "power", "voltage", "light_state"), F.struct("ts", "id")).alias("r")
-    )
-    return g.select("room", F.col("r.ts").alias("ts"), F.col("r.power").alias("power"),
-                    F.col("r.voltage").alias("voltage"), F.col("r.light_state").alias("light_state"))
+    """Latest reading per room with all its values and statuses (state is one row per room)."""
+    cols = [c for c in LATEST if c in readings.columns]
+    order = ["ts", "id"] if "id" in readings.columns else ["ts"]
+    g = readings.groupBy("room").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r"))
+    return g.select("room", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 # A detection exactly 300 s after the previous one starts a new session (gap < 300 s
@@ -146,53 +171,18 @@ SESSION_GAP = "299 seconds 999999 microseconds"
 
 
 def stream_sessions(persons: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """T4: presence sessions per room (event-time session windows)."""
+    """T4: presence sessions per room (event-time session windows, merged by Spark
+    whatever order detections arrive in).
+
+    Append mode emits a session once the watermark has passed its end and drops
+    rows that arrive later than that; complete mode keeps all sessions, open ones
+    included, for a replay."""
     g = persons.withWatermark("ts", watermark).groupBy("room", F.session_window("ts", SESSION_GAP).alias("s")).agg(
         F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n_detections")
     )
     return g.select("room", "session_start", "session_end", "n_detections")
 
 
-def _sessionize(gap_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        xs = np.sort(np.concatenate([p["_us"].to_numpy(dtype="int64") for p in pdfs]))
-        if state.exists:
-            s0, e0, n0 = state.get
-            prev = np.concatenate([[e0], xs[:-1]])
-            new = xs - prev >= gap_us
-        else:
-            s0 = e0 = n0 = None
-            prev = np.concatenate([[xs[0]], xs[:-1]])
-            new = np.concatenate([[True], (xs - prev)[1:] >= gap_us])
-        sid = np.cumsum(new)                 # 0 = continues the open session
-        df = pd.DataFrame({"sid": sid, "x": xs})
-        g = df.groupby("sid")["x"].agg(["min", "max", "count"]).reset_index()
-        if s0 is not None:
-            cont = g["sid"] == 0
-            g.loc[cont, "min"] = s0
-            g.loc[cont, "count"] = g.loc[cont, "count"] + n0
-            if not cont.any():               # the open session did not continue: re-emit it unchanged
-                g = pd.concat([pd.DataFrame({"sid": [0], "min": [s0], "max": [e0], "count": [n0]}), g],
-                              ignore_index=True)
-        last = g.iloc[-1]
-        state.update((int(last["min"]), int(last["max"]), int(last["count"])))
-        yield pd.DataFrame({"room": key[0], "start_us": g["min"].astype("int64"), "end_us": g["max"].astype("int64"),
-                            "n_detections": g["count"].astype("int64")})
-    return fn
-
-
-def stream_sessions_stateful(persons: DataFrame, gap_seconds: int = fixed.PERSON_GONE_SECONDS) -> DataFrame:
-    """T4 with per-room state (open session start/end/count), update mode: every
-    micro-batch emits the sessions it touched, keyed by (room, session_start),
-    so the upserted sink holds the final sessions, including the open one."""
-    out = persons.select("room", F.unix_micros("ts").alias("_us")).groupBy("room").applyInPandasWithState(
-        _sessionize(gap_seconds * 1_000_000), "room string, start_us long, end_us long, n_detections long",
-        "start_us long, end_us long, n long", "update", GroupStateTimeout.NoTimeout,
-    )
-    return out.select("room", F.timestamp_micros("start_us").alias("session_start"),
-                      F.timestamp_micros("end_us").alias("session_end"), "n_detections")
-
-
 # --- T5 / T6 / T7: per-room state machines ----------------------------------------
 
 def _throttle(cooldown_us: int):
@@ -200,10 +190,11 @@ def _throttle(cooldown_us: int):
         last = state.get[0] if state.exists else None
         xs = np.sort(np.concatenate([p["_us"].to_numpy(dtype="int64") for p in pdfs]))
         out = []
-        for x in xs:                       # greedy: measured from the last emitted time
-            if last is None or x - last > cooldown_us:
-                out.append(int(x))
-                last = int(x)
+        i = 0 if last is None else int(np.searchsorted(xs, last + cooldown_us, side="right"))
+        while i < len(xs):                 # a step per emission: the next detection after the cooldown
+            last = int(xs[i])
+            out.append(last)
+            i = int(np.searchsorted(xs, last + cooldown_us, side="right"))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame({"room": [key[0]] * len(out), "notified_us": pd.Series(out, dtype="int64")})
@@ -211,7 +202,9 @@ def _throttle(cooldown_us: int):
 
 
 def stream_throttle(persons: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS) -> DataFrame:
-    """At most one notification per cooldown per room, state = last emitted time."""
+    """At most one notification per cooldown per room, state = last emitted time.
+
+    A detection that arrives late, at or before the last emission's cooldown, notifies nobody."""
     out = persons.select("room", F.unix_micros("ts").alias("_us")).groupBy("room").applyInPandasWithState(
         _throttle(cooldown_seconds * 1_000_000), "room string, notified_us long", "last_us long",
         "append", GroupStateTimeout.NoTimeout,
@@ -242,30 +235,31 @@ def stream_status_downsample(status: DataFrame, every: int = fixed.STATUS_EVERY_
                       "sd_card_status", "poll_no")
 
 
+_NEVER = np.iinfo(np.int64).min // 4
+
+
 def _controller(gone_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, on = (state.get[0], state.get[1]) if state.exists else (None, False)
+        last, on, latest = state.get if state.exists else (None, False, None)
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("_tick_us", kind="stable").reset_index(drop=True)
-        modes, events, cds, cmds = [], [], [], []
-        for t, persons, in_class, cls in zip(pdf["_tick_us"], pdf["persons"], pdf["in_class"], pdf["class_event"]):
-            now = persons > 0
-            if now:
-                last = int(t)
-            recent = last is not None and (t - last) < gone_us
-            left = gone_us - (t - last) if last is not None else 0
-            cd = int(left // 1_000_000) if (not now and last is not None and left > 0) else 0
-            if in_class:
-                mode, ev, cd_out = "SCHEDULE", f"Class: {cls}", 0
-            elif recent or now:
-                mode, ev, cd_out = "PERSON", ("Person detected" if now else f"Person left — OFF in {cd}s"), cd
-            else:
-                mode, ev, cd_out = "OFF", "No class, no person", 0
-            want_on = mode != "OFF"
-            cmds.append(("ON" if want_on else "OFF") if want_on != on else None)
-            on = want_on
-            modes.append(mode); events.append(ev); cds.append(cd_out)
-        state.update((last, on))
-        yield pdf.assign(mode=modes, event=events, countdown=pd.Series(cds, dtype="int64"), command=cmds)[
+        if latest is not None:                # a tick before those decided is late: it changes nothing
+            pdf = pdf[pdf["_tick_us"] > latest].reset_index(drop=True)
+        if not len(pdf):
+            return
+        t, now, in_class = pdf["_tick_us"].to_numpy(np.int64), pdf["persons"].to_numpy() > 0, pdf["in_class"].to_numpy(bool)
+        seen = np.maximum.accumulate(np.maximum(np.where(now, t, _NEVER), _NEVER if last is None else last))
+        left = gone_us - (t - seen)
+        waits = ~now & (seen > _NEVER) & (left > 0)
+        cd = np.where(waits, left // 1_000_000, 0)
+        person = now | waits
+        mode = np.where(in_class, "SCHEDULE", np.where(person, "PERSON", "OFF")).astype(object)
+        text = np.where(now, "Person detected", np.where(waits, ["Person left — OFF in %ds" % c for c in cd], "No class, no person")).astype(object)
+        event = np.where(in_class, "Class: " + pdf["class_event"].fillna("").astype(object), text)
+        want = in_class | person
+        changed = want != np.r_[on, want[:-1]]
+        command = np.where(changed, np.where(want, "ON", "OFF"), None)
+        state.update((None if seen[-1] == _NEVER else int(seen[-1]), bool(want[-1]), int(t[-1])))
+        yield pdf.assign(mode=mode, event=event, countdown=np.where(person & ~in_class, cd, 0).astype(np.int64), command=command)[
             ["room", "frame_ts", "_tick_us", "in_class", "mode", "event", "countdown", "command"]]
     return fn
 
@@ -280,7 +274,7 @@ def stream_light_decision(ticks: DataFrame) -> DataFrame:
         _controller(fixed.PERSON_GONE_SECONDS * 1_000_000),
         "room string, frame_ts timestamp, _tick_us long, in_class boolean, mode string, event string, "
         "countdown long, command string",
-        "last_us long, light_on boolean", "append", GroupStateTimeout.NoTimeout,
+        "last_us long, light_on boolean, tick_us long", "append", GroupStateTimeout.NoTimeout,
     )
     return out.select("room", "frame_ts", F.timestamp_micros("_tick_us").alias("tick_ts"), "in_class", "mode",
                       "event", "countdown", "command")
