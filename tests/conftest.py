@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,8 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from wattline.session import get_spark
 
-    s = get_spark("local[8]", app="wattline-tests", shuffle_partitions=8)
+    shared = tempfile.mkdtemp(prefix="wattline-tests-")
+    s = get_spark("local[8]", app="wattline-tests", shuffle_partitions=8, extra={"spark.checkpoint.dir": shared})
     yield s
 
 

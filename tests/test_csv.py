@@ -15,7 +15,8 @@ def test_bom_csv_sources(spark, tmp_path):
     assert sorted((r["month"], r["rate"]) for r in rates.collect()) == [(dt.date(2024, 11, 1), 6.7832), (dt.date(2024, 12, 1), 6.9671)]
     assert tariff.series_summary(rates).first()["last_rate"] == 6.9671
     rl = csv.load_rules(spark, str(tmp_path / "rules.csv"))
-    assert rules.rule_rows(rl) == [("energy_kWh", 5.0, "A"), ("energy_cost_Php", 50.0, "B")]
+    got = spark.range(1).select(rules.rules_array(rl).alias("r")).first()["r"]
+    assert [(x["threshold_value"], x["recommendation"]) for x in got] == [(5.0, "A"), (50.0, "B")]
     tt = csv.load_timetable(spark, str(tmp_path / "tt.csv"))
     assert tt.first()["start_min"] == 450
     ticks = spark.createDataFrame([(1, "705", dt.datetime(2024, 3, 4, 8, 0))], "id long, room string, ts timestamp")

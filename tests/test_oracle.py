@@ -5,10 +5,11 @@ import pytest
 from tests.conftest import SF_SMALL
 from tools.oracle_check import compare, duck
 
-from __spark_entry__ import oracle_sql, queries
+from wattline.plans.catalog import QUERIES
+from wattline.plans.oracle import ORACLE
 
 SLOW = {"kwh_model_metrics", "top_features", "predict_range_model", "model_registry"}
-NAMES = sorted(oracle_sql())
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +19,14 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    sp = queries()[name](spark, SF_SMALL).toPandas()
-    dk = con.execute(oracle_sql()[name]).df()
+    sp = QUERIES[name](spark, SF_SMALL).toPandas()
+    dk = con.execute(ORACLE[name]).df()
     assert compare(sp, dk) == []
 
 
 def test_every_query_runs(spark):
-    for name, fn in queries().items():
-        if name in SLOW or name in oracle_sql():
+    for name, fn in QUERIES.items():
+        if name in SLOW or name in ORACLE:
             continue
         assert fn(spark, SF_SMALL).count() >= 0
 

@@ -40,7 +40,7 @@ def test_goldens(spark):
 
 def test_recommend_edges(spark):
     df = spark.createDataFrame([(5.0, 49.99), (0.5, 0.0), (0.0, 0.0), (60.0, 900.0)], "k double, c double")
-    got = [list(r[0]) for r in df.select(rules.recommend(F.col("k"), F.col("c"))).collect()]
+    got = [list(r[0]) for r in df.withColumn("r", rules.rules_array(fixed.RECOMMENDATION_RULES)).select(rules.recommend(F.col("k"), F.col("c"), F.col("r"))).collect()]
     assert got[0] == [fixed.RECOMMENDATION_RULES[0][2]]            # threshold <= value
     assert got[1] == [fixed.ADVICE_LOW_KWH]
     assert got[2] == [fixed.ADVICE_DEFAULT]

@@ -79,6 +79,6 @@ def test_coerce_ts_shapes(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = [r[0] for r in df.select(scalars.coerce_ts(F.col("a"), F.col("b"))).collect()]
     assert got == [dt.datetime(2024, 1, 5, 13, 4, 5), dt.datetime(2024, 1, 5, 7, 4), dt.datetime(2024, 1, 5, 13, 4, 5),
-                   dt.datetime(2024, 1, 5, 13, 4, 5), dt.datetime(2024, 1, 5), None, dt.datetime(2024, 1, 5, 13, 4, 5)]
+                   dt.datetime(2024, 1, 5, 13, 4, 5), None, None, dt.datetime(2024, 1, 5, 13, 4, 5)]
     only = [r[0] for r in df.select(scalars.coerce_ts(F.col("a"))).collect()]
     assert only[0] == dt.datetime(2024, 1, 5) and only[3] == dt.datetime(2024, 1, 5) and only[5] is None

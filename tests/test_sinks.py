@@ -27,9 +27,10 @@ def test_append_prune_and_export(spark, tmp_path):
     sinks.write_export(sinks.export_range(spark.read.parquet(path).drop("date"), days=1), out)
     files = [os.path.join(dp, f) for dp, _, fs in os.walk(out) for f in fs if f.endswith(".csv")]
     lines = [ln for f in files for ln in open(f).read().splitlines()]
-    body = [ln for ln in lines if not ln.startswith("ts,")]
-    assert lines[0].startswith("ts,") and len(body) == 4          # the last day before 2024-01-04 08:02
-    assert sorted(body)[0].startswith("2024-01-03 08:02:00,")
+    header = "timestamp,room,voltage,current,power,energy_kwh,light_state"
+    body = [ln for ln in lines if ln != header]
+    assert lines[0] == header and len(body) == 4          # the last day before 2024-01-04 08:02
+    assert sorted(body)[0].startswith("2024-01-03 08:02:00,705,")
 
 
 def test_import_anti_join_prunes_log_partitions(spark, tmp_path):

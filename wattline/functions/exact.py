@@ -30,7 +30,7 @@ def total(u: Column | str) -> Column:
 
 
 def idiv(a: Column, b: Column | int) -> Column:
-    """Floor division of non-negative integers (longs or whole decimals), exact; the quotient is a long."""
+    """Floor division of non-negative longs, exact."""
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
@@ -39,15 +39,16 @@ def ratio_rounded(num: Column, den: Column, num_decimals: int, out_decimals: int
 
     ``num`` is a sum of integer units, ``den`` a row count or weight sum.
     """
-    return F.when(den > 0, ratio_units(num, den, num_decimals, out_decimals) / F.lit(float(10 ** out_decimals)))
+    return F.when(den > 0, ratio_units(num, den, num_decimals, out_decimals).cast("double") / F.lit(float(10 ** out_decimals)))
 
 
 def ratio_units(num: Column, den: Column, num_decimals: int, out_decimals: int) -> Column:
-    """As ratio_rounded, as an integer count of 10**-out_decimals (``den`` positive)."""
+    """As ratio_rounded, as an integer count (whole decimal) of 10**-out_decimals (``den`` positive)."""
     up = 10 ** max(0, out_decimals - num_decimals)
     step = 10 ** max(0, num_decimals - out_decimals)
     wide = num.cast("decimal(38,0)") * F.lit(2 * up).cast("decimal(20,0)") + den * F.lit(step)
-    return idiv(wide, (den * F.lit(2 * step)).cast("decimal(38,0)"))
+    by = (den * F.lit(2 * step)).cast("decimal(38,0)")
+    return ((wide - wide % by) / by).cast("decimal(38,0)")       # a whole quotient: exact
 
 
 def avg_rounded(col: Column | str, in_decimals: int, out_decimals: int) -> Column:
