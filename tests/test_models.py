@@ -19,6 +19,23 @@ def test_train_save_load(spark, tmp_path):
     assert models.load_model_or_fallback([str(tmp_path / "missing")]) is None
 
 
+def test_enhanced_features(spark):
+    daily = features.daily_features(tables.training_readings(spark, SF_SMALL))
+    _, metrics, imps, names = models.train_kwh(daily, enhanced=True, params={"maxIter": 2, "maxDepth": 3})
+    m = metrics.first()
+    assert names == features.ENHANCED_FEATURES and m["model"] == "enhanced" and m["n"] > 0 and 0 <= m["mae"] <= m["rmse"]
+    top = models.top_features(imps, 10).collect()
+    assert {r["feature"] for r in top} <= set(names) and abs(sum(r["importance"] for r in imps.collect()) - 1) < 1e-9
+
+
+def test_damaged_model_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "kwh").mkdir()
+    with pytest.raises(Exception):
+        models.load_model_or_fallback([str(tmp_path / "kwh")])
+
+
 def test_unseen_room_type_is_all_zero(spark):
     fit_on = spark.createDataFrame([("lab",), ("office",)], "room_type string")
     out = models.onehot_room_type(fit_on, spark.createDataFrame([("lab",), ("zzz",)], "room_type string"))

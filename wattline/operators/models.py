@@ -133,10 +133,18 @@ def top_features(importances: DataFrame, k: int = 10) -> DataFrame:
 # --- S11 / S12: persistence ------------------------------------------------------
 
 def save_models(spark: SparkSession, base_path: str, models: dict[str, PipelineModel], features: dict[str, list[str]],
-                version: str = "1.0", description: str = "Energy prediction models for rooms 1xx and 7xx") -> DataFrame:
-    """Save each model (MLlib persistence) and a registry table next to them."""
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+                version: str = "1.0", description: str = "Energy prediction models for rooms 1xx and 7xx",
+                tables: dict[str, DataFrame] | None = None, trained_at: _dt.datetime | None = None) -> DataFrame:
+    """Save each model (MLlib persistence), each table of the bundle (the rate model's
+    fit, encoder, rules: Parquet) and a registry table next to them.
+
+    ``trained_at`` is given by the caller (null if not): no hidden clock."""
+    now = trained_at
     rows = []
+    for name, t in (tables or {}).items():
+        path = f"{base_path.rstrip('/')}/{name}"
+        t.write.mode("overwrite").parquet(path)
+        rows.append((name, version, now, description, json.dumps(t.columns), path))
     for name, m in models.items():
         path = f"{base_path.rstrip('/')}/{name}"
         m.write().overwrite().save(path)
@@ -148,12 +156,14 @@ def save_models(spark: SparkSession, base_path: str, models: dict[str, PipelineM
 
 
 def load_model_or_fallback(paths: list[str]) -> PipelineModel | None:
-    """The first model that loads, else None (callers use the P3 formula)."""
+    """The model at the first path that exists, else None (callers use the P3 formula).
+
+    A path that exists but cannot be read is an error: a damaged model is not replaced silently."""
+    spark = SparkSession.active()
     for p in paths:
-        try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return PipelineModel.load(p)
-        except Exception:  # missing or unreadable: try the next location
-            continue
     return None
 
 

@@ -647,9 +647,6 @@ def _rolling_last_60(spark, sf_dir):
 
 # --- models ----------------------------------------------------------------------------
 
-_MODELS: dict = {}
-
-
 def _model_root(spark) -> str:
     """Saved models live in the shared checkpoint folder."""
     from ..session import checkpoint_dir
@@ -657,20 +654,21 @@ def _model_root(spark) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/models"
 
 
-def _kwh_model(spark, sf_dir):
-    """The basic kWh model of a data folder: loaded if a model trained on the same
-    training file was saved before (S12), else trained and saved (M5, S11)."""
+MODEL_VERSION = "1.0"
+
+
+def _kwh_model(spark, sf_dir, enhanced=False):
+    """The kWh model of a data folder: loaded if one of this version was saved for the
+    same folder, parameters and training rows (S12), else trained and saved (M5, S11)."""
     import hashlib
-    import os
 
-    key = (id(spark), sf_dir)
-    if key not in _MODELS:
-        src = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-        st = os.stat(src) if os.path.exists(src) else None
-        tag = hashlib.md5(f"{os.path.abspath(sf_dir)}|{st.st_size if st else ''}|{st.st_mtime_ns if st else ''}"
-                          f"|{sorted(models.BASIC_PARAMS.items())}".encode()).hexdigest()[:16]
-        _MODELS[key] = models.load_or_train_kwh(_daily(spark, sf_dir), f"{_model_root(spark)}/kwh-basic-{tag}")
-    return _MODELS[key]
+    daily = _daily(spark, sf_dir)
+    # what the model was trained on: rows, dates and energy of the training table
+    r = tables.training_readings(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"),
+                                                    exact.total(exact.units("energy_kwh", exact.ENERGY)).alias("e")).first()
+    params = models.ENHANCED_PARAMS if enhanced else models.BASIC_PARAMS
+    tag = hashlib.md5(f"{MODEL_VERSION}|{sf_dir.rstrip('/')}|{tuple(r)}|{sorted(params.items())}".encode()).hexdigest()[:16]
+    return models.load_or_train_kwh(daily, f"{_model_root(spark)}/kwh-{'enhanced' if enhanced else 'basic'}-{tag}", enhanced)
 
 
 @query("onehot_room_type")
@@ -687,7 +685,7 @@ def _onehot_room_type(spark, sf_dir):
 
 @query("kwh_model_metrics")
 def _kwh_model_metrics(spark, sf_dir):
-    """M5 (basic features, 200 trees, depth 6, step .1): held-out MAE/RMSE/R²."""
+    """M5 (basic features, 200 trees, depth 6, step .1): held-out MAE, RMSE, R²."""
     return _kwh_model(spark, sf_dir)[1]
 
 
@@ -710,14 +708,18 @@ def _predict_range_model(spark, sf_dir):
 
 @query("model_registry")
 def _model_registry(spark, sf_dir):
-    """Persist the kWh and rate models with a registry table (shared folder)."""
+    """Persist the kWh model, the rate model's fit, the room encoder and the rules
+    as one bundle with a registry table (shared folder)."""
     import uuid
 
     from ..session import checkpoint_dir
 
     model, _, _, names = _kwh_model(spark, sf_dir)
     base = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    reg = models.save_models(spark, base, {"kwh_model": model}, {"kwh_model": names})
+    rooms = tables.training_readings(spark, sf_dir).select("room").distinct()
+    bundle = {"rate_model": tariff.holt_winters_fit(_tariff(spark, sf_dir)), "room_encoder": features.label_encode(rooms, "room", "room_encoded"),
+              "recommendations": rules.rules_table(spark)}
+    reg = models.save_models(spark, base, {"kwh_model": model}, {"kwh_model": names}, version=MODEL_VERSION, tables=bundle)
     return reg.select("model", "version", "description", "features")
 
 

@@ -882,15 +882,19 @@ FROM (SELECT id, room, ts,
 
 # --- models ------------------------------------------------------------------------------
 
+from ..operators.models import BASIC_FEATURES  # noqa: E402
+
+_LABELS = """
+lbl AS (SELECT room_type, row_number() OVER (ORDER BY room_type) - 1 AS idx FROM (
+  SELECT DISTINCT room_type FROM daily
+  WHERE ('0x' || substr(md5(room || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::BIGINT % 10 >= 2))"""
+
 oracle("onehot_room_type", with_training("""
 SELECT d.room, strftime(d.date, '%Y-%m-%d') AS date, d.room_type,
        CAST(coalesce(l.idx, (SELECT count(*) FROM lbl)) AS BIGINT) AS room_type_idx,
        array_to_string(list_transform(range((SELECT count(*) FROM lbl)),
                        lambda i: CASE WHEN i = coalesce(l.idx, -1) THEN '1' ELSE '0' END), ',') AS room_type_onehot
-FROM daily d LEFT JOIN lbl l ON l.room_type = d.room_type""", """
-lbl AS (SELECT room_type, row_number() OVER (ORDER BY room_type) - 1 AS idx FROM (
-  SELECT DISTINCT room_type FROM daily
-  WHERE ('0x' || substr(md5(room || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::BIGINT % 10 >= 2))"""))
+FROM daily d LEFT JOIN lbl l ON l.room_type = d.room_type""", _LABELS))
 
 
 # --- text training file --------------------------------------------------------------
@@ -1025,3 +1029,13 @@ SELECT room, {sql_ts('device_ts')} AS ts, round(voltage, 4) AS voltage, round(cu
        round(power, 4) AS power, round(energy_kwh, 8) AS energy_kwh, light_state, wifi, cloud, sd_card
 FROM (SELECT pp.*, row_number() OVER (PARTITION BY pp.room, pp.device_ts ORDER BY r.ts, pl.text) AS rn
       FROM pp JOIN pl ON pl.id = pp.id JOIN readings r ON r.id = pp.id) WHERE rn = 1""", _PAYLOAD))
+
+
+oracle("model_registry", with_training("""
+SELECT 'kwh_model' AS model, '1.0' AS version, 'Energy prediction models for rooms 1xx and 7xx' AS description,
+       '[' || array_to_string(list_transform(BASIC_LIST || (SELECT list('room_type_' || room_type ORDER BY idx) FROM lbl), lambda x: '"' || x || '"'), ', ') || ']' AS features
+UNION ALL SELECT 'rate_model', '1.0', 'Energy prediction models for rooms 1xx and 7xx',
+       '["series", "last_month", "alpha", "beta", "gamma", "sse", "n_obs", "n_steps", "level", "trend", "season", "aic", "bic"]'
+UNION ALL SELECT 'room_encoder', '1.0', 'Energy prediction models for rooms 1xx and 7xx', '["room", "room_encoded"]'
+UNION ALL SELECT 'recommendations', '1.0', 'Energy prediction models for rooms 1xx and 7xx',
+       '["threshold_type", "threshold_value", "recommendation", "rule_order"]'""".replace("BASIC_LIST", str(list(BASIC_FEATURES))), _LABELS))
