@@ -78,9 +78,10 @@ def test_schedule_half_open_and_first_wins(spark):
 
 def test_gaps(spark):
     days = spark.createDataFrame([("705", dt.date(2024, 3, 5))], "room string, date date")   # Tuesday
-    gaps = schedule.schedule_gaps(schedule.schedule_for_day(days, schedule.timetable(spark))).orderBy("gap_start").collect()
+    rows = [("705", "Tuesday", "09:00", "10:30", "A"), ("705", "Tuesday", "12:00", "13:30", "B"), ("705", "Tuesday", "13:35", "15:00", "C"),
+            ("705", "Tuesday", "", "16:00", "no start")]
+    gaps = schedule.schedule_gaps(schedule.schedule_for_day(days, schedule.timetable(spark, rows))).orderBy("gap_start").collect()
     assert [(r["gap_start"], r["gap_end"], r["gap_minutes"]) for r in gaps] == [("10:30", "12:00", 90)]
-    assert fixed.TIMETABLE[9][1] == "Tuesday"
 
 
 def test_throttle_exact_across_blocks(spark):

@@ -64,41 +64,22 @@ RETENTION_DAYS = 365
 STATUS_EVERY_N_POLLS = 10
 RATE_CLAMP = (10.0, 15.0)
 
-# --- Weekly timetable of room 705 (room, day, start, end, event), file order.
+# --- A timetable of our own (room, day, start, end, event), file order: regular hours in
+# four rooms, overlapping bookings, bookings without a bound, one that ends before it starts.
 TIMETABLE = [
-    ("705", "Monday", "07:30", "08:30", "GEC 003-CE12S3-225"),
-    ("705", "Monday", "09:30", "10:30", "GEE 001B-CE12S3-225"),
-    ("705", "Monday", "10:30", "11:30", "GEM 001-CE42S2-225"),
-    ("705", "Monday", "11:30", "12:30", "GEC 006-CE42S2-225"),
-    ("705", "Monday", "12:30", "13:30", "GEC 001-EE32S2-225"),
-    ("705", "Monday", "13:30", "14:30", "GEC 003-CE12S1-225"),
-    ("705", "Monday", "14:30", "15:30", "GEE 001B-CE12S1-225"),
-    ("705", "Monday", "15:30", "16:30", "GEC 008-CE12S2-225"),
-    ("705", "Monday", "16:30", "17:30", "GEC 008-CPE32S1-225"),
-    ("705", "Tuesday", "09:00", "10:30", "GEC 006-IT12S3-225"),
-    ("705", "Tuesday", "12:00", "13:30", "GEE 003B-CHE42S2-225"),
-    ("705", "Tuesday", "13:30", "15:00", "GEC OO6-IT12S1-225"),
-    ("705", "Wednesday", "07:30", "08:30", "GEC 003-CE12S3-225"),
-    ("705", "Wednesday", "09:30", "10:30", "GEE 001B-CE12S3-225"),
-    ("705", "Wednesday", "10:30", "11:30", "GEM 001-CE42S2-225"),
-    ("705", "Wednesday", "11:30", "12:30", "GEC 006-CE42S2-225"),
-    ("705", "Wednesday", "12:30", "13:30", "GEC 001-EE32S2-225"),
-    ("705", "Wednesday", "13:30", "14:30", "GEC 003-CE12S1-225"),
-    ("705", "Wednesday", "14:30", "15:30", "GEE 001B-CE12S1-225"),
-    ("705", "Wednesday", "15:30", "16:30", "GEC 008-CE12S2-225"),
-    ("705", "Wednesday", "16:30", "17:30", "GEC 008-CPE32S1-225"),
-    ("705", "Thursday", "09:00", "10:30", "GEC 006-IT12S3-225"),
-    ("705", "Thursday", "12:00", "13:30", "GEE 003B-CHE42S2-225"),
-    ("705", "Thursday", "13:30", "15:00", "GEC OO6-IT12S1-225"),
-    ("705", "Friday", "07:30", "08:30", "GEC 003-CE12S3-225"),
-    ("705", "Friday", "09:30", "10:30", "GEE 001B-CE12S3-225"),
-    ("705", "Friday", "10:30", "11:30", "GEM 001-CE42S2-225"),
-    ("705", "Friday", "11:30", "12:30", "GEC 006-CE42S2-225"),
-    ("705", "Friday", "12:30", "13:30", "GEC 001-EE32S2-225"),
-    ("705", "Friday", "13:30", "14:30", "GEC 003-CE12S1-225"),
-    ("705", "Friday", "14:30", "15:30", "GEE 001B-CE12S1-225"),
-    ("705", "Friday", "15:30", "16:30", "GEC 008-CE12S2-225"),
-    ("705", "Friday", "16:30", "17:30", "GEC 008-CPE32S1-225"),
+    (room, day, f"{7 + n + 2 * k:02d}:30", f"{8 + n + 2 * k:02d}:30", f"{day[:3].upper()}-{room}-{k + 1}")
+    for n, room in enumerate(("705", "101", "204", "508"))
+    for day in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
+    for k in range(4)
+] + [
+    ("705", "Tuesday", "07:00", "10:00", "Exam"),             # over two of the regular hours
+    ("705", "Wednesday", "13:00", "16:30", "Workshop"),
+    ("101", "Monday", "09:00", "11:00", "Visit"),
+    ("101", " monday ", "10:00", "12:00", "Repair"),
+    ("204", "Friday", "", "12:00", "No start"),
+    ("204", "Friday", "13:00", "", "No end"),
+    ("508", "Thursday", "15:00", "14:00", "Backwards"),
+    ("508", "Saturday", "09:00", "23:59", "Open day"),
 ]
 
 # --- Alert rules (type, comparison, threshold, message, priority, active), file order.

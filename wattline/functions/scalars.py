@@ -243,9 +243,9 @@ def months_between_index(later: Column, earlier: Column) -> Column:
 
 
 def minutes_of_day(hhmm: Column) -> Column:
-    """'HH:MM' -> minutes since midnight."""
+    """'HH:MM' -> minutes since midnight (null for other text)."""
     parts = F.split(hhmm, ":")
-    return parts.getItem(0).try_cast("int") * 60 + parts.getItem(1).try_cast("int")
+    return F.get(parts, 0).try_cast("int") * 60 + F.get(parts, 1).try_cast("int")
 
 
 def hhmm(minutes: Column) -> Column:

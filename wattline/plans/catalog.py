@@ -175,9 +175,15 @@ def _filter_room_ranges(spark, sf_dir):
     return features.filter_room_ranges(_daily(spark, sf_dir)).select("room", "date", "floor", "energy_kwh")
 
 
+def _training_rooms(spark, sf_dir):
+    """Rooms of the training data with their floor: a distinct over one column."""
+    rooms = tables.training_readings(spark, sf_dir).select("room").distinct()
+    return rooms.withColumn("floor", scalars.floor_of_room(F.col("room")))
+
+
 @query("prediction_rooms")
 def _prediction_rooms(spark, sf_dir):
-    return features.prediction_rooms(_daily(spark, sf_dir))
+    return features.prediction_rooms(_training_rooms(spark, sf_dir))
 
 
 @query("room_union")
@@ -189,7 +195,7 @@ def _room_union(spark, sf_dir):
 @query("room_intersect")
 def _room_intersect(spark, sf_dir):
     """Rooms of the training data that are allowed for prediction."""
-    return features.room_intersect(_daily(spark, sf_dir).select("room"))
+    return features.room_intersect(_training_rooms(spark, sf_dir).select("room"))
 
 
 @query("label_encode_room")
@@ -197,7 +203,7 @@ def _label_encode_room(spark, sf_dir):
     """M2: encode every room of the reading log with the dictionary of the
     prediction rooms of the training data (rooms outside it are unseen)."""
     rooms = rollups.rooms_with_data(tables.readings(spark, sf_dir, with_counter=False))
-    dic = features.prediction_rooms(_daily(spark, sf_dir)).select("room")
+    dic = features.prediction_rooms(_training_rooms(spark, sf_dir)).select("room")
     return features.label_encode(rooms, "room", "room_encoded", dic)
 
 
@@ -368,7 +374,8 @@ def _alert_thresholds(spark, sf_dir):
 
 @query("weekly_trend")
 def _weekly_trend(spark, sf_dir):
-    return rules.weekly_trend(_daily(spark, sf_dir))
+    r = tables.training_readings(spark, sf_dir)
+    return rules.weekly_trend(r.select("room", F.to_date("ts").alias("date"), "energy_kwh"))
 
 
 @query("regression_metrics")
@@ -540,8 +547,9 @@ def _room_days(spark, sf_dir):
 
 @query("schedule_for_day")
 def _schedule_for_day(spark, sf_dir):
-    """J6 for every (room, date) with readings."""
-    return schedule.schedule_for_day(_room_days(spark, sf_dir), schedule.timetable(spark))
+    """J6 for every (room, date) with readings; start_min -1: a booking without a start."""
+    days = schedule.schedule_for_day(_room_days(spark, sf_dir), schedule.timetable(spark))
+    return days.withColumn("start_min", F.coalesce("start_min", F.lit(-1)))
 
 
 @query("schedule_gaps")

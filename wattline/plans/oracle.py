@@ -688,8 +688,8 @@ OCC = r"""
 tt AS (
   SELECT trim(room) AS room, lower(trim(day)) AS day, trim(start_time) AS start_time, trim(end_time) AS end_time,
          trim(event_name) AS event_name, rule_order,
-         CAST(split_part(trim(start_time), ':', 1) AS INTEGER) * 60 + CAST(split_part(trim(start_time), ':', 2) AS INTEGER) AS start_min,
-         CAST(split_part(trim(end_time), ':', 1) AS INTEGER) * 60 + CAST(split_part(trim(end_time), ':', 2) AS INTEGER) AS end_min
+         TRY_CAST(split_part(trim(start_time), ':', 1) AS INTEGER) * 60 + TRY_CAST(split_part(trim(start_time), ':', 2) AS INTEGER) AS start_min,
+         TRY_CAST(split_part(trim(end_time), ':', 1) AS INTEGER) * 60 + TRY_CAST(split_part(trim(end_time), ':', 2) AS INTEGER) AS end_min
   FROM (VALUES TT_VALUES) v(room, day, start_time, end_time, event_name, rule_order)),
 det AS (
   SELECT event_id AS det_id, CAST(100 * (1 + user_id % 7) + 1 + user_id % 11 AS VARCHAR) AS room, ts,
@@ -714,7 +714,7 @@ seen AS (
   FROM frames f),
 dec0 AS (
   SELECT s.*, (SELECT t.event_name FROM tt t WHERE t.room = trim(s.room) AND t.day = lower(strftime(s.tick_ts, '%A'))
-                AND t.start_time <= strftime(s.tick_ts, '%H:%M') AND strftime(s.tick_ts, '%H:%M') < t.end_time
+                AND t.start_time <> '' AND t.end_time <> '' AND t.start_time <= strftime(s.tick_ts, '%H:%M') AND strftime(s.tick_ts, '%H:%M') < t.end_time
                 AND t.start_time <> '' AND t.end_time <> '' ORDER BY t.rule_order LIMIT 1) AS class_event,
          epoch_us(tick_ts) - epoch_us(last_seen) AS gap_us
   FROM seen s),
@@ -790,7 +790,7 @@ oracle("schedule_at", with_occ(f"""
 SELECT id, room, {sql_ts('ts')} AS ts, CAST(ev IS NOT NULL AS BIGINT) AS in_class, ev AS class_event FROM (
   SELECT r.id, r.room, r.ts,
          (SELECT t.event_name FROM tt t WHERE t.room = trim(r.room) AND t.day = lower(strftime(r.ts, '%A'))
-            AND t.start_time <= strftime(r.ts, '%H:%M') AND strftime(r.ts, '%H:%M') < t.end_time
+            AND t.start_time <> '' AND t.end_time <> '' AND t.start_time <= strftime(r.ts, '%H:%M') AND strftime(r.ts, '%H:%M') < t.end_time
           ORDER BY t.rule_order LIMIT 1) AS ev
   FROM readings_base r)"""))
 
@@ -800,13 +800,13 @@ ds AS (SELECT rd.room, rd.date, t.start_time, t.end_time, t.event_name, t.start_
        FROM rd JOIN tt t ON t.room = trim(rd.room) AND t.day = lower(strftime(rd.date, '%A')))"""
 
 oracle("schedule_for_day", with_occ(f"""
-SELECT room, {sql_date('date')} AS date, start_time, end_time, event_name, CAST(start_min AS BIGINT) AS start_min,
+SELECT room, {sql_date('date')} AS date, start_time, end_time, event_name, CAST(coalesce(start_min, -1) AS BIGINT) AS start_min,
        CAST(rule_order AS BIGINT) AS rule_order FROM ds""", _DAYSCHED))
 
 oracle("schedule_gaps", with_occ(f"""
 SELECT room, {sql_date('date')} AS date, printf('%02d:%02d', prev_end // 60, prev_end % 60) AS gap_start,
        start_time AS gap_end, CAST(start_min - prev_end AS BIGINT) AS gap_minutes, event_name AS next_event
-FROM (SELECT *, lag(end_min) OVER (PARTITION BY room, date ORDER BY start_min, rule_order) AS prev_end FROM ds)
+FROM (SELECT *, lag(end_min) OVER (PARTITION BY room, date ORDER BY start_min, rule_order) AS prev_end FROM ds WHERE start_min IS NOT NULL AND end_min IS NOT NULL)
 WHERE prev_end IS NOT NULL AND start_min - prev_end > 0 AND start_min - prev_end >= 10""", _DAYSCHED))
 
 oracle("schedule_conflicts", with_occ(f"""
@@ -814,16 +814,16 @@ SELECT room, {sql_date('date')} AS date, event_name, start_time, end_time, holde
        replace(replace(replace({_q(fixed.CONFLICT_TEXT)}, '{{room}}', room), '{{date}}', strftime(date, '%Y-%m-%d')),
                '{{time}}', start_time || '-' || holder_end) AS message
 FROM (SELECT a.*,
-             (SELECT b.event_name FROM ds b WHERE b.room = a.room AND b.date = a.date
+             (SELECT b.event_name FROM bounded b WHERE b.room = a.room AND b.date = a.date
                 AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))
               ORDER BY b.end_min DESC, b.rule_order LIMIT 1) AS holder_name,
-             (SELECT b.end_time FROM ds b WHERE b.room = a.room AND b.date = a.date
+             (SELECT b.end_time FROM bounded b WHERE b.room = a.room AND b.date = a.date
                 AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))
               ORDER BY b.end_min DESC, b.rule_order LIMIT 1) AS holder_end,
-             (SELECT max(b.end_min) FROM ds b WHERE b.room = a.room AND b.date = a.date
+             (SELECT max(b.end_min) FROM bounded b WHERE b.room = a.room AND b.date = a.date
                 AND (b.start_min < a.start_min OR (b.start_min = a.start_min AND b.rule_order < a.rule_order))) AS prev_max
-      FROM ds a)
-WHERE start_min < prev_max""", _DAYSCHED))
+      FROM bounded a)
+WHERE start_min < prev_max""", _DAYSCHED + ",\nbounded AS (SELECT * FROM ds WHERE start_min IS NOT NULL AND end_min IS NOT NULL)"))
 
 
 # --- streaming twins (same results as the batch forms) ------------------------------
