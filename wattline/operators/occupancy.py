@@ -9,6 +9,8 @@ people is still split over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +151,19 @@ def _greedy(xs: Column, start: Column, cd: int) -> Column:
     )
 
 
+def _pick_blocks(cd: int):
+    """The candidate each block of a room really starts with, from the block records in time order."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, picks = None, []
+        for blk, head, outs in pdf.sort_values("_blk")[["_blk", "head", "outs"]].itertuples(index=False):
+            j = 0 if last is None else int(np.searchsorted(head, last + cd, side="right"))
+            if j < len(head):
+                picks.append((blk, j + 1))
+                last = int(outs[j])
+        return pd.DataFrame({"room": pdf["room"].iloc[0], "_blk": [p[0] for p in picks], "j": [p[1] for p in picks]})
+    return fn
+
+
 def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS,
                           block_seconds: int = 600) -> DataFrame:
     """At most one notification per ``cooldown`` while persons are seen —
@@ -160,8 +175,8 @@ def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.N
     the block, so the block's first emission is one of its first detections
     (those less than ``cooldown`` after the block start, plus one): for each
     such candidate the block's greedy outcome (its last emission) is computed.
-    A per-room fold over the blocks (one small record per block: bounded by the
-    time span, not by the data volume) picks the actual candidate of every
+    A linear pass over a room's blocks (one small record per block: bounded by
+    the time span, not by the data volume) picks the actual candidate of every
     block, and a last per-block fold emits the notifications."""
     cd = cooldown_seconds * 1_000_000
     bl = block_seconds * 1_000_000
@@ -174,24 +189,8 @@ def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.N
         "room", "_blk",
         F.slice("xs", 1, n_head).alias("head"),
         F.transform(F.sequence(F.lit(1), n_head), lambda j: _greedy(F.col("xs"), j, cd)["last"]).alias("outs"),
-        F.size("xs").alias("m"),
     )
     # per room, over its blocks in time order: choose each block's first emission
-    per_room = cands.groupBy("room").agg(
-        F.sort_array(F.collect_list(F.struct("_blk", "head", "outs", "m"))).alias("bs"))
-    init = F.struct(F.lit(None).cast("long").alias("last"),
-                    F.array().cast("array<struct<_blk:long,j:int>>").alias("picks"))
-
-    def step(acc, b):
-        hit = F.filter(F.sequence(F.lit(1), F.size(b["head"])),
-                       lambda i: acc["last"].isNull() | (F.element_at(b["head"], i) - acc["last"] > cd))
-        j = F.when(F.size(hit) > 0, F.element_at(hit, 1))
-        return F.when(j.isNull(), acc).otherwise(F.struct(
-            F.element_at(b["outs"], j).alias("last"),
-            F.concat(acc["picks"], F.array(F.struct(b["_blk"].alias("_blk"), j.cast("int").alias("j")))).alias("picks"),
-        ))
-
-    picks = per_room.select("room", F.explode(F.aggregate("bs", init, step)["picks"]).alias("p")).select(
-        "room", F.col("p._blk").alias("_blk"), F.col("p.j").alias("j"))
+    picks = cands.groupBy("room").applyInPandas(_pick_blocks(cd), "room string, _blk long, j int")
     emitted = blocks.join(picks, ["room", "_blk"]).select("room", F.explode(_greedy(F.col("xs"), F.col("j"), cd)["out"]).alias("_us"))
     return emitted.select("room", F.timestamp_micros("_us").alias("notified_at"))
