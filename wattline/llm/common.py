@@ -16,11 +16,16 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir.  Unset (tests): an own one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Unset in a local session (tests): a folder of its own.  Unset on a cluster: an error."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="wattline-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wattline-shared-"))
+        where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
