@@ -340,9 +340,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     open_rows = open_rows.withColumn("blk", F.pmod(F.xxhash64("ck"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     paired = open_rows.select("*", other).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
-    # block pairs share tasks: about 4 million set elements in each
+    # block pairs share tasks: about a block's elements in each
     total = paired.agg(F.sum("n")).first()[0] or 0
-    task = F.pmod(F.xxhash64("band", "h", "bi", "bj"), F.lit(max(1, total // (4 * p.block_elements))))
+    task = F.pmod(F.xxhash64("band", "h", "bi", "bj"), F.lit(max(1, total // p.block_elements)))
     cross = (paired.join(sets, "ck").select("band", "h", "bi", "bj", "blk", "ck", "root", "n", "regs", "elems", task.alias("task"))
              .groupBy("task").applyInPandas(_cross_blocks(p), "a binary, b binary").distinct())
     more = materialize(cross, "setsketch-links")
