@@ -194,9 +194,12 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     documents, chosen by hash, that gives about per_lang of them."""
     rows = labelled.filter("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(p.seed)).alias("h"))
-    counts = labelled.filter("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n_lang"))
-    share = F.lit(float(p.per_lang)) / F.col("n_lang")
-    picked = rows.join(counts, "lang").filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang", "h")
+    # a row for each language that the model will hold
+    counts = labelled.filter("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return fit([], [], p)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, p.per_lang / r["n"]))])
+    picked = rows.filter(F.pmod("h", F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).select("text", "lang", "h")
     got = picked.mapInPandas(_stretches(p), "text string, lang string").toPandas().sort_values(["lang", "text"], kind="stable")
     return fit(list(got["text"]), list(got["lang"]), p)
 
