@@ -73,7 +73,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Cache of 64-bit word hashes; emptied when it holds `limit` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

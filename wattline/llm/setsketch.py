@@ -314,6 +314,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     component_id is the least doc_id reachable over links, kept marks that
     document itself, exact_copies counts rows whose shingle set is equal."""
+    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(batch)) <= 1000:  # rows hold whole texts and sets: fewer of them in a worker at once
+        conf.set(batch, "1000")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(docs.mapInPandas(_sketch_rows(p), ROWS), "setsketch-rows")
     classes = materialize(rows.filter("n_shingles > 0").groupBy("ck").agg(
