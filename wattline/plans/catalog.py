@@ -643,8 +643,8 @@ def _stream_readings(spark, sf_dir):
     r = tables.readings(spark, sf_dir)
     txt = payload.payload_text(r).join(r.select("id", F.col("ts").alias("received_at")), "id").drop("id")
     path = _landed(txt, "payload", "json")
-    return streams.run_until_caught_up(streams.stream_readings(streams.payload_stream(spark, path)), "payload",
-                                       keys=["room", "ts"])
+    feed = streams.payload_stream(spark, path, files_per_batch=None)  # a replay
+    return streams.run_until_caught_up(streams.stream_readings(feed), "payload", keys=["room", "ts"])
 
 
 @query("rolling_last_60")

@@ -153,11 +153,15 @@ def tariff_series(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table (a folder of files, or one file) as a file stream."""
+    """The ``events`` table (a folder of files, or one file) as a file stream.
+
+    A replay of landed history: its files are in no time order, so all of them are
+    one micro-batch.  Cut by files, the first batch would move the watermark past
+    older rows of later files, and the per-room states would see time run backwards."""
     where = f"{sf_dir.rstrip('/')}/events.parquet"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    feed = spark.readStream.format("parquet").schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 100)
+    feed = spark.readStream.format("parquet").schema(table(spark, sf_dir, "events").schema)
     if fs.getFileStatus(path).isDirectory():
         return feed.load(where)
     return feed.option("pathGlobFilter", "events.parquet").load(sf_dir.rstrip("/"))     # a stream reads folders

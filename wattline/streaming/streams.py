@@ -92,9 +92,11 @@ PAYLOAD_SCHEMA = "room string, received_at timestamp, text string"
 FILES_PER_BATCH = 100   # bounds a micro-batch, hence what one room's state function sees at once
 
 
-def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Landed device payloads, one JSON object per line (room, received_at, text)."""
-    return spark.readStream.schema(PAYLOAD_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
+def payload_stream(spark: SparkSession, folder: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
+    """Landed device payloads, one JSON object per line (room, received_at, text).
+
+    ``files_per_batch`` as in ``file_stream``: ``None`` for a replay of files that are in no time order."""
+    return file_stream(spark, folder, PAYLOAD_SCHEMA, "json", files_per_batch)
 
 
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
@@ -103,7 +105,8 @@ def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
     (``None``: everything landed so far in one micro-batch).
 
     The per-room state machines (T5-T7) need each room's events in time order
-    across micro-batches, as a live device or camera feed delivers them; files
+    across micro-batches, and the watermarked aggregations (T1, T2) rows no older
+    than the watermark, as a live device or camera feed delivers them; files
     written in parallel have no such order, so a replay of landed history is
     read as one micro-batch (each function sorts within its batch)."""
     r = spark.readStream.format(fmt).schema(schema)
