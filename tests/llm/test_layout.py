@@ -1,3 +1,6 @@
+import random
+import re
+
 from wattline.llm.layout import Params, extract, render
 
 
@@ -37,3 +40,19 @@ def test_on_spark(spark):
     assert sorted(((r.page_id or 0, r.text, r.n_lines) for r in extract(df).collect())) == [(0, "", 0), (1, "a\n\nb", 3), (1, "a\n\nb", 3), (2, "", 0)]
     assert extract(df.limit(0)).count() == 0
     assert Params().deepest < 200
+
+
+def test_no_text_of_broken_tables_is_lost():
+    assert render("<table><tr><table><tr><td>text</table></table>") == "text"
+    assert render("<table><tr><td>a<tbody><table><tr><td>b</table>") == "a\n\nb"
+    assert render("<table><table><caption>cap</caption><tr><td>x</table>y") == "cap\nx\n\ny"
+    assert render("<table><colgroup>loose<col></colgroup><tr><td>x</table>") == "loose\n\nx"
+    assert render("<table><tr><td><table><tr><td>in</table>out</table>") == "in\n\nout"
+    rng = random.Random(5)
+    tags = [f"<{s}{t}>" for t in ("table", "tbody", "tr", "td", "th", "caption", "colgroup", "col", "p", "b", "ul", "li", "pre", "form", "select", "option", "template") for s in ("", "/") if not (t == "template" or t == "col" and s)]
+    for _ in range(4000):
+        parts = [rng.choice(tags) if rng.random() < 0.7 else f" w{i} " for i in range(rng.randrange(4, 40))]
+        words = sorted(p.strip() for p in parts if p.startswith(" "))
+        assert sorted(re.findall(r"w\d+", render("".join(parts)))) == words, "".join(parts)
+    deep = "<div>" * 160 + "<table><tr><td>a<td>b<table><tr><td>c" + "</div>" * 160 + "<tr>d<td>e"
+    assert sorted(re.findall(r"[a-e]", render(deep))) == list("abcde")

@@ -51,6 +51,7 @@ BLOCK |= {t: 1 for t in "blockquote dl figure hr menu dir ol p pre table ul h1 h
 SCOPE = frozenset("table td th caption template object html button".split())
 CELLS, ROWS, GROUPS = frozenset(("td", "th")), frozenset(("tr",)), frozenset(("thead", "tbody", "tfoot"))
 IN_TABLE = frozenset(("table", "thead", "tbody", "tfoot", "tr"))
+BETWEEN = IN_TABLE | {"colgroup"}
 #: What a start tag ends, and where looking for it stops.
 ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
         "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)), "a": (("a",), ("td", "th", "li", "div")), "button": (("button",), ())}
@@ -106,6 +107,9 @@ class Builder:
 
     def _append(self, node) -> None:
         top = self.stack[-1]
+        if top.tag == "colgroup" and (node.strip() if isinstance(node, str) else node.tag not in ("col", "template")):
+            self._pop_to(len(self.stack) - 1)  # anything else ends the column group
+            top = self.stack[-1]
         if top.tag in IN_TABLE and not (isinstance(node, str) and not node.strip()) and (isinstance(node, str) or node.tag not in IN_TABLE | CELLS | {"caption", "colgroup", "col", "script", "style", "template"}):
             i = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == "table"), 0)
             if i:  # not allowed in a table: goes before it
@@ -135,6 +139,8 @@ class Builder:
             self._pop_to(i)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
             self._pop_to(len(self.stack) - 1)
+        if tag == "table" and self.stack[-1].tag in BETWEEN and (i := self._find(("table",), ("template",))):
+            self._pop_to(i)  # a table between the cells of another ends that one
         if tag in CELLS or tag in ROWS or tag in GROUPS or tag in ("caption", "colgroup", "col"):
             t = self._find(("table",), ("template",))
             if not t:
@@ -329,6 +335,13 @@ class Renderer:
         flow.end_line()
         return flow.lines
 
+    def alone(self, node: Node, visible: bool) -> list[str]:
+        """Lines of an element by itself."""
+        flow = Flow()
+        self.element(node, flow, visible)
+        flow.end_line()
+        return flow.lines
+
     def element(self, node: Node, flow: Flow, visible: bool) -> None:
         laid, visible = self._shown(node, visible)
         if not laid:
@@ -431,8 +444,8 @@ class Renderer:
                         rows.append((kid, s))
                     elif kid.tag in GROUPS:
                         gather(kid, s)
-                    elif kid.tag == "caption":
-                        above.extend(self.inside(kid, s))
+                    elif kid.tag not in ("col", "colgroup"):
+                        above.extend(self.inside(kid, s) if kid.tag == "caption" else self.alone(kid, seen))
 
         gather(node, visible)
         grid: list[list[tuple[int, int, list[str]]]] = []  # per row: (column, span, lines)
@@ -441,7 +454,10 @@ class Renderer:
             line, col = [], 0
             fresh: dict[int, int] = {}
             for cell in row.kids:
-                if not isinstance(cell, Node) or cell.tag not in CELLS:
+                if not isinstance(cell, Node):
+                    continue
+                if cell.tag not in CELLS:  # as deep as elements nest, what belongs nowhere stands above
+                    above.extend(self.alone(cell, seen))
                     continue
                 laid, s = self._shown(cell, seen)
                 if not laid:
