@@ -56,3 +56,27 @@ def test_no_text_of_broken_tables_is_lost():
         assert sorted(re.findall(r"w\d+", render("".join(parts)))) == words, "".join(parts)
     deep = "<div>" * 160 + "<table><tr><td>a<td>b<table><tr><td>c" + "</div>" * 160 + "<tr>d<td>e"
     assert sorted(re.findall(r"[a-e]", render(deep))) == list("abcde")
+
+
+def test_only_style_rules_that_apply_hide():
+    def seen(css, page="<p class='tab'>one</p><p class='tab on'>two</p>", attrs=""):
+        return render(f"<style{attrs}>{css}</style>{page}").split()
+
+    both = ["one", "two"]
+    assert seen(".tab{display:none}") == [] and seen("@media screen{.tab{display:none}}") == [] and seen("@media not print{p{display:none}}") == []
+    assert seen("@media print{.tab{display:none}}") == both and seen(".tab{display:none}", attrs=" media=print") == both
+    assert seen("} .tab{display:none}", attrs=" media='print'") == both and seen("} .tab{display:none}", attrs=" media='only screen'") == []
+    assert seen("@media (max-width:600px){.tab{display:none}}") == both and seen("@keyframes x{from{display:none}} @supports (x:y){p{display:none}}") == both
+    assert seen("@media print{a{color:red} .tab{display:none}} .on{display:none}") == ["one"]
+    assert seen(".tab{display:none} .tab.on{display:block}") == ["two"]
+    assert seen(".tab{display:none} .tab{display:block}") == both and seen(".tab{display:block} .tab{display:none}") == []
+    assert seen(".tab{display:none} p{display:block}") == [] and seen("p{display:none} .on{display:flex}") == ["two"]
+    assert seen(".tab{display:none} @media (min-width:600px){.tab{display:block}}") == both
+    assert seen(".tab{display:none} @media print{.tab{display:block}}") == []
+    assert seen(".tab{display:none !important} .tab.on{display:block}") == []
+    assert seen(".tab{display:none} body .on{display:block} .x:hover .tab, .tab::before{display:block}") == ["two"]
+    assert seen(".tab{display:none;&.on{display:block}}") == ["two"]
+    assert seen(".hidden{display:none} @media(min-width:9em){.md\\:block{display:block}}", "<i class='hidden md:block'>a</i><i class=hidden>b") == ["a"]
+    assert seen("a{content:'}'} .tab{visibility:hidden} b{visibility:visible}", "<p class=tab>no<b>yes</b>") == ["yes"]
+    assert seen(".tab{display:none}", "<p class=tab style='display:block'>a</p><template><style>p{display:none}</style></template>") == ["a"]
+    assert seen(".tab{display:none", attrs=" type=text/x") == both and seen("@media print{.tab{display:none}") == both and seen(".tab{display:none") == []

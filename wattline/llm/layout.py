@@ -9,8 +9,9 @@ spans included; tables wider than `table_width` list their cells with bars).
 
 Not visible: head, scripts, styles, templates, noscript and embedded content,
 the hidden attribute, display:none and visibility:hidden (inline, or by a style
-sheet's rule for a tag, class or id), hidden inputs, and closed details but for
-their summary.  Visible inside visibility:hidden: what sets visibility:visible.
+sheet's rule for a tag, class or id that holds for every screen and that no other
+rule may override), hidden inputs, and closed details but for their summary.
+Visible inside visibility:hidden: what sets visibility:visible.
 
 Pages are independent: one pass, no shuffle.  Cases: null, empty or textless
 page: the empty text.  Null page_id: kept null.  Repeated rows: each rendered.
@@ -57,9 +58,13 @@ ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl"
         "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)), "a": (("a",), ("td", "th", "li", "div")), "button": (("button",), ())}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_CSS_HIDE = re.compile(r"(?:^|;)\s*(display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_CSS_SHOW = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible\b", re.I)
+_CSS_DROP = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+_CSS_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;]*", re.I)
+_CSS_ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})\s?|(.))", re.S)
+_CSS_PART = re.compile(r"([.#]?)((?:[\w-]|[^\x00-\x7f])+)")
+#: Selectors for generated content, and those of a page at rest that match nothing.
+_CSS_NOT_BOX = re.compile(r"::|:(?:before|after|first-line|first-letter)\b", re.I)
+_CSS_TOUCHED = re.compile(r":(?:hover|active|focus|focus-within|focus-visible|target)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -90,7 +95,7 @@ class Builder:
         self.p = p
         self.root = Node("html")
         self.stack = [self.root]
-        self.css: list[str] = []
+        self.css: list[tuple[int, str]] = []  # whether its media hold, style sheet
 
     def _pop_to(self, i: int) -> None:
         del self.stack[max(1, i):]
@@ -170,6 +175,10 @@ class Builder:
         elif tag == "p":
             self._append(Node("p"))
 
+    def _style(self, a: dict[str, str], sheet: str) -> None:
+        if a.get("type", "").strip().lower() in ("", "text/css") and not self._find(("template",), ()):
+            self.css.append((media_holds(a.get("media", "")), sheet))
+
     def build(self, page: str) -> Node:
         pos, n = 0, len(page)
         while pos < n:
@@ -194,7 +203,7 @@ class Builder:
                 stop = close.start() if close else n
                 body = page[pos:stop]
                 if tag == "style":
-                    self.css.append(body)
+                    self._style(Node(tag, m[3] if m[2] else m[6]).attrs, body)
                 elif tag in ("textarea", "xmp", "title"):
                     self.stack[-1].kids.append(entities.unescape(body) if tag != "xmp" else body)
                 if self.stack[-1].tag == tag:
@@ -204,16 +213,135 @@ class Builder:
         return self.root
 
 
-def hidden_rules(sheets: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) that style sheets hide."""
-    out: set[str] = set()
-    for sheet in sheets:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _CSS_HIDE.search(m[2]):
-                out |= {s.strip() for s in m[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+# ---------------------------------------------------------------- style sheets
+
+NEVER, MAYBE, SURE = 0, 1, 2
+
+
+def media_holds(queries: str) -> int:
+    """Whether a media query list holds for a screen; MAYBE: it asks for more than the medium."""
+    best = NEVER
+    for q in queries.lower().split(","):
+        m = re.fullmatch(r"\s*(not\s+|only\s+)?([a-z]+)?\s*(.*?)\s*", q, re.S)
+        screen = m[2] in (None, "all", "screen") if m else True
+        if not m or m[3] or (m[1] or "").strip() == "not" and m[2] is None or m[2] in ("not", "only"):
+            holds = MAYBE if screen or m[1] else NEVER
+        else:
+            holds = SURE if screen != ((m[1] or "").strip() == "not") else NEVER
+        best = max(best, holds)
+    return best
+
+
+def declared(block: str) -> dict[str, tuple[bool, bool | None]]:
+    """Of a rule's display and visibility: (important, shown); shown None: as around it."""
+    out: dict[str, tuple[bool, bool | None]] = {}
+    for m in _CSS_SHOWS.finditer(block):
+        prop, value, important = m[1].lower(), m[2].lower(), bool(re.search(r"!\s*important", m[0], re.I))
+        if prop in out and out[prop][0] > important:
+            continue
+        shown = value not in ("none", "hidden", "collapse")
+        out[prop] = (important, None if prop == "visibility" and value in ("inherit", "unset", "revert") else shown)
     return out
 
 
+class Styles:
+    """What style sheets say on display and visibility.
+
+    Hiding rules count where they surely apply: one tag, class or id, for all
+    media or the screen.  Showing rules count where they may apply: their last
+    compound matches, in any at-rule that can hold for a screen.  Of those that
+    match an element the cascade decides: importance, specificity, order."""
+
+    def __init__(self, sheets: list[tuple[int, str]]):
+        self.by_key: dict[str, list[tuple]] = {}
+        self.known: dict[tuple, dict[str, tuple]] = {}
+        self.order, hides = 0, False
+        for media, sheet in sheets:
+            for selectors, block, holds, order in self._rules(sheet, media):
+                if "display" not in block.lower() and "visibility" not in block.lower():
+                    continue
+                for prop, (important, shown) in declared(block).items():
+                    for s in re.split(r",(?![^(]*\))", selectors):
+                        if found := self._selector(s, holds, shown is False):
+                            key, parts, weight = found
+                            hides |= shown is False
+                            self.by_key.setdefault(key, []).append((prop, parts, (important, 0, *weight, order), shown))
+        if not hides:
+            self.by_key = {}
+
+    def _rules(self, sheet: str, media: int) -> list[tuple[str, str, int, int]]:
+        """(selectors, declarations, whether the at-rules around it hold, order) of all rules, nested ones too."""
+        if "display" not in sheet.lower() and "visibility" not in sheet.lower():
+            return []
+        sheet = _CSS_DROP.sub(lambda m: "''" if m[0][0] in "\"'" else " ", sheet)
+        sheet = _CSS_ESCAPE.sub(lambda m: chr(0xF0000 + min(int(m[1], 16) if m[1] else ord(m[2]), 0xFFFD)), sheet)
+        out, at = [], 0
+        open_: list[tuple[str, int, int, list[str]]] = []
+        for m in re.finditer(r"[{};]|\Z", sheet):
+            text, at = sheet[at : m.start()].strip(), m.end()
+            if m[0] == "{":
+                around, holds = open_[-1][:2] if open_ else ("", media)
+                self.order += 1
+                if text.startswith("@"):
+                    name, _, rest = text[1:].replace("(", " (", 1).partition(" ")
+                    kind = name.lower()
+                    if kind == "media":
+                        holds = min(holds, media_holds(rest))
+                    else:
+                        holds = min(holds, MAYBE if kind in ("supports", "layer", "container", "scope") else NEVER)
+                    open_.append((around, holds, self.order, []))
+                else:
+                    inner = ",".join(s.replace("&", around) if "&" in s else f"{around} {s}" for s in text.split(",")) if around and "," not in around else text
+                    open_.append((inner, min(holds, MAYBE) if around else holds, self.order, []))
+            elif open_:
+                open_[-1][3].append(text)
+                if m[0] != ";":
+                    for sel, holds, order, texts in [open_.pop()] if m[0] == "}" else open_:
+                        if sel and holds:
+                            out.append((sel, ";".join(texts), holds, order))
+        return out
+
+    @staticmethod
+    def _selector(s: str, holds: int, hides: bool) -> tuple[str, frozenset[str], tuple[int, int, int]] | None:
+        """(a key of the last compound, all its keys, specificity); None: does not count."""
+        s = s.strip()
+        if hides and (holds < SURE or not _CSS_PART.fullmatch(s)) or _CSS_NOT_BOX.search(s):
+            return None
+        flat, n = s, 0
+        while (k := re.subn(r":not\([^()]*\)|\([^()]*\)|\[[^\]]*\]", lambda m: "" if m[0][0] == "(" else ":x", flat))[1]:
+            flat = k[0]
+        if _CSS_TOUCHED.search(flat):
+            return None
+        flat, n = re.subn(r":[\w-]+", "", flat)
+        name = lambda m: m[1] + "".join(chr(ord(c) - 0xF0000) if c >= "\U000F0000" else c for c in (m[2] if m[1] else m[2].lower()))
+        every = [m[1] for m in _CSS_PART.finditer(flat)]
+        last = re.split(r"[\s>+~]+", flat.rstrip())[-1] if not re.search(r"[\s>+~]$", s) else ""
+        parts = frozenset(map(name, _CSS_PART.finditer(last)))
+        weight = (every.count("#"), every.count(".") + n, every.count(""))
+        return min(parts, key=lambda x: ("#.".find(x[0]) % 3, x), default="*"), parts, weight
+
+    def of(self, node: Node) -> dict[str, tuple[tuple, bool | None]]:
+        """For display and visibility: (weight, shown) of the rule that wins, inline style included."""
+        a = node.attrs if node.raw else {}
+        out: dict[str, tuple[tuple, bool | None]] = {}
+        if self.by_key:
+            which = (node.tag, a.get("id"), a.get("class"))
+            if which not in self.known:
+                keys = {node.tag, *("." + c for c in (which[2] or "").split())} | ({"#" + which[1]} if which[1] else set())
+                won: dict[str, tuple[tuple, bool | None]] = {}
+                for key in (*keys, "*"):
+                    for prop, parts, weight, shown in self.by_key.get(key, ()):
+                        if parts <= keys and (prop not in won or weight > won[prop][0]):
+                            won[prop] = (weight, shown)
+                self.known[which] = won
+            out = self.known[which]
+        if style := a.get("style"):
+            for prop, (important, shown) in declared(_CSS_DROP.sub(" ", style)).items():
+                if prop not in out or (important, 1) > out[prop][0][:2]:
+                    out = out | {prop: ((important, 1), shown)}
+        return out
+
+
 # ---------------------------------------------------------------- rendering
 
 
@@ -293,31 +421,23 @@ def _marker(kind: str, n: int) -> str:
 
 
 class Renderer:
-    def __init__(self, hide: set[str], p: Params):
-        self.hide, self.p, self.depth = hide, p, 0
+    def __init__(self, styles: Styles, p: Params):
+        self.styles, self.p, self.depth = styles, p, 0
 
     def _shown(self, node: Node, visible: bool) -> tuple[bool, bool]:
         """(is it laid out, is its text visible)."""
         if node.tag in HIDDEN:
             return False, False
-        if self.hide and node.tag in self.hide:
-            return False, False
         if node.raw:
             a = node.attrs
             if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
                 return False, False
-            if self.hide and ("#" + a["id"] in self.hide if "id" in a else False):
-                return False, False
-            if self.hide and "class" in a and any("." + c in self.hide for c in a["class"].split()):
+        if node.raw or self.styles.by_key:
+            said = self.styles.of(node)
+            if "display" in said and said["display"][1] is False:
                 return False, False
-            style = a.get("style", "")
-            if style:
-                if m := _CSS_HIDE.search(style):
-                    if m[1].lower().startswith("display"):
-                        return False, False
-                    visible = False
-                elif _CSS_SHOW.search(style):
-                    visible = True
+            if "visibility" in said and said["visibility"][1] is not None:
+                visible = said["visibility"][1]
         return True, visible
 
     def children(self, node: Node, flow: Flow, visible: bool) -> None:
@@ -521,7 +641,7 @@ def render(page: str | None, p: Params = Params()) -> str:
         return ""
     b = Builder(p)
     root = b.build(page)
-    r = Renderer(hidden_rules(b.css), p)
+    r = Renderer(Styles(b.css), p)
     flow = Flow()
     r.element(root, flow, True)
     flow.end_line()
