@@ -4,7 +4,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline as cp
 from wattline.llm.packing import Encoder, Packer, Params, pack
+from wattline.llm.queries import QUERIES
 
 TEXTS = [None, "", "a", "One two  three\n\n four   five <|endoftext|> six's", "trailing ", "  lead", "tab\t x   y", "word " * 9000, "日本語 テキスト", "x" * 3000] + [f"short {i}" for i in range(700)]
 
@@ -59,3 +61,20 @@ def test_ranks_give_the_tokenizers_ids():
     rng, parts = np.random.default_rng(1), ["a", "Zé", " ", "  ", "\n", "\t", " ", " ", "　", "\x85", "'s", "'LL", "9", "½", "日本", "👍🏽", "<|endoftext|>", "--", "​", "\r\n"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(3000)]
     assert Encoder(Params()).encode(texts) == Encoder(Params(ranks=None)).encode(texts)
+
+
+def test_special_tokens_get_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
+    rng, parts = np.random.default_rng(2), ["a", "Zé", " ", "  ", "\n", "'s", "9", "日本", "<|endoftext|>", "<|endoftext|", "|>", "<"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" * 9000 + "<|endoftext|>"] + ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000)]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert Encoder(Params(special=True)).encode(texts) == want == Encoder(Params(special=True, ranks=None)).encode(texts)
+    few = [*texts[:60], "plain"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(few)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for got in (QUERIES["op7_vector_packing"](spark, str(tmp_path)), cp.pack_sequences(spark, docs, str(tmp_path))):
+        rows = got.collect()
+        for i, ids in enumerate(want[:60]):
+            mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+            assert sum(r.length for r in mine) == len(ids) // 4
+            assert all(r.doc_tokens == len(ids) // 4 and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in mine)

@@ -42,7 +42,8 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 @dataclass(frozen=True)
 class Params:
     """Limits of a sequence.  tokenizer: installed tokenizer file, or a path; ranks: the same vocabulary as
-    ranks (None: there are none); checked: texts of each partition held against the tokenizer."""
+    ranks (None: there are none); checked: texts of each partition held against the tokenizer; special: a special
+    token that a text spells out gets its own id, as the tokenizer's file has it (else it is text like any other)."""
 
     tokens: int = 2048
     segments: int = 256
@@ -51,21 +52,24 @@ class Params:
     tokenizer: str = "byte_bpe_50k.json"
     ranks: str | None = "byte_bpe_50k.tiktoken"
     checked: int = 32
+    special: bool = False
     pool: int = 512
 
 
 class Encoder:
     """Texts to ids (little-endian unsigned 32-bit).
 
-    The ids are those of the tokenizer's file.  Where its vocabulary is also
+    The ids are those of the tokenizer's file, special tokens as `special` has it.  Where its vocabulary is also
     given as ranks, the faster library that reads these does the work, and the
-    first texts of each partition are held against the tokenizer itself."""
+    first texts of each partition (those with special tokens before others) are
+    held against the tokenizer itself."""
 
     def __init__(self, p: Params):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(self._path(p.tokenizer))
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not p.special
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()} if p.special else {}
         self.fast, self.to_check = None, p.checked
         if p.ranks:
             import public_tokenizers
@@ -73,7 +77,7 @@ class Encoder:
 
             with open(self._path(p.ranks), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding(p.ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding(p.ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.end = self._bytes([p.end_id])
 
     @staticmethod
@@ -95,9 +99,10 @@ class Encoder:
         """Ids of each text with the end id behind."""
         if self.fast is None:
             return [self._bytes(e.ids) + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        out = [self.fast.encode_ordinary(t) for t in texts]
+        marked = [any(s in t for s in self.special) for t in texts]
+        out = [self.fast.encode(t, allowed_special="all") if m else self.fast.encode_ordinary(t) for t, m in zip(texts, marked)]
         if self.to_check > 0:
-            few = sorted(range(len(texts)), key=lambda i: len(texts[i]))[: self.to_check]
+            few = sorted(range(len(texts)), key=lambda i: (not marked[i], len(texts[i])))[: self.to_check]
             self.to_check = 0
             for i in few:
                 if self.tok.encode(texts[i], add_special_tokens=False).ids != out[i]:

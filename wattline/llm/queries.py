@@ -39,7 +39,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Params(special=True))
 
 
 @query
