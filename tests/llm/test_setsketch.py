@@ -78,3 +78,9 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([Row(a=bytes([i]), b=bytes([i + 1])) for i in range(n)] + [Row(a=b"\xf0", b=b"\xf1")])
     got = {bytes(r.ck): bytes(r.root) for r in components(links).collect()}
     assert got == {**{bytes([i]): b"\x00" for i in range(n + 1)}, b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
+
+
+def test_links_at_the_thresholds_in_use_are_missed_as_rarely_as_stated():
+    for percent, chance in ((80, 2e-6), (85, 1e-8)):
+        p = Params(percent=percent)
+        assert p.m % p.rows == 0 and (1 - p.threshold**p.rows) ** (p.m // p.rows) < chance
