@@ -25,17 +25,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (the one with the least id), and all without any.
-
-    Rows that repeat doc_id and text are one document; rows without doc_id stay."""
-    found = setsketch.near_duplicates(docs.select("doc_id", "text"), setsketch.Params())
-    kept_id = fresh(docs, "kept_id")
-    keep = found.filter("kept").select(F.col("doc_id").alias(kept_id)).distinct()
-    rows = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept_id), "left_semi")
-    nr = fresh(docs, "nr")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = rows.withColumn(nr, F.row_number().over(once)).filter(F.col(nr) == 1).drop(nr)
-    return rows.union(docs.filter("doc_id is null").select(rows.columns))
+    """One document of each group of near duplicates (the one with the least id; without any id, the one
+    with the least text key), and all without any.
+
+    Rows that repeat doc_id and text are one document; of the rows without doc_id, all without words stay."""
+    kid, ktk, tk, nr = (fresh(docs, x) for x in ("kept_id", "kept_text", "text_key", "nr"))
+    found = setsketch.grouped(docs.select("doc_id", "text"), setsketch.Params())
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
+    heads = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("x")).select("x.doc_id", "x.tk")
+    bare = found.filter("root is null and doc_id is not null").select("doc_id", "tk").distinct()
+    keep = heads.union(bare).distinct().select(F.col("doc_id").alias(kid), F.col("tk").alias(ktk))
+    stay = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.filter(~stay).withColumn(tk, setsketch.text_key(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kid)) & F.col(tk).eqNullSafe(F.col(ktk))
+    once = Window.partitionBy("doc_id", tk).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = named.join(keep, same, "left_semi").withColumn(nr, F.row_number().over(once)).filter(F.col(nr) == 1)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(stay))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

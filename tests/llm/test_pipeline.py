@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
+
 import corpus_pipeline as cp
-from wattline.llm.common import scratch_path, table
+from wattline.llm.common import WordHashes, scratch_path, table
+from wattline.llm.setsketch import shingle_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +42,43 @@ def test_odd_documents(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         assert stage(spark, docs, SF).count() > 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Pairs around the production threshold, groups of copies, null and repeated ids: one row of each group."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.integers(10**6)}" for _ in range(200)]
+        text = " ".join(words)
+        for changed in (0, 2, 4, 5):  # likeness to the first: near 0.90, 0.81 and 0.77
+            mine = list(words)
+            for k in range(changed):
+                mine[20 + 30 * k] = f"x{rng.integers(10**6)}"
+            rows.append((None if g % 3 == 0 else 1000 - len(rows), " ".join(mine)))
+        rows += [(None, text), (None, text.upper()), (1000 + g, text)] if g % 2 else [(None, text)]
+    rows += [(7, "one text of an id that is used twice over"), (7, rows[5][1]), (1, rows[5][1]), (7, "one text of an id that is used twice over"), (None, ""), (None, None), (None, " "), (8, " "), (8, " ")]
+    sets = shingle_sets([t for _, t in rows], 5, WordHashes())
+    up, likeness = list(range(len(rows))), []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j], assume_unique=True))
+            if both:
+                either = len(a) + len(sets[j]) - both
+                likeness.append(both / either)
+                if 100 * both >= 80 * either:
+                    old, new = up[i], up[j]
+                    up = [new if x == old else x for x in up]
+    assert any(0.80 <= x < 0.85 for x in likeness) and any(0.7 < x < 0.80 for x in likeness)
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        groups.setdefault(up[i] if len(sets[i]) else ("bare", d, t, i if d is None else 0), []).append(d)
+    want = sorted((min((d for d in ds if d is not None), default=-1) for ds in groups.values()))
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_duplicates(spark, docs, SF).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == want
+    place = {}
+    for i, r in enumerate(rows):
+        place.setdefault(r, up[i])
+    kept = [place[r.doc_id, r.text] for r in got if (r.text or "").strip()]
+    assert len(kept) == len(set(kept))

@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import WordHashes, materialize, mix64, segment_starts, spans, words_of
@@ -147,7 +147,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, b:
 
 # ---------------------------------------------------------------- Spark stages
 
-ROWS = "doc_id long, n_shingles long, ck binary, regs binary"
+ROWS = "doc_id long, tk string, n_shingles long, ck binary, regs binary"
 
 
 def _sketch_rows(p: Params):
@@ -160,6 +160,7 @@ def _sketch_rows(p: Params):
                 regs = registers(sets, p)
                 yield pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(),
+                    "tk": pdf["tk"].iloc[lo:hi].to_numpy(),
                     "n_shingles": [len(s) for s in sets],
                     "ck": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "regs": [r.tobytes() if len(s) else None for r, s in zip(regs, sets)],
@@ -314,11 +315,24 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     component_id is the least doc_id reachable over links, kept marks that
     document itself, exact_copies counts rows whose shingle set is equal."""
+    out = grouped(docs, p)
+    cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"), F.coalesce("copies", F.lit(1)).alias("exact_copies"))
+
+
+def text_key(text: Column) -> Column:
+    """Names a text (null: null)."""
+    return F.md5(text.cast("string").cast("binary"))
+
+
+def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, tk (its text_key), n_shingles, root (its component; null
+    without words), component_id (the component's least doc_id, if it has any), copies."""
     conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(batch)) <= 1000:  # rows hold whole texts and sets: fewer of them in a worker at once
         conf.set(batch, "1000")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(docs.mapInPandas(_sketch_rows(p), ROWS), "setsketch-rows")
+    rows = materialize(docs.select("doc_id", "text", text_key(F.col("text")).alias("tk")).mapInPandas(_sketch_rows(p), ROWS), "setsketch-rows")
     classes = materialize(rows.filter("n_shingles > 0").groupBy("ck").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")), "setsketch-classes")
 
@@ -354,7 +368,5 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     least = classes.join(roots, "ck", "left").select("ck", "rep", "copies", F.coalesce("root", "ck").alias("root"))
     comp = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled_classes = least.join(comp, "root").select("ck", "component_id", "copies")
-    out = rows.select("doc_id", "n_shingles", "ck").join(labelled_classes, "ck", "left")
-    cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"), F.coalesce("copies", F.lit(1)).alias("exact_copies"))
+    labelled_classes = least.join(comp, "root").select("ck", "root", "component_id", "copies")
+    return rows.select("doc_id", "tk", "n_shingles", "ck").join(labelled_classes, "ck", "left").drop("ck")
