@@ -67,7 +67,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack_sequences", pack_sequences),
 ]
 
-#: Training and hashing by sketches have no SQL form; tests hold the stages against brute force.
+#: Training and hashing by sketches have no SQL form; tests hold near_duplicates against all pairs and
+#: pack_sequences against the tokenizer, and bound the rows of the other stages without a plain version of them.
 ORACLE_SQL: str | None = None
 
 
