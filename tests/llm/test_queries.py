@@ -17,6 +17,7 @@ COLUMNS = {
     "op7_vector_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op8_pii_surrogates": {"doc_id", "text"},
     "op9_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
     "op10_lcp_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
 }
 
@@ -30,7 +31,7 @@ def test_columns_and_rows(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     assert COLUMNS[name] <= set(df.columns)
     n = df.count()
-    whole = {"op2": "pages", "op4": "pages", "op5": None, "op7": None}.get(name.split("_")[0], "documents")
+    whole = {"op2": "pages", "op4": "pages", "op5": None, "op7": None, "op11": None}.get(name.split("_")[0], "documents")
     if whole:
         assert n == spark.read.parquet(f"{SF_SMALL}/{whole}.parquet").count()
     assert n > 0

@@ -49,6 +49,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_group(rows: DataFrame, key: str, salt: str, first: list[Column], then: list[Column]) -> DataFrame:
+    """rows with aggregates of all rows of their key, whatever share of the rows a key holds.
+
+    `first` aggregates the rows of a (key, salt), `then` the partial results of a key, at most one for each salt
+    value; the answer goes back to the (key, salt) present, so no key's rows meet in one task.  Key and salt are
+    not null.  rows is read twice: written before.  Aggregates are named unlike the columns of rows."""
+    part = rows.groupBy(key, salt).agg(*first)
+    part = materialize(part, "group")
+    whole = part.groupBy(F.col(key).alias("g_key")).agg(*then)
+    names = [c for c in whole.columns if c != "g_key"]
+    g_part = part.select(F.col(key).alias("p_key"), F.col(salt).alias("p_salt"))
+    back = g_part.join(whole, F.col("p_key") == F.col("g_key")).select("p_key", "p_salt", *names)
+    same = (F.col(key) == F.col("p_key")) & (F.col(salt) == F.col("p_salt"))
+    return rows.join(back, same).select(*[F.col(f"`{c}`") for c in rows.columns], *names)
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -28,3 +28,37 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN target > 0 THEN (first + size) / target END AS vft
 FROM p
 """
+
+ORACLE["op11_filter_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+  FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+SELECT part, filter_order, step,
+       sum(CASE WHEN fails & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+       sum(CASE WHEN fails & bit > 0 AND fails & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+       sum(CASE WHEN fails & bit > 0 AND fails & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+       sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN fails & bit > 0 AND fails & before = 0 AND good = 1 THEN n ELSE 0 END)::BIGINT AS good_lost,
+       sum(CASE WHEN fails & bit > 0 AND fails & before = 0 AND toxic = 1 THEN n ELSE 0 END)::BIGINT AS toxic_lost,
+       sum(CASE WHEN fails & bit > 0 THEN n * (120 // bit_count(fails::BIGINT)) ELSE 0 END)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""

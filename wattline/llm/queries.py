@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import langid, layout, lcp, mixing, packing, pii, setsketch, srs, toxicity, warc
+from wattline.llm import audit, langid, layout, lcp, mixing, packing, pii, setsketch, srs, toxicity, warc
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op5_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
