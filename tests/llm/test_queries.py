@@ -17,6 +17,8 @@ COLUMNS = {
     "op7_vector_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op8_pii_surrogates": {"doc_id", "text"},
     "op9_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op13_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op11_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
     "op10_lcp_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
 }

@@ -55,12 +55,16 @@ def with_group(rows: DataFrame, key: str, salt: str, first: list[Column], then:
     `first` aggregates the rows of a (key, salt), `then` the partial results of a key, at most one for each salt
     value; the answer goes back to the (key, salt) present, so no key's rows meet in one task.  Key and salt are
     not null.  rows is read twice: written before.  Aggregates are named unlike the columns of rows."""
-    part = rows.groupBy(key, salt).agg(*first)
-    part = materialize(part, "group")
-    whole = part.groupBy(F.col(key).alias("g_key")).agg(*then)
-    names = [c for c in whole.columns if c != "g_key"]
-    g_part = part.select(F.col(key).alias("p_key"), F.col(salt).alias("p_salt"))
-    back = g_part.join(whole, F.col("p_key") == F.col("g_key")).select("p_key", "p_salt", *names)
+    part = materialize(rows.groupBy(key, salt).agg(*first), "group")
+    return give_back(rows, key, salt, part.groupBy(key).agg(*then), part.select(key, salt))
+
+
+def give_back(rows: DataFrame, key: str, salt: str, known: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """rows with the columns of known (a row for each key), whatever share of the rows a key holds: known is first
+    joined with the (key, salt) present, then rows by both.  Rows of unknown keys go.  Key and salt are not null."""
+    names = [c for c in known.columns if c != key]
+    where = (rows.select(key, salt).distinct() if present is None else present).select(F.col(key).alias("p_key"), F.col(salt).alias("p_salt"))
+    back = where.join(known, F.col("p_key") == known[key]).select("p_key", "p_salt", *names)
     same = (F.col(key) == F.col("p_key")) & (F.col(salt) == F.col("p_salt"))
     return rows.join(back, same).select(*[F.col(f"`{c}`") for c in rows.columns], *names)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import audit, langid, layout, lcp, mixing, packing, pii, setsketch, srs, toxicity, warc
+from wattline.llm import audit, langid, layout, lcp, mixing, packing, periodic, pii, secret_scan, setsketch, srs, toxicity, warc
 from wattline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,13 @@ def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse_runs(table(spark, sf_dir, "documents"), edit=periodic.repeated_tail))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
