@@ -6,7 +6,7 @@ from collections import Counter
 
 from wattline.llm import audit
 
-P = audit.Params(few_words=4, shard_bytes=60, salts=3)
+P = audit.Params(few_words=4, shard_bytes=60, buckets=5, salts=3)
 SCHEMA = "doc_id long, text string, lang string, source string, PART string"
 TEXTS = [
     None, "", " \t\n", "one two three four five", "one two three four five", "a a a a a a", "A B C D e f g", "pay $5 now or never today",

@@ -11,12 +11,16 @@ Five filters judge every whole text, alone and in each of the 120 orders:
 The matrix.  One pass over the texts cuts each partition into shards of about
 `shard_bytes` bytes (at least one text).  A shard is a CSR block whose columns are
 numbered by the shard's own vocabulary; it goes to a written table together with
-that vocabulary.  The shards' vocabularies alone - a word at most once a shard, not
-once a document - are reduced to the global dictionary, whose words get dense
-numbers from their place in a written partition and the partitions' sizes, and go
-back to the shards, which are renumbered.  Row sums of the matrix are the words of
-a text, the non-zeros of a row its distinct words: these decide A and B.  C, D and
-the text's SHA-256 come from the same pass over the bytes.
+that vocabulary, which is dealt to `buckets` by a checksum of the word and numbered
+bucket by bucket.  Only the vocabularies - a word at most once a shard, not once a
+document - are shuffled, a bucket's words of a shard as one text.  Each bucket is
+read as a stream that numbers its words in order of first sight: the global
+dictionary, whose buckets begin where the ones before end, so it has no gaps.  The
+numbers go back to the shards, which are renumbered.  Row sums of the matrix are
+the words of a text, the non-zeros of a row its distinct words: these decide A and
+B.  C, D and the text's SHA-256 come from the same pass over the bytes.  No word is
+hot: it counts once a shard, however often it stands there.  A task holds the words
+of one bucket; more buckets hold less each.
 
 The rest is narrow.  E compares a document with the least doc_id of its digest;
 copies may hold any share of the table, so a digest's rows are first reduced by
@@ -37,6 +41,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,6 +65,7 @@ class Params:
     distinct_percent: int = 50
     caps_percent: int = 3
     shard_bytes: int = 8_000_000
+    buckets: int | None = None  # of the dictionary; else four for each shuffle partition
     salts: int = 64
 
 
@@ -71,14 +77,30 @@ class _Numbers(dict):
         return n
 
 
-def local_csr(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts as a CSR block: vocabulary, row pointers, columns, counts."""
+def local_csr(texts: list[bytes], buckets: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts as a CSR block: vocabulary by bucket (numbered through), row pointers, columns, counts."""
     numbers, split = _Numbers(), [t.split() for t in texts]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     codes = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
-    cells, counts = np.unique((np.repeat(np.arange(len(texts)), lengths) << 32) | codes, return_counts=True)
+    words = list(numbers)
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    by_bucket = [words[i] for i in order.tolist()]
+    cells, counts = np.unique((np.repeat(np.arange(len(texts)), lengths) << 32) | place[codes], return_counts=True)
     indptr = np.searchsorted(cells, np.arange(len(texts) + 1) << 32)
-    return list(numbers), indptr, cells & 0xFFFFFFFF, counts
+    return [by_bucket[lo:hi] for lo, hi in zip(ends, ends[1:])], indptr, cells & 0xFFFFFFFF, counts
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four byte planes, the high ones nearly all zeros, which compress to nothing."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def byte_fails(texts: list[bytes], p: Params = Params()) -> np.ndarray:
@@ -95,7 +117,7 @@ def byte_fails(texts: list[bytes], p: Params = Params()) -> np.ndarray:
     return out
 
 
-_SHARD = "shard long, vocabulary array<string>, indptr array<int>, indices array<int>, counts array<int>, doc_id array<long>, part array<string>, fails array<int>, digest array<binary>"
+_SHARD = "shard long, vocabulary array<string>, indptr binary, indices binary, counts binary, doc_id array<long>, part array<string>, fails array<int>, digest array<binary>"
 
 
 def _list(values, kind: pa.DataType) -> pa.Array:
@@ -104,7 +126,7 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
 
 
-def _cut(p: Params):
+def _cut(p: Params, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = (context.partitionId() if context else 0) << 32
@@ -112,10 +134,10 @@ def _cut(p: Params):
             texts = [t or b"" for t in b.column(2).cast(pa.large_binary()).to_pylist()]
             for lo, hi in spans([len(t) for t in texts], p.shard_bytes):
                 some = texts[lo:hi]
-                vocabulary, indptr, indices, counts = local_csr(some)
+                vocabulary, indptr, indices, counts = local_csr(some, buckets)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int64()), _list(pa.array(vocabulary, pa.binary()).cast(pa.string()), pa.string()),
-                    _list(indptr.astype(np.int32), pa.int32()), _list(indices.astype(np.int32), pa.int32()), _list(counts.astype(np.int32), pa.int32()),
+                    pa.array([shard], pa.int64()), _list(pa.array([b" ".join(w) for w in vocabulary], pa.binary()).cast(pa.string()), pa.string()),
+                    *[pa.array([packed(x)], pa.binary()) for x in (indptr, indices, counts)],
                     _list(b.column(0).slice(lo, hi - lo).to_pylist(), pa.int64()), _list(b.column(1).slice(lo, hi - lo).to_pylist(), pa.string()),
                     _list(byte_fails(some, p).astype(np.int32), pa.int32()), _list([hashlib.sha256(t).digest() for t in some], pa.binary())],
                     names=[c.split()[0] for c in _SHARD.split(", ")])
@@ -126,39 +148,51 @@ def _cut(p: Params):
 
 def shards(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """docs (doc_id, lang, text) -> written CSR shards with their own vocabularies."""
+    buckets = p.buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_cut(p), _SHARD), "audit-shards")
-
-
-def dictionary(cut: DataFrame) -> DataFrame:
-    """shards() -> word, id: the distinct words of all shards, numbered from 0 without gaps.
-
-    A word's raw number is its written partition and place there; dense numbers take the sizes of the
-    partitions before (a row for each partition in one window)."""
-    words = cut.select(F.explode("vocabulary").alias("word")).distinct()
-    raw = materialize(words.select("word", F.monotonically_increasing_id().alias("raw")), "audit-words")
-    numbered = raw.select("word", F.shiftright("raw", 33).alias("slice"), F.col("raw").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    sizes = numbered.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return numbered.join(starts, "slice").select("word", (F.col("start") + F.col("place")).alias("id"))
-
-
-def renumbered(cut: DataFrame, words: DataFrame) -> DataFrame:
-    """shards() with `ids`: for each word of the shard's vocabulary its number in the dictionary.
-
-    A shard's vocabulary is bounded by its text, so gathering it for the shard is."""
-    own = cut.select("shard", F.posexplode("vocabulary").alias("at", "word"))
-    ids = own.join(words, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("x"))
-    return cut.drop("vocabulary").join(ids.select("shard", F.col("x.id").alias("ids")), "shard", "left")
+    return materialize(rows.mapInArrow(_cut(p, buckets), _SHARD), "audit-shards")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, shard, words), bucket by bucket -> with the words' numbers in their bucket, and those seen first here."""
+    numbers, now = _Numbers(), None
+    for b in batches:
+        out: list[tuple] = []
+        for bucket, shard, text in zip(*[b.column(c).to_pylist() for c in ("bucket", "shard", "words")]):
+            if bucket != now:
+                numbers, now = _Numbers(), bucket
+            words, known = text.split(" "), len(numbers)
+            ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            out.append((bucket, shard, packed(ids), known, len(numbers), " ".join([w for w, i in zip(words, ids.tolist()) if i >= known])))
+        names = ("bucket", "shard", "ids", "known", "top", "new")
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def dictionary(cut: DataFrame, keep: bool = False) -> DataFrame:
+    """shards() -> written rows bucket, shard, ids (in the bucket), start (the bucket's first number in the
+    dictionary), and with `keep` the words seen first in this row (`new`, from number start + `known` on)."""
+    own = cut.select("shard", F.posexplode("vocabulary").alias("bucket", "words")).filter("words != ''")
+    rows = own.repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket").select("bucket", "shard", "words")
+    found = rows.mapInArrow(_numbered, "bucket int, shard long, ids binary, known long, top long, new string")
+    found = materialize(found if keep else found.drop("new", "known"), "audit-dictionary")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    starts = found.groupBy("bucket").agg(F.max("top").alias("size")).select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    return found.join(starts, "bucket")
+
+
+def renumbered(cut: DataFrame, found: DataFrame) -> DataFrame:
+    """shards() with `slices`: by bucket, the dictionary's numbers of the shard's vocabulary (bounded by the shard)."""
+    slices = found.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "start", "ids"))).alias("slices"))
+    return cut.drop("vocabulary").join(slices, "shard", "left")
 
 
 def _matrix(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row i of renumbered() as CSR: row pointers, dictionary numbers, counts."""
-    get = lambda c: b.column(c)[i].values
-    local, ids = get("indices").to_numpy(), get("ids")
-    glob = ids.to_numpy()[local] if len(local) else np.zeros(0, np.int64)
-    return get("indptr").to_numpy(), glob, get("counts").to_numpy()
+    indptr, local, counts = (unpacked(b.column(c)[i].as_py()) for c in ("indptr", "indices", "counts"))
+    slices = b.column("slices")[i].as_py() or []
+    ids = np.concatenate([unpacked(s["ids"]) + s["start"] for s in slices]) if slices else np.zeros(0, np.int64)
+    return indptr, ids[local], counts
 
 
 def term_matrix(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -169,12 +203,14 @@ def term_matrix(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataF
             for i in range(b.num_rows):
                 indptr, indices, counts = _matrix(b, i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("shard").slice(i, 1), b.column("doc_id").slice(i, 1), _list(indptr, pa.int32()), _list(indices, pa.int64()), _list(counts, pa.int32())],
+                    [b.column("shard").slice(i, 1), b.column("doc_id").slice(i, 1), _list(indptr.astype(np.int32), pa.int32()), _list(indices, pa.int64()), _list(counts.astype(np.int32), pa.int32())],
                     names=["shard", "doc_id", "indptr", "indices", "counts"])
 
     cut = shards(docs, p)
-    words = materialize(dictionary(cut), "audit-dictionary")
-    return renumbered(cut, words).mapInArrow(run, "shard long, doc_id array<long>, indptr array<int>, indices array<long>, counts array<int>"), words
+    found = dictionary(cut, keep=True)
+    new = found.filter("new != ''").select((F.col("start") + F.col("known")).alias("first"), F.posexplode(F.split("new", " ")).alias("at", "word"))
+    matrix = renumbered(cut, found).mapInArrow(run, "shard long, doc_id array<long>, indptr array<int>, indices array<long>, counts array<int>")
+    return matrix, new.select("word", (F.col("first") + F.col("at")).alias("id"))
 
 
 def _judged(p: Params):
@@ -182,8 +218,8 @@ def _judged(p: Params):
         for b in batches:
             for i in range(b.num_rows):
                 indptr, indices, counts = _matrix(b, i)
-                upto = np.r_[0, np.cumsum(counts, dtype=np.int64)]
-                words, distinct = upto[indptr[1:]] - upto[indptr[:-1]], np.diff(indptr).astype(np.int64)
+                upto = np.r_[0, np.cumsum(counts)]
+                words, distinct = upto[indptr[1:]] - upto[indptr[:-1]], np.diff(indptr)
                 fails = b.column("fails")[i].values.to_numpy() | np.where(words < p.few_words, _BIT["A"], 0) | np.where(100 * distinct < p.distinct_percent * words, _BIT["B"], 0)
                 n = len(words)
                 yield pa.RecordBatch.from_arrays(
@@ -196,7 +232,7 @@ def _judged(p: Params):
 def failing(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """For each document: doc_id, part, fails (bits of the filters A to E that it fails), salt."""
     cut = shards(docs, p)
-    rows = renumbered(cut, dictionary(cut)).select("doc_id", "part", "fails", "digest", "indptr", "indices", "counts", "ids")
+    rows = renumbered(cut, dictionary(cut)).select("doc_id", "part", "fails", "digest", "indptr", "indices", "counts", "slices")
     flags = materialize(rows.mapInArrow(_judged(p), "doc_id long, part string, fails int, digest binary, salt int"), "audit-flags")
     known = with_group(flags, "digest", "salt", [F.min("doc_id").alias("least")], [F.min("least").alias("least")])
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
