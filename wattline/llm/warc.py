@@ -8,17 +8,20 @@ down: a record's headers are parsed first, and the block of an unwanted record
 is skipped (by seek where the file is not compressed), its payload neither cut
 out nor decoded nor checked.  Option payload=false skips all blocks.
 
-Writing: each task writes a file of its own; the manifest, written on commit,
+Writing: each task writes a file of its own; a job's manifest, written on commit,
 names the files that count, so what failed or repeated attempts leave behind is
-not read.  A response record holds an HTTP response with the payload; a revisit
+not read.  An append adds a manifest, and readers take the files of all; an
+overwrite takes away the manifests before it, then their files.  A response record holds an HTTP response with the payload; a revisit
 record holds its headers alone and refers to the record with the same payload.
 Every record carries the SHA-1 of its payload in base 32 and its length.
 
 Cases: null payload: empty.  Null url: empty WARC-Target-URI.  Control
 characters in urls: percent-encoded.  Null page_id: the record id ends in
 "null"; such a page is a revisit if a page with an id has the same payload, else
-a response.  Rows that repeat page_id and payload: all alike.  Empty table: an
-archive without files, an empty result.  A record that breaks off or does not
+a response.  Rows that repeat page_id and payload: all alike.  Rows that repeat
+page_id with other payloads: record ids hold the payload's SHA-1 too, so they differ
+and a reference names one payload.  Very long payloads: whole, a record is held in
+memory by one task.  Empty table: an archive without files, an empty result.  A record that breaks off or does not
 begin with WARC/: an error that names file and offset.  Extra columns are ignored.
 """
 
@@ -45,7 +48,7 @@ SCHEMA = ("record_id string, record_type string, target_uri string, date string,
           "payload_digest string, payload_bytes long, digest_ok boolean, payload binary")
 #: Column -> header that a predicate on it is checked against.
 HEADER_OF = {"record_type": b"warc-type", "record_id": b"warc-record-id", "target_uri": b"warc-target-uri", "refers_to": b"warc-refers-to", "payload_digest": b"warc-payload-digest"}
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 
 
 def digest(payload: bytes) -> str:
@@ -69,6 +72,19 @@ def _open(uri: str) -> io.BufferedReader:
     return io.BufferedReader(f.open_input_file(path), 1 << 20)
 
 
+def manifests(f, path: str) -> list[str]:
+    """Paths of the manifests in a folder, one for each job that wrote there."""
+    from pyarrow import fs
+
+    found = f.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(i.path for i in found if i.type == fs.FileType.File and i.base_name.startswith(MANIFEST))
+
+
+def files_of(f, manifest: str) -> list[dict]:
+    with f.open_input_stream(manifest) as s:
+        return json.loads(s.read())
+
+
 # ---------------------------------------------------------------- reading
 
 
@@ -211,13 +227,11 @@ class WarcReader(DataSourceReader):
         info = f.get_file_info(path)
         if info.type == fs.FileType.File:
             return [Span(self.path, 0, info.size)]
-        listed = f.get_file_info(f"{path}/{MANIFEST}")
         out: list[InputPartition] = []
-        if listed.type == fs.FileType.File:
-            with f.open_input_stream(listed.path) as s:
-                for one in json.loads(s.read()):
-                    marks = [0, *one["splits"], one["size"]]
-                    out += [Span(f"{base}/{one['name']}", a, b) for a, b in zip(marks, marks[1:])]
+        if listed := manifests(f, path):
+            for one in (x for m in listed for x in files_of(f, m)):
+                marks = [0, *one["splits"], one["size"]]
+                out += [Span(f"{base}/{one['name']}", a, b) for a, b in zip(marks, marks[1:])]
             return out or [Span("", 0, 0)]
         for one in sorted(f.get_file_info(fs.FileSelector(path)), key=lambda i: i.base_name):
             if one.type == fs.FileType.File and one.base_name.endswith((".warc", ".warc.gz")):
@@ -266,8 +280,9 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows of record_id, record_type, target_uri, payload, refers_to (by name)."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.path = options["path"].rstrip("/")
+        self.overwrite = overwrite
         self.date = options.get("date", "2024-01-01T00:00:00Z")
         self.packed = str(options.get("compression", "none")).lower() == "gzip"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 32 << 20)))
@@ -297,8 +312,12 @@ class WarcWriter(DataSourceArrowWriter):
         f, path = _fs(self.path)
         f.create_dir(path, recursive=True)
         files = [{"name": m.name, "size": m.size, "splits": m.splits} for m in messages if m is not None and m.name]
-        with f.open_output_stream(f"{path}/{MANIFEST}") as out:
+        before = manifests(f, path) if self.overwrite else []
+        with f.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(files).encode())
+        gone = [x["name"] for m in before for x in files_of(f, m)]
+        for name in [*before, *[f"{path}/{n}" for n in gone]]:  # the manifests first: a reader never meets one without its files
+            f.delete_file(name)
 
     def abort(self, messages: list) -> None:
         f, path = _fs(self.path)
@@ -319,7 +338,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -340,15 +359,15 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     again = (rows.filter(F.octet_length("payload") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1 and best is not null").select("key", "best"))
     both = rows.join(materialize(again, "warc-payloads"), "key", "left")
-    rid = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    name = lambda page: F.concat(F.lit("urn:x-page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring("key", 1, 40))
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
-    return both.select(rid.alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload",
-                       F.when(revisit, F.concat(F.lit("urn:x-page:"), F.col("best").cast("string"))).alias("refers_to"))
+    return both.select(name(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload",
+                       F.when(revisit, name(F.col("best"))).alias("refers_to"))
 
 
-def write(records_: DataFrame, path: str, **options: str) -> None:
+def write(records_: DataFrame, path: str, mode: str = "append", **options: str) -> None:
     register(records_.sparkSession)
-    records_.write.format("warc").mode("append").options(**options).save(path)
+    records_.write.format("warc").mode(mode).options(**options).save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -358,7 +377,7 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def page_of(record_id):
     """The page_id in a record id."""
-    return F.regexp_extract(record_id, r"^urn:x-page:(-?\d+)$", 1).try_cast("long")
+    return F.regexp_extract(record_id, r"^urn:x-page:(-?\d+)(?::|$)", 1).try_cast("long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
