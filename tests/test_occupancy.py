@@ -1,7 +1,10 @@
 """Occupancy, controller and timetable semantics on hand-made rows."""
 
 import datetime as dt
+import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from wattline import fixed
@@ -100,3 +103,39 @@ def test_throttle_exact_across_blocks(spark):
             want.append(T0 + dt.timedelta(seconds=s))
             last = s
     assert got == want
+
+
+def _loop(rows, cooldown):
+    out, last = [], {}
+    for room, us in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if room not in last or us - last[room] > cooldown * 1_000_000:
+            out.append((room, us))
+            last[room] = us
+    return sorted(out, key=str)
+
+
+def _throttled(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "room string, us long").select("room", F.timestamp_micros("us").alias("ts"))
+    return sorted(((r["room"], r["us"]) for r in occupancy.notification_throttle(df, **kw).select("room", F.unix_micros("notified_at").alias("us")).collect()), key=str)
+
+
+@pytest.mark.parametrize("cooldown,block,fan_in", [(2, 600, 4096), (5, 5, 3), (7, 10, 2), (60, 10, 4), (300, 600, 5)])
+def test_throttle_composed_over_levels_equals_the_loop(spark, cooldown, block, fan_in):
+    """Bursts, gaps around the cooldown, ties, times before 1970, a room without a name."""
+    rnd = random.Random(cooldown)
+    rows = []
+    for room in ("705", None, "x"):
+        t = -40_000_000
+        for _ in range(700):
+            t += rnd.choice([0, 1, 400_000, 900_000, cooldown * 1_000_000 - 1, cooldown * 1_000_000, cooldown * 1_000_000 + 1, 40_000_000])
+            rows.append((room, t))
+    assert _throttled(spark, rows, cooldown_seconds=cooldown, block_seconds=block, fan_in=fan_in) == _loop(rows, cooldown)
+
+
+def test_throttle_of_one_room_over_a_year(spark):
+    """One room, a detection every 100 s of a year: several levels, and no task holds the room."""
+    rows = [("hot", i * 100_000_000 + (i * 7919) % 50_000_000) for i in range(365 * 864)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["room", "us"])).select("room", F.timestamp_micros("us").alias("ts"))
+    got = occupancy.notification_throttle(df, 120, block_seconds=3600, fan_in=64)
+    assert sorted(r["us"] for r in got.select(F.unix_micros("notified_at").alias("us")).collect()) == sorted(us for _, us in _loop(rows, 120))
+    assert occupancy.notification_throttle(df.limit(0)).count() == 0

@@ -4,6 +4,28 @@ from tests.conftest import SF_SMALL
 from wattline.plans.catalog import QUERIES
 
 
+def _with_beat(schema):
+    from pyspark.sql import types as T
+
+    return T.StructType([*schema.fields, T.StructField("beat", T.BooleanType(), True)])
+
+
+def _beat(spark, folder, schema, at, ts="ts"):
+    """A file with one heartbeat in a landed feed."""
+    row = [at if f.name == ts else True if f.name == "beat" else None for f in _with_beat(schema).fields]
+    spark.createDataFrame([tuple(row)], _with_beat(schema)).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _closed(spark, feed, at, ts="ts"):
+    import tempfile
+
+    from wattline.streaming import ordered, streams
+
+    folder = tempfile.mkdtemp(prefix="beats-")
+    spark.createDataFrame([(at,)], "at timestamp").write.mode("append").parquet(folder)
+    return ordered.closing_beat(feed, streams.file_stream(spark, folder, "at timestamp", files_per_batch=None), ts)
+
+
 def _same(spark, a, b):
     x = QUERIES[a](spark, SF_SMALL)
     y = QUERIES[b](spark, SF_SMALL).select(*x.columns)
@@ -65,7 +87,8 @@ def test_controller_state_machine_unsorted_chunks(spark):
 
     path = tempfile.mkdtemp(prefix="ticks-")
     ticks.repartition(3).write.mode("overwrite").parquet(path)
-    got = streams.run_until_caught_up(streams.stream_light_decision(streams.file_stream(spark, path, ticks.schema, files_per_batch=None)), "t")
+    feed = _closed(spark, streams.file_stream(spark, path, ticks.schema, files_per_batch=None), t0 + dt.timedelta(hours=1), "tick_ts")
+    got = streams.run_until_caught_up(streams.stream_light_decision(feed), "t")
     got = {r["frame_ts"]: (r["mode"], r["countdown"]) for r in got.collect()}
     assert got[t0] == ("PERSON", 0)
     assert got[t0 + dt.timedelta(minutes=1)] == ("PERSON", 240)
@@ -99,7 +122,9 @@ def test_state_carries_across_micro_batches(spark, tmp_path):
     b = occupancy.occupancy_sessions(df.withColumn("frame_ts", F.date_trunc("minute", "ts"))).drop("session_no")
     assert s.exceptAll(b.select(*s.columns)).count() == 0 and b.select(*s.columns).exceptAll(s).count() == 0
 
-    th = streams.run_until_caught_up(streams.stream_throttle(feed()), "th")
+    time.sleep(1.1)                       # the closing beat lands last
+    _beat(spark, land, df.schema, t0 + dt.timedelta(hours=1))
+    th = streams.run_until_caught_up(streams.stream_throttle(streams.file_stream(spark, land, _with_beat(df.schema), files_per_batch=1)), "th")
     tb = occupancy.notification_throttle(df)
     assert th.exceptAll(tb).count() == 0 and tb.exceptAll(th).count() == 0
 

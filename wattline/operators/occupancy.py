@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import exact
+from ..session import written
 from . import scans
 
 GONE_US = fixed.PERSON_GONE_SECONDS * 1_000_000
@@ -151,46 +152,85 @@ def _greedy(xs: Column, start: Column, cd: int) -> Column:
     )
 
 
-def _pick_blocks(cd: int):
-    """The candidate each block of a room really starts with, from the block records in time order."""
+# A block's (or a stretch of blocks') effect on the throttle, as a function of the last emission
+# before it: ``head`` holds the detections that can be its first emission, ``outs`` the last emission
+# after it for each of these; with no such detection the last emission stays.
+
+def _after(last, head: np.ndarray, outs: np.ndarray, cd: int):
+    """The function's value; ``last`` None: nothing emitted yet."""
+    j = 0 if last is None else int(np.searchsorted(head, last + cd, side="right"))
+    return int(outs[j]) if j < len(head) else last
+
+
+def _composed(cd: int, width: int):
+    """Functions of consecutive blocks (``width`` microseconds each) of one stretch -> the stretch's."""
+    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk")
+        heads, outs = [np.asarray(x) for x in pdf["head"]], [np.asarray(x) for x in pdf["outs"]]
+        head, at = heads[0], outs[0].astype(np.int64)
+        if len(heads) > 1 and head[-1] < int(pdf["blk"].iloc[0]) * width + cd:
+            # all of the first block may lie within the cooldown; then the second block's first one is emitted
+            head, at = np.append(head, heads[1][0]), np.append(at, np.iinfo(np.int64).min // 2)
+        for h, o in zip(heads[1:], outs[1:]):
+            j = np.searchsorted(h, at + cd, side="right")
+            at = np.where(j < len(h), o[np.minimum(j, len(h) - 1)], at)
+        return pd.DataFrame({"k": [key[0]], "blk": [key[1]], "head": [head.tolist()], "outs": [at.tolist()]})
+    return fn
+
+
+def _starts(cd: int):
+    """For consecutive blocks: the last emission before each, from that before the first (``given``)."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, picks = None, []
-        for blk, head, outs in pdf.sort_values("_blk")[["_blk", "head", "outs"]].itertuples(index=False):
-            j = 0 if last is None else int(np.searchsorted(head, last + cd, side="right"))
-            if j < len(head):
-                picks.append((blk, j + 1))
-                last = int(outs[j])
-        return pd.DataFrame({"room": pdf["room"].iloc[0], "_blk": [p[0] for p in picks], "j": [p[1] for p in picks]})
+        pdf = pdf.sort_values("blk")
+        last = pdf["given"].iloc[0]
+        last, before = None if pd.isna(last) else int(last), []
+        for head, outs in zip(pdf["head"], pdf["outs"]):
+            before.append(last)
+            last = _after(last, np.asarray(head), np.asarray(outs), cd)
+        return pd.DataFrame({"k": pdf["k"], "blk": pdf["blk"], "given": pd.array(before, dtype="Int64")})
     return fn
 
 
 def notification_throttle(person_det: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS,
-                          block_seconds: int = 600) -> DataFrame:
+                          block_seconds: int = 600, fan_in: int = 4096) -> DataFrame:
     """At most one notification per ``cooldown`` while persons are seen —
     greedy, measured from the last *emitted* time, strictly greater.
 
-    Exact and bounded for any detection rate.  Detections are grouped per
-    (room, time block of ``block_seconds``): a block holds at most the
-    detections of that room in that span.  The previous emission lies before
-    the block, so the block's first emission is one of its first detections
-    (those less than ``cooldown`` after the block start, plus one): for each
-    such candidate the block's greedy outcome (its last emission) is computed.
-    A linear pass over a room's blocks (one small record per block: bounded by
-    the time span, not by the data volume) picks the actual candidate of every
-    block, and a last per-block fold emits the notifications."""
+    Exact and bounded for any detection rate and any time span.  Detections are
+    grouped per (room, block of ``block_seconds``, at least the cooldown).  The
+    previous emission lies before the block, so the block's first emission is one
+    of its first detections (those less than the cooldown after the block start, plus
+    one): for each such candidate the block's greedy outcome (its last emission) is
+    computed.  That makes a block a small function of the last emission before it,
+    and functions of consecutive blocks compose to one of the same size: ``fan_in``
+    blocks at a time are composed, level by level, until a room has no more than
+    that; then the last emission before each stretch is handed down the same way,
+    and a per-block fold emits.  No task ever holds more than ``fan_in`` small
+    records of a room.  A null room is a room of its own."""
     cd = cooldown_seconds * 1_000_000
-    bl = block_seconds * 1_000_000
-    d = person_det.select("room", F.unix_micros("ts").alias("_us"))
-    d = d.withColumn("_blk", ((F.col("_us") - F.col("_us") % bl) / bl).cast("long"))
-    blocks = d.groupBy("room", "_blk").agg(F.sort_array(F.collect_list("_us")).alias("xs"))
-    start = F.col("_blk") * bl
-    n_head = F.least(F.size("xs"), F.size(F.filter("xs", lambda x: x < start + cd)) + 1)
-    cands = blocks.select(
-        "room", "_blk",
-        F.slice("xs", 1, n_head).alias("head"),
+    bl = max(block_seconds, cooldown_seconds) * 1_000_000
+    key = F.coalesce(F.concat(F.lit("="), F.col("room").cast("string")), F.lit(""))
+    d = person_det.where("ts IS NOT NULL").select(key.alias("k"), F.unix_micros("ts").alias("us"))
+    d = d.withColumn("blk", ((F.col("us") - F.pmod("us", F.lit(bl))) / bl).cast("long"))
+    blocks = d.groupBy("k", "blk").agg(F.sort_array(F.collect_list("us")).alias("xs"))
+    n_head = F.least(F.size("xs"), F.size(F.filter("xs", lambda x: x < F.col("blk") * bl + cd)) + 1)
+    leaves = written(blocks.select(
+        "k", "blk", "xs", F.slice("xs", 1, n_head).alias("head"),
         F.transform(F.sequence(F.lit(1), n_head), lambda j: _greedy(F.col("xs"), j, cd)["last"]).alias("outs"),
-    )
-    # per room, over its blocks in time order: choose each block's first emission
-    picks = cands.groupBy("room").applyInPandas(_pick_blocks(cd), "room string, _blk long, j int")
-    emitted = blocks.join(picks, ["room", "_blk"]).select("room", F.explode(_greedy(F.col("xs"), F.col("j"), cd)["out"]).alias("_us"))
-    return emitted.select("room", F.timestamp_micros("_us").alias("notified_at"))
+    ), "throttle-blocks")
+    levels, width = [leaves.select("k", "blk", "head", "outs")], bl
+    up = ((F.col("blk") - F.pmod("blk", F.lit(fan_in))) / fan_in).cast("long")
+    while (levels[-1].groupBy("k").count().agg(F.max("count")).first()[0] or 0) > fan_in:
+        group = levels[-1].withColumn("up", up).groupBy("k", "up")
+        levels.append(written(group.applyInPandas(_composed(cd, width), "k string, blk long, head array<long>, outs array<long>"), "throttle-level"))
+        width *= fan_in
+    given = levels.pop().withColumn("given", F.lit(None).cast("long")).groupBy("k").applyInPandas(_starts(cd), "k string, blk long, given long")
+    while levels:
+        lower = levels.pop().withColumn("up", up).join(given.withColumnRenamed("blk", "up"), ["k", "up"])
+        given = lower.groupBy("k", "up").applyInPandas(_starts(cd), "k string, blk long, given long")
+    first = F.size(F.filter("head", lambda x: x <= F.col("given") + cd)) + 1
+    j = F.when(F.col("given").isNull(), F.lit(1)).otherwise(first)
+    emits = leaves.join(given, ["k", "blk"]).withColumn("j", j).where(F.col("j") <= F.size("head"))
+    times = emits.select("k", F.explode(_greedy(F.col("xs"), F.col("j"), cd)["out"]).alias("us"))
+    room = F.when(F.col("k") != "", F.substring("k", 2, 1 << 30))
+    return times.select(room.alias("room"), F.timestamp_micros("us").alias("notified_at"))

@@ -17,7 +17,7 @@ from ..functions import exact, scalars
 from ..operators import features, models, occupancy, predict, profile, rollups, rules, schedule, tariff
 from ..session import prepare
 from ..sources import ingest, payload, sinks, tables
-from ..streaming import streams
+from ..streaming import ordered, streams
 from .present import present
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -597,9 +597,20 @@ def _stream_sessions(spark, sf_dir):
     return streams.run_until_caught_up(s, "sessions", output_mode="complete")
 
 
+def _closed(spark, feed, last, ts="ts"):
+    """A replayed feed with a closing beat a day after ``last``, so its last rows come due too."""
+    beats = _landed(spark.range(1).select((last + F.expr("interval 1 day")).alias("at")), "beats")
+    return ordered.closing_beat(feed, streams.file_stream(spark, beats, "at timestamp", files_per_batch=None), ts)
+
+
+def _last_event(spark, sf_dir):
+    return tables.as_of(tables.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts")))
+
+
 @query("stream_throttle")
 def _stream_throttle(spark, sf_dir):
-    return streams.run_until_caught_up(streams.stream_throttle(_persons_stream(spark, sf_dir)), "throttle")
+    feed = _closed(spark, _persons_stream(spark, sf_dir), _last_event(spark, sf_dir))
+    return streams.run_until_caught_up(streams.stream_throttle(feed), "throttle")
 
 
 @query("stream_status_downsample")
@@ -612,7 +623,8 @@ def _stream_status_downsample(spark, sf_dir):
         F.when(i % 17 == 0, F.lit("Disconnected")).otherwise(F.lit("Connected")).alias("cloud_status"),
         F.when(i % 23 == 0, F.lit("Unknown")).when(i % 19 == 0, F.lit("Failed")).otherwise(F.lit("OK")).alias("sd_card_status"),
     )
-    return streams.run_until_caught_up(streams.stream_status_downsample(status), "status")
+    feed = _closed(spark, status, _last_event(spark, sf_dir))
+    return streams.run_until_caught_up(streams.stream_status_downsample(feed), "status")
 
 
 def _landed(df, name, fmt="parquet"):
@@ -633,7 +645,9 @@ def _stream_light_decision(spark, sf_dir):
     ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts").select(
         "room", "frame_ts", "tick_ts", "persons", "in_class", "class_event")
     path = _landed(ticks, "ticks")
-    feed = streams.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=None)  # a replay
+    landed = spark.read.parquet(path)
+    feed = streams.file_stream(spark, path, landed.schema, files_per_batch=None)  # a replay
+    feed = _closed(spark, feed, tables.as_of(landed, "tick_ts"), "tick_ts")
     return streams.run_until_caught_up(streams.stream_light_decision(feed), "light")
 
 

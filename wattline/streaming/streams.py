@@ -10,7 +10,8 @@ variables; here the same work is a streaming query per operator:
 * T4  presence sessions with ``session_window`` (gap just under 300 s, so a
       detection exactly 300 s later starts a new session, as in the batch form);
 * T5  the light controller, T6 the notification throttle, T7 every-10th
-      status poll: per-room state machines with ``applyInPandasWithState``.
+      status poll: per-room state machines over events in time order
+      (``streaming.ordered``), whatever order the feed delivers them in.
 
 ``run_until_caught_up`` drives any of them with ``trigger(availableNow=True)``
 into parquet under the session's shared checkpoint folder and hands the result
@@ -23,18 +24,18 @@ final even for windows still open when the input ends.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed
 from ..functions import exact
 from ..session import checkpoint_dir
 from ..sources.payload import parse_payload
+from .ordered import STATE_STORE, Machine, run_in_order
 
 WATERMARK = "10 minutes"
 
@@ -43,12 +44,17 @@ def run_until_caught_up(sdf: DataFrame, name: str, keys: list[str] | None = None
                         output_mode: str = "append") -> DataFrame:
     """Process everything available, then return the sink as a batch DataFrame.
 
+    The query keeps its state in RocksDB (the ordered state machines need it).
+
     ``keys``: update mode, the latest row per key wins.  ``output_mode``
     "complete": each micro-batch holds the whole result, the last one counts."""
     spark = sdf.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     data, chk = f"{base}/data", f"{base}/chk"
     numbered = keys is not None or output_mode == "complete"
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k in before:
+        spark.conf.set(k, STATE_STORE[k])
     if not numbered:
         q = (sdf.writeStream.format("parquet").option("path", data).option("checkpointLocation", chk)
              .outputMode(output_mode).trigger(availableNow=True).start())
@@ -58,6 +64,8 @@ def run_until_caught_up(sdf: DataFrame, name: str, keys: list[str] | None = None
 
         q = (sdf.writeStream.foreachBatch(upsert).option("checkpointLocation", chk)
              .outputMode("complete" if output_mode == "complete" else "update").trigger(availableNow=True).start())
+    for k, v in before.items():            # the started query has its own copy of the settings
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     if not _exists(spark, data):           # the input had nothing: no micro-batch ran
         out = spark.createDataFrame([], _sink_schema(sdf, numbered))
@@ -104,11 +112,10 @@ def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
     """A landed feed as a stream, ``files_per_batch`` files per micro-batch
     (``None``: everything landed so far in one micro-batch).
 
-    The per-room state machines (T5-T7) need each room's events in time order
-    across micro-batches, and the watermarked aggregations (T1, T2) rows no older
-    than the watermark, as a live device or camera feed delivers them; files
-    written in parallel have no such order, so a replay of landed history is
-    read as one micro-batch (each function sorts within its batch)."""
+    The watermarked aggregations (T1, T2) and the ordered state machines (T5-T7)
+    take rows in any order that is no later than the watermark, as a live device or
+    camera feed delivers them.  Files written in parallel over a long history have
+    no order at all, so a replay of them is read as one micro-batch."""
     r = spark.readStream.format(fmt).schema(schema)
     if files_per_batch is not None:
         r = r.option("maxFilesPerTrigger", files_per_batch)
@@ -186,98 +193,117 @@ def stream_sessions(persons: DataFrame, watermark: str = WATERMARK) -> DataFrame
     return g.select("room", "session_start", "session_end", "n_detections")
 
 
-# --- T5 / T6 / T7: per-room state machines ----------------------------------------
+# --- T5 / T6 / T7: per-room state machines, in event-time order -----------------------
+
+class Throttle(Machine):
+    """state = last emitted time, forgotten once the cooldown is over."""
+
+    output = "room string, notified_us long"
 
-def _throttle(cooldown_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        xs = np.sort(np.concatenate([p["_us"].to_numpy(dtype="int64") for p in pdfs]))
+    def __init__(self, cooldown_us: int):
+        self.cooldown_us = cooldown_us
+
+    def start(self) -> dict[str, Any]:
+        return {"last": None}
+
+    def step(self, room, state, rows):
+        xs, last = rows["us"].to_numpy(np.int64), state["last"]
         out = []
-        i = 0 if last is None else int(np.searchsorted(xs, last + cooldown_us, side="right"))
+        i = 0 if last is None else int(np.searchsorted(xs, last + self.cooldown_us, side="right"))
         while i < len(xs):                 # a step per emission: the next detection after the cooldown
-            last = int(xs[i])
-            out.append(last)
-            i = int(np.searchsorted(xs, last + cooldown_us, side="right"))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"room": [key[0]] * len(out), "notified_us": pd.Series(out, dtype="int64")})
-    return fn
-
-
-def stream_throttle(persons: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS) -> DataFrame:
-    """At most one notification per cooldown per room, state = last emitted time.
-
-    A detection that arrives late, at or before the last emission's cooldown, notifies nobody."""
-    out = persons.select("room", F.unix_micros("ts").alias("_us")).groupBy("room").applyInPandasWithState(
-        _throttle(cooldown_seconds * 1_000_000), "room string, notified_us long", "last_us long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+            out.append(int(xs[i]))
+            i = int(np.searchsorted(xs, out[-1] + self.cooldown_us, side="right"))
+        if out:
+            state["last"] = out[-1]
+        return pd.DataFrame({"room": pd.Series([room] * len(out), dtype=object), "notified_us": pd.Series(out, dtype="int64")})
+
+    def expires(self, state):
+        return 0 if state["last"] is None else state["last"] + self.cooldown_us
+
+
+def stream_throttle(persons: DataFrame, cooldown_seconds: int = fixed.NOTIFY_COOLDOWN_SECONDS,
+                    watermark: str = WATERMARK) -> DataFrame:
+    """At most one notification per cooldown per room, over ``persons`` (room, ts) in time order."""
+    out = run_in_order(persons, Throttle(cooldown_seconds * 1_000_000), "ts", watermark)
     return out.select("room", F.timestamp_micros("notified_us").alias("notified_at"))
 
 
-def _every_nth(n_every: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "id"], kind="stable").reset_index(drop=True)
-        poll_no = seen + np.arange(1, len(pdf) + 1, dtype="int64")
-        state.update((int(seen + len(pdf)),))
-        keep = pdf.assign(poll_no=poll_no)[poll_no % n_every == 0]
-        yield keep[["room", "id", "_us", "wifi_status", "cloud_status", "sd_card_status", "poll_no"]]
-    return fn
-
-
-def stream_status_downsample(status: DataFrame, every: int = fixed.STATUS_EVERY_N_POLLS) -> DataFrame:
-    """Keep every ``every``-th status poll per device (state = polls seen)."""
-    s = status.select("room", "id", F.unix_micros("ts").alias("_us"), "wifi_status", "cloud_status", "sd_card_status")
-    out = s.groupBy("room").applyInPandasWithState(
-        _every_nth(every),
-        "room string, id long, _us long, wifi_status string, cloud_status string, sd_card_status string, poll_no long",
-        "seen long", "append", GroupStateTimeout.NoTimeout,
-    )
-    return out.select("room", "id", F.timestamp_micros("_us").alias("ts"), "wifi_status", "cloud_status",
+class EveryNth(Machine):
+    """state = polls seen (kept as long as the stream runs: the numbering goes on)."""
+
+    columns = ("id", "wifi_status", "cloud_status", "sd_card_status")
+    ties = ("id",)
+    output = "room string, id long, us long, wifi_status string, cloud_status string, sd_card_status string, poll_no long"
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def start(self) -> dict[str, Any]:
+        return {"seen": 0}
+
+    def step(self, room, state, rows):
+        poll_no = state["seen"] + np.arange(1, len(rows) + 1, dtype="int64")
+        state["seen"] += len(rows)
+        keep = rows.assign(room=pd.Series([room] * len(rows), dtype=object), poll_no=poll_no)[poll_no % self.every == 0]
+        return keep[["room", "id", "us", "wifi_status", "cloud_status", "sd_card_status", "poll_no"]]
+
+
+def stream_status_downsample(status: DataFrame, every: int = fixed.STATUS_EVERY_N_POLLS,
+                             watermark: str = WATERMARK) -> DataFrame:
+    """Keep every ``every``-th status poll per device, polls in order of (ts, id)."""
+    out = run_in_order(status, EveryNth(every), "ts", watermark)
+    return out.select("room", "id", F.timestamp_micros("us").alias("ts"), "wifi_status", "cloud_status",
                       "sd_card_status", "poll_no")
 
 
 _NEVER = np.iinfo(np.int64).min // 4
 
 
-def _controller(gone_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, on, latest = state.get if state.exists else (None, False, None)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("_tick_us", kind="stable").reset_index(drop=True)
-        if latest is not None:                # a tick before those decided is late: it changes nothing
-            pdf = pdf[pdf["_tick_us"] > latest].reset_index(drop=True)
-        if not len(pdf):
-            return
-        t, now, in_class = pdf["_tick_us"].to_numpy(np.int64), pdf["persons"].to_numpy() > 0, pdf["in_class"].to_numpy(bool)
+class Controller(Machine):
+    """T5: state = last time a person was seen, and whether the light is on; forgotten when
+    the light is off and nobody was seen for the person-gone time."""
+
+    columns = ("frame_ts", "persons", "in_class", "class_event")
+    ties = ("frame_ts",)
+    output = ("room string, frame_ts timestamp, us long, in_class boolean, mode string, event string, "
+              "countdown long, command string")
+
+    def __init__(self, gone_us: int):
+        self.gone_us = gone_us
+
+    def start(self) -> dict[str, Any]:
+        return {"last": None, "on": False}
+
+    def step(self, room, state, rows):
+        last = state["last"]
+        t, now, in_class = rows["us"].to_numpy(np.int64), rows["persons"].to_numpy() > 0, rows["in_class"].to_numpy(bool)
         seen = np.maximum.accumulate(np.maximum(np.where(now, t, _NEVER), _NEVER if last is None else last))
-        left = gone_us - (t - seen)
+        left = self.gone_us - (t - seen)
         waits = ~now & (seen > _NEVER) & (left > 0)
         cd = np.where(waits, left // 1_000_000, 0)
         person = now | waits
         mode = np.where(in_class, "SCHEDULE", np.where(person, "PERSON", "OFF")).astype(object)
         text = np.where(now, "Person detected", np.where(waits, ["Person left — OFF in %ds" % c for c in cd], "No class, no person")).astype(object)
-        event = np.where(in_class, "Class: " + pdf["class_event"].fillna("").astype(object), text)
+        event = np.where(in_class, "Class: " + rows["class_event"].fillna("").astype(object), text)
         want = in_class | person
-        changed = want != np.r_[on, want[:-1]]
+        changed = want != np.r_[state["on"], want[:-1]]
         command = np.where(changed, np.where(want, "ON", "OFF"), None)
-        state.update((None if seen[-1] == _NEVER else int(seen[-1]), bool(want[-1]), int(t[-1])))
-        yield pdf.assign(mode=mode, event=event, countdown=np.where(person & ~in_class, cd, 0).astype(np.int64), command=command)[
-            ["room", "frame_ts", "_tick_us", "in_class", "mode", "event", "countdown", "command"]]
-    return fn
+        state["last"], state["on"] = None if seen[-1] == _NEVER else int(seen[-1]), bool(want[-1])
+        return rows.assign(room=pd.Series([room] * len(rows), dtype=object), mode=mode, event=event,
+                           countdown=np.where(person & ~in_class, cd, 0).astype(np.int64), command=command)[
+            ["room", "frame_ts", "us", "in_class", "mode", "event", "countdown", "command"]]
 
+    def expires(self, state):
+        if state["on"]:
+            return None
+        return 0 if state["last"] is None else state["last"] + self.gone_us
 
-def stream_light_decision(ticks: DataFrame) -> DataFrame:
-    """T5: SCHEDULE > PERSON > OFF per tick with the last-seen time and the
-    light state carried in per-room state; ``command`` is set where W5 emits.
+
+def stream_light_decision(ticks: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """T5: SCHEDULE > PERSON > OFF per tick, ticks in time order, with the last-seen time and
+    the light state carried in per-room state; ``command`` is set where W5 emits.
 
     ``ticks``: room, frame_ts, tick_ts, persons, in_class, class_event."""
-    t = ticks.select("room", "frame_ts", F.unix_micros("tick_ts").alias("_tick_us"), "persons", "in_class", "class_event")
-    out = t.groupBy("room").applyInPandasWithState(
-        _controller(fixed.PERSON_GONE_SECONDS * 1_000_000),
-        "room string, frame_ts timestamp, _tick_us long, in_class boolean, mode string, event string, "
-        "countdown long, command string",
-        "last_us long, light_on boolean, tick_us long", "append", GroupStateTimeout.NoTimeout,
-    )
-    return out.select("room", "frame_ts", F.timestamp_micros("_tick_us").alias("tick_ts"), "in_class", "mode",
+    out = run_in_order(ticks, Controller(fixed.PERSON_GONE_SECONDS * 1_000_000), "tick_ts", watermark)
+    return out.select("room", "frame_ts", F.timestamp_micros("us").alias("tick_ts"), "in_class", "mode",
                       "event", "countdown", "command")
