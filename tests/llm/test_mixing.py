@@ -63,3 +63,28 @@ def test_empty_and_wordless(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_no_shuffle_of_documents_by_source_alone(spark):
+    """Without broadcasts too, documents meet by (source, block); blocks and sources alone go by source."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = mixing.sized(spark.createDataFrame(ROWS, SCHEMA))
+        plan = mixing.placed(rows, mixing.Params(block_rows=20))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    tree = plan.split("== Initial Plan ==")[-1]
+    wide = [line for line in tree.splitlines() if "hashpartitioning(skey" in line and ", block" in line.split("hashpartitioning(")[1].split(")")[0]]
+    assert wide, plan
+    scan = [i for i, line in enumerate(tree.splitlines()) if "place#" in line and "FileScan" in line]
+    lines = tree.splitlines()
+    for i in scan:  # the first exchange above the documents' scan
+        above = next(line for line in reversed(lines[:i]) if "Exchange" in line)
+        assert "hashpartitioning(skey" in above and "block" in above, plan
+
+
+def test_null_ids_are_placed_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"word {i}" + " x" * i, "a", "x") for i in range(50)], SCHEMA)
+    places = {r["place"] for r in mixing.sized(docs).collect()}
+    assert len(places) == 50

@@ -13,15 +13,17 @@ words, and the excess is shared out anew by weight until none is above.  That
 fixed point is found in closed form: sources sorted by words per weight, the
 first of them are full.
 
-Running totals of a source do not pass through one task: documents fall into
-blocks of a source by hash range (`block_rows` a block on average), block
-totals are summed up first, then each block by itself.  Only the number of
-blocks of a source and its totals (a row for each block or source) are small.
+Running totals of a source do not pass through one task: the hash range is cut
+into equal blocks, `blocks_a_partition` for each shuffle partition at least and no
+more than `block_rows` documents of the whole table each on average, and documents
+are shuffled by (source, block).  Block totals are summed up first, then
+each block by itself; a source's target joins its blocks, not its documents, so no
+shuffle of documents goes by source alone.
 
 Cases: null text, empty text: size 0, taken 0.  Null source: a source of its
-own, last.  Null doc_id: sorts first among equal hashes.  Repeated rows: each
-is a document.  No words at all: targets 0.  Empty table: empty result.
-Extra columns are ignored.
+own, last.  Null doc_id: placed by the hash of its text.  Repeated rows: each
+is a document.  Very long texts: whole; one is in service as any other.  No words
+at all: targets 0.  Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ class Params:
     budget: float = 1.5
     epochs: int = 2
     seed: str = "mix"
-    block_rows: int = 1_000
+    block_rows: int = 100_000
+    blocks_a_partition: int = 4
 
 
 def n_words(text: Column) -> Column:
@@ -69,7 +72,8 @@ def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
 
 def sized(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Narrow rows of docs (doc_id, source, text), written once: doc_id, skey, size, place (the shuffle's key)."""
-    place = F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    place = F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5(text))).cast("binary"))
     source = F.col("source").cast("string")
     skey = F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))  # a key that is never null
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), skey.alias("skey"), n_words(F.col("text").cast("string")).alias("size"), place.alias("place")), "mix-sizes")
@@ -77,17 +81,17 @@ def sized(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def placed(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """sized() rows -> doc_id, skey, size, source_size, target, first (words of its source before it)."""
-    sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    sizes = sizes.withColumn("source", F.when(F.col("skey") != "", F.substring("skey", 2, 1 << 30)))
-    t = targets(sizes, p).select("skey", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / p.block_rows)).alias("n_blocks"))
+    n_blocks = max(p.blocks_a_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // p.block_rows))
     share = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
-    keyed = rows.join(t, "skey").withColumn("block", F.shiftright(share * F.col("n_blocks"), 32))
+    keyed = rows.withColumn("block", F.shiftright(share * F.lit(n_blocks), 32))
+    blocks = materialize(keyed.groupBy("skey", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
+    sizes = blocks.groupBy("skey").agg(F.sum("block_size").alias("source_size"))
+    t = targets(sizes.withColumn("source", F.when(F.col("skey") != "", F.substring("skey", 2, 1 << 30))), p).select("skey", "source_size", "target")
     upto = Window.partitionBy("skey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = keyed.groupBy("skey", "block").agg(F.sum("size").alias("block_size"))
-    blocks = blocks.select("skey", "block", F.coalesce(F.sum("block_size").over(upto), F.lit(0)).alias("block_start"))
+    starts = blocks.select("skey", "block", F.coalesce(F.sum("block_size").over(upto), F.lit(0)).alias("block_start")).join(t, "skey")
     inside = Window.partitionBy("skey", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("block_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return keyed.join(blocks, ["skey", "block"]).withColumn("first", first).select("doc_id", "skey", "size", "source_size", "target", "first")
+    return keyed.join(starts, ["skey", "block"]).withColumn("first", first).select("doc_id", "skey", "size", "source_size", "target", "first")
 
 
 def served_words(copy: int | Column) -> Column:

@@ -4,7 +4,7 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["op3_weighted_mix"] = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS varchar), '')) AS place,
+  SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS varchar), md5(coalesce(text, '')))) AS place,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s AS (
