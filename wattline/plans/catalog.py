@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exact, scalars
 from ..operators import features, models, occupancy, predict, profile, rollups, rules, schedule, tariff
 from ..session import prepare
-from ..sources import ingest, payload, sinks, tables
+from ..sources import ingest, log, payload, sinks, tables
 from ..streaming import ordered, streams
 from .present import present
 
@@ -445,6 +445,58 @@ def _retain_since(spark, sf_dir):
     return sinks.retain_since(r, keep_days=14).select("id", "ts", "room", "power")
 
 
+def _stored(spark, name):
+    """A new folder for a table of the stored log, in the shared checkpoint folder."""
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/log/{name}-{uuid.uuid4().hex}"
+
+
+@query("append_log")
+def _append_log(spark, sf_dir):
+    """The import file appended in two overlapping parts, then once more, then again as a
+    replayed batch: the log has one row per (second, room), the first of the file."""
+    rows = ingest.parse_import(ingest.import_text(spark, sf_dir))
+    path = _stored(spark, "append")
+    half = rows.agg((F.max("line_no") / 2).alias("h")).first()["h"]
+    log.append_unique(rows.where(F.col("line_no") <= half), path, ["line_no"], "part-0")
+    for batch in ("part-1", "part-2", "part-2"):
+        log.append_unique(rows, path, ["line_no"], batch)
+    return spark.read.parquet(path).drop("line_no", "date")
+
+
+def _stored_readings(spark, sf_dir):
+    """The readings (energy as metered between readings) as a stored log, one row per (second, room)."""
+    r = tables.readings(spark, sf_dir, with_counter=False)
+    path = _stored(spark, "readings")
+    log.append_unique(r.select("id", *sinks.EXPORT_COLUMNS), path, ["id"])
+    return path, r.agg(F.max("ts").alias("t")).first()["t"]
+
+
+@query("export_days")
+def _export_days(spark, sf_dir):
+    """S7/K6 on the stored log: the last 3 days of every room, their partitions alone, with the carried counter."""
+    path, now = _stored_readings(spark, sf_dir)
+    carry = _stored(spark, "carry")
+    log.refresh_carry(spark, path, carry)
+    return log.export_days(spark, path, carry, now, days=3)
+
+
+@query("retain_tables")
+def _retain_tables(spark, sf_dir):
+    """Energy log, device status and person events, 14 days kept before the newest reading."""
+    ev = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    parts = {"energy_log": ev, "device_status": ev.where("id % 10 = 0"), "person_events": ev.where("event_type = 'view'")}
+    paths = {}
+    for name, df in parts.items():
+        paths[name] = _stored(spark, name)
+        df.withColumn("date", F.to_date("ts")).write.partitionBy("date").parquet(paths[name])
+    log.retain(spark, list(paths.values()), ev.agg(F.max("ts").alias("t")).first()["t"], keep_days=14)
+    return log.rows_by_table(spark, paths)
+
+
 @query("filter_time_range")
 def _filter_time_range(spark, sf_dir):
     """Every room's readings on the last calendar day of the log (half-open day)."""

@@ -613,6 +613,9 @@ SELECT count(*) FILTER (WHERE ts IS NOT NULL) AS processed, count(*) FILTER (WHE
        (SELECT count(*) FROM imp_first) AS unique_in_file, (SELECT count(*) FROM imp_new) AS added
 FROM imp_parsed"""))
 
+oracle("append_log", with_import("""
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, room, voltage, current, power, energy_kwh, light_state FROM imp_first"""))
+
 _PAYLOAD = r"""
 pl AS (
   SELECT id, room, concat_ws(chr(10),
@@ -663,6 +666,19 @@ oracle("retain_since", with_readings(f"""
 SELECT id, {sql_ts('ts')} AS ts, room, power
 FROM readings_base WHERE ts >= (SELECT max(ts) FROM readings_base) - INTERVAL 14 DAY"""))
 
+oracle("export_days", with_readings(f"""
+SELECT {sql_ts('ts')} AS ts, room, voltage, current, power, (run / 100000000)::DOUBLE AS energy_kwh, light_state
+FROM (SELECT *, (sum(round(energy_kwh * 100000000)::BIGINT) OVER (PARTITION BY room ORDER BY ts))::DOUBLE AS run
+      FROM (SELECT * FROM readings_base QUALIFY row_number() OVER (PARTITION BY room, date_trunc('second', ts) ORDER BY id) = 1))
+WHERE ts >= (SELECT max(ts) FROM readings_base) - INTERVAL 3 DAY"""))
+
+oracle("retain_tables", with_readings(f"""
+SELECT t."table", id, {sql_ts('ts')} AS ts
+FROM readings_base, (VALUES ('energy_log'), ('device_status'), ('person_events')) t("table")
+WHERE ts >= (SELECT max(ts) FROM readings_base) - INTERVAL 14 DAY
+  AND (t."table" = 'energy_log' OR (t."table" = 'device_status' AND id % 10 = 0)
+       OR (t."table" = 'person_events' AND event_type = 'view'))"""))
+
 oracle("filter_time_range", with_readings(f"""
 SELECT id, {sql_ts('ts')} AS ts, room, power FROM readings_base
 WHERE ts >= CAST(CAST((SELECT max(ts) FROM readings_base) AS DATE) AS TIMESTAMP)
