@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -72,3 +73,35 @@ def test_segmented_sessions_equal_plain_windows(spark):
         a = {r["id"]: (r["p"], r["g"]) for r in ref.collect()}
         b = {r["id"]: (r["prev_t"], r["group_no"]) for r in got.collect()}
         assert a == b
+
+
+@pytest.mark.parametrize("name,most", [
+    ("occupancy_edges", 4), ("detection_changes", 6), ("occupancy_sessions", 4), ("last_seen_asof", 4), ("light_decision", 6),
+    ("light_commands", 9), ("hourly_rollup", 4), ("day_summary", 4), ("latest_reading", 4), ("rolling_last_60", 4), ("downsample_status", 3)])
+def test_scans_read_their_input_once(spark, name, most):
+    """No broadcasts: one scan of the log, and both levels of each segmented scan read one shuffle of the rows."""
+    from tests.conftest import SF_SMALL
+    from wattline.plans.catalog import QUERIES
+
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, SF_SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert plan.count("FileScan") == 1, plan
+    assert plan.count("- Exchange") <= most, plan
+    assert plan.count("ReusedExchange") == (2 if name == "light_commands" else 1), plan
+
+
+def test_last_seen_in_frames_equals_the_union_of_ticks_and_detections(spark):
+    from tests.conftest import SF_SMALL
+    from wattline.operators import occupancy
+    from wattline.sources import tables
+
+    det = tables.detections(spark, SF_SMALL)
+    a = occupancy.last_seen_in_frames(occupancy.frames_with_last_person(det))
+    b = occupancy.last_seen(occupancy.frame_occupancy(det), occupancy.detection_filter(det)).select(*a.columns)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

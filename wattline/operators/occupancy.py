@@ -47,33 +47,41 @@ def frame_occupancy(det: DataFrame, conf_threshold: float = fixed.CONFIDENCE_DEF
 
     ``tick_ts`` is the frame's last detection time (the controller's "now").
     Confidences are raw floats: plain mean, truncated."""
+    return frames_with_last_person(det, conf_threshold).drop("last_person")
+
+
+def frames_with_last_person(det: DataFrame, conf_threshold: float = fixed.CONFIDENCE_DEFAULT) -> DataFrame:
+    """``frame_occupancy`` with the time of the frame's last person (``last_person``, null if none)."""
     p = is_person(conf_threshold)
     g = det.groupBy("room", "frame_ts").agg(
         F.count_if(p).alias("persons"),
         F.avg(F.when(p, F.col("confidence"))).alias("_avg"),
         F.max("ts").alias("tick_ts"),
+        F.max(F.when(p, F.col("ts"))).alias("last_person"),
     )
     avg = (F.col("_avg") * 100).cast("long")
     return g.select(
         "room", "frame_ts", "tick_ts", "persons",
         F.coalesce(avg, F.lit(0).cast("long")).alias("avg_confidence"),
         F.when(F.col("persons") > 0, F.lit("OCCUPIED")).otherwise(F.lit("VACANT")).alias("status"),
+        "last_person",
     )
 
 
 def occupancy_edges(frames: DataFrame) -> DataFrame:
     """W4: 'appeared' / 'left' where presence changes from the previous frame (start: absent)."""
-    f = frames.withColumn("_present", F.col("persons") > 0)
-    f = scans.previous_value(f, ["room"], ["frame_ts"], F.col("_present"), "_prev", _hour("frame_ts"))
+    now = F.col("persons") > 0
+    f = scans.previous_value(frames.select("room", "frame_ts", "persons"), ["room"], ["frame_ts"], now, "_prev", _hour("frame_ts"))
     prev = F.coalesce(F.col("_prev"), F.lit(False))
-    edge = F.when(F.col("_present") & ~prev, F.lit("appeared")).when(~F.col("_present") & prev, F.lit("left"))
+    edge = F.when(now & ~prev, F.lit("appeared")).when(~now & prev, F.lit("left"))
     return f.where(edge.isNotNull()).select("room", "frame_ts", "persons", edge.alias("edge"))
 
 
 def detection_changes(frames: DataFrame, keep: int = 15) -> DataFrame:
     """Log a frame when it has persons and the count differs from the
     previous frame (start: 0); keep the latest ``keep`` entries per room."""
-    f = scans.previous_value(frames, ["room"], ["frame_ts"], F.col("persons"), "_prev", _hour("frame_ts"))
+    used = frames.select("room", "frame_ts", "persons", "avg_confidence")
+    f = scans.previous_value(used, ["room"], ["frame_ts"], F.col("persons"), "_prev", _hour("frame_ts"))
     logged = f.where((F.col("persons") > 0) & (F.col("persons") != F.coalesce(F.col("_prev"), F.lit(0))))
     top = scans.top_k_per_key(logged, ["room"], [F.col("frame_ts").desc()], keep, F.to_date("frame_ts"))
     return top.select("room", "frame_ts", "persons", "avg_confidence")
@@ -82,7 +90,7 @@ def detection_changes(frames: DataFrame, keep: int = 15) -> DataFrame:
 def occupancy_sessions(person_det: DataFrame, gap_seconds: int = fixed.PERSON_GONE_SECONDS) -> DataFrame:
     """T4 (batch): presence continues while detections are less than ``gap_seconds``
     apart; a gap of ``gap_seconds`` or more starts a new session."""
-    d = scans.segmented_sessions(person_det, ["room"], ["ts", "det_id"], F.unix_micros("ts"),
+    d = scans.segmented_sessions(person_det.select("room", "ts", "det_id"), ["room"], ["ts", "det_id"], F.unix_micros("ts"),
                                  gap_seconds * 1_000_000, _hour(), strict=False, group_out="session_no")
     return d.groupBy("room", "session_no").agg(
         F.min("ts").alias("session_start"),
@@ -106,6 +114,18 @@ def last_seen(frames: DataFrame, person_det: DataFrame) -> DataFrame:
     return out.withColumn("last_seen", F.when(F.col("persons") > 0, F.col("tick_ts")).otherwise(F.col("_asof"))).drop("_asof")
 
 
+def last_seen_in_frames(frames: DataFrame) -> DataFrame:
+    """J5 from the frames alone (``frames_with_last_person``), which hold every person: a running
+    maximum over a room's ticks, so the detections are read once.
+
+    For frames that follow one another in time, as a camera's do; where a frame's detections reach
+    into the next one's time, ``last_seen`` compares every detection."""
+    cols = [c for c in frames.columns if c not in ("room", "last_person")]
+    u = scans.running_max(frames, ["room"], ["tick_ts", "frame_ts"], F.col("last_person"), "_asof", _hour("tick_ts"))
+    seen = F.when(F.col("persons") > 0, F.col("tick_ts")).otherwise(F.col("_asof"))
+    return u.select("room", *cols, seen.alias("last_seen"))
+
+
 def light_decision(ticks: DataFrame) -> DataFrame:
     """T5: per tick, SCHEDULE (a class is on) > PERSON (present, or seen less than
     300 s ago) > OFF, with the status text and the countdown in whole seconds.
@@ -133,11 +153,10 @@ def light_decision(ticks: DataFrame) -> DataFrame:
 
 def light_commands(decisions: DataFrame) -> DataFrame:
     """ON/OFF commands only where the commanded state changes (initially OFF)."""
-    d = decisions.withColumn("_on", F.col("mode") != "OFF")
-    d = scans.previous_value(d, ["room"], ["tick_ts"], F.col("_on"), "_prev_on", _hour("tick_ts"))
-    change = F.col("_on") != F.coalesce(F.col("_prev_on"), F.lit(False))
-    return d.where(change).select("room", "tick_ts", F.when(F.col("_on"), F.lit("ON")).otherwise(F.lit("OFF")).alias("command"),
-                                  "mode")
+    on = F.col("mode") != "OFF"
+    d = scans.previous_value(decisions.select("room", "tick_ts", "mode"), ["room"], ["tick_ts"], on, "_prev_on", _hour("tick_ts"))
+    change = on != F.coalesce(F.col("_prev_on"), F.lit(False))
+    return d.where(change).select("room", "tick_ts", F.when(on, F.lit("ON")).otherwise(F.lit("OFF")).alias("command"), "mode")
 
 
 def _greedy(xs: Column, start: Column, cd: int) -> Column:

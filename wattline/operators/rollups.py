@@ -144,7 +144,8 @@ def rolling_last_n(readings: DataFrame, n: int = 60, block_rows: int = 100_000)
     for c, d in _BUFFERED.items():
         vals[f"_s_{c}"] = exact.units(F.col(c), d)
         vals[f"_n_{c}"] = F.col(c).isNotNull().cast("long")
-    r = scans.rolling_rows(readings, ["room"], ["ts", "id"], vals, n, F.date_trunc("hour", "ts"), block_rows)
+    used = readings.select("id", "room", "ts", *_BUFFERED)
+    r = scans.rolling_rows(used, ["room"], ["ts", "id"], vals, n, F.date_trunc("hour", "ts"), block_rows)
     return r.select(
         "id", "room", "ts",
         F.col("_rr_n").alias("n_window"),

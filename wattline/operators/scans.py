@@ -14,6 +14,11 @@ These helpers scan in two levels instead:
 The result equals the single-level window exactly (integers) or up to float
 summation order (doubles).  The block expression must be non-decreasing in the
 ordering.
+
+The input is read once: rows are shuffled by (key, block) first, and both levels read
+that shuffle (``ReusedExchange`` in the plan).  Spark reuses an exchange only if both
+readers want the same columns of it, so the summary takes a hash of every column
+(``_pin``), and a caller hands over just the columns it goes on to use.
 """
 
 from __future__ import annotations
@@ -41,15 +46,17 @@ def _key_names(keys: Sequence[str]) -> list[str]:
 
 
 def _open(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    """``df`` with its block and the columns of ``_part``; a null key is a group of its own, like in a window."""
-    d = df.withColumn(_BLK, block)
-    plain = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in [*keys, _BLK]]
-    return d.withColumns(dict(zip(_part(keys), plain)))
+    """``df`` shuffled by (key, block), with the columns of ``_part``; a null key is a group of its own, like in a
+    window.  Whatever else the two levels need is computed above the shuffle."""
+    plain = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in [*_cols(keys), block]]
+    return df.withColumns(dict(zip(_part(keys), plain))).repartition(*_part(keys)).withColumn(_BLK, block)
 
 
 def _blocks(d: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """A row per block, with its place in the order."""
-    return d.groupBy(*_part(keys)).agg(*aggs, F.min(_BLK).alias(_BLK))
+    """A row per block, with its place in the order (``d``: what ``_open`` gave, other columns added)."""
+    shuffled = d.columns[: d.columns.index(_BLK)]
+    pin = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in shuffled])).alias("_scan_pin")
+    return d.groupBy(*_part(keys)).agg(*aggs, F.min(_BLK).alias(_BLK), pin).where("_scan_pin IS NOT NULL").drop("_scan_pin")
 
 
 def _join_blocks(d: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:

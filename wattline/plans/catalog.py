@@ -43,7 +43,7 @@ def query(name: str):
 @query("hourly_rollup")
 def _hourly_rollup(spark, sf_dir):
     """A3 for all rooms and all hours of the log."""
-    return rollups.hourly_rollup(tables.readings(spark, sf_dir))
+    return rollups.hourly_rollup(tables.readings(spark, sf_dir, columns=("voltage", "current", "power")))
 
 
 @query("power_15min")
@@ -53,7 +53,7 @@ def _power_15min(spark, sf_dir):
 
 @query("day_summary")
 def _day_summary(spark, sf_dir):
-    return rollups.day_summary(tables.readings(spark, sf_dir))
+    return rollups.day_summary(tables.readings(spark, sf_dir, columns=("voltage", "current", "power")))
 
 
 @query("available_dates")
@@ -78,7 +78,7 @@ def _weekday_power(spark, sf_dir):
 
 @query("latest_reading")
 def _latest_reading(spark, sf_dir):
-    return rollups.latest_reading(tables.readings(spark, sf_dir))
+    return rollups.latest_reading(tables.readings(spark, sf_dir, columns=("voltage", "current", "power", "light_state")))
 
 
 @query("nearest_available_date")
@@ -428,14 +428,14 @@ def _ingest_counts(spark, sf_dir):
 @query("parse_payload")
 def _parse_payload(spark, sf_dir):
     """F13-F15 + F24 on the payload text of every reading."""
-    txt = payload.payload_text(tables.readings(spark, sf_dir))
+    txt = payload.payload_text(tables.readings(spark, sf_dir, columns=("voltage", "power", "light_state")))
     return payload.parse_payload(txt).drop("text")
 
 
 @query("export_range")
 def _export_range(spark, sf_dir):
     """The last 7 days of every room."""
-    return sinks.export_range(tables.readings(spark, sf_dir), days=7)
+    return sinks.export_range(tables.readings(spark, sf_dir, columns=("voltage", "current", "power", "light_state")), days=7)
 
 
 @query("retain_since")
@@ -528,6 +528,13 @@ def _frames(spark, sf_dir):
     return occupancy.frame_occupancy(tables.detections(spark, sf_dir))
 
 
+def _seen(spark, sf_dir, *columns):
+    """J5 over the frames; ``columns``: those of the frames that are used."""
+    frames = occupancy.frames_with_last_person(tables.detections(spark, sf_dir))
+    used = frames.select(*columns, "last_person") if columns else frames
+    return occupancy.last_seen_in_frames(used)
+
+
 def _persons(spark, sf_dir):
     return occupancy.detection_filter(tables.detections(spark, sf_dir))
 
@@ -560,12 +567,12 @@ def _occupancy_sessions(spark, sf_dir):
 
 @query("last_seen_asof")
 def _last_seen_asof(spark, sf_dir):
-    return occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
+    return _seen(spark, sf_dir)
 
 
 def _decisions(spark, sf_dir):
     """Frame ticks with last-seen time and class, and the controller's decision."""
-    seen = occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
+    seen = _seen(spark, sf_dir, "room", "frame_ts", "tick_ts", "persons")
     ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts")
     return occupancy.light_decision(ticks)
 
@@ -693,7 +700,7 @@ def _landed(df, name, fmt="parquet"):
 @query("stream_light_decision")
 def _stream_light_decision(spark, sf_dir):
     """T5 + W5 as a per-room state machine over the landed frame ticks."""
-    seen = occupancy.last_seen(_frames(spark, sf_dir), _persons(spark, sf_dir))
+    seen = _seen(spark, sf_dir, "room", "frame_ts", "tick_ts", "persons")
     ticks = schedule.schedule_at(seen, schedule.timetable(spark), ts="tick_ts").select(
         "room", "frame_ts", "tick_ts", "persons", "in_class", "class_event")
     path = _landed(ticks, "ticks")

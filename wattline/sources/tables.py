@@ -9,6 +9,7 @@ whole room.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,13 @@ def hour_block(ts: Column) -> Column:
     return F.date_trunc("hour", ts)
 
 
-def readings_from_events(events: DataFrame, with_counter: bool = True, block=hour_block) -> DataFrame:
+def readings_from_events(events: DataFrame, with_counter: bool = True, block=hour_block,
+                         columns: Sequence[str] | None = None) -> DataFrame:
     """The reading log view (FIXTURES.md §2.1).
 
     Columns: id, ts, room, voltage, current, power, energy_kwh (increment),
-    energy_counter_kwh (cumulative meter), light_state, event_type.
+    energy_counter_kwh (cumulative meter), light_state, event_type.  ``columns``: those of the
+    values that the caller goes on to use; the counter's scan then shuffles no others.
     """
     k = props_k(F.col("props"))
     voltage = F.lit(220) + (k - F.lit(50)) / F.lit(10) + (F.col("event_id") % 9) * F.lit(0.0111)
@@ -60,21 +63,23 @@ def readings_from_events(events: DataFrame, with_counter: bool = True, block=hou
         F.when(F.col("event_type").isin("click", "purchase"), F.lit("ON")).otherwise(F.lit("OFF")).alias("light_state"),
         F.col("event_type"),
     )
+    if columns is not None:
+        base = base.select(*[c for c in base.columns if c in ("id", "ts", "room", "energy_kwh", *columns)])
     if not with_counter:
         return base
     # ``block``: the counter's scan block (an hour by default; finer for denser feeds)
     with_counter = scans.running_sum(
         base, ["room"], ["ts", "id"], F.col("energy_kwh"), "energy_counter_kwh", block(F.col("ts"))
     )
+    order = ["id", "ts", "room", "voltage", "current", "power", "energy_kwh", "energy_counter_kwh", "light_state", "event_type"]
     return with_counter.withColumn("energy_counter_kwh", F.round("energy_counter_kwh", 8)).select(
-        "id", "ts", "room", "voltage", "current", "power", "energy_kwh", "energy_counter_kwh",
-        "light_state", "event_type",
-    )
+        *[c for c in order if c in with_counter.columns])
 
 
 def readings(spark: SparkSession, sf_dir: str, with_counter: bool = True,
-             since: _dt.datetime | None = None, until: _dt.datetime | None = None) -> DataFrame:
-    """The reading log; ``since`` / ``until`` (wall-clock literals, half-open) are
+             since: _dt.datetime | None = None, until: _dt.datetime | None = None,
+             columns: Sequence[str] | None = None) -> DataFrame:
+    """The reading log (``columns`` as in ``readings_from_events``); ``since`` / ``until`` (wall-clock literals, half-open) are
     applied to the raw timestamp column before the view, so they reach the
     parquet scan as pushed filters (row-group skipping).
 
@@ -82,7 +87,7 @@ def readings(spark: SparkSession, sf_dir: str, with_counter: bool = True,
     ``with_counter`` the window is applied after the counter instead."""
     ev = table(spark, sf_dir, "events")
     if with_counter:
-        r = readings_from_events(ev, True)
+        r = readings_from_events(ev, True, columns=columns)
         if since is not None:
             r = r.where(F.col("ts") >= F.lit(since).cast("timestamp"))
         if until is not None:
@@ -92,7 +97,7 @@ def readings(spark: SparkSession, sf_dir: str, with_counter: bool = True,
         ev = ev.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     if until is not None:
         ev = ev.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
-    return readings_from_events(ev, False)
+    return readings_from_events(ev, False, columns=columns)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
