@@ -1,3 +1,4 @@
+import random
 import re
 
 from wattline.llm import pii
@@ -61,3 +62,57 @@ def test_empty_table_and_native_plan(spark):
     assert df.count() == 0
     plan = pii.replace_pii(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def plain_replace(rows, spark):
+    """Every entity of every text replaced one by one with the dictionary's replacement."""
+    forms = sorted({m for _, t, _ in rows for m in re.findall(PLAIN, t or "")})
+    to = {r.form: r.replacement for r in pii.dictionary(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
+    return [(i, re.sub(PLAIN, lambda m: to[m[0]], t) if t is not None else None, len(re.findall(PLAIN, t or ""))) for i, t, _ in rows], to
+
+
+#: Addresses, numbers of hosts and social-security numbers, plainly.
+PLAIN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
+
+
+def test_equals_naive_replacement(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 6)))
+    mails = [f"{word()}.{word()}@{word()}.org" for _ in range(30)]
+    some = lambda: rnd.choice([word(), word(), rnd.choice(mails), f"{rnd.randint(100, 999)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", f"10.{rnd.randint(0, 255)}.0.{rnd.randint(0, 255)}"])
+    rows = [(i, " ".join(some() for _ in range(rnd.randint(0, 40))), "x") for i in range(120)] + [(500, None, "x"), (501, mails[0] * 2, "x")]
+    want, to = plain_replace(rows, spark)
+    got = [(r.doc_id, r.text, r.n) for r in pii.replace_pii(spark.createDataFrame(rows, SCHEMA), count="n").collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert len(set(to.values())) == len(to) and not set(to) & set(to.values())
+
+
+def test_a_dense_format_grows(spark):
+    """More than half of all addresses like x@y.com, and short numbers: each gets a surrogate of its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.com" for a in letters for b in letters][:400] + ["A@B.com"]
+    rows = [(i, f"mail {m} now", "x") for i, m in enumerate(mails)] + [(1000 + i, f"call +1 10 {i:02d}.", "x") for i in range(99)]
+    got = out(spark, rows)
+    new = [got[i][0][0] for i in range(400)]
+    assert len(set(new)) == 400 and not set(new) & {f"mail {m} now" for m in mails}
+    assert all(re.fullmatch(r"mail [a-z]+@[a-z]\.com now", t) for t in new)
+    upper = got[400][0][0]
+    assert upper.lower() == got[mails.index("a@b.com")][0][0].lower() and re.fullmatch(r"mail [a-z]*[A-Z]@[A-Z]\.com now", upper)
+    calls = [got[1000 + i][0][0] for i in range(99)]
+    assert len(set(calls)) == 99 and all(re.fullmatch(r"call \+\d \d\d \d{2,}\.", t) for t in calls)
+
+
+def test_texts_that_hold_the_mark(spark):
+    from pyspark.sql import functions as F
+
+    usual = spark.range(1).select(pii.mark(F.lit("x")).alias("m")).first().m
+    text = f"a {usual} b bob@mail.com {usual}"
+    got = out(spark, [(1, text, "x"), (2, "to bob@mail.com", "x")])
+    new = got[2][0][0][3:]
+    assert got[1] == [(text.replace("bob@mail.com", new), 1)] and new != "bob@mail.com"
+
+
+def test_hot_texts_and_hot_entities(spark):
+    rows = [(i, "copy for bob@mail.com", "x") for i in range(300)] + [(1000 + i, f"note {i} for bob@mail.com", "x") for i in range(300)]
+    got = out(spark, rows)
+    assert len({got[i][0] for i in range(300)}) == 1 and len({got[1000 + i][0][0].split()[-1] for i in range(300)}) == 1

@@ -12,11 +12,18 @@ gender (by the title) and script (Latin, accented Latin, Cyrillic).
 
 Distinctness: candidates are drawn by attempt number; a candidate that another
 entity has or wants, or that is itself an entity of the corpus, goes to one
-taker at most and the others draw again, until every entity has its own.
-
-Only the dictionary of distinct entities is shuffled, and the texts that hold
-any; texts without entities pass in the scan.  A map by hash of the text brings
-the surrogates to the texts, so copies share it.
+taker at most and the others draw again, until every entity has its own.  Where a
+format is dense (hundreds of addresses like x@y.com) it grows from the
+`grow_after`-th attempt on: addresses get letters before them, phone numbers digits
+behind, names syllables.  (Formats of fixed length, cards, accounts, addresses of
+hosts and social-security numbers, have over 10^8 values; if a corpus holds nearly
+all of them, `most_attempts` draws end in an error.)
+
+Texts go through the patterns once: each entity is put between two marks, and the
+marked table is written; all else reads that.  Only the dictionary of distinct
+entities is shuffled, and the texts that hold any.  A map by hash of the text
+brings the surrogates to the texts, so copies share it; hot texts and hot entities
+are spread by a salt (`common.give_back`).
 
 Cases: null or empty text: unchanged, no entities.  Null or repeated doc_id:
 of no concern, rows are told apart by their text.  Very long texts: whole.
@@ -25,13 +32,13 @@ Empty table: empty result.  Extra columns stay as they are, whatever their names
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import fresh, materialize
+from wattline.llm.common import fresh, give_back, materialize
 
 #: Patterns by type, in order of precedence (Java syntax, no capturing groups).
 PATTERNS = {
@@ -60,13 +67,20 @@ ENDINGS = {"latin": {"m": "n r s rt", "f": "na ra lia sa", "u": "l m"}, "accent"
 @dataclass(frozen=True)
 class Params:
     key: str = "surrogate-key-1"
-    most_attempts: int = 50
+    grow_after: int = 3
+    most_attempts: int = 300
+    salts: int = 16
+
+
+def mark(text: Column, p: Params = Params()) -> Column:
+    """The mark of a text: a sequence of the key, or of the text's own hash where the text holds that one."""
+    usual = "\ue000" + hashlib.sha256(f"mark:{p.key}".encode()).hexdigest()[:16] + "\ue001"
+    return F.when(text.contains(usual), F.concat(F.lit("\ue000"), F.md5(text.cast("binary")), F.lit("\ue001"))).otherwise(F.lit(usual))
 
 
-def hits(text: Column) -> Column:
-    """Entities of a text as written, in order (empty array: none; null text: none)."""
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    return F.coalesce(found, F.array().cast("array<string>"))
+def marked(text: Column, mark_: Column) -> Column:
+    """The text with each entity between two marks."""
+    return F.when(text.rlike(HINT), F.regexp_replace(text, F.lit(ANY), F.concat(mark_, F.lit("$0"), mark_))).otherwise(text)
 
 
 def type_of(form: Column) -> Column:
@@ -107,9 +121,9 @@ def _luhn(digits: Column) -> Column:
 
 
 def _candidate(p: Params) -> Column:
-    """A surrogate for the normal form `norm` of type `kind` at attempt `attempt`: same length in letters and digits."""
-    kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
-    stream = _stream(kind, norm, attempt, p.key, 9)
+    """A surrogate for the normal form `norm` of type `kind` at attempt `attempt` from its key stream `stream` (9
+    blocks): same length in letters and digits, until the format grows."""
+    kind, norm, attempt, stream = F.col("kind"), F.col("norm"), F.col("attempt"), F.col("stream")
     chars = F.split(norm, "")
     tld = F.length(norm) - F.length(F.regexp_extract(norm, r"\.[a-z0-9-]+$", 0))
     country = F.length(F.regexp_extract(norm, r"^1(?=\d{10}$)|^\d{2}(?=\d{9,}$)", 0))
@@ -131,7 +145,10 @@ def _candidate(p: Params) -> Column:
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     # the last digit makes the Luhn sum what the original's is
     fix = F.concat(body, F.pmod(_luhn(norm) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    return F.when(kind == "ip", octets).when(kind == "card", fix).when(kind.startswith("name:"), _name(stream, kind, attempt)).otherwise(plain)
+    more = F.when(attempt >= p.grow_after, F.floor((attempt - p.grow_after) / 2).cast("int") + 1).otherwise(F.lit(0))
+    extra = lambda alphabet: F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(alphabet, _byte(stream, 143 - i % 100))), "")).otherwise(F.lit(""))
+    return (F.when(kind == "ip", octets).when(kind == "card", fix).when(kind.startswith("name:"), _name(stream, kind, attempt))
+            .when(kind == "email", F.concat(extra("abcdefghijklmnopqrstuvwxyz"), plain)).when(kind == "phone", F.concat(plain, extra("0123456789"))).otherwise(plain))
 
 
 def _name(stream: Column, kind: Column, attempt: Column) -> Column:
@@ -154,21 +171,30 @@ def _name(stream: Column, kind: Column, attempt: Column) -> Column:
 
 
 def _spelled(form: Column, surrogate: Column, kind: Column) -> Column:
-    """The surrogate in the format of a form: letters and digits take turns, the rest stays, case as it was."""
-    s = F.regexp_replace(surrogate, "[^A-Za-z0-9]", "")
+    """The surrogate in the format of a form: letters and digits take turns, the rest stays, case as it was.  What a
+    grown surrogate has more stands before an address, behind a number."""
+    every = F.regexp_replace(surrogate, "[^A-Za-z0-9]", "")
+    more = F.greatest(F.lit(0), F.length(every) - F.length(F.regexp_replace(form, "[^A-Za-z0-9]", "")))
+    lead = F.when(kind == "email", more).otherwise(F.lit(0))
+    s = F.substring(every, lead + 1, F.length(every) - more)
     chars = F.split(form, "")
     at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(form))), lambda i: F.length(F.regexp_replace(F.substring(form, F.lit(1), i), "[^A-Za-z0-9]", "")))
     out = F.array_join(F.zip_with(chars, at, lambda c, k: F.when(~c.rlike("[A-Za-z0-9]"), c).when(c.rlike("[A-Z]"), F.upper(F.substring(s, k, F.lit(1)))).otherwise(F.substring(s, k, F.lit(1)))), "")
-    return F.when(kind.isin("ip", "secret"), surrogate).otherwise(out)
+    tail = F.when(kind == "email", F.lit("")).otherwise(F.substring(every, F.length(every) - more + 1, F.length(every)))
+    return F.when(kind.isin("ip", "secret"), surrogate).otherwise(F.concat(F.substring(every, F.lit(1), lead), out, tail))
 
 
 def assign(entities: DataFrame, p: Params = Params()) -> DataFrame:
     """entities (kind, norm), distinct -> (kind, norm, surrogate): distinct within a kind, none an entity itself."""
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entities = materialize(entities.select("kind", "norm").distinct(), "pii-entities")
     done: DataFrame | None = None
-    todo = entities.withColumn("attempt", F.lit(0))
+    todo = entities
     for attempt in range(p.most_attempts):
-        drawn = todo.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", _candidate(p))
+        # few bytes make few files, but a draw takes a while for each row: dealt to all tasks
+        drawn = todo.repartition(tasks, "kind", "norm").withColumn("attempt", F.lit(attempt))
+        drawn = drawn.withColumn("stream", _stream(F.col("kind"), F.col("norm"), F.col("attempt"), p.key, 9)).withColumn("surrogate", _candidate(p))
+        drawn = materialize(drawn.select("kind", "norm", "surrogate"), "pii-drawn")
         free = drawn.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -203,23 +229,24 @@ def dictionary(forms: DataFrame, p: Params = Params()) -> DataFrame:
 
 def replace_pii(docs: DataFrame, p: Params = Params(), text: str = "text", count: str | None = None) -> DataFrame:
     """docs with entities in `text` replaced by surrogates; all columns stay.  count: name of a column to add, entities per row."""
-    k_hits, k_key = fresh(docs, "pii_hits"), fresh(docs, "pii_key")
-    t = F.col(text).cast("string")
-    marked = docs.withColumn(k_hits, hits(t)).withColumn(k_key, F.md5(t))
-    some = marked.filter(F.size(k_hits) > 0)
+    k_mark, k_text, k_n, k_key, k_salt = (fresh(docs, c) for c in ("pii_mark", "pii_text", "pii_n", "pii_key", "pii_salt"))
+    t = F.col(f"`{text}`").cast("string")
+    rows = docs.withColumn(k_mark, mark(t, p)).withColumn(k_text, marked(t, F.col(k_mark)))
+    n = F.call_function("div", F.length(k_text) - F.length(t), 2 * F.length(k_mark))
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], k_text, k_mark, F.coalesce(n, F.lit(0).cast("long")).alias(k_n),
+                       F.md5(F.coalesce(t, F.lit("")).cast("binary")).alias(k_key), F.pmod(F.monotonically_increasing_id(), F.lit(p.salts)).cast("int").alias(k_salt))
+    rows = materialize(rows, "pii-marked")
+    some = rows.filter(F.col(k_n) > 0)
+    pieces = F.split(F.col(k_text), F.col(k_mark), -1)  # every second one is an entity
+    forms = F.array_distinct(F.filter(pieces, lambda _, i: i % 2 == 1))
     # once written: each distinct text with its distinct forms
-    uses = materialize(some.select(F.col(k_key).alias("tkey"), F.explode(F.array_distinct(F.col(k_hits))).alias("form")).distinct(), "pii-uses")
+    uses = some.select(F.col(k_key).alias("tkey"), F.explode(forms).alias("form")).distinct()
+    uses = materialize(uses.select("tkey", "form", F.pmod(F.hash("tkey"), F.lit(p.salts)).alias("salt")), "pii-uses")
     words = materialize(dictionary(uses.select("form").distinct(), p), "pii-dictionary")
-    maps = uses.join(words.select("form", "replacement"), "form").groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("form", "replacement"))).alias("to"))
+    maps = give_back(uses, "form", "salt", words.select("form", "replacement")).groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("form", "replacement"))).alias("to"))
     k_map = fresh(docs, "pii_map")
-    with_map = some.join(maps.select(F.col("tkey").alias(k_key), F.col("to").alias(k_map)), k_key)
-    between = F.split(t, ANY, -1)
-    pieces = F.zip_with(between, F.transform(F.col(k_hits), lambda h: F.try_element_at(F.col(k_map), h)),
-                        lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
-    cols = [F.array_join(pieces, "").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    same = [F.col(f"`{c}`") for c in docs.columns]
-    if count:
-        cols.append(F.size(k_hits).cast("long").alias(count))
-        same.append(F.lit(0).cast("long").alias(count))
-    none = marked.filter(F.size(k_hits) == 0)
-    return none.select(*same).union(with_map.select(*cols))
+    with_map = give_back(some, k_key, k_salt, maps.select(F.col("tkey").alias(k_key), F.col("to").alias(k_map)))
+    new = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(F.col(k_map), x), x)).otherwise(x)), "")
+    add = [F.col(k_n).alias(count)] if count else []
+    every = lambda out: [out.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns] + add
+    return rows.filter(F.col(k_n) == 0).select(*every(F.col(k_text))).union(with_map.select(*every(new)))
