@@ -41,3 +41,69 @@ def test_unseen_room_type_is_all_zero(spark):
     out = models.onehot_room_type(fit_on, spark.createDataFrame([("lab",), ("zzz",)], "room_type string"))
     got = {r["room_type"]: list(r["room_type_onehot"]) for r in out.collect()}
     assert got == {"lab": [1.0, 0.0], "zzz": [0.0, 0.0]}
+
+
+def _planted(spark):
+    """Daily rows whose energy follows room, month and weekday."""
+    from pyspark.sql import functions as F
+
+    d = features.daily_features(tables.training_readings(spark, SF_SMALL))
+    return d.withColumn("energy_kwh", 5.0 + (F.col("room").cast("int") % 7) * 2 + F.col("month") * 0.5 + F.when(F.col("day_of_week") == 6, 0).otherwise(4))
+
+
+def test_enhanced_model_beats_the_mean_and_travels_whole(spark, tmp_path):
+    """Learned structure shows on the held-out split; a saved model predicts alike, unseen rooms included, and
+    a model with other features, or in another order, is refused."""
+    import pytest
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    daily = _planted(spark)
+    path = str(tmp_path / "kwh")
+    params = {"maxIter": 30, "maxDepth": 5, "stepSize": 0.3}
+    model, metrics, imps, names = models.train_kwh(daily, enhanced=True, params=params)
+    assert metrics.first()["r2"] > 0.8
+    assert imps.orderBy(F.col("importance").desc()).first()["feature"] == "room_encoded"
+    model.write().overwrite().save(path)
+    loaded, again, _, _ = models.load_or_train_kwh(daily, path, enhanced=True)
+    assert again.first() == metrics.first() and models.feature_order(loaded) == features.ENHANCED_FEATURES
+    grid = spark.createDataFrame([("101", "2024-03-04"), ("999", "2024-03-05"), (None, "2024-03-06")], "room string, d string").select("room", F.to_date("d").alias("date"))
+    rows = loaded.transform(models.grid_features(grid)).select("room", "room_encoded", "prediction").collect()
+    code = {r["room"]: r["room_encoded"] for r in rows}
+    known = len(model.stages[0].labels)
+    assert code["999"] == code[None] == known and 0 <= code["101"] < known and all(r["prediction"] > 0 for r in rows)
+    with pytest.raises(ValueError, match="features"):
+        models.check_features(loaded, enhanced=False)
+    swapped = PipelineModel(loaded.stages)
+    assembler = next(s for s in swapped.stages if isinstance(s, VectorAssembler))
+    assembler.setInputCols(list(reversed(features.ENHANCED_FEATURES)))
+    with pytest.raises(ValueError, match="features"):
+        models.check_features(swapped, enhanced=True)
+
+
+def test_encoder_stage_equals_the_distributed_dictionary(spark):
+    from pyspark.ml import Pipeline
+
+    daily = features.daily_features(tables.training_readings(spark, SF_SMALL)).select("room", "date")
+    a = Pipeline(stages=models.room_encoder()).fit(daily).transform(daily).select("room", "room_encoded").distinct()
+    b = features.label_encode(daily.select("room").distinct(), "room", "room_encoded").select("room", "room_encoded")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_ranks_of_a_dictionary_in_many_blocks(spark):
+    """Any text in binary order, common prefixes, more values than the sample; no window over the dictionary."""
+    import random
+
+    rnd = random.Random(3)
+    values = {f"room-{i:05d}" for i in range(3000)} | {"".join(rnd.choice("aZé\U0001f600\uffee09") for _ in range(rnd.randint(0, 6))) for _ in range(500)}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    out = features.sorted_rank(df, "v", "n", blocks=16, sample=200)
+    got = {r["v"]: r["n"] for r in out.collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values, key=str.encode))}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    single = plan.split("Exchange SinglePartition")[1:]
+    assert all("Aggregate" in s.splitlines()[1] + s.splitlines()[2] + s.splitlines()[3] for s in single), plan  # block totals alone
+    unseen = features.label_encode(spark.createDataFrame([("b",), ("zz",), (None,)], "v string"), "v", "n", spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "v string"))
+    assert {r["v"]: r["n"] for r in unseen.collect()} == {"b": 1, "zz": 2, None: 2}
+    assert features.sorted_rank(df.limit(0), "v", "n").count() == 0

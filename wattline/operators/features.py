@@ -282,18 +282,27 @@ def room_intersect(rooms: DataFrame, ranges=fixed.DEFAULT_ROOM_RANGES) -> DataFr
     return out.withColumn("room_no", F.col("room").cast("int"))
 
 
-def label_encode(df: DataFrame, col: str, out: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """M2: index of the value in the sorted distinct dictionary; unseen -> number of classes.
+def sorted_rank(dic: DataFrame, col: str, out: str, blocks: int = 256, sample: int = 4096) -> DataFrame:
+    """``out`` = 0-based rank of each value of a dictionary (distinct values of ``col``) in sorted order.
+
+    The sorted range is cut at quantiles of a bounded sample (the ``sample`` values of least hash), so
+    blocks are about even whatever the values look like; ranks are the place in the block plus the rows of
+    the blocks before (a segmented scan).  No task holds more than a block of the dictionary."""
+    from . import scans
+
+    some = dic.orderBy(F.xxhash64(col), col).limit(sample).select(col).collect()
+    some = sorted((r[0] for r in some), key=lambda v: v.encode() if isinstance(v, str) else v)   # as Spark orders text
+    cuts = some[:: max(1, len(some) // blocks)][1:]
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(col))) if cuts else F.lit(0)
+    ranked = scans.row_index(dic.select(col), [], [col], "_nr", block)
+    return ranked.select(col, (F.col("_nr") - 1).cast("int").alias(out))
 
-    The dictionary is the distinct values (one row per room): the ranking window
-    runs over that small set only, never over the data.
-    """
-    from ..session import cut_lineage
 
+def label_encode(df: DataFrame, col: str, out: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """M2: index of the value in the sorted distinct dictionary; unseen -> number of classes."""
     dic = (dictionary if dictionary is not None else df).select(col).where(F.col(col).isNotNull()).distinct()
-    ranked = cut_lineage(dic.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int")))
-    k = ranked.select(F.count(F.lit(1))).scalar().cast("int")
-    return df.join(ranked, col, "left").withColumn(out, F.coalesce(F.col(out), k))
+    k = dic.select(F.count(F.lit(1))).scalar().cast("int")
+    return df.join(sorted_rank(dic, col, out), col, "left").withColumn(out, F.coalesce(F.col(out), k))
 
 
 def hash_split(key: Column, test_tenths: int = 2) -> Column:
@@ -311,6 +320,12 @@ ENHANCED_FEATURES = [
 
 def training_matrix(daily: DataFrame) -> DataFrame:
     """M3: the enhanced feature set + target and the split column."""
+    d = label_encode(enhanced_rows(daily), "room", "room_encoded")
+    return d.select("room", "date", *ENHANCED_FEATURES, "energy_kwh", "split")
+
+
+def enhanced_rows(daily: DataFrame) -> DataFrame:
+    """The daily table with the enhanced features but the room's code, and the split column."""
     dsin, dcos = cyclic(F.col("day"), 31)
     d = daily.withColumns(
         {
@@ -321,9 +336,8 @@ def training_matrix(daily: DataFrame) -> DataFrame:
             "room_type_numeric": F.when(F.col("room_type") == "lab", F.lit(1)).otherwise(F.lit(0)),
         }
     )
-    d = label_encode(d, "room", "room_encoded")
     key = F.concat_ws("|", F.col("room"), F.date_format("date", "yyyy-MM-dd"))
-    return d.select("room", "date", *ENHANCED_FEATURES, "energy_kwh", hash_split(key).alias("split"))
+    return d.withColumn("split", hash_split(key))
 
 
 def regression_metrics(pred: DataFrame, y: str, yhat: str, by: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import datetime as _dt
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +41,37 @@ def room_type_encoder() -> list:
     ]
 
 
+def room_encoder() -> list:
+    """M2 as stages of a saved model: rooms in sorted order, an unseen or missing one gets the number of rooms.
+    What a model was trained with is what it predicts with.  The code is a number to the trees, as in the
+    reference, not a category (a category would need a bin for each room)."""
+    return [
+        StringIndexer(inputCol="room", outputCol="room_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        SQLTransformer(statement="SELECT *, CAST(room_idx AS INT) AS room_encoded FROM __THIS__"),
+    ]
+
+
+def _split_rows(daily: DataFrame, enhanced: bool) -> tuple[DataFrame, list[str]]:
+    """Training rows with features and split, and the features in the model's order."""
+    if enhanced:
+        return feat.enhanced_rows(daily), list(feat.ENHANCED_FEATURES)
+    key = F.concat_ws("|", F.col("room"), F.date_format("date", "yyyy-MM-dd"))
+    return daily.withColumn("split", feat.hash_split(key)), list(BASIC_FEATURES)
+
+
+def feature_order(model: PipelineModel) -> list[str]:
+    """The inputs of a fitted model in the order it was trained with."""
+    return next(s.getInputCols() for s in model.stages if isinstance(s, VectorAssembler))
+
+
+def check_features(model: PipelineModel, enhanced: bool) -> PipelineModel:
+    """A loaded model whose features are not those that prediction builds, in that order, is an error."""
+    want = list(feat.ENHANCED_FEATURES) if enhanced else [*BASIC_FEATURES, "room_type_vec"]
+    if feature_order(model) != want:
+        raise ValueError(f"the model was trained with the features {feature_order(model)}, not {want}")
+    return model
+
+
 def onehot_room_type(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
     """M1 as a table: index and one-hot array of ``room_type``."""
     model = Pipeline(stages=room_type_encoder()).fit(fit_on.select("room_type"))
@@ -53,23 +84,15 @@ def train_kwh(daily: DataFrame, enhanced: bool = False, params: dict | None = No
 
     Returns (PipelineModel, metrics DataFrame, importances DataFrame, feature names).
     """
-    if enhanced:
-        data = feat.training_matrix(daily)
-        cols = list(feat.ENHANCED_FEATURES)
-        stages = []
-        p = dict(ENHANCED_PARAMS)
-    else:
-        key = F.concat_ws("|", F.col("room"), F.date_format("date", "yyyy-MM-dd"))
-        data = daily.withColumn("split", feat.hash_split(key))
-        cols = list(BASIC_FEATURES)
-        stages = room_type_encoder()
-        p = dict(BASIC_PARAMS)
+    data, cols = _split_rows(daily, enhanced)
+    stages = room_encoder() if enhanced else room_type_encoder()
+    p = dict(ENHANCED_PARAMS if enhanced else BASIC_PARAMS)
     p.update(RUNTIME_PARAMS)
     p.update(params or {})
     from ..session import checkpoint_dir
 
     checkpoint_dir(daily.sparkSession)
-    data = data.fillna(0, subset=cols)
+    data = data.fillna(0, subset=[c for c in cols if c in data.columns])
     vec_inputs = cols + ([] if enhanced else ["room_type_vec"])
     stages = stages + [
         VectorAssembler(inputCols=vec_inputs, outputCol="features", handleInvalid="keep"),
@@ -90,14 +113,8 @@ def train_kwh(daily: DataFrame, enhanced: bool = False, params: dict | None = No
 
 def evaluate_kwh(model: PipelineModel, daily: DataFrame, enhanced: bool = False):
     """Metrics and importances of a fitted (or loaded) kWh model on the 'test' split."""
-    if enhanced:
-        data = feat.training_matrix(daily)
-        cols = list(feat.ENHANCED_FEATURES)
-    else:
-        key = F.concat_ws("|", F.col("room"), F.date_format("date", "yyyy-MM-dd"))
-        data = daily.withColumn("split", feat.hash_split(key))
-        cols = list(BASIC_FEATURES)
-    data = data.fillna(0, subset=cols)
+    data, cols = _split_rows(daily, enhanced)
+    data = data.fillna(0, subset=[c for c in cols if c in data.columns])
     scored = model.transform(data.where(F.col("split") == "test"))
     metrics = feat.regression_metrics(scored, "energy_kwh", "prediction").withColumn(
         "model", F.lit("enhanced" if enhanced else "basic"))
@@ -116,6 +133,7 @@ def load_or_train_kwh(daily: DataFrame, path: str, enhanced: bool = False):
     if model is None:
         model, _, _, _ = train_kwh(daily, enhanced)
         model.write().overwrite().save(path)
+    check_features(model, enhanced)
     metrics, imp_df, names = evaluate_kwh(model, daily, enhanced)
     return model, metrics, imp_df, names
 
@@ -169,22 +187,20 @@ def load_model_or_fallback(paths: list[str]) -> PipelineModel | None:
 
 # --- P4 with a model ---------------------------------------------------------------
 
-def grid_features(grid: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Prediction-time features for (room, date) rows (weekdays), as the predictor builds them."""
+def grid_features(grid: DataFrame) -> DataFrame:
+    """Prediction-time features for (room, date) rows (weekdays), as the predictor builds them; the room's
+    code and type are encoded by the model's own stages."""
     d = F.col("date")
     msin, mcos = cyclic(F.month(d), 12)
     dsin, dcos = cyclic(F.dayofmonth(d), 31)
     rt = room_type_from_prefix(F.col("room"))
-    g = grid.withColumns({
+    return grid.withColumns({
         "year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d), "day_of_week": weekday_mon0(d),
         "is_weekend": F.lit(0), "month_sin": F.round(msin, 10), "month_cos": F.round(mcos, 10),
         "day_sin": F.round(dsin, 10), "day_cos": F.round(dcos, 10), "quarter": F.quarter(d), "is_holiday": F.lit(0),
         "floor": floor_of_room(F.col("room")), "room_type_numeric": F.when(rt == "lab", 1).otherwise(0),
         "room_type": rt,
     })
-    if dictionary is not None:
-        g = feat.label_encode(g, "room", "room_encoded", dictionary)
-    return g
 
 
 def model_kwh_e4(prediction: Column) -> Column:

@@ -776,15 +776,52 @@ def _top_features(spark, sf_dir):
     return models.top_features(_kwh_model(spark, sf_dir)[2], 10)
 
 
+def _model_days(spark, sf_dir):
+    """P4 over the J7 grid with the enhanced model (its own encoder inside) on weekdays, P2 on weekends."""
+    model = _kwh_model(spark, sf_dir, enhanced=True)[0]
+    scored = model.transform(models.grid_features(_prediction_grid(spark, sf_dir, with_forecast=True)))
+    return predict.predict_days(scored.select("series", "room", "date", "rate", "prediction"), rules.rules_table(spark),
+                                models.model_kwh_e4(F.col("prediction")))
+
+
 @query("predict_range_model")
 def _predict_range_model(spark, sf_dir):
     """P4 with the trained model for weekdays (P2 for weekends) over the J7 grid."""
-    model = _kwh_model(spark, sf_dir)[0]
-    g = models.grid_features(_prediction_grid(spark, sf_dir, with_forecast=True))
-    scored = model.transform(g)
-    p = predict.predict_days(scored.select("series", "room", "date", "rate", "prediction"), rules.rules_table(spark),
-                             models.model_kwh_e4(F.col("prediction")))
-    return _flat(p).drop("prediction")
+    return _flat(_model_days(spark, sf_dir)).drop("prediction")
+
+
+@query("predict_model_check")
+def _predict_model_check(spark, sf_dir):
+    """P4, what holds whatever the trees say: a row for each room and day, kWh not negative, the cost
+    the rounded product of the kWh and the rate at storage precision, weekends as P2."""
+    p = _model_days(spark, sf_dir)
+    wd = scalars.weekday_mon0(F.col("date"))
+    kwh = F.when(wd == 6, F.lit(0).cast("long")).when(wd == 5, F.when(scalars.room_type_from_prefix(F.col("room")) == "lab", 15000).otherwise(10000)) \
+        .otherwise(models.model_kwh_e4(F.col("prediction")))
+    cost = F.round(kwh.cast("decimal(18,0)") * exact.units("rate", 4).cast("decimal(18,0)") / F.lit(10 ** 8).cast("decimal(18,0)"), 2).cast("double")
+    shown = F.round(kwh.cast("decimal(18,0)") / F.lit(10 ** 4).cast("decimal(18,0)"), 2).cast("double")
+    return p.groupBy("series", "is_weekend").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("room").alias("rooms"), F.countDistinct("date").alias("days"),
+        F.count_if(F.col("total_daily_kwh") >= 0).alias("n_not_negative"), F.count_if(F.col("total_daily_kwh") == shown).alias("n_kwh"),
+        F.count_if(F.col("total_cost_php") == cost).alias("n_cost"), F.count_if(F.size("recommendations") > 0).alias("n_advised"))
+
+
+@query("kwh_model_check")
+def _kwh_model_check(spark, sf_dir):
+    """M5/K2/S12 on the enhanced model: rows of the split, the features in the model's order, rooms its
+    encoder knows, importances adding up to 1, and the model read back predicting the same."""
+    model, metrics, imps, names = _kwh_model(spark, sf_dir, enhanced=True)
+    path = f"{_model_root(spark)}/check-enhanced"
+    model.write().overwrite().save(path)
+    again = models.check_features(models.load_model_or_fallback([path]), enhanced=True)
+    rows = features.enhanced_rows(_daily(spark, sf_dir))
+    total = lambda m: m.transform(rows).agg(F.sum(F.round(F.col("prediction") * 10 ** 6).cast("long")).alias("t")).first()["t"]
+    top = models.top_features(imps, 10).collect()
+    ordered = all(a["importance"] >= b["importance"] for a, b in zip(top, top[1:]))
+    m = metrics.select("n", F.lit(",".join(models.feature_order(model))).alias("features"), F.lit(len(model.stages[0].labels)).cast("long").alias("rooms"),
+                       F.lit(total(model) == total(again)).alias("same_when_loaded"), F.lit(ordered and len(top) == 10).alias("top_in_order"),
+                       (F.col("mae") <= F.col("rmse")).alias("mae_below_rmse"), F.col("r2").isNotNull().alias("has_r2"))
+    return m.withColumn("importances", F.lit(round(sum(r["importance"] for r in imps.collect()), 6))).withColumn("n_importances", F.lit(len(names)).cast("long"))
 
 
 @query("model_registry")

@@ -334,6 +334,16 @@ FROM daily d JOIN (SELECT room, dense_rank() OVER (ORDER BY room) - 1 AS idx FRO
   ON e.room = d.room"""))
 
 
+_SPLIT = "('0x' || substr(md5(room || '|' || strftime(date, '%Y-%m-%d')), 1, 8))::BIGINT % 10 < 2"
+
+oracle("kwh_model_check", with_training(f"""
+SELECT count(*) FILTER (WHERE {_SPLIT}) AS n,
+       'year,month,day,day_of_week,is_weekend,month_sin,month_cos,day_sin,day_cos,quarter,is_holiday,floor,room_type_numeric,room_encoded' AS features,
+       count(DISTINCT room) FILTER (WHERE NOT {_SPLIT}) AS rooms, true AS same_when_loaded, true AS top_in_order,
+       true AS mae_below_rmse, true AS has_r2, 1.0::DOUBLE AS importances, 14::BIGINT AS n_importances
+FROM daily"""))
+
+
 # --- tariff series -----------------------------------------------------------------
 
 TARIFF = r"""
@@ -458,6 +468,11 @@ FROM pred"""
 oracle("predict_range", with_pred(PRED_SELECT))
 oracle("predict_weekend", with_pred(PRED_SELECT + " WHERE wd >= 5"))
 
+oracle("predict_model_check", with_pred("""
+SELECT series, CAST(wd >= 5 AS BIGINT) AS is_weekend, count(*) AS n, count(DISTINCT room) AS rooms, count(DISTINCT date) AS days,
+       count(*) AS n_not_negative, count(*) AS n_kwh, count(*) AS n_cost, count(*) AS n_advised
+FROM pred GROUP BY ALL"""))
+
 oracle("predict_fallback_kwh", with_pred("""
 SELECT room, strftime(date, '%Y-%m-%d') AS date, rt AS room_type,
        CAST(greatest(base_season * w100, 5000) AS DOUBLE) / 10000.0 AS kwh FROM calc2 WHERE series = (FROM one_series)"""))
