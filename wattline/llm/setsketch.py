@@ -328,9 +328,6 @@ def text_key(text: Column) -> Column:
 def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, tk (its text_key), n_shingles, root (its component; null
     without words), component_id (the component's least doc_id, if it has any), copies."""
-    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(batch)) <= 1000:  # rows hold whole texts and sets: fewer of them in a worker at once
-        conf.set(batch, "1000")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(docs.select("doc_id", "text", text_key(F.col("text")).alias("tk")).mapInPandas(_sketch_rows(p), ROWS), "setsketch-rows")
     classes = materialize(rows.filter("n_shingles > 0").groupBy("ck").agg(
@@ -341,6 +338,8 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
                         lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))).alias("h")))
     members = classes.select("ck", F.explode(bands).alias("x")).select("ck", "x.band", "x.h")
     ends = members.groupBy("band", "h").agg(F.min("ck").alias("lo"), F.max("ck").alias("hi"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # written first, so the join has a shuffle on each side and a hot bucket's members are split over tasks
+    ends = materialize(ends, "setsketch-ends")
     buckets = materialize(members.join(ends, ["band", "h"]), "setsketch-buckets")
     star = buckets.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("ck").alias("b")), F.struct(F.col("ck").alias("a"), F.col("hi").alias("b")))).alias("x"))
     star = star.select("x.a", "x.b").filter("a <> b").distinct()
