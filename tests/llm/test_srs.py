@@ -49,3 +49,67 @@ def test_ties_copies_and_odd_vectors(spark):
 def test_chi_square_test():
     t = srs.stop_factor(srs.Params(m=8, p=0.95))
     assert abs(t - 15.507) < 1e-3
+
+
+def test_double_precision_and_extreme_lengths(spark):
+    """Doubles stay doubles: tiny and huge vectors count, and differences below single precision decide."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=6)
+    rows = [(i, (base + rng.normal(size=6) * 1e-9 * (i + 1)).tolist()) for i in range(40)]
+    rows += [(100 + i, (rng.normal(size=6) * 10.0 ** s).tolist()) for i, s in enumerate((-200, -60, 0, 60, 200))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in srs.nearest(df, df).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(got) == {r[0] for r in rows}
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    v = v / np.abs(v).max(1)[:, None]
+    want = brute(ids, v, [int(i) for i in ids], 5)
+    for q, w in want.items():
+        assert np.allclose([got[q][k + 1][1] for k in range(5)], [x[1] for x in w], rtol=0, atol=1e-15)
+
+
+def test_cells_are_handed_out_once_for_their_own_chunks(spark):
+    """Cell rows searched: once a cell, and once more for each further chunk of that cell's own queries."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(2000)], "vec_id long, embedding array<float>").cache()
+    handed = {}
+    keep = srs.search
+    for chunk in (20, 100, 4096):
+        p = srs.Params(cell_rows=128, chunk=chunk)
+        seen = spark.sparkContext.accumulator(0)
+        asked = spark.sparkContext.accumulator(0)
+
+        def counted(cell, queries, p_, t, kind="<f4", seen=seen, asked=asked):
+            seen.add(len(cell))
+            asked.add(len(queries))
+            return keep(cell, queries, p_, t, kind)
+
+        srs.search = counted
+        try:
+            n = srs.nearest(df, df.filter("vec_id % 10 = 0"), p).collect()
+        finally:
+            srs.search = keep
+        assert len(n) == 200 * 5
+        handed[chunk] = (seen.value, asked.value)
+    rows_of_a_cell = 2000 / 16 * 2  # cells are about even
+    for chunk, (rows, visits) in handed.items():
+        assert rows <= 2 * 2000 + rows_of_a_cell * visits / chunk  # two rounds over the cells, more only for full chunks
+    assert handed[4096][0] <= 2 * 2000
+
+
+def test_walk_finds_every_cell_within_reach():
+    rng = np.random.default_rng(6)
+    p = srs.Params(m=4)
+    x = rng.normal(size=(600, 4))
+    tree = srs.top_tree(x, 5)
+    cell = srs.cell_of(x, tree)
+    boxes = [(c, x[cell == c].min(0), x[cell == c].max(0)) for c in np.unique(cell)]
+    bound = np.where(np.arange(50) % 5 == 0, np.inf, rng.random(50))
+    i, c = srs.reached(x[:50], bound, tree)
+    got = set(zip(i.tolist(), c.tolist()))
+    for k in range(50):
+        for name, low, high in boxes:
+            if srs.box_distance2(x[k : k + 1], low[None], high[None])[0, 0] < bound[k]:
+                assert (k, int(name)) in got
+    assert len(got) == len(i) and p.m == 4

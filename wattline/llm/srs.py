@@ -12,7 +12,13 @@ On Spark the upper kd-tree is fitted on a bounded sample of projections
 (`sample` rows) and deals every vector to a cell of about `cell_rows`; each task
 builds the rest of the tree for its cell.  A query first searches its own cell;
 its k-th distance then tells by the same test which other cells' boxes can hold
-more, and only those are searched.  Queries of a cell are taken in chunks.
+more - found by a walk down the upper tree, some queries at a time - and only those
+are searched.  A cell with more than `chunk` queries is handed out once for each
+chunk of its own queries, any other once.
+
+Components keep the type they come in; double-precision vectors are indexed and
+scored as such.  Vectors are scaled by a power of two before anything is squared,
+so very small and very large ones count like any other.
 
 Equal vectors are indexed once, with their k+1 smallest ids: more can never be
 among the k nearest.  All rows are indexed.
@@ -71,6 +77,12 @@ def directions(dim: int, p: Params) -> np.ndarray:
     return np.random.default_rng([p.seed, dim]).normal(size=(dim, p.m))
 
 
+def unpacked(rows, kind: str) -> np.ndarray:
+    """Packed vectors of one dimension as rows in double precision, each scaled by a power of two."""
+    v = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
 def project(vectors: np.ndarray, p: Params) -> np.ndarray:
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     return unit @ directions(vectors.shape[1], p)
@@ -130,9 +142,29 @@ def box_distance2(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
-def search(cell: pd.DataFrame, queries: pd.DataFrame, p: Params, t: float) -> pd.DataFrame:
+def reached(points: np.ndarray, bound2: np.ndarray, tree: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(point, cell) of the cells whose part of space lies nearer to the point than its squared bound: a walk down
+    the tree that takes a far side only where it is near enough."""
+    at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+    off, dist = np.zeros_like(points), np.zeros(len(points))
+    if tree:
+        axis, cut = np.array([t[0] for t in tree]), np.array([t[1] for t in tree])
+        for _ in range(len(tree).bit_length()):
+            a, row = axis[node], np.arange(len(at))
+            gap = points[at, a] - cut[node]
+            side = gap >= 0
+            far = dist - off[row, a] ** 2 + gap**2
+            go = np.flatnonzero(far < bound2[at])
+            away = off[go]
+            away[np.arange(len(go)), a[go]] = gap[go]
+            at, off, dist = np.r_[at, at[go]], np.r_[off, away], np.r_[dist, far[go]]
+            node = np.r_[2 * node + 1 + side, (2 * node + 2 - side)[go]]
+    return at, node - len(tree)
+
+
+def search(cell: pd.DataFrame, queries: pd.DataFrame, p: Params, t: float, kind: str = "<f4") -> pd.DataFrame:
     """The k nearest of a cell for each query (with bound d2: only what is nearer than that)."""
-    v = np.stack([np.frombuffer(b, np.float32) for b in cell["vec"]]).astype(np.float64)
+    v = unpacked(cell["vec"], kind)
     pts = np.stack([np.frombuffer(b, np.float64) for b in cell["proj"]])
     ids = [np.asarray(x) for x in cell["ids"]]
     tree = Leaves(pts, p.leaf)
@@ -141,7 +173,7 @@ def search(cell: pd.DataFrame, queries: pd.DataFrame, p: Params, t: float) -> pd
     lone = np.array([x[0] if len(x) == 1 else np.iinfo(np.int64).min for x in ids])
     least = np.array([x[0] for x in ids])
     out: list[tuple[int, int, float]] = []
-    qv = np.stack([np.frombuffer(b, np.float32) for b in queries["vec"]]).astype(np.float64)
+    qv = unpacked(queries["vec"], kind)
     qp = np.stack([np.frombuffer(b, np.float64) for b in queries["proj"]])
     bound, qid = queries["d2"].to_numpy(np.float64), queries["query_id"].to_numpy()
     for lo in range(0, len(qv), 512):
@@ -178,21 +210,28 @@ def _usable(vec: Column) -> Column:
     return vec.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
-def _projected(p: Params, trees: dict[int, list[tuple[int, float]]]):
+def _projected(p: Params, trees: dict[int, list[tuple[int, float]]], kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, part in pdf.groupby(pdf["vec"].map(len), sort=False):
+                dim = size // np.dtype(kind).itemsize
+                x = project(unpacked(part["vec"], kind), p)
+                yield part.assign(proj=[r.tobytes() for r in x], dim=dim, cell=cell_of(x, trees.get(dim, [])), coords=list(x))
+
+    return run
+
+
+def _packed(kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, part in pdf.groupby(pdf["vec"].map(len), sort=False):
-                v = np.stack([np.frombuffer(b, np.float32) for b in part["vec"]]).astype(np.float64)
-                x = project(v, p)
-                part = part.assign(proj=[r.tobytes() for r in x], dim=dim // 4, cell=cell_of(x, trees.get(dim // 4, [])), coords=list(x))
-                yield part
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "vec": [np.asarray(v, kind).tobytes() for v in pdf["vec"]]})
 
     return run
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"vec_id": pdf["vec_id"], "vec": [np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]})
+def _single(df: DataFrame) -> bool:
+    """Whether the components are single precision."""
+    return df.schema["embedding"].dataType.simpleString() == "array<float>"
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -202,47 +241,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Dat
     """For each row of queries (vec_id, embedding) its k nearest of vectors (vec_id, embedding) other than
     itself: query_id, rank, vec_id, score (cosine in double precision)."""
     t = stop_factor(p)
+    kind, sql = ("<f4", "float") if _single(vectors) and _single(queries) else ("<f8", "double")
+    width = np.dtype(kind).itemsize
 
     def usable(df: DataFrame) -> DataFrame:
-        # components are single precision; double-precision input is rounded to it once
-        cols = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
-        return cols.filter(F.col("vec_id").isNotNull() & _usable(F.col("vec"))).mapInPandas(_packed, "vec_id long, vec binary").distinct()
+        cols = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{sql}>").alias("vec"))
+        return cols.filter(F.col("vec_id").isNotNull() & _usable(F.col("vec"))).mapInPandas(_packed(kind), "vec_id long, vec binary").distinct()
 
     few = Window.partitionBy("vec").orderBy("vec_id")
     index = usable(vectors).withColumn("nr", F.row_number().over(few)).filter(F.col("nr") <= p.k + 1)
     index = materialize(index.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "srs-vectors")
-    counts = {r["dim"]: r["n"] for r in index.groupBy((F.octet_length("vec") / 4).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["dim"]: r["n"] for r in index.groupBy((F.octet_length("vec") / width).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     trees: dict[int, list[tuple[int, float]]] = {}
     for dim, n in counts.items():
         depth = max(0, math.ceil(math.log2(n / p.cell_rows))) if n else 0
         if depth:
             share = F.lit(min(1.0, p.sample / n) * (1 << 20))
-            got = index.filter((F.octet_length("vec") == 4 * dim) & (F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < share)).select("vec").limit(2 * p.sample).toPandas()
-            got = np.stack([np.frombuffer(b, np.float32) for b in sorted(got["vec"])]).astype(np.float64)
-            trees[dim] = top_tree(project(got, p), depth)
+            got = index.filter((F.octet_length("vec") == width * dim) & (F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < share)).select("vec").limit(2 * p.sample).toPandas()
+            trees[dim] = top_tree(project(unpacked(sorted(got["vec"]), kind), p), depth)
     coords = "proj binary, dim int, cell long, coords array<double>"
-    placed = materialize(index.mapInPandas(_projected(p, trees), f"vec binary, ids array<long>, {coords}"), "srs-cells")
-    asked = usable(queries).withColumnRenamed("vec_id", "query_id").mapInPandas(_projected(p, trees), f"query_id long, vec binary, {coords}").drop("coords")
+    placed = materialize(index.mapInPandas(_projected(p, trees, kind), f"vec binary, ids array<long>, {coords}"), "srs-cells")
+    asked = usable(queries).withColumnRenamed("vec_id", "query_id").mapInPandas(_projected(p, trees, kind), f"query_id long, vec binary, {coords}").drop("coords")
     asked = materialize(asked, "srs-queries")
     boxes = placed.groupBy("dim", "cell").agg(*[f(F.col("coords")[j]).alias(f"{n}{j}") for n, f in (("lo", F.min), ("hi", F.max)) for j in range(p.m)]).toPandas()
     placed = placed.drop("coords")
 
     def hunt(q: DataFrame) -> DataFrame:
-        """Search cells: rows of q (dim, cell, chunk, query_id, vec, proj, d2)."""
+        """Search cells: rows of q (dim, cell, query_id, vec, proj, d2), a cell's queries in chunks of its own."""
+        sizes = q.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / p.chunk).alias("chunks"))  # a row for each cell
+        q = q.join(sizes, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        q = materialize(q.select("dim", "cell", "chunk", "query_id", "vec", "proj", "d2"), "srs-hunt")
         where = q.select("dim", "cell", "chunk").distinct().toDF("to_dim", "to_cell", "to_chunk")
         there = placed.join(where, (F.col("dim") == F.col("to_dim")) & (F.col("cell") == F.col("to_cell")))
 
         def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            return search(left, right, p, t)
+            return search(left, right, p, t, kind)
 
         return there.groupBy("to_dim", "to_cell", "to_chunk").cogroup(q.groupBy("dim", "cell", "chunk")).applyInPandas(run, FOUND)
 
-    chunks = max(1, math.ceil(asked.count() / p.chunk))
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk")
-    columns = ["dim", "cell", "chunk", "query_id", "vec", "proj", "d2"]
-    home = asked.withColumn("d2", F.lit(float("inf"))).withColumn("chunk", chunk)
+    columns = ["dim", "cell", "query_id", "vec", "proj", "d2"]
+    home = asked.withColumn("d2", F.lit(float("inf")))
     first = materialize(hunt(home.select(columns)), "srs-first")
     kth = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = first.withColumn("nr", F.row_number().over(kth)).filter(F.col("nr") == p.k)
@@ -250,20 +290,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> Dat
     reach = ranked.select("query_id", F.greatest(F.lit(0.0), F.lit(2.0) - 2 * F.col("score")).alias("d2") + F.lit(1e-12))
     reach = reach.toDF("query_id", "d2")
     again = asked.join(reach, "query_id", "left").withColumn("d2", F.coalesce("d2", F.lit(float("inf"))))
-    low, high = (boxes[[f"{n}{j}" for j in range(p.m)]].to_numpy(np.float64) for n in ("lo", "hi"))
-    of_dim, of_cell = boxes["dim"].to_numpy(), boxes["cell"].to_numpy()
+    box = {d: (g["cell"].to_numpy(), *(g[[f"{n}{j}" for j in range(p.m)]].to_numpy(np.float64) for n in ("lo", "hi"))) for d, g in boxes.groupby("dim")}
+    few_queries = max(16, 4_000_000 // max(1, len(boxes)))  # even if all cells are within reach
 
     def onward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pts = np.stack([np.frombuffer(b, np.float64) for b in pdf["proj"]]) if len(pdf) else np.empty((0, p.m))
-            near = box_distance2(pts, low, high) < t * pdf["d2"].to_numpy()[:, None]
-            near &= of_dim[None] == pdf["dim"].to_numpy()[:, None]
-            near &= of_cell[None] != pdf["cell"].to_numpy()[:, None]
-            i, j = np.nonzero(near)
-            yield pdf.iloc[i].assign(cell=of_cell[j])
+            for dim, part in pdf.groupby("dim", sort=False):
+                if dim not in box:
+                    continue
+                cells, low, high = box[dim]
+                nr = np.full(1 << max(0, len(trees.get(dim, [])).bit_length()), -1)
+                nr[cells] = np.arange(len(cells))
+                for lo in range(0, len(part), few_queries):
+                    some = part.iloc[lo : lo + few_queries]
+                    pts, bound2 = np.stack([np.frombuffer(b, np.float64) for b in some["proj"]]), t * some["d2"].to_numpy(np.float64)
+                    i, cell = reached(pts, bound2, trees.get(dim, []))
+                    ok = (cell != some["cell"].to_numpy()[i]) & (nr[cell] >= 0)
+                    i, cell = i[ok], cell[ok]
+                    gap = np.maximum(np.maximum(low[nr[cell]] - pts[i], pts[i] - high[nr[cell]]), 0.0)
+                    ok = (gap**2).sum(1) < bound2[i]
+                    yield some.iloc[i[ok]].assign(cell=cell[ok])
 
     rest = again.select("dim", "cell", "query_id", "vec", "proj", "d2").mapInPandas(onward, "dim int, cell long, query_id long, vec binary, proj binary, d2 double")
-    rest = materialize(rest.withColumn("chunk", chunk).select(columns), "srs-visits")
+    rest = materialize(rest.select(columns), "srs-visits")
     found = first if rest.isEmpty() else first.union(hunt(rest))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     out = best.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") <= p.k)
