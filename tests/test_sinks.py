@@ -19,7 +19,7 @@ def test_append_prune_and_export(spark, tmp_path):
     ingest.append(_log(spark), path)
     parts = sorted(p for p in os.listdir(path) if p.startswith("date="))
     assert parts == ["date=2024-01-01", "date=2024-01-02", "date=2024-01-03", "date=2024-01-04"]
-    dropped = sinks.prune_log(spark, path, keep_days=2, as_of=dt.date(2024, 1, 4))
+    dropped = sinks.prune_log(spark, path, dt.date(2024, 1, 4), keep_days=2)
     assert dropped == ["date=2024-01-01"]
     assert spark.read.parquet(path).count() == 9
 
@@ -44,3 +44,12 @@ def test_import_anti_join_prunes_log_partitions(spark, tmp_path):
     assert new.count() == 0                                  # 2024-01-03 08:00:00 is already in the log
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower() or "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_a_literal_now_prunes(spark, tmp_path):
+    """retain_since with a literal as_of is pushed down to the scan."""
+    path = str(tmp_path / "log")
+    _log(spark).write.parquet(path)
+    df = sinks.retain_since(spark.read.parquet(path), 2, dt.datetime(2024, 1, 4, 8, 2))
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 7

@@ -1,7 +1,7 @@
 """Fixed values that must equal the reference's for matching results.
 
 FIXED VALUES — stated plainly, in their natural order.  These are data
-(thresholds, rule texts, hourly shares, the weekly timetable), not logic.
+(thresholds, rule texts, hourly shares), not logic.  The weekly timetable is this library's own.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ PROFILE_ZERO_DAY_TEXTS = [
 PROFILE_PEAK_TEXT = "Peak usage expected around {hour}:00 ({watts} W)."
 PROFILE_HIGH_TEXT = "Projected {kwh} kWh — consider turning off AC during unscheduled hours."
 PROFILE_LOW_TEXT = "Low energy day projected based on historical patterns."
-PROFILE_NORMAL_TEXT = "Normal {day} usage projected."
 
 # --- Hourly shares of the daily total, hours 0..23, by room type.
 HOURLY_PATTERN_LAB = [

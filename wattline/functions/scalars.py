@@ -88,11 +88,6 @@ def safe_float(x: Column | str, default: float = 0.0) -> Column:
     return F.when(~s.rlike(FLOAT_TEXT) | s.isNull(), F.lit(default)).otherwise(v)
 
 
-def clean_key(x: Column | str) -> Column:
-    """key as trimmed text (a real null stays null)."""
-    return F.trim(_c(x).cast("string"))
-
-
 # --- F6-F12: calendar and room features ---------------------------------------
 
 def weekday_mon0(d: Column | str) -> Column:
@@ -122,11 +117,6 @@ def cyclic(x: Column, period: float) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def quarter_of(d: Column | str) -> Column:
-    """F8: (month - 1) // 3 + 1."""
-    return F.quarter(_c(d))
-
-
 def floor_of_room(room: Column | str) -> Column:
     """first character of the trimmed room if it is a digit, else 0."""
     r = F.trim(_c(room).cast("string"))
@@ -154,11 +144,6 @@ def room_type_numeric(room_type: Column) -> Column:
     return F.when(room_type == "lab", F.lit(1)).otherwise(F.lit(0))
 
 
-def hour_bucket(ts: Column | str) -> Column:
-    """timestamp truncated to the hour."""
-    return F.date_trunc("hour", _c(ts))
-
-
 def quarter_hour_label(ts: Column | str) -> Column:
     """15-minute slot label 'HH:MM' within the day."""
     c = _c(ts)
@@ -262,9 +247,3 @@ def day_name(d: Column) -> Column:
     """English weekday name."""
     names = F.array(*[F.lit(n) for n in fixed.WEEKDAY_NAMES])
     return F.element_at(names, weekday_mon0(d) + 1)
-
-
-def estimate_cost(kwh: Column, rate: Column | float = fixed.DEFAULT_RATE) -> Column:
-    """kWh x rate, rounded to centavos."""
-    r = rate if isinstance(rate, Column) else F.lit(float(rate))
-    return F.round(kwh * r, 2)

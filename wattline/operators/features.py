@@ -95,13 +95,6 @@ def invalid_counts(cleaned_input: DataFrame) -> DataFrame:
     )
 
 
-def mode_lowest(col: str, empty: str = "unknown") -> Column:
-    """A2 as one aggregate: most common value, lowest on ties, 'unknown' if none.
-
-    Convenient for small groups; ``daily_totals`` uses the two-level form."""
-    return F.coalesce(F.mode(col, True), F.lit(empty))
-
-
 #: Optional columns averaged per day, with their stored decimals.
 _MEANS = {"voltage": exact.VOLTAGE, "current": exact.CURRENT}
 
@@ -248,8 +241,8 @@ def range_table(spark, ranges=fixed.DEFAULT_ROOM_RANGES) -> DataFrame:
 
 def filter_room_ranges(daily: DataFrame, ranges=fixed.DEFAULT_ROOM_RANGES, floors=(1, 7)) -> DataFrame:
     """P0d: per-floor inclusive numeric room range; non-numeric rooms and unlisted
-    floors drop out.  The range table is a fixed handful of rows: broadcast."""
-    r = F.broadcast(range_table(daily.sparkSession, ranges))
+    floors drop out.  How the range table travels is left to its size."""
+    r = range_table(daily.sparkSession, ranges)
     num = F.col("room").try_cast("int")
     d = filter_floors(daily, floors)
     return d.join(r, (d["floor"] == r["floor"]) & num.between(r["lo"], r["hi"]), "left_semi")
@@ -275,7 +268,7 @@ def room_union(rooms: DataFrame, ranges=fixed.DEFAULT_ROOM_RANGES) -> DataFrame:
 def room_intersect(rooms: DataFrame, ranges=fixed.DEFAULT_ROOM_RANGES) -> DataFrame:
     """Rooms of the data that are also allowed; the allowed list if none are."""
     allowed = default_rooms(rooms.sparkSession, ranges)
-    both = rooms.select("room").distinct().join(F.broadcast(allowed), "room", "left_semi").withColumn("_real", F.lit(1))
+    both = rooms.select("room").distinct().join(allowed, "room", "left_semi").withColumn("_real", F.lit(1))
     u = both.unionByName(allowed.withColumn("_real", F.lit(0)))
     u = u.withColumn("_any", F.max("_real").over(Window.partitionBy()))     # at most the allowed list + data rooms
     out = u.where((F.col("_real") == 1) | (F.col("_any") == 0)).select("room")

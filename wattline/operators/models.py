@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cyclic, floor_of_room, room_type_from_prefix, weekday_mon0
+from ..functions.scalars import cyclic, floor_of_room, room_type_from_prefix, week_of_month_factor, weekday_mon0
 from . import features as feat
 
 BASIC_FEATURES = ["year", "month", "day", "day_of_week", "is_weekend", "month_sin", "month_cos", "floor"]
@@ -205,6 +205,5 @@ def grid_features(grid: DataFrame) -> DataFrame:
 
 def model_kwh_e4(prediction: Column) -> Column:
     """max(0, prediction) x the model path's week-of-month factor, in 1e-4 kWh."""
-    day = F.dayofmonth("date")
-    factor = F.when(day <= 7, 0.98).when(day <= 14, 1.0).when(day <= 21, 1.02).otherwise(0.97)
+    factor = week_of_month_factor(F.dayofmonth("date"))
     return F.round(F.greatest(prediction, F.lit(0.0)) * factor * 10000).cast("long")

@@ -99,19 +99,36 @@ def weekly_trend(daily: DataFrame, value_col: str = "energy_kwh") -> DataFrame:
     return out.select("room", "week", exact.units_rounded(F.col("week_total"), exact.ENERGY, 4).alias("week_total"), "change_pct", text.alias("message"))
 
 
+_COMPARES = {">": lambda v, t: v > t, ">=": lambda v, t: v >= t, "<": lambda v, t: v < t, "<=": lambda v, t: v <= t}
+
+
+def _fires(value: Column, rule: Column) -> Column:
+    out = F.lit(False)
+    for op, compare in _COMPARES.items():
+        out = F.when(rule["op"] == op, compare(value, rule["threshold"])).otherwise(out)
+    return out
+
+
 def alerts_multi(daily: DataFrame, alerts_df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """N1 for several kinds in one pass: ``kinds`` maps a notification type to
-    its value column; one output row per (daily row, kind) that fires."""
+    its value column; one output row per (daily row, kind) that fires.
+
+    A rule compares with its own ``op`` (``>``, ``>=``, ``<``, ``<=``); one without a comparison or
+    a threshold never fires.  The strongest that fires counts: of upper bounds the highest, of lower
+    bounds the lowest, upper before lower, then file order."""
     # one generator over the daily rows instead of a union of per-kind filters,
     # so the daily table is produced once
     packed_cols, fired_cols = {}, []
     for kind, col in kinds.items():
-        mine = alerts_df.where((F.col("notification_type") == kind) & (F.col("is_active") == 1))
-        packed = F.struct((-F.col("threshold")).alias("down"), "rule_order", "threshold", "message", "priority")
+        usable = F.col("threshold").isNotNull() & F.col("op").isin(*_COMPARES)
+        mine = alerts_df.where((F.col("notification_type") == kind) & (F.col("is_active") == 1) & usable)
+        below = F.col("op").startswith("<")
+        packed = F.struct(below.alias("below"), F.when(below, F.col("threshold")).otherwise(-F.col("threshold")).alias("reach"),
+                          "rule_order", "threshold", "message", "priority", "op")
         packed_cols[f"_rules_{kind}"] = mine.agg(F.array_sort(F.collect_list(packed))).scalar()      # strongest first
         arr = F.col(f"_rules_{kind}")
         v = F.col(col)
-        top = F.try_element_at(F.filter(arr, lambda r: v > r["threshold"]), F.lit(1))
+        top = F.try_element_at(F.filter(arr, lambda r: _fires(v, r)), F.lit(1))
         fired_cols.append(F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"), top.alias("top")))
     d = daily.withColumns(packed_cols).select("room", "date", F.explode(F.array(*fired_cols)).alias("f")).where(F.col("f.top").isNotNull())
     value_txt = F.regexp_replace(F.format_number(F.col("f.value"), 2), ",", "")

@@ -18,20 +18,15 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..functions.scalars import parse_reading_ts, safe_float
-from . import tables
+from . import csv, tables
 
 IMPORT_COLUMNS = ["Date", "Time", "Voltage(V)", "Current(A)", "Power(W)", "Energy(kWh)"]
 
 def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headered CSV (a UTF-8 BOM is stripped by the reader), all columns text, taken by
-    header name (blanks around names do not count, missing columns are null), plus the
-    order (``line_no``) that first-wins de-duplication needs: file, place in it, line.
-    Files of one import must share their header; another one is an error, not a shift."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
-    by_name = {c.strip().lstrip("\ufeff"): c for c in df.columns}
-    cols = [(F.col(f"`{by_name[c]}`") if c in by_name else F.lit(None)).cast("string").alias(c) for c in IMPORT_COLUMNS]
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
-    return df.select(*cols, order.alias("line_no"))
+    """Headered CSV files, all columns text, taken by header name file by file (missing columns
+    are null), plus the order (``line_no``) that first-wins de-duplication needs: file, place in it, line."""
+    df = csv.read_text_columns(spark, path, IMPORT_COLUMNS, required=False)
+    return df.select(*[F.col(f"`{c}`") for c in IMPORT_COLUMNS], F.struct(F.col("_file").alias("file"), F.col("_at").alias("at"), F.col("_line").alias("line")).alias("line_no"))
 
 
 def import_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,9 +39,12 @@ def payload_text(readings: DataFrame) -> DataFrame:
 
 
 def parse_payload(df: DataFrame, text: str = "text", ingest_ts: Column | None = None) -> DataFrame:
-    """F13/F14/F15 (+F24): numbers (absent -> null), status flags, device time."""
+    """F13/F14/F15 (+F24): numbers (absent -> null), status flags, device time.
+
+    ``ingest_ts``: the time of a payload whose own time is absent or unreadable (without it: null; the
+    parser reads no clock)."""
     t = F.col(text)
-    fallback = ingest_ts if ingest_ts is not None else F.current_timestamp()
+    fallback = ingest_ts if ingest_ts is not None else F.lit(None).cast("timestamp")
     st = payload_status(t)
     cols = {
         "voltage": payload_number(t, "voltage"),

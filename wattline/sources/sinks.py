@@ -88,20 +88,23 @@ def write_export(df: DataFrame, path: str) -> None:
         .write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
 
 
-def retain_since(df: DataFrame, keep_days: int = fixed.RETENTION_DAYS, as_of: Column | None = None,
+def retain_since(df: DataFrame, keep_days: int = fixed.RETENTION_DAYS, as_of: Column | _dt.datetime | None = None,
                  ts: str = "ts") -> DataFrame:
-    """Rows not older than ``keep_days`` before ``as_of`` (default: the newest row)."""
+    """Rows not older than ``keep_days`` before ``as_of`` (a literal prunes the scan; default: the newest row)."""
+    if isinstance(as_of, _dt.datetime):
+        return df.where(F.col(ts) >= F.lit(as_of - _dt.timedelta(days=keep_days)))
     now = as_of if as_of is not None else df.select(F.max(ts)).scalar()
     return df.where(F.col(ts) >= now - F.make_dt_interval(days=F.lit(keep_days)))
 
 
-def prune_log(spark, path: str, keep_days: int = fixed.RETENTION_DAYS, as_of: _dt.date | None = None) -> list[str]:
-    """S8 on the stored log: drop the ``date=`` partitions older than the cutoff.
+def prune_log(spark, path: str, as_of: _dt.date, keep_days: int = fixed.RETENTION_DAYS) -> list[str]:
+    """S8 on the stored log by whole days: drop the ``date=`` partitions older than the cutoff
+    (``log.retain`` keeps the cutoff's own day to the second).
 
     A metadata operation on the (shared) file system — no data is read or
     rewritten; returns the dropped partition names.
     """
-    cutoff = ((as_of or _dt.date.today()) - _dt.timedelta(days=keep_days)).isoformat()
+    cutoff = (as_of - _dt.timedelta(days=keep_days)).isoformat()
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
