@@ -75,3 +75,38 @@ def test_month_grid_and_default(spark):
     assert [r["rate"] for r in g] == [1.0, None, None, 2.0]
     d = tariff.default_rate_series(spark).orderBy("month").collect()
     assert len(d) == 60 and d[0]["rate"] == 11.0 and abs(d[-1]["rate"] - (11.0 + 0.08 * 59)) < 1e-12
+
+
+def test_estimated_parameters_are_not_above_the_grid(spark):
+    """A series made by the model itself fits without error; noise fits no worse than the grid; a gap, a short series."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    season = [float(x) for x in rng.normal(size=12)]
+    rows = []
+    for m in range(60):
+        month = dt.date(2019 + m // 12, m % 12 + 1, 1)
+        rows.append(("clean", month, 10 + 0.1 * m + season[m % 12]))
+        rows.append(("noisy", month, 10 + 0.05 * m + 0.5 * season[m % 12] + float(rng.normal())))
+        if m % 7 != 5:
+            rows.append(("gaps", month, 8 + 0.2 * m + float(rng.normal())))
+        if m < 20:
+            rows.append(("short", month, 5.0))
+    rates = spark.createDataFrame(rows, "series string, month date, rate double")
+    grid = {r["series"]: r for r in tariff.holt_winters_fit(rates).collect()}
+    est = {r["series"]: r for r in tariff.holt_winters_estimate(rates).collect()}
+    assert set(est) == set(grid) and est["short"]["alpha"] is None
+    assert est["clean"]["sse"] < 1e-18
+    for s in ("noisy", "gaps"):
+        assert est[s]["sse"] < 0.9 * grid[s]["sse"] and all(0 <= est[s][p] <= 1 for p in ("alpha", "beta", "gamma"))
+        assert est[s]["n_obs"] == grid[s]["n_obs"] and est[s]["aic"] < grid[s]["aic"]
+    # no triple of a fine random sample does better, each with its own best first state
+    y = np.array([r[2] for r in rows if r[0] == "noisy"])
+    best = tariff._best_states(y, rng.random((2000, 3)))[0].min()
+    assert est["noisy"]["sse"] <= best * (1 + 1e-3)
+    # the linear form is the fold: errors from a first state taken directly
+    x = rng.normal(size=14)
+    e = tariff._linear_errors(y, *np.array([[0.3], [0.1], [0.2]]))[0]
+    assert abs(((e[:, 0] + e[:, 1:] @ x) ** 2).sum() - tariff._fold(y, 0.3, 0.1, 0.2, x)[0]) < 1e-9
+    ahead = {r["month"]: r["rate"] for r in tariff.forecast_rates(tariff.holt_winters_estimate(rates).where("series = 'clean'"), 12).collect()}
+    assert all(abs(v - (10 + 0.1 * (60 + k) + season[(60 + k) % 12])) < 1e-6 for k, (_, v) in enumerate(sorted(ahead.items())))

@@ -173,6 +173,95 @@ def holt_winters_fit(rates: DataFrame, grid: dict | None = None, min_points: int
     return months.groupBy("series").applyInPandas(_fit_series(grid or DEFAULT_GRID, min_points), FIT)
 
 
+# The one-step errors of the fold are linear in its first state (level, trend, 12 seasonal terms), so for given
+# (alpha, beta, gamma) the best first state is a least-squares solution and only the three remain to be searched.
+
+def _linear_errors(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """Errors of the observed months for each triple: (triple, month, 1 + 14); the error for a first state x is
+    column 0 plus the other columns times x."""
+    a, b, g = (v[:, None] for v in (alpha, beta, gamma))
+    n, width = len(alpha), 3 + SEASON
+    level, trend, season = np.zeros((n, width)), np.zeros((n, width)), np.zeros((n, width, SEASON))
+    level[:, 1] = trend[:, 2] = 1.0
+    season[:, np.arange(3, width), np.arange(SEASON)] = 1.0
+    seen = np.zeros(width)
+    out = []
+    for i, v in enumerate(y):
+        k, ahead = i % SEASON, level + trend
+        if not np.isfinite(v):
+            level = ahead
+            continue
+        seen[0] = v
+        s = season[:, :, k].copy()
+        new = a * (seen - s) + (1.0 - a) * ahead
+        out.append(seen - (ahead + s))
+        trend = b * (new - level) + (1.0 - b) * trend
+        season[:, :, k] = g * (seen - new) + (1.0 - g) * s
+        level = new
+    return np.stack(out, axis=1)
+
+
+def _best_states(y: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SSE and first state of each (alpha, beta, gamma) row."""
+    e = _linear_errors(y, *triples.T)
+    x = -(np.linalg.pinv(e[:, :, 1:]) @ e[:, :, :1])
+    return ((e[:, :, :1] + e[:, :, 1:] @ x) ** 2).sum((1, 2)), x[:, :, 0]
+
+
+def _fold(y: np.ndarray, alpha: float, beta: float, gamma: float, first: np.ndarray) -> tuple[float, float, float, list[float]]:
+    """SSE and last state of the fold from a first state."""
+    level, trend, season, sse = float(first[0]), float(first[1]), [float(v) for v in first[2:]], 0.0
+    for i, v in enumerate(y):
+        k, ahead = i % SEASON, level + trend
+        if not np.isfinite(v):
+            level = ahead
+            continue
+        new = alpha * (v - season[k]) + (1.0 - alpha) * ahead
+        sse += (v - ahead - season[k]) ** 2
+        trend = beta * (new - level) + (1.0 - beta) * trend
+        season[k] = gamma * (v - new) + (1.0 - gamma) * season[k]
+        level = new
+    return sse, level, trend, season
+
+
+def _estimated(smallest: float):
+    moves = np.array(np.meshgrid(*[[-1.0, 0.0, 1.0]] * 3, indexing="ij")).reshape(3, -1).T
+
+    def fit(key: tuple, months: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(start) or not len(months) or pd.isna(start["alpha"].iloc[0]):
+            return start
+        y = months.sort_values("month")["rate"].to_numpy(np.float64)
+        here, step = start[["alpha", "beta", "gamma"]].iloc[0].to_numpy(np.float64), 0.1
+        best = _best_states(y, here[None])[0][0]
+        while step >= smallest:                    # a pattern search in the unit cube: 27 triples in one pass
+            around = np.unique(np.clip(here + step * moves, 0.0, 1.0), axis=0)
+            sse, _ = _best_states(y, around)
+            k = int(np.argmin(sse))
+            if sse[k] < best * (1 - 1e-9):
+                best, here = sse[k], around[k]
+            else:
+                step /= 2
+        first = _best_states(y, here[None])[1][0]
+        sse, level, trend, season = _fold(y, *here, first)
+        n, params = int(np.isfinite(y).sum()), 3 + 2 + SEASON
+        base = n * np.log(max(sse, 1e-300) / n)
+        return start.assign(alpha=here[0], beta=here[1], gamma=here[2], sse=sse, level=level, trend=trend, season=[season],
+                            aic=base + 2 * params, bic=base + params * np.log(float(n)))
+
+    return fit
+
+
+def holt_winters_estimate(rates: DataFrame, fit: DataFrame | None = None, smallest: float = 1e-4) -> DataFrame:
+    """M7 with estimated parameters and first states, started at the best of the grid (``fit``).
+
+    For each series (alpha, beta, gamma) are searched in the unit cube down to steps of ``smallest``; the first
+    state of every triple is its least-squares optimum.  The SSE is never above the grid's, whose first state is one
+    of those.  Same columns as ``holt_winters_fit``; series too short to fit stay without parameters."""
+    months = fill_month_grid(rates).select("series", "month", "rate")
+    start = fit if fit is not None else holt_winters_fit(rates)
+    return months.groupBy("series").cogroup(start.groupBy("series")).applyInPandas(_estimated(smallest), FIT)
+
+
 def forecast_rates(fit: DataFrame, horizon: int = 12) -> DataFrame:
     """M8: h-step forecasts level + h*trend + season[(n_steps + h - 1) mod 12], h = 1..horizon."""
     h = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")

@@ -267,6 +267,20 @@ def _holt_winters_fit(spark, sf_dir):
     return fit.withColumns({c: F.round(c, 8) for c in ("sse", "level", "trend", "aic", "bic")})
 
 
+@query("holt_winters_estimate")
+def _holt_winters_estimate(spark, sf_dir):
+    """M7 estimated: per series, what must hold of the estimate against the grid's fit."""
+    r = _tariff(spark, sf_dir)
+    grid = tariff.holt_winters_fit(r)
+    e = tariff.holt_winters_estimate(r, grid).select("series", "last_month", "n_obs", "n_steps", F.col("sse").alias("_e"), "alpha", "beta", "gamma", F.size("season").cast("long").alias("season_terms"))
+    inside = F.lit(True)
+    for c in ("alpha", "beta", "gamma"):
+        inside = inside & F.col(c).between(0, 1)
+    return e.join(grid.select("series", F.col("sse").alias("_g")), "series").select(
+        "series", "last_month", F.col("n_obs").cast("long").alias("n_obs"), F.col("n_steps").cast("long").alias("n_steps"), "season_terms",
+        (F.col("_e") <= F.col("_g")).alias("not_above_grid"), inside.alias("in_bounds"))
+
+
 @query("forecast_rates")
 def _forecast_rates(spark, sf_dir):
     """M8: 12 months ahead for every series."""
@@ -798,8 +812,9 @@ def _predict_model_check(spark, sf_dir):
     wd = scalars.weekday_mon0(F.col("date"))
     kwh = F.when(wd == 6, F.lit(0).cast("long")).when(wd == 5, F.when(scalars.room_type_from_prefix(F.col("room")) == "lab", 15000).otherwise(10000)) \
         .otherwise(models.model_kwh_e4(F.col("prediction")))
-    cost = F.round(kwh.cast("decimal(18,0)") * exact.units("rate", 4).cast("decimal(18,0)") / F.lit(10 ** 8).cast("decimal(18,0)"), 2).cast("double")
-    shown = F.round(kwh.cast("decimal(18,0)") / F.lit(10 ** 4).cast("decimal(18,0)"), 2).cast("double")
+    exactly = lambda units: (units / F.lit(10 ** 4)).cast("decimal(14,4)")
+    cost = F.round(exactly(kwh) * exactly(exact.units("rate", 4)), 2).cast("double")
+    shown = F.round(exactly(kwh), 2).cast("double")
     return p.groupBy("series", "is_weekend").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("room").alias("rooms"), F.countDistinct("date").alias("days"),
         F.count_if(F.col("total_daily_kwh") >= 0).alias("n_not_negative"), F.count_if(F.col("total_daily_kwh") == shown).alias("n_kwh"),

@@ -339,8 +339,8 @@ _SPLIT = "('0x' || substr(md5(room || '|' || strftime(date, '%Y-%m-%d')), 1, 8))
 oracle("kwh_model_check", with_training(f"""
 SELECT count(*) FILTER (WHERE {_SPLIT}) AS n,
        'year,month,day,day_of_week,is_weekend,month_sin,month_cos,day_sin,day_cos,quarter,is_holiday,floor,room_type_numeric,room_encoded' AS features,
-       count(DISTINCT room) FILTER (WHERE NOT {_SPLIT}) AS rooms, true AS same_when_loaded, true AS top_in_order,
-       true AS mae_below_rmse, true AS has_r2, 1.0::DOUBLE AS importances, 14::BIGINT AS n_importances
+       count(DISTINCT room) FILTER (WHERE NOT {_SPLIT}) AS rooms, 1::BIGINT AS same_when_loaded, 1::BIGINT AS top_in_order,
+       1::BIGINT AS mae_below_rmse, 1::BIGINT AS has_r2, 1.0::DOUBLE AS importances, 14::BIGINT AS n_importances
 FROM daily"""))
 
 
@@ -1034,6 +1034,11 @@ SELECT series, strftime(last_month, '%Y-%m-%d') AS last_month, a AS alpha, b AS
        round(nobs * ln(greatest(sse, 1e-300) / nobs) + 17.0 * ln(CAST(nobs AS DOUBLE)), 8) AS bic
 FROM hw_best"""))
 
+oracle("holt_winters_estimate", with_hw("""
+SELECT series, strftime(last_month, '%Y-%m-%d') AS last_month, CAST(nobs AS BIGINT) AS n_obs, CAST(i AS BIGINT) AS n_steps,
+       12::BIGINT AS season_terms, 1::BIGINT AS not_above_grid, 1::BIGINT AS in_bounds
+FROM hw_best"""))
+
 oracle("forecast_rates", with_hw("""
 SELECT series, strftime(CAST(last_month + h * INTERVAL 1 MONTH AS DATE), '%Y-%m-%d') AS month, CAST(h AS BIGINT) AS horizon,
        round(l + h * t + s[(i + h - 1) % 12 + 1], 8) AS rate
