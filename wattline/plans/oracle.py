@@ -865,6 +865,14 @@ SELECT room, {sql_ts("date_trunc('hour', ts)")} AS window_start, {mean_shown('po
        {shown('max(power)', 4, 2)} AS max_power, CAST(sum(CAST(energy_kwh AS DECIMAL(18,8))) AS DOUBLE) AS energy_kwh, count(power) AS n_readings
 FROM readings_base GROUP BY room, date_trunc('hour', ts)"""))
 
+oracle("stream_hourly_counter", with_readings(f"""
+SELECT room, {sql_ts("date_trunc('hour', ts)")} AS window_start, {mean_shown('power', 4, 2)} AS avg_power,
+       {mean_shown('voltage', 4, 4)} AS avg_voltage, {mean_shown('current', 6, 6)} AS avg_current,
+       {shown('max(power)', 4, 2)} AS max_power,
+       (round(max(energy_counter_kwh) * 100000000)::BIGINT - round(min(energy_counter_kwh) * 100000000)::BIGINT)::DOUBLE / 100000000 AS energy_kwh,
+       count(power) AS n_readings
+FROM readings GROUP BY room, date_trunc('hour', ts)"""))
+
 oracle("stream_15min", with_readings(f"""
 SELECT room, {sql_ts("date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE")} AS window_start,
        {mean_shown('power', 4, 2)} AS avg_power, {mean_shown('voltage', 4, 4)} AS avg_voltage, {mean_shown('current', 6, 6)} AS avg_current,

@@ -143,7 +143,14 @@ def stream_readings(payloads: DataFrame, watermark: str = WATERMARK) -> DataFram
 
 def stream_window_rollup(readings: DataFrame, window: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
     """Tumbling window per room: mean power, voltage and current, maximum power and
-    the energy metered in the window (exact), rows."""
+    the energy metered in the window (exact), rows.
+
+    Readings that carry the meter's counter (``energy_counter_kwh``) give its MAX - MIN, as the batch
+    rollups do; else the increments are added up."""
+    counter = "energy_counter_kwh" in readings.columns
+    energy = F.max(exact.units("energy_counter_kwh", exact.ENERGY)) - F.min(exact.units("energy_counter_kwh", exact.ENERGY)) \
+        if counter else exact.total(exact.units("energy_kwh", exact.ENERGY))
+
     def u(c, d):
         return exact.total(exact.units(F.col(c), d))
 
@@ -151,7 +158,7 @@ def stream_window_rollup(readings: DataFrame, window: str = "1 hour", watermark:
         u("power", exact.POWER).alias("_p"), F.count("power").alias("n_readings"),
         u("voltage", exact.VOLTAGE).alias("_v"), F.count("voltage").alias("_nv"),
         u("current", exact.CURRENT).alias("_c"), F.count("current").alias("_nc"),
-        F.max(exact.units(F.col("power"), exact.POWER)).alias("_mp"), u("energy_kwh", exact.ENERGY).alias("_e"),
+        F.max(exact.units(F.col("power"), exact.POWER)).alias("_mp"), energy.alias("_e"),
     )
     return g.select(
         "room", F.col("w.start").alias("window_start"),
