@@ -67,8 +67,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack_sequences", pack_sequences),
 ]
 
-#: Training and hashing by sketches have no SQL form; tests hold near_duplicates against all pairs and
-#: pack_sequences against the tokenizer, and bound the rows of the other stages without a plain version of them.
+#: Training and hashing by sketches have no SQL form; tests hold each stage against a plain version: a loop over
+#: documents, all pairs, naive replacement, a queue served word by word, the tokenizer.
 ORACLE_SQL: str | None = None
 
 

@@ -37,3 +37,25 @@ def test_nothing_to_learn_and_empty_table(spark):
     one = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert [r.langid.lang for r in langid.identify(one, model).collect()] == ["und"]
     assert langid.identify(one.limit(0), model).count() == 0
+
+
+def test_scores_equal_a_naive_mean_of_grams():
+    """Gram by gram in a loop: mean of the table's rows of all 1- to 4-grams, plus the bias, through the softmax."""
+    texts = ["the quick brown fox jumps over the dog", "der schnelle braune fuchs springt über den hund"] * 40
+    p = langid.Params(epochs=2, bits=12)
+    model = langid.fit(texts, ["en", "de"] * 40, p)
+    some = ["The fox, 42 dogs", "über den Hund", "ß", "a", "fox" * 500, "日本 fox", "x-y_z"]
+    langs, scores = langid.predict(model, some)
+    for text, lang, score in zip(some, langs, scores):
+        raw = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in b" " + text.lower().encode() + b"    ")
+        rows = []
+        for i in range(len(raw)):
+            for k in range(1, 5):
+                gram = raw[i : i + k]
+                if len(gram) < k or set(gram) == {0x20} or 0x20 in gram[1:-1]:
+                    continue  # nothing but borders, or a border inside
+                h = int.from_bytes(gram, "little") * langid._MULTIPLIERS[k - 1] & 0xFFFFFFFF
+                rows.append(model.table[h >> (32 - model.bits)].astype(float))
+        z = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        prob = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert lang == model.langs[int(prob.argmax())] and abs(score - prob.max()) < 1e-5

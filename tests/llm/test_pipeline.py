@@ -82,3 +82,62 @@ def test_near_duplicates_against_brute_force(spark):
         place.setdefault(r, up[i])
     kept = [place[r.doc_id, r.text] for r in got if (r.text or "").strip()]
     assert len(kept) == len(set(kept))
+
+
+def test_language_id_against_a_loop(spark):
+    """Each document by itself through the trained model: those it rejects go, all others stay as they are."""
+    from pyspark.sql import functions as F
+
+    from wattline.llm import langid
+    from wattline.llm.common import crc_mod
+
+    docs = table(spark, SF, "documents")
+    odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "12 34 !!", "en", "s", 8), (-3, "zzqx wvut qqqx", None, None, 14), (None, "the and of", None, "s", 1)], docs.schema)
+    model = langid.train(docs.select("doc_id", "text", "lang").filter(crc_mod(F.col("doc_id"), 5) != 0))
+    want = []
+    for r in docs.union(odd).collect():
+        (lang,), (score,) = langid.predict(model, [r.text])
+        if lang != "und" and score >= model.threshold:
+            want.append(tuple(r))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = [tuple(r) for r in cp.language_id(spark, docs.union(odd), SF).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 150
+
+
+def test_personal_data_against_naive_replacement(spark):
+    """Every address replaced one by one; rows, order of columns and lengths follow."""
+    from wattline.llm import pii
+
+    rows = [(i, f"note {i} from u{i % 7}@mail{i % 3}.org and u{(i + 1) % 7}@mail0.org", "en", "s", 1) for i in range(60)] + [(100, None, "en", "s", None), (101, "clean text", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    forms = sorted({m for r in rows for m in re.findall(r"\S+@\S+", r[1] or "")})
+    to = {r.form: r.replacement for r in pii.dictionary(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
+    want = []
+    for d, text, lang, source, _ in rows:
+        new = re.sub(r"\S+@\S+", lambda m: to[m[0]], text) if text else text
+        want.append((d, new, lang, source, len(new) if new is not None else None))
+    assert sorted(tuple(r) for r in cp.personal_data(spark, docs, SF).collect()) == sorted(want) and len(set(to.values())) == len(to)
+
+
+def test_source_mix_against_a_queue_served_word_by_word(spark):
+    """Documents of a source in order of their places, again and again; at the end of the budget the one in service is cut."""
+    from wattline.llm import mixing
+
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(i % 23)), "en", ("a", "b", None, "é")[min(3, i % 7)], 5) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    place = {r["doc_id"]: r["place"] for r in mixing.sized(docs).collect()}
+    target = {r["doc_id"]: r["target"] for r in mixing.mix(docs).collect()}
+    want = []
+    for source in ("a", "b", None, "é"):
+        mine = sorted((r for r in rows if r[3] == source), key=lambda r: place[r[0]])
+        left = int(target[mine[0][0]])
+        for _ in range(2):
+            for d, text, lang, s, _n in mine:
+                words = text.split(" ") if text else []
+                take = min(len(words), left)
+                left -= take
+                if take:
+                    new = " ".join(words[:take])
+                    want.append((d, new, lang, s or "", len(new) if take < len(words) else 5))
+    got = [(r.doc_id, r.text, r.lang, r.source or "", r.n_chars) for r in cp.source_mix(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(want)

@@ -48,3 +48,33 @@ def test_nothing_to_learn(spark):
     one = toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.detect(docs, one).collect()] == [1.0, 0.0]
     assert toxicity.detect(docs.limit(0), none).count() == 0
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    """Sentence by sentence and word by word: 1 - prod(1 - p) with p the logistic of the summed weights."""
+    import math
+    import re
+
+    rows = made(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    texts = [t for _, t, _ in rows[:60]] + ["Vileterm!", "wörd1 VILETERM\nvileterm? no", "word3 " * 3000 + ". vileterm word1", "é...", None, ""]
+    cache = toxicity.WordWeights(model)
+    got = toxicity.score(model, texts, cache)
+    for text, g in zip(texts, got):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\r\n]", (text or "").lower()):
+            words = re.findall(rb"[a-z0-9\x80-\xff]+", sentence.encode())
+            if words:
+                z = model.bias + sum(float(model.weights[f]) for w in words for f in toxicity.features(w, model.bits, model.prefixes))
+                clean *= 1 - 1 / (1 + math.exp(-max(-700, min(700, z))))
+        assert abs(g - (1 - clean)) < 1e-6
+
+
+def test_several_labels_of_a_document(spark):
+    rows = made(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    one = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    more = one.union(one.filter("toxic = 1").select("doc_id", F.lit(0).alias("toxic"))).union(one)
+    a, b = toxicity.train(docs, one), toxicity.train(docs, more)
+    assert np.array_equal(a.weights, b.weights)

@@ -15,7 +15,8 @@ Every whole text is scored, in Arrow batches; nothing is shuffled.
 
 Cases: null text, empty text or text without a letter: lang 'und', score 0,
 rejected.  No labelled row to learn from: all 'und'.  Null languages are not
-learned.  Repeated rows are scored alike.  Extra columns stay untouched.
+learned.  Repeated rows are scored alike.  Very long texts: whole.  Empty table:
+empty result.  Extra columns stay untouched.
 """
 
 from __future__ import annotations

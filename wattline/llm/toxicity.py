@@ -17,10 +17,11 @@ other ones of at most `most_words` words.  Sample weights keep the natural share
 toxic documents.  Every whole text is scored, in Arrow batches, without a shuffle.
 
 Cases: null, empty or wordless text: no sentences, score 0.  Labels that are
-null or not 0/1, and labels of unknown documents, are not learned.  No label to
+null or not 0/1, and labels of unknown documents, are not learned; a document with
+several labels is toxic if one says so.  No label to
 learn from, or one class only: the share of toxic labels is the score of every
 text with words.  Repeated rows are scored alike.  Very long texts: whole.
-Extra columns are ignored.
+Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,7 +212,7 @@ def _bags(p: Params):
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Fit on docs (doc_id, text) with labels (doc_id, toxic): a bounded sample comes to the driver."""
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {1: p.positives, 0: p.negatives}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, want[1] / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, want[0] / max(1, n.get(0, 0)))))
