@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact, scalars
 from ..operators import features, models, occupancy, predict, profile, rollups, rules, schedule, tariff
-from ..session import prepare
+from ..session import prepare, written
 from ..sources import ingest, log, payload, sinks, tables
 from ..streaming import ordered, streams
 from .present import present
@@ -302,11 +302,12 @@ def _rate_for_date_forecast(spark, sf_dir):
 
 def _day_grid(spark, sf_dir):
     """Prediction rooms x every day of the training data's date range; the
-    bounds come straight from the readings, one small aggregate per room."""
+    bounds come straight from the readings: one aggregate of a row per room, written once, gives the
+    rooms and both bounds."""
     r = tables.training_readings(spark, sf_dir)
     day = F.to_date("ts")
-    per_room = r.groupBy("room").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).withColumn("floor", scalars.floor_of_room(F.col("room")))
-    lo, hi = r.agg(F.min(day)).scalar(), r.agg(F.max(day)).scalar()
+    per_room = written(r.groupBy("room").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).withColumn("floor", scalars.floor_of_room(F.col("room"))), "rooms")
+    lo, hi = per_room.agg(F.min("lo")).scalar(), per_room.agg(F.max("hi")).scalar()
     rooms = features.filter_room_ranges(per_room)
     return rooms.select("room", F.explode(F.sequence(lo, hi)).alias("date"))
 
