@@ -44,7 +44,8 @@ def run_until_caught_up(sdf: DataFrame, name: str, keys: list[str] | None = None
                         output_mode: str = "append") -> DataFrame:
     """Process everything available, then return the sink as a batch DataFrame.
 
-    The query keeps its state in RocksDB (the ordered state machines need it).
+    The query keeps its state in RocksDB (the ordered state machines need it), in no more
+    partitions than the cluster has cores: each costs a store and a worker in every micro-batch.
 
     ``keys``: update mode, the latest row per key wins.  ``output_mode``
     "complete": each micro-batch holds the whole result, the last one counts."""
@@ -52,9 +53,11 @@ def run_until_caught_up(sdf: DataFrame, name: str, keys: list[str] | None = None
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     data, chk = f"{base}/data", f"{base}/chk"
     numbered = keys is not None or output_mode == "complete"
-    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-    for k in before:
-        spark.conf.set(k, STATE_STORE[k])
+    parts = "spark.sql.shuffle.partitions"
+    own = {**STATE_STORE, parts: str(min(int(spark.conf.get(parts)), max(1, spark.sparkContext.defaultParallelism)))}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     if not numbered:
         q = (sdf.writeStream.format("parquet").option("path", data).option("checkpointLocation", chk)
              .outputMode(output_mode).trigger(availableNow=True).start())
