@@ -35,11 +35,12 @@ def test_likeness_of_fingerprints():
 
 
 def test_successors_and_odd_cases(spark):
-    rows = [(i * 7, random_text(3 + i % 9, i)) for i in range(60)] + [(-5, None), (1000, ""), (1001, "é" * 4000), (14, "again"), (None, "no id"), (None, "second")]
+    rows = [(i * 7, random_text(3 + i % 9, i)) for i in range(60)] + [(-5, None), (1000, ""), (1001, "é" * 4000), (14, "again"), (None, "no id"), (None, "second"), (None, None), (None, None)]
+    rows += [(None, f"no id either, number {i}") for i in range(40)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, block string").repartition(4)
     for blocks in (1, 7):
         got = lcp.fingerprint_with_edits(df, blocks=blocks).collect()
-        order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest() if r[0] is None else "", r[1]))
         want = {}
         for k, (d, t) in enumerate(order):
             q = len(t) // 4

@@ -20,8 +20,9 @@ of each block (a row for each block) is added behind the block before it, and
 each block is read in order as a stream.
 
 Cases: null text: as the empty text, whose fingerprint is all zeros; it is like
-the empty text alone.  Null doc_id: after all others.  Rows with equal doc_id:
-ordered by text; each has a successor.  One document: its own successor.
+the empty text alone.  Null doc_id: after all others, by the MD5 of their texts, in
+up to 256 blocks of their own.  Rows with equal doc_id: ordered by text; each has a
+successor.  One document: its own successor.
 Very long texts: whole.  Empty table: empty result.  Extra columns are ignored.
 """
 
@@ -187,15 +188,18 @@ def in_order(docs: DataFrame, blocks: int) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", probs, 10 * blocks)).first()[0] if probs else None
     splits = [float("-inf"), *(sorted({float(c) for c in cuts or []}) or [0.0]), float("inf")]
     bucket = Bucketizer(splits=splits, inputCol="id_double", outputCol="block", handleInvalid="keep")
-    rows = bucket.transform(docs.withColumn("id_double", F.col("doc_id").cast("double"))).select(F.coalesce(F.col("block").cast("int"), F.lit(len(splits))).alias("block"), F.lit(0).alias("extra"), "doc_id", "text")
+    mark = F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).otherwise(F.lit(""))  # places rows without an id
+    spread = F.lit(len(splits)) + F.conv(F.substring("mark", 1, 2), 16, 10).cast("int")
+    rows = bucket.transform(docs.withColumn("id_double", F.col("doc_id").cast("double")).withColumn("mark", mark))
+    rows = rows.select(F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("block").cast("int")).alias("block"), F.lit(0).alias("extra"), "doc_id", "mark", "text")
     firsts = rows.groupBy("block").agg(F.min("doc_id").alias("first_id"))
     order = Window.orderBy("block")  # a row for each block
     before = F.coalesce(F.lag("block").over(order), F.last("block").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = materialize(firsts.select("block", "first_id", before.alias("before")), "lcp-blocks")
     f = firsts.select(F.col("block").alias("b"), "first_id", "before")
-    heads = rows.join(f, (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("before", "first_id").agg(F.min("text").alias("text"))
-    heads = heads.select(F.col("before").alias("block"), F.lit(1).alias("extra"), F.col("first_id").alias("doc_id"), "text")
-    return rows.union(heads).repartition("block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_last(), "text")
+    heads = rows.join(f, (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("before", "first_id").agg(F.min(F.struct("mark", "text")).alias("x"))
+    heads = heads.select(F.col("before").alias("block"), F.lit(1).alias("extra"), F.col("first_id").alias("doc_id"), "x.mark", "x.text")
+    return rows.union(heads).repartition("block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_last(), "mark", "text").drop("mark")
 
 
 def _fingerprinted(p: Params):
