@@ -35,9 +35,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """Write once to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    Some of these tables hold texts and stay until the job's folder goes, so they are packed well (zstd)."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
