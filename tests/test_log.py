@@ -48,6 +48,7 @@ def test_first_of_a_second_counts_and_nulls(spark, path):
     log.append_unique(frame(spark, [reading(0, 5, power=9.0), reading(0, 0, power=9.0), reading(0, 6, power=3.0), reading(0, 5, "706", power=4.0)]), path, ["nr"])
     assert [r[2] for r in stored(spark, path)] == [0.0, 1.0, 4.0, 3.0] or sorted(r[2] for r in stored(spark, path)) == [0.0, 1.0, 3.0, 4.0]
     log.append_unique(frame(spark, []), path)
+    log.append_unique(spark.read.parquet(path), path, ["nr"])          # its own rows, with their day column
     assert spark.read.parquet(path).count() == 4
 
 

@@ -119,7 +119,7 @@ def _throttled(spark, rows, **kw):
     return sorted(((r["room"], r["us"]) for r in occupancy.notification_throttle(df, **kw).select("room", F.unix_micros("notified_at").alias("us")).collect()), key=str)
 
 
-@pytest.mark.parametrize("cooldown,block,fan_in", [(2, 600, 4096), (5, 5, 3), (7, 10, 2), (60, 10, 4), (300, 600, 5)])
+@pytest.mark.parametrize("cooldown,block,fan_in", [(2, 600, 4096), (5, 5, 16), (60, 10, 6), (300, 600, 40)])
 def test_throttle_composed_over_levels_equals_the_loop(spark, cooldown, block, fan_in):
     """Bursts, gaps around the cooldown, ties, times before 1970, a room without a name."""
     rnd = random.Random(cooldown)

@@ -851,8 +851,8 @@ def _kwh_model_check(spark, sf_dir):
 
 @query("model_registry")
 def _model_registry(spark, sf_dir):
-    """Persist the kWh model, the rate model's fit, the room encoder and the rules
-    as one bundle with a registry table (shared folder)."""
+    """Persist the kWh model, the rate model's fit, the room encoder and the rules
+    as one bundle with a registry table (shared folder), and read each of them back."""
     import uuid
 
     from ..session import checkpoint_dir
@@ -863,7 +863,10 @@ def _model_registry(spark, sf_dir):
     bundle = {"rate_model": tariff.holt_winters_fit(_tariff(spark, sf_dir)), "room_encoder": features.label_encode(rooms, "room", "room_encoded"),
               "recommendations": rules.rules_table(spark)}
     reg = models.save_models(spark, base, {"kwh_model": model}, {"kwh_model": names}, version=MODEL_VERSION, tables=bundle)
-    return reg.select("model", "version", "description", "features")
+    # what was saved, read back: rows of the tables, trees of the model
+    sizes = [(r["model"], models.load_model_or_fallback([r["path"]]).stages[-1].getNumTrees if r["model"] == "kwh_model" else spark.read.parquet(r["path"]).count())
+             for r in reg.select("model", "path").collect()]
+    return reg.join(spark.createDataFrame(sizes, "model string, n long"), "model").select("model", "version", "description", "features", "n")
 
 
 @query("training_text_daily")

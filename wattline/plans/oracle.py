@@ -1077,9 +1077,12 @@ FROM (SELECT pp.*, row_number() OVER (PARTITION BY pp.room, pp.device_ts ORDER B
 
 oracle("model_registry", with_training("""
 SELECT 'kwh_model' AS model, '1.0' AS version, 'Energy prediction models for rooms 1xx and 7xx' AS description,
-       '[' || array_to_string(list_transform(BASIC_LIST || (SELECT list('room_type_' || room_type ORDER BY idx) FROM lbl), lambda x: '"' || x || '"'), ', ') || ']' AS features
+       '[' || array_to_string(list_transform(BASIC_LIST || (SELECT list('room_type_' || room_type ORDER BY idx) FROM lbl), lambda x: '"' || x || '"'), ', ') || ']' AS features,
+       200::BIGINT AS n
 UNION ALL SELECT 'rate_model', '1.0', 'Energy prediction models for rooms 1xx and 7xx',
-       '["series", "last_month", "alpha", "beta", "gamma", "sse", "n_obs", "n_steps", "level", "trend", "season", "aic", "bic"]'
-UNION ALL SELECT 'room_encoder', '1.0', 'Energy prediction models for rooms 1xx and 7xx', '["room", "room_encoded"]'
+       '["series", "last_month", "alpha", "beta", "gamma", "sse", "n_obs", "n_steps", "level", "trend", "season", "aic", "bic"]',
+       (SELECT count(DISTINCT o_orderpriority) FROM orders)
+UNION ALL SELECT 'room_encoder', '1.0', 'Energy prediction models for rooms 1xx and 7xx', '["room", "room_encoded"]',
+       (SELECT count(DISTINCT 100 * (1 + l_suppkey % 7) + 1 + l_suppkey % 11) FROM lineitem)
 UNION ALL SELECT 'recommendations', '1.0', 'Energy prediction models for rooms 1xx and 7xx',
-       '["threshold_type", "threshold_value", "recommendation", "rule_order"]'""".replace("BASIC_LIST", str(list(BASIC_FEATURES))), _LABELS))
+       '["threshold_type", "threshold_value", "recommendation", "rule_order"]', 6""".replace("BASIC_LIST", str(list(BASIC_FEATURES))), _LABELS))

@@ -72,7 +72,7 @@ def append_unique(df: DataFrame, path: str, order: Sequence[str | Column] = ("ts
     spark = df.sparkSession
     if batch is not None and _has(spark, f"{path}/{COMMITS}/{batch}"):
         return
-    rows = sinks.with_defaults(df.where(F.col("ts").isNotNull()))
+    rows = sinks.with_defaults(df.where(F.col("ts").isNotNull()).drop("date"))
     first = rows.select(*_key(rows), F.struct(*order).alias("_order"), F.struct(*rows.columns).alias("_row"))
     new = written(first.groupBy("_day", "_sec", "_room").agg(F.min_by("_row", "_order").alias("_row")), "append")
     days = [r[0] for r in new.select("_day").distinct().collect()]        # a row for each day of the batch
