@@ -107,3 +107,63 @@ def test_ranks_of_a_dictionary_in_many_blocks(spark):
     unseen = features.label_encode(spark.createDataFrame([("b",), ("zz",), (None,)], "v string"), "v", "n", spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "v string"))
     assert {r["v"]: r["n"] for r in unseen.collect()} == {"b": 1, "zz": 2, None: 2}
     assert features.sorted_rank(df.limit(0), "v", "n").count() == 0
+
+
+def _counted_readings(spark, monkeypatch):
+    """Readings of a few rooms and months in place of the training view, with a counter of the rows read, and small models."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(3000, numPartitions=3).select(
+        F.concat(F.lit("1"), F.lpad((1 + F.col("id") % 5).cast("string"), 2, "0")).alias("room"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=F.col("id") % 200, hours=F.col("id") % 24)).alias("ts"),
+        ((F.col("id") % 50) / F.lit(3)).alias("energy_kwh"),
+        F.when(F.col("id") % 3 == 0, F.lit("lab")).otherwise(F.lit("office")).alias("room_type"),
+        F.lit(220.0).alias("voltage"), F.lit(1.5).alias("current"))
+
+    def tap(r):
+        seen.add(1)
+        return r
+
+    counted = spark.createDataFrame(rows.rdd.map(tap), T.StructType(rows.schema.fields))
+    monkeypatch.setattr(tables, "training_readings", lambda s, d: counted)
+    for name in ("BASIC_PARAMS", "ENHANCED_PARAMS"):
+        monkeypatch.setattr(models, name, dict(getattr(models, name), maxIter=2, maxDepth=3))
+    return seen, 3000
+
+
+def test_a_model_query_reads_the_readings_once(spark, monkeypatch):
+    """Fitting, evaluating and checking start from one daily table."""
+    from wattline.plans.catalog import QUERIES
+
+    seen, n = _counted_readings(spark, monkeypatch)
+    for i, name in enumerate(("kwh_model_check", "kwh_model_metrics", "top_features", "model_registry"), 1):
+        out = QUERIES[name](spark, SF_SMALL).collect()
+        assert seen.value == n * i, name
+        if name == "kwh_model_check":
+            assert out[0]["same_when_loaded"] == out[0]["top_in_order"] == 1 and out[0]["rooms"] == 5 and out[0]["n_importances"] == 14
+
+
+def test_a_changed_training_table_is_another_model(spark, monkeypatch, tmp_path):
+    """Rows, dates and energy alike, one room type changed: trained again, not loaded."""
+    from pyspark.sql import functions as F
+
+    from wattline.plans import catalog
+
+    _counted_readings(spark, monkeypatch)
+    monkeypatch.setattr(catalog, "_model_root", lambda s: str(tmp_path))
+    daily = catalog._training_days(spark, SF_SMALL)
+    for k, d in ((1, daily), (1, daily), (2, daily.withColumn("room_type", F.when(F.col("date") == "2024-02-01", F.lit("lecture")).otherwise(F.col("room_type"))))):
+        catalog._kwh_model(spark, SF_SMALL, d)
+        assert len(list(tmp_path.iterdir())) == k
+
+
+def test_trees_do_not_depend_on_the_node_cache(spark):
+    """The same trees without node ids cached and checkpointed beside them."""
+    from wattline.session import written
+
+    daily = written(_planted(spark), "node-cache-test")
+    fitted = [models.train_kwh(daily, enhanced=True, params={"maxIter": 12, "maxDepth": 3, **p})[0].stages[-1] for p in ({}, {"cacheNodeIds": True})]
+    assert [m.getCacheNodeIds() for m in fitted] == [False, True]
+    assert fitted[0].toDebugString.split("\n", 1)[1] == fitted[1].toDebugString.split("\n", 1)[1]
